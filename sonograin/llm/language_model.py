@@ -20,16 +20,16 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import cut, shared_dir
 
-STATES, ROUNDS, OWN, BUCKETS, COMMON = 6, 5, 4096, 4096, 65536
+STATES, ROUNDS, OWN, BUCKETS, COMMON = 5, 5, 4096, 4096, 65536
 #: Training cuts longer texts into sequences of so many tokens (all are used); scoring never cuts.
-PIECE = 2048
+PIECE = 512
 #: Tokens worked on at once; a text of more is a group of its own.
-GROUP = 400_000
+GROUP = 300_000
 END = b""
 FOLDS, HELD_OUT = 5, 1
 
@@ -64,44 +64,42 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_count_batches, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-class _Symbols(dict):
-    """token -> symbol; rare tokens are worked out when met, and forgotten when many have gathered."""
-
-    def __init__(self, own: dict, buckets: int):
-        super().__init__(own)
-        self.own, self.buckets = own, buckets
+class _Ids(dict):
+    """token -> rank among the common tokens, or -1; nothing is added."""
 
     def __missing__(self, token):
-        if len(self) > 300_000:
-            self.clear()
-            self.update(self.own)
-        s = self.own.get(token)
-        self[token] = s = len(self.own) + zlib.crc32(token) % self.buckets if s is None else s
-        return s
+        return -1
 
 
 def _encoder(common, buckets: int):
-    """common: token -> (log10(c + 0.5), is a symbol of its own), a broadcast value."""
+    """common: (tokens by rank, log10(c + 0.5) by rank, number of them that are symbols themselves), a broadcast value."""
 
     def run(batches):
-        known = common.value
-        own = {t: i for i, t in enumerate(t for t, (_, o) in known.items() if o)}
-        symbols, logs = _Symbols(own, buckets), {t: x for t, (x, _) in known.items()}
-        for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [], [])
-            for text in batch.column("text").to_pylist():
-                tokens = tokens_of(text)
-                found = [logs.get(t) for t in tokens]
-                rare = [t for t, x in zip(tokens, found) if x is None]
-                middle = [(t, x) for t, x in zip(tokens, found) if x is not None and t not in own]
-                sums = Counter(symbols[t] for t in rare) + Counter(symbols[t] for t, _ in middle)
-                for column, value in zip(rows, (len(tokens), math.fsum(x for x in found if x is not None), math.fsum(x for _, x in middle), np.fromiter(map(symbols.__getitem__, tokens), np.uint16, len(tokens)).tobytes(), rare, list(sums.items()))):
-                    column.append(value)
-            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.struct([("symbol", pa.int64()), ("n", pa.int64())])))
-            last = [[{"symbol": s, "n": n} for s, n in x] for x in rows[5]]
-            arrays = [pa.array(x, k) for x, k in zip((*rows[:5], last), kinds)]
-            names = ["n_tokens", "common_log", "middle_log", "symbols", "rare", "drawn"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *arrays], names=["doc_id", "held_out", *names])
+        names, logs, n_own = common.value
+        ids_of = _Ids(zip(names, range(len(names)))).__getitem__
+        symbol = np.array([i if i < n_own else n_own + zlib.crc32(t) % buckets for i, t in enumerate(names)] or [0], np.uint16)
+        logs = np.append(logs, 0.0)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # a few texts at a time keep the worker small
+                batch = whole.slice(at, 256)
+                each = [tokens_of(t) for t in batch.column("text").to_pylist()]
+                tokens = [t for x in each for t in x]
+                sizes = np.fromiter(map(len, each), np.int64, len(each))
+                starts = np.cumsum(sizes) - sizes
+                ids = np.fromiter(map(ids_of, tokens), np.int64, len(tokens))
+                rare = np.flatnonzero(ids < 0)
+                symbols = symbol[ids]
+                rare_tokens = [tokens[i] for i in rare]
+                symbols[rare] = np.fromiter((n_own + zlib.crc32(t) % buckets for t in rare_tokens), np.int64, len(rare))
+                found = logs[ids]
+                middle = np.where(ids >= n_own, found, 0.0)
+                cuts = np.append(np.searchsorted(rare, starts), len(rare))
+                arrays = [
+                    pa.array(sizes), pa.array(np.add.reduceat(found, starts)), pa.array(np.add.reduceat(middle, starts)),
+                    pa.array([symbols[a : a + n].tobytes() for a, n in zip(starts, sizes)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare_tokens, pa.binary())),
+                ]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *arrays], names=["doc_id", "held_out", "n_tokens", "common_log", "middle_log", "symbols", "rare"])
 
     return run
 
@@ -158,7 +156,7 @@ def _expected(model_of, states: int, n: int):
         model = model_of.value
         first, move, emit, any_ = np.zeros(states), np.zeros((states, states)), np.zeros((n, states)), False
         texts = (s for b in batches for s in b.column("symbols").to_pylist())
-        for group in _grouped(((0, np.frombuffer(s, np.uint16).astype(np.int64)) for s in texts), PIECE):
+        for group in _grouped(((0, np.frombuffer(s, np.uint16)) for s in texts), PIECE):
             any_ = True
             _, kept = _forward(model, group, True)
             back, seen_all, weight_all = None, [], []
@@ -186,14 +184,18 @@ def _expected(model_of, states: int, n: int):
 
 
 def _scorer(model_of):
+    """The log likelihood of the symbols, less the log size of the class that each token is drawn from."""
+
     def run(batches):
-        model = model_of.value
+        model, share = model_of.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            whole = ((i, np.frombuffer(s, np.uint16).astype(np.int64)) for i, s in enumerate(batch.column("symbols").to_pylist()))
+            texts = batch.column("symbols").to_pylist()
+            # texts of like length run together
+            whole = ((i, np.frombuffer(texts[i], np.uint16)) for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])))
             for group in _grouped(whole, None):
                 logs, _ = _forward(model, group, False)
-                out[[i for i, _ in group]] += logs
+                out[[i for i, _ in group]] += logs - np.array([share[s].sum() for _, s in group])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "symbols"), pa.array(out, pa.float64())], names=[*(c for c in batch.schema.names if c != "symbols"), "hmm_log"])
 
     return run
@@ -227,39 +229,38 @@ def scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, own: int
     marked = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
     counts = cut(token_counts(marked.where("not held_out")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(common).collect()  # at most ``common`` rows
-    frequent = {bytes(r.token): (math.log10(r.c + 0.5), i < own) for i, r in enumerate(top)}
-    n_own = sum(o for _, o in frequent.values())
-    sent = spark.sparkContext.broadcast(frequent)
+    # tokens from the least count on that leaves at most ``common`` of them
+    tally = counts.groupBy("c").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy(F.desc("c")))).where(F.col("upto") <= common)
+    least = tally.agg(F.min("c")).first()[0]
+    top = counts.where(F.col("c") >= F.lit(least)).toPandas().sort_values(["c", "token"], ascending=[False, True])  # at most ``common`` rows
+    names = [bytes(t) for t in top["token"]]
+    n_own = min(own, len(names))
+    sent = spark.sparkContext.broadcast((names, np.log10(top["c"].to_numpy(dtype=float) + 0.5), n_own))
     path = f"{shared_dir(spark)}/symbols-{uuid.uuid4().hex}"
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, common_log double, middle_log double, symbols binary, rare array<binary>, drawn array<struct<symbol:long,n:long>>"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, common_log double, middle_log double, symbols binary, rare array<binary>"
     marked.mapInArrow(_encoder(sent, buckets), schema).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
     encoded = spark.read.parquet(path)
 
-    mine = spark.createDataFrame([(t,) for t in frequent if frequent[t][1]], "token binary")  # at most ``own`` rows
+    mine = spark.createDataFrame([(t,) for t in names[:n_own]], "token binary")  # at most ``own`` rows
     drawn = counts.join(F.broadcast(mine), "token", "left_anti").groupBy((F.pmod(F.crc32("token"), F.lit(buckets)) + n_own).alias("symbol")).agg(F.sum("c").alias("nb"), F.count("*").alias("vb"))
-    classes = drawn.collect()  # at most ``buckets`` rows
-    totals = np.zeros(n_own + buckets)
-    share = {}
-    for i, r in enumerate(top[:n_own]):
-        totals[i] = r.c
-    for r in classes:
+    totals, share = np.zeros(n_own + buckets), np.zeros(n_own + buckets)
+    totals[:n_own] = top["c"].to_numpy()[:n_own]
+    share[n_own:] = math.log10(0.5)  # a class without known tokens
+    for r in drawn.collect():  # at most ``buckets`` rows
         totals[r.symbol] = r.nb
         share[r.symbol] = math.log10(r.nb + 0.5 * (r.vb + 1))
     model = train(encoded, states, n_own + buckets, totals, rounds) if n else _start(states, n_own + buckets, totals)
 
     # log10(c + 0.5) of the rare tokens, by a shuffled join on the token
-    rare = encoded.select("row", F.explode("rare").alias("token")).join(counts.withColumn("token", F.col("token")), "token", "left")
+    rare = encoded.select("row", F.explode("rare").alias("token")).join(counts, "token", "left")
     rare = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_log"), F.count("c").alias("rare_known"), F.count("*").alias("n_rare"))
-    totals_of = spark.createDataFrame([(int(s), x) for s, x in share.items()], "symbol long, log double")  # at most ``buckets`` rows
-    drawn_log = encoded.select("row", F.inline("drawn")).join(F.broadcast(totals_of), "symbol", "left").groupBy("row").agg(F.sum(F.col("n") * F.coalesce("log", F.lit(math.log10(0.5)))).alias("drawn_log"))
     scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "common_log", "middle_log", "symbols").mapInArrow(
-        _scorer(spark.sparkContext.broadcast(model)), f"row long, doc_id {kind}, held_out boolean, n_tokens long, common_log double, middle_log double, hmm_log double"
+        _scorer(spark.sparkContext.broadcast((model, share))), f"row long, doc_id {kind}, held_out boolean, n_tokens long, common_log double, middle_log double, hmm_log double"
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
-    out = scored.join(rare, "row", "left").join(drawn_log, "row", "left")
+    out = scored.join(rare, "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_tokens") - zero("n_rare") + zero("rare_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("common_log") + zero("rare_log") - F.col("n_tokens") * math.log10(n + 0.5 * (v + 1))).alias("base_score"),
-        (F.col("hmm_log") + F.col("middle_log") + zero("rare_log") - zero("drawn_log")).alias("score"),
+        (F.col("hmm_log") + F.col("middle_log") + zero("rare_log")).alias("score"),
     )
