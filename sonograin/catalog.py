@@ -1,4 +1,265 @@
 """The registered queries of the listening-history engine and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.calendar import GRAINS
+from .functions.text import match_text
+from .operators import coverage, eras, evidence, reconcile, returns, sync, volume
+from .plans import envelope
+from .sources import history
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+TZ = "America/Chicago"
+_BASE = "with " + history.BASE_SQL.format(artist="o_custkey")
+_COARSE = "with " + history.BASE_SQL.format(artist="o_custkey % 25")
+_EVIDENCE = "with " + history.EVIDENCE_SQL
+_LOCAL = f"timezone('{TZ}', timezone('UTC', make_timestamp(instant_ms * 1000)))"
+
+
+def register(name: str, query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql is not None:
+        ORACLES[name] = sql
+
+
+# Volume ---------------------------------------------------------------------------------------------------------------
+_LABEL = {"day": "strftime(s, '%Y-%m-%d')", "week": "strftime(s, '%G-W%V')", "month": "strftime(s, '%Y-%m')", "quarter": "year(s) || '-Q' || quarter(s)", "year": "strftime(s, '%Y')"}
+_STEP = {"day": "1 day", "week": "7 days", "month": "1 month", "quarter": "3 months", "year": "1 year"}
+
+
+def _volume_sql(grain: str, metric: str, rolling: int) -> str:
+    value = {"play_count": "1", "play_count_at_least_ms": "case when listened_ms >= 100000 then 1 end", "listened_ms": "listened_ms"}[metric]
+    prior = "substr(period, 1, 4)::int - 1 || substr(period, 5)"
+    return f"""{_BASE}, e as (select cast(date_trunc('{grain}', {_LOCAL}) as date) as s, {value} as v from base where event_status in ('current', 'unresolved')),
+c as (select s, sum(v) as v from e group by s), axis as (select unnest(generate_series(min(s)::timestamp, max(s)::timestamp, interval {_STEP[grain]}))::date as s from c),
+r as (select a.s, {_LABEL[grain].replace('(s', '(a.s')} as period, coalesce(c.v, 0) as value from axis a left join c on a.s = c.s),
+p as (select {_LABEL[grain]} as period, v from c where v is not null),
+w as (select *, sum(value) over (order by s rows between {rolling - 1} preceding and current row) as rolling_value from r)
+select w.period, cast(w.value as bigint) as value, cast(rolling_value as bigint) as rolling_value, cast(p.v as bigint) as prior_year_value, cast(w.value - p.v as bigint) as absolute_change,
+  case when p.v <> 0 then (w.value - p.v) / p.v end as relative_change from w left join p on p.period = {prior.replace('period', 'w.period')}"""
+
+
+def _volume(grain: str, metric: str, rolling: int):
+    return lambda spark, d: volume.listening_volume(history.canonical_base(spark, d), grain, metric, rolling, minimum_ms=100_000, tz=TZ)
+
+
+for _grain in GRAINS:
+    register(f"n1_volume_{_grain}", _volume(_grain, "play_count", 3), _volume_sql(_grain, "play_count", 3))
+register("n1_volume_at_least_ms", _volume("month", "play_count_at_least_ms", 12), _volume_sql("month", "play_count_at_least_ms", 12))
+register("n1_volume_listened_ms", _volume("quarter", "listened_ms", 4), _volume_sql("quarter", "listened_ms", 4))
+
+# Eras -----------------------------------------------------------------------------------------------------------------
+_ERAS = f"""e as (select artist_id, year({_LOCAL}) * 12 + month({_LOCAL}) - 1 as m from base),
+k as (select artist_id, m - (m - 23640) % 3 as m, count(*) as n from e group by all), ends as (select min(m) as m0, max(m) as m1 from k),
+grid as (select artist_id, i, m0, m0 + 3 * i as m from (select distinct artist_id from k), (select m0, unnest(range(0, (m1 - m0) // 3 + 1)) as i from ends)),
+g as (select grid.*, coalesce(n, 0) as plays from grid left join k using (artist_id, m)),
+r as (select *, sum(plays) over (partition by artist_id order by i rows between 3 preceding and current row) as rolling,
+  case when i >= 7 then sum(plays) over (partition by artist_id order by i rows between 7 preceding and 4 preceding) end as baseline from g),
+s as (select *, rolling / sum(rolling) over (partition by i) as share, dense_rank() over (partition by i order by rolling desc) as rank, plays >= 3 and rolling >= 12 as active from r),
+f as (select *, max(case when not active then i end) over (partition by artist_id order by i) as stop from s),
+c as (select *, case when active then i - coalesce(stop, -1) else 0 end as consecutive from f),
+q as (select artist_id, cast(i as int) as window_index, cast(m as int) as start_month, cast(plays as bigint) as plays, cast(rolling as bigint) as rolling, share, rank, consecutive, cast(baseline as bigint) as baseline,
+  active and share >= 0.02 and rank <= 20 and consecutive >= 2 and coalesce(rolling - baseline >= -12, true) as is_qualified,
+  (least(1, plays / 3) + least(1, rolling / 12) + least(1, share / 0.02) + greatest(0, least(1, (21 - rank) / 20)) + least(1, consecutive / 2) + case when baseline is null then 0 else greatest(0, least(1, (rolling - baseline + 12) / 12)) end) / case when baseline is null then 5 else 6 end as strength
+  from c where rolling > 0)"""
+_INTERVALS = """isl as (select *, window_index - row_number() over (partition by artist_id order by window_index) as island from q where is_qualified),
+era as (select artist_id, min(start_month) as start_month, max(start_month) + 3 as end_month, cast(sum(plays) as bigint) as play_count, avg(share) as share, max(strength) as strength, arg_max(start_month, (strength, rolling, -start_month)) as peak from isl group by artist_id, island)"""
+_MONTH = "lpad(cast({0} // 12 as varchar), 4, '0') || '-' || lpad(cast({0} % 12 + 1 as varchar), 2, '0')"
+
+
+def _windows(spark, d):
+    return eras.era_windows(history.canonical_base(spark, d, coarse=True), tz=TZ)
+
+
+register("n2_era_windows", lambda spark, d: _windows(spark, d).drop("window_start"), f"{_COARSE}, {_ERAS} select * from q")
+register(
+    "n3_era_intervals", lambda spark, d: eras.era_intervals(_windows(spark, d)).drop("evidence"),
+    f"{_COARSE}, {_ERAS}, {_INTERVALS} select artist_id, start_month, end_month, {_MONTH.format('start_month')} as window_start, {_MONTH.format('end_month')} as window_end_exclusive, play_count, share, strength, {_MONTH.format('peak')} as peak_start from era",
+)
+register(
+    "n3_era_evidence", lambda spark, d: eras.era_intervals(_windows(spark, d)).select("artist_id", "window_start", F.explode("evidence").alias("e")).select("artist_id", "window_start", "e.window_index", "e.plays", "e.rolling"),
+    f"{_COARSE}, {_ERAS}, isl as (select *, window_index - row_number() over (partition by artist_id order by window_index) as island from q where is_qualified), b as (select *, min(start_month) over (partition by artist_id, island) as b from isl) select artist_id, {_MONTH.format('b')} as window_start, window_index, plays, rolling from b",
+)
+
+
+# Rediscovery and abandonment ------------------------------------------------------------------------------------------
+def _rediscoveries(scope: str):
+    def query(spark, d):
+        base = history.canonical_base(spark, d)
+        return returns.rediscoveries(base, eras.era_intervals(eras.era_windows(base, tz=TZ)), scope, prior_plays=5 if scope == "artist" else 1, tz=TZ)
+
+    return query
+
+
+def _rediscovery_sql(entity: str, prior: int) -> str:
+    day = 86_400_000
+    local = lambda x: f"year(timezone('{TZ}', timezone('UTC', make_timestamp(({x}) * 1000)))) * 12 + month(timezone('{TZ}', timezone('UTC', make_timestamp(({x}) * 1000)))) - 1"
+    return f"""{_BASE}, {_ERAS}, {_INTERVALS}, obs as (select max(instant_ms) as observed from base),
+o as (select {entity} as entity_id, artist_id, event_id, instant_ms, lag(instant_ms) over w as prior_ms, row_number() over w - 1 as prior_play_count from base window w as (partition by {entity} order by instant_ms, event_id)),
+h as (select o.*, observed, {local('instant_ms')} as month, {local(f'instant_ms + {120 * day}')} as horizon,
+  (select count(*) from base b where b.{entity} = o.entity_id and b.instant_ms >= o.instant_ms and b.instant_ms < o.instant_ms + {30 * day}) as return_intensity,
+  (select count(*) from base b where b.{entity} = o.entity_id and b.instant_ms >= o.instant_ms + {30 * day} and b.instant_ms < o.instant_ms + {120 * day}) as persistence_play_count
+  from o, obs where instant_ms - prior_ms >= {180 * day} and prior_play_count >= {prior}),
+p as (select *, case when observed < instant_ms + {120 * day} then 'open' when persistence_play_count >= 2 then 'persistent' else 'not_persistent' end as persistence,
+  (select min(start_month) from era where era.artist_id = h.artist_id and ((start_month <= month and month < end_month) or start_month between month and horizon)) as era_start from h)
+select entity_id, event_id, instant_ms, prior_ms, (instant_ms - prior_ms) / {day}.0 as gap_days, prior_play_count, return_intensity, persistence_play_count, persistence, observed >= instant_ms + {30 * day} as return_window_complete, era_start,
+  case when era_start >= month then 'return_beginning_new_era' when persistence = 'persistent' then 'sustained_rediscovery' else 'one_off_return' end as classification from p"""
+
+
+register("n4_rediscovery_artist", _rediscoveries("artist"), _rediscovery_sql("artist_id", 5))
+register("n4_rediscovery_track", _rediscoveries("track"), _rediscovery_sql("track_id", 1))
+_ABANDON = """{base}, b as (select * from base where instant_ms <= {end}), obs as (select {observed} as observed from b),
+s as (select *, max(instant_ms) over (partition by artist_id) as last_ms, case when instant_ms - lag(instant_ms) over (partition by artist_id order by instant_ms, event_id) > 7776000000 then 1 else 0 end as split from b),
+p as (select *, sum(split) over (partition by artist_id order by instant_ms, event_id) as period from s),
+g as (select artist_id, period, min(instant_ms) as a, max(instant_ms) as z, count(*) as n, sum(case when instant_ms >= last_ms - 15552000000 then 1 else 0 end) as cad from p group by artist_id, period),
+x as (select artist_id, sum(n) as hist, sum(cad) as cad, count(*) as periods, arg_max(a, period) as a, arg_max(z, period) as z, arg_max(n, period) as n from g group by artist_id),
+y as (select *, (observed - z) / 86400000.0 as absence from x, obs)
+select artist_id, absence as absence_days, periods as active_period_count, cast(hist as bigint) as historical_play_count, cast(cad as bigint) as cadence_play_count, cast(cad as double) * 30 / 180 as cadence_per_30_days, a as period_start_ms, z as last_listen_ms, n as period_play_count,
+  (least(1.0, hist / 10) + least(1.0, cad / 6) + least(1.0, absence / 365)) / 3 as confidence, case when absence >= 365 then 'likely_abandoned_as_of' else 'dormant' end as status from y where hist >= 5 and absence >= 180 and cad >= 3"""
+register("n5_abandonment", lambda spark, d: returns.abandonments(history.canonical_base(spark, d)), _ABANDON.format(base=_BASE, end="9e18", observed="max(instant_ms)"))
+_ASOF = 946_684_800_000
+register("n5_abandonment_as_of", lambda spark, d: returns.abandonments(history.canonical_base(spark, d), as_of_ms=_ASOF), _ABANDON.format(base=_BASE, end=_ASOF, observed=f"any_value({_ASOF}::bigint)"))
+
+# Evidence -------------------------------------------------------------------------------------------------------------
+def _interval_members(spark, d) -> DataFrame:
+    e = history.table(spark, d, "events")
+    uri = F.when(F.col("event_id") % 7 == 0, F.lit(None)).when(F.col("event_id") % 11 == 0, F.lit("spotify:track:short")).otherwise(F.concat(F.lit("spotify:track:"), F.lpad(F.col("event_id").cast("string"), 22, "0")))
+    record = F.struct(
+        F.when(F.col("event_id") % 13 == 0, F.lit("2024-02-30T00:00:00Z")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("ts"), F.when(F.col("event_id") % 17 == 0, F.lit(-1)).otherwise(F.floor(F.col("value") * 1000)).cast("long").alias("ms_played"),
+        uri.alias("spotify_track_uri"), F.when(F.col("event_id") % 14 == 0, F.lit("An episode")).alias("episode_name"), F.when(F.col("event_id") % 19 == 0, F.lit(" ")).otherwise(F.col("event_type")).alias("master_metadata_album_artist_name"),
+        F.lit("t").alias("master_metadata_track_name"), F.when(F.col("event_id") % 23 != 0, F.lit(False)).alias("shuffle"),
+    )
+    return e.select("event_id", F.parse_json(F.to_json(record)).alias("record"))
+
+
+register(
+    "p1_classify_interval", lambda spark, d: evidence.classify_interval(_interval_members(spark, d)).select("event_id", "kind", "reason", "ms_played"),
+    """with r as (select event_id, case when event_id % 13 = 0 then 'invalid_timestamp' when event_id % 17 = 0 then 'invalid_duration' when event_id % 23 = 0 then 'invalid_field_type' when event_id % 7 = 0 then case when event_id % 14 = 0 then 'episode_or_audiobook' else 'video_or_unsupported' end
+when event_id % 11 = 0 then 'invalid_track_uri' when event_id % 19 = 0 then 'invalid_track_metadata' end as reason, case when event_id % 17 = 0 then -1 else cast(floor(value * 1000) as bigint) end as ms_played from events)
+select event_id, case when reason is null then 'track' when reason in ('episode_or_audiobook', 'video_or_unsupported') then 'excluded' else 'malformed' end as kind, reason, ms_played from r""",
+)
+register("p12_outcome_counts", lambda spark, d: evidence.outcome_counts(evidence.classify_interval(_interval_members(spark, d))), ORACLES["p1_classify_interval"].replace("select event_id, case when reason is null", ", c as (select event_id, case when reason is null") + ") select kind, reason, count(*) as n from c group by all")
+
+
+def _instant_members(spark, d) -> DataFrame:
+    e = history.table(spark, d, "events")
+    record = F.struct(
+        F.when(F.col("event_id") % 5 == 0, F.lit("soon")).otherwise(F.unix_millis(F.col("ts").cast("timestamp")).cast("string")).alias("timestamp"), F.when(F.col("event_id") % 7 == 0, F.lit("  ")).otherwise(F.col("event_type")).alias("artist_name"),
+        F.when(F.col("event_id") % 11 != 0, F.lit("t")).alias("track_name"), F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(F.lit("album")).alias("album_name"),
+    )
+    text = F.regexp_replace(F.to_json(record), '"timestamp":"(\\d+)"', '"timestamp":$1')
+    return e.select("event_id", F.parse_json(text).alias("record"))
+
+
+register(
+    "p2_classify_instant", lambda spark, d: evidence.classify_instant(_instant_members(spark, d)).select("event_id", "kind", "reason", "instant_ms", "album"),
+    """with r as (select event_id, case when event_id % 5 = 0 then 'invalid_timestamp' when event_id % 11 = 0 then 'invalid_field_type' when event_id % 7 = 0 then 'invalid_required_text' end as reason,
+case when event_id % 5 <> 0 then epoch_us(ts) // 1000 end as instant_ms, case when event_id % 3 <> 0 then 'album' end as album from events)
+select event_id, case when reason is null then 'scrobble' else 'malformed' end as kind, reason, instant_ms, album from r""",
+)
+_SPACED = "trim(regexp_replace(regexp_replace(lower(nfc_normalize({0})), '[\\p{{P}}\\p{{S}}]', ' ', 'g'), '\\s+', ' ', 'g'))"
+register("f1_match_text_parts", lambda spark, d: history.table(spark, d, "part").select("p_partkey", match_text(F.concat(F.upper("p_name"), F.lit(" - ("), F.col("p_brand"), F.lit(")"))).alias("key")), f"select p_partkey, {_SPACED.format("upper(p_name) || ' - (' || p_brand || ')'")} as key from part")
+register("f1_match_text_documents", lambda spark, d: history.table(spark, d, "documents").select("doc_id", F.sha2(match_text("text"), 256).alias("key_hash")))
+register("f2_fingerprints", lambda spark, d: history.interval_plays(spark, d).select("record_id", evidence.fingerprint("play-v1", at=F.col("stopped_at_ms"), ms=F.col("ms_played"), artist=F.col("artist"), track=F.col("track")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("fingerprints")), f"{_EVIDENCE}, g as (select count(*) as n from plays group by stopped_at_ms, ms_played, artist, track) select n, count(*) as fingerprints from g group by n")
+register(
+    "s4_registration",
+    lambda spark, d: evidence.registration(
+        history.table(spark, d, "part").select(F.col("p_name").alias("path"), F.col("p_type").alias("source_type"), F.col("p_brand").alias("content_sha256")), history.table(spark, d, "part").where("p_partkey % 2 = 0").select(F.concat("p_name", F.lit("/"), "p_type").alias("path"), F.col("p_type").alias("source_type"), F.col("p_brand").alias("content_sha256"))
+    ).groupBy("outcome").agg(F.count("*").alias("n")),
+    """with k as (select distinct p_type as t, p_brand as h from part where p_partkey % 2 = 0) select case when t is null then 'new' else 'known_elsewhere' end as outcome, count(*) as n from part left join k on p_type = t and p_brand = h group by 1""",
+)
+
+# Reconciliation -------------------------------------------------------------------------------------------------------
+_PAIRS = """pr as (select p.record_id as play_id, s.record_id as scrobble_id, ms_played, skipped, stopped_at_ms - ms_played as start_ms, instant_ms, recording_mbid from plays p join scrobbles s
+  on lower(p.artist) = lower(s.artist) and lower(p.track) = replace(lower(s.track), ':', '') and abs(instant_ms - (stopped_at_ms - ms_played)) <= 30000)"""
+_SCORES = """dg as (select *, instant_ms - start_ms as delta_ms, count(*) over (partition by play_id) as play_degree, count(*) over (partition by scrobble_id) as scrobble_degree from pr),
+sc as (select play_id, scrobble_id, delta_ms, play_degree, scrobble_degree, 1 - least(1.0, abs(delta_ms) / 30000) as time_score, greatest(0.0, 1 - abs(delta_ms) / greatest(ms_played, 30000)) as duration_score,
+  1.0 / greatest(play_degree, scrobble_degree)::double as competing_score, case when ms_played >= 30000 and not skipped then 1.0 else 0.0 end as short_score from dg),
+cf as (select *, (0.15 + 0.2 + time_score * 0.15 + duration_score * 0.05 + competing_score * 0.05 + short_score * 0.05) / 0.65 as confidence from sc),
+dc as (select *, case when competing_score <> 1 then 'review' when confidence >= 0.95 then 'accept' when confidence >= 0.7 then 'review' else 'ignore' end as decision from cf)"""
+
+
+def _pairs(spark, d):
+    return reconcile.candidate_pairs(history.interval_plays(spark, d), history.instant_scrobbles(spark, d))
+
+
+def _scored(spark, d):
+    return reconcile.scored(_pairs(spark, d))
+
+
+register("r1_candidate_pairs", lambda spark, d: _pairs(spark, d).select("play_id", "scrobble_id", "start_ms", "instant_ms"), f"{_EVIDENCE}, {_PAIRS} select play_id, scrobble_id, start_ms, instant_ms from pr")
+register("r7_scored_pairs", lambda spark, d: _scored(spark, d).select("play_id", "scrobble_id", "delta_ms", "play_degree", "scrobble_degree", F.round("confidence", 9).alias("confidence"), "decision"), f"{_EVIDENCE}, {_PAIRS}, {_SCORES} select play_id, scrobble_id, delta_ms, play_degree, scrobble_degree, round(confidence, 9) as confidence, decision from dc")
+register("r6_nearest_neighbours", lambda spark, d: reconcile.nearest_independent(_pairs(spark, d)), f"""{_EVIDENCE}, {_PAIRS}, m as (select a.play_id, a.scrobble_id, b.start_ms as near_start, b.instant_ms as near_instant, row_number() over (partition by a.play_id, a.scrobble_id order by abs(b.start_ms - a.start_ms), b.play_id, b.scrobble_id) as n
+  from pr a join pr b on a.play_id <> b.play_id and a.scrobble_id <> b.scrobble_id and abs(a.start_ms // 3600000 - b.start_ms // 3600000) <= 1) select play_id, scrobble_id, near_start, near_instant from m where n = 1""")
+register("r6_ordering_scores", lambda spark, d: reconcile.scored(_pairs(spark, d), reconcile.nearest_independent(_pairs(spark, d))).select("play_id", "scrobble_id", "ordering_score", F.round("confidence", 9).alias("confidence"), "decision"))
+register("r10_canonical_events", lambda spark, d: reconcile.canonical_events(history.interval_plays(spark, d), history.instant_scrobbles(spark, d), _scored(spark, d)), f"""{_EVIDENCE}, {_PAIRS}, {_SCORES}, mg as (select play_id, scrobble_id from dc where decision = 'accept'),
+kp as (select * from plays qualify row_number() over (partition by stopped_at_ms, ms_played, artist, track order by record_id) = 1)
+select record_id as event_id, stopped_at_ms - ms_played as started_ms, stopped_at_ms as ended_ms, 'derived_start' as time_basis, case when scrobble_id is null then 'single_source' else 'cross_source_reconciled' end as status, scrobble_id from kp left join mg on record_id = play_id
+union all select record_id, instant_ms, null, 'observed_start', 'single_source', null from scrobbles where record_id not in (select scrobble_id from mg)""")
+register("r16_calibration_sample", lambda spark, d: reconcile.stratified_sample(_scored(spark, d), "decision", 20, "calibration-v1").select("play_id", "scrobble_id", "decision", "hash"), f"""{_EVIDENCE}, {_PAIRS}, {_SCORES}, h as (select play_id, scrobble_id, decision, sha256('calibration-v1:' || play_id || ':' || scrobble_id) as hash from dc)
+select * from h qualify row_number() over (partition by decision order by hash, play_id, scrobble_id) <= 20""")
+register("i11_duplicates", lambda spark, d: reconcile.keepers(history.interval_plays(spark, d), "stopped_at_ms", "ms_played", "artist", "track").where("not is_keeper").select("record_id", "keeper"), f"{_EVIDENCE}, k as (select record_id, min(record_id) over (partition by stopped_at_ms, ms_played, artist, track) as keeper from plays) select record_id, keeper from k where record_id <> keeper")
+register("i9_merge_roots", lambda spark, d: reconcile.merge_roots(history.table(spark, d, "orders").where("o_orderkey % 3 != 0").select(F.col("o_orderkey").alias("subject"), F.floor(F.col("o_orderkey") / 2).alias("object"))), """with recursive m as (select o_orderkey as s, o_orderkey // 2 as o from orders where o_orderkey % 3 <> 0), w as (select s as node, o as root from m union all select node, m.o from w join m on w.root = m.s)
+select node, min(root) as root from w group by node""")
+
+
+# Coverage and quality -------------------------------------------------------------------------------------------------
+def _both(spark, d) -> DataFrame:
+    p = history.interval_plays(spark, d).select(F.lit("interval").alias("source"), "record_id", F.col("stopped_at_ms").alias("at_ms"), F.lit(None).cast("string").alias("recording_mbid"))
+    return p.unionByName(history.instant_scrobbles(spark, d).select(F.lit("instant").alias("source"), "record_id", F.col("instant_ms").alias("at_ms"), "recording_mbid"))
+
+
+_BOTH = f"{_EVIDENCE}, u as (select 'interval' as source, record_id, stopped_at_ms as at_ms, null as recording_mbid from plays union all select 'instant', record_id, instant_ms, recording_mbid from scrobbles)"
+register("c1_by_year", lambda spark, d: coverage.by_year(_both(spark, d), "at_ms", TZ), f"{_BOTH} select source, cast(year({_LOCAL.replace('instant_ms', 'at_ms')}) as int) as year, count(*) as n from u group by all")
+register("c2_observed_ranges", lambda spark, d: coverage.observed_ranges(_both(spark, d), "at_ms"), f"{_BOTH} select source, min(at_ms) as first_ms, max(at_ms) as last_ms, count(*) as n from u group by source")
+register("c4_duplicates", lambda spark, d: coverage.duplicate_totals(history.interval_plays(spark, d), "stopped_at_ms", "ms_played", "artist", "track"), f"{_EVIDENCE}, g as (select count(*) as n from plays group by stopped_at_ms, ms_played, artist, track having count(*) > 1) select count(*) as duplicate_groups, cast(coalesce(sum(n - 1), 0) as bigint) as extra_records from g")
+register("c5_missing_fields", lambda spark, d: coverage.missing_fields(_both(spark, d), "recording_mbid", "at_ms"), f"{_BOTH} select f as field, case when f = 'at_ms' then count(*) - count(at_ms) else count(*) - count(recording_mbid) end as missing, count(*) as total, missing / count(*) as rate from u, (select unnest(['recording_mbid', 'at_ms']) as f) group by f")
+
+
+def _by_artist(spark, d):
+    return history.canonical_base(spark, d).select(F.col("artist_id").alias("source"), "instant_ms")
+
+
+register("c6_long_gaps", lambda spark, d: coverage.long_gaps(_by_artist(spark, d), "instant_ms"), f"{_BASE}, g as (select artist_id as source, lag(instant_ms) over (partition by artist_id order by instant_ms) as from_ms, instant_ms as to_ms from base) select * from g where to_ms - from_ms >= 365 * 86400000::bigint")
+register("c7_backing", lambda spark, d: coverage.backing(QUERIES["r10_canonical_events"](spark, d)), "with ev_all as (" + ORACLES["r10_canonical_events"] + ") select status, count(*) as n from ev_all group by status")
+register(
+    "v_checks",
+    lambda spark, d: coverage.violations(
+        duplicate_event=coverage.not_unique(history.canonical_base(spark, d), "event_id"), unknown_artist=coverage.orphans(history.canonical_base(spark, d), "artist_id", history.table(spark, d, "customer"), "c_custkey"),
+        no_duration=coverage.outside(history.canonical_base(spark, d), F.col("listened_ms") >= 0), line_key=coverage.not_unique(history.table(spark, d, "lineitem"), "l_orderkey", "l_linenumber"),
+        ordinals=coverage.ordinal_gaps(history.table(spark, d, "conversations"), "conv_id", "turn"),
+    ),
+    f"""{_BASE} select 'duplicate_event' as code, count(*) as violations from (select event_id from base group by 1 having count(*) > 1) union all select 'unknown_artist', count(*) from base where artist_id is not null and artist_id not in (select c_custkey from customer)
+union all select 'no_duration', count(*) from base where coalesce(listened_ms >= 0, false) = false union all select 'line_key', count(*) from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1)
+union all select 'ordinals', count(*) from (select 1 from conversations group by conv_id having min(turn) <> 0 or max(turn) <> count(*) - 1 or count(distinct turn) <> count(*))""",
+)
+
+
+# Synchronization and envelope -----------------------------------------------------------------------------------------
+def _sync(spark, d):
+    c = history.table(spark, d, "customer")
+    scopes = c.select(F.col("c_custkey").alias("scope"), F.when(F.col("c_custkey") % 5 == 0, F.lit(1000)).cast("long").alias("explicit_from_ms"), F.when(F.col("c_custkey") % 3 == 0, F.lit(2000)).cast("long").alias("initial_ms"))
+    cursors = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("scope"), (F.col("c_custkey") * 100_000).alias("boundary_ms"))
+    return scopes, cursors, history.canonical_base(spark, d).select(F.col("artist_id").alias("scope"), "instant_ms")
+
+
+_SYNC = f"""{_BASE}, l as (select artist_id as scope, max(instant_ms) as top from base group by 1),
+pl as (select c_custkey as scope, case when c_custkey % 5 = 0 then 1000 end as ex, case when c_custkey % 2 = 0 then c_custkey * 100000 end as cur, case when c_custkey % 3 = 0 then 2000 end as ini, top from customer left join l on scope = c_custkey),
+plan as (select scope, case when coalesce(ex, cur, ini, top) is not null then greatest(0, coalesce(ex, cur - 300000, ini, top - 300000)) end as from_ms, case when ex is not null then 'explicit' when cur is not null then 'cursor' when ini is not null then 'initial' when top is not null then 'evidence' else 'none' end as basis, ex is null as advances, cur, top from pl)"""
+register("k1_sync_plan", lambda spark, d: sync.sync_plan(*_sync(spark, d)), f"{_SYNC} select scope, cast(from_ms as bigint) as from_ms, basis, advances from plan")
+register("k3_cursors", lambda spark, d: sync.advanced_cursors(_sync(spark, d)[1], sync.sync_plan(*_sync(spark, d)), _sync(spark, d)[2]), f"{_SYNC} select scope, cast(greatest(cur, case when advances then greatest(top, from_ms) end) as bigint) as boundary_ms from plan where advances or cur is not null")
+
+
+def _append(spark, d):
+    s = history.instant_scrobbles(spark, d).select(F.lit(1).alias("scope"), "record_id", "instant_ms", "artist", "track", "recording_mbid")
+    stored = s.where("record_id % 4 != 1").withColumn("recording_mbid", F.when(F.col("record_id") % 5 != 0, F.col("recording_mbid"))).drop("record_id")
+    return sync.append_plan(s.drop("record_id"), stored)
+
+
+register("k4_append_plan", lambda spark, d: _append(spark, d).groupBy("outcome").agg(F.count("*").alias("n")))
+register("x1_envelope", lambda spark, d: envelope.envelope(history.canonical_base(spark, d), "volume", {"grain": "month"}, TZ).drop("parameters", "version", "timezone"), f"{_BASE} select 'volume' as analysis, count(*) as event_count, min(instant_ms) as start_ms, max(instant_ms) + 1 as end_ms, count(listened_ms) / count(*) as duration_coverage, sum(case when event_status = 'unresolved' then 1 else 0 end) / count(*) as unresolved_rate from base")
+register("x3_digest", lambda spark, d: envelope.digest(history.canonical_base(spark, d)))
