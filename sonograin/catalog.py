@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.calendar import GRAINS
 from .functions.text import match_text
-from .operators import coverage, eras, evidence, reconcile, returns, sync, volume
+from .operators import coverage, decisions, eras, evidence, identity, reconcile, returns, sync, volume
 from .plans import envelope
 from .sources import history
 
@@ -263,3 +263,93 @@ def _append(spark, d):
 register("k4_append_plan", lambda spark, d: _append(spark, d).groupBy("outcome").agg(F.count("*").alias("n")))
 register("x1_envelope", lambda spark, d: envelope.envelope(history.canonical_base(spark, d), "volume", {"grain": "month"}, TZ).drop("parameters", "version", "timezone"), f"{_BASE} select 'volume' as analysis, count(*) as event_count, min(instant_ms) as start_ms, max(instant_ms) + 1 as end_ms, count(listened_ms) / count(*) as duration_coverage, sum(case when event_status = 'unresolved' then 1 else 0 end) / count(*) as unresolved_rate from base")
 register("x3_digest", lambda spark, d: envelope.digest(history.canonical_base(spark, d)))
+
+
+# Identity -------------------------------------------------------------------------------------------------------------
+def _records(spark, d) -> DataFrame:
+    u, e = F.col("user_id"), F.col("event_id")
+    mbid = F.when(e % 4 == 0, F.when(u % 50 < 10, F.concat(F.lit("a"), u % 50)).when(u % 50 < 20, F.concat(F.lit("a"), u % 100)))
+    return history.table(spark, d, "events").select(
+        e.alias("record_id"), F.concat(F.lit("ARTIST "), u % 50).alias("artist"), F.concat(F.lit("Track "), u % 150).alias("track"), F.when(e % 3 > 0, F.concat(F.lit("Album "), e % 3)).alias("album"),
+        mbid.alias("artist_mbid"), F.when(e % 5 == 0, F.concat(F.lit("r"), u % 300)).alias("recording_id"), F.when(e % 7 == 0, F.concat(F.lit("rel"), e % 3)).alias("release_mbid"),
+    )
+
+
+_RESOLVED = """with rec as (select event_id as record_id, 'artist ' || user_id % 50 as name, 'track ' || user_id % 150 as title, case when event_id % 3 > 0 then 'album ' || event_id % 3 end as album,
+  case when event_id % 4 = 0 then case when user_id % 50 < 10 then 'a' || user_id % 50 when user_id % 50 < 20 then 'a' || user_id % 100 end end as artist_mbid,
+  case when event_id % 5 = 0 then 'r' || user_id % 300 end as recording_id, case when event_id % 7 = 0 then 'rel' || event_id % 3 end as release_mbid from events),
+a1 as (select *, case when artist_mbid is not null then min(record_id) over (partition by artist_mbid) end as strong_artist, case when recording_id is not null then min(record_id) over (partition by recording_id) end as strong_track, first_value(album is not null or release_mbid is not null) over (partition by recording_id order by record_id) as with_release,
+  case when release_mbid is not null then min(record_id) over (partition by release_mbid) end as strong_release from rec),
+src as (select name, min(strong_artist) as alias_artist from a1 group by name having count(distinct strong_artist) = 1), fr as (select name, min(record_id) as fresh_artist from a1 where artist_mbid is null group by name),
+a2 as (select a1.*, alias_artist, coalesce(strong_artist, alias_artist, fresh_artist) as own_artist from a1 left join src using (name) left join fr using (name)),
+cp as (select own_artist, title, album, min(case when with_release = (album is not null) then strong_track end) as low, max(case when with_release = (album is not null) then strong_track end) as high, min(case when recording_id is null then record_id end) as fresh_track from a2 group by all),
+a3 as (select a2.*, low, coalesce(strong_track, case when low = high then low end, fresh_track) as track_id from a2 join cp on a2.own_artist = cp.own_artist and a2.title = cp.title and a2.album is not distinct from cp.album),
+fst as (select track_id, own_artist as artist_id, coalesce(strong_release, case when album is not null then record_id end) as release_id from a3 where track_id = record_id),
+res as (select a3.*, artist_id, release_id, case when recording_id is not null then 'trusted_identifier' when track_id <> record_id then 'conservative_composite' when artist_mbid is not null then 'trusted_identifier' when own_artist <> record_id then 'known_alias' else 'new_unresolved' end as kind from a3 join fst using (track_id))"""
+register("i3_resolved", lambda spark, d: identity.resolved(_records(spark, d)).drop("conflicts"), f"{_RESOLVED} select record_id, artist_id, track_id, release_id, kind from res")
+register("i6_conflicts", lambda spark, d: identity.conflicts(identity.resolved(_records(spark, d))), f"""{_RESOLVED} select record_id, 'artist' as entity_type, strong_artist as strong_id, alias_artist as other_id from res where strong_artist <> alias_artist
+union select record_id, 'track', strong_track, low from res where strong_track <> low union select record_id, 'artist', artist_id, own_artist from res where artist_id <> own_artist union select record_id, 'release', strong_release, release_id from res where strong_release <> release_id""")
+register("i1_owners", lambda spark, d: identity.owners(_records(spark, d), "recording_id"), f"{_RESOLVED} select recording_id, min(record_id) as owner from rec where recording_id is not null group by 1")
+register("i8_aliases", lambda spark, d: identity.aliases(history.table(spark, d, "part").withColumnRenamed("p_partkey", "record_id"), "p_brand", "p_type"), "select p_brand as entity, lower(p_type) as alias, arg_min(p_type, p_partkey) as display, min(p_partkey) as record_id from part group by 1, 2")
+register("i2_unique_aliases", lambda spark, d: identity.unique_aliases(identity.aliases(history.table(spark, d, "part").select(F.col("p_partkey").alias("record_id"), "p_brand", F.concat("p_type", F.lit(" "), "p_size").alias("name")), "p_brand", "name")), "select lower(p_type || ' ' || p_size) as alias, min(p_brand) as entity from part group by 1 having count(distinct p_brand) = 1")
+
+
+def _merged(spark, d) -> DataFrame:
+    base = history.canonical_base(spark, d).select("event_id", "artist_id")
+    customers = history.table(spark, d, "customer").where("c_custkey % 4 != 1")
+    return identity.merged(base, "artist_id", customers.select(F.floor(F.col("c_custkey") / 4).cast("long").alias("subject"), F.col("c_custkey").alias("object")))
+
+
+register("i12_merged", _merged, """with recursive m as (select c_custkey as o, c_custkey // 4 as s from customer where c_custkey % 4 <> 1), w as (select o as node, s as root from m union select node, m.s from w join m on w.root = m.o),
+r as (select node, min(root) as root from w group by node) select o_orderkey as event_id, coalesce(root, o_custkey) as artist_id, case when root <> o_custkey then o_custkey end as before_merge from orders left join r on node = o_custkey""")
+
+
+# Manual decisions -----------------------------------------------------------------------------------------------------
+def _decisions(spark, d) -> DataFrame:
+    k = F.col("c_custkey")
+    return history.table(spark, d, "customer").select(
+        F.when(k % 11 == 0, F.lit("d-0")).otherwise(F.concat(F.when(k % 7 == 0, F.lit("D-")).otherwise(F.lit("d-")), k)).alias("decision_id"), F.when(k % 5 == 0, F.lit("alias")).when(k % 13 == 0, F.lit("keep")).otherwise(F.lit("accept")).alias("type"),
+        F.when(k % 17 != 0, F.lit("by_ear")).alias("reason_code"), F.sha2(F.col("c_name"), 256).alias("file_sha256"), (k % 19 - 1).alias("ordinal"), F.when(k % 10 == 0, F.lit("")).otherwise(F.col("c_name")).alias("alias"),
+    )
+
+
+register("r14_decision_faults", lambda spark, d: decisions.faults(_decisions(spark, d)), """with k as (select c_custkey as k, case when c_custkey % 11 = 0 then 'd-0' when c_custkey % 7 = 0 then 'D-' || c_custkey else 'd-' || c_custkey end as decision_id from customer)
+select decision_id, case when decision_id like 'D%' then 'decision_id' when k % 5 <> 0 and k % 13 = 0 then 'type' when k % 17 = 0 then 'reason_code' when k % 19 = 0 then 'reference' else 'alias' end as fault from k
+where decision_id like 'D%' or (k % 5 <> 0 and k % 13 = 0) or k % 17 = 0 or k % 19 = 0 or k % 10 = 0 union all select decision_id, 'repeated_id' from k group by 1 having count(*) > 1""")
+
+
+def _offered(spark, d, changed: bool) -> DataFrame:
+    p = history.table(spark, d, "part")
+    p = p.where("p_partkey % 3 != 0") if changed else p
+    payload = F.when((F.col("p_partkey") % 5 == 0) & F.lit(changed), F.lit("other")).otherwise(F.col("p_name"))
+    return p.select(F.concat(F.lit("d-"), "p_partkey").alias("decision_id"), payload.alias("payload"))
+
+
+register("r13_import_plan", lambda spark, d: decisions.import_plan(_offered(spark, d, False), _offered(spark, d, True)).drop("payload"), "select 'd-' || p_partkey as decision_id, case when p_partkey % 3 = 0 then 'imported' when p_partkey % 5 = 0 and p_name <> 'other' then 'conflict' else 'already_applied' end as outcome from part")
+
+
+def _manual(spark, d) -> DataFrame:
+    return _scored(spark, d).where("play_id % 16 = 0").select("play_id", "scrobble_id", F.when(F.col("play_id") % 32 == 0, "accept").otherwise("reject").alias("decision"))
+
+
+register("r12_manual_first", lambda spark, d: decisions.with_manual(_scored(spark, d), _manual(spark, d)), f"{_EVIDENCE}, {_PAIRS}, {_SCORES} select play_id, scrobble_id, case when play_id % 32 = 0 then 'accept' when play_id % 16 = 0 then 'reject' else decision end as decision, case when play_id % 16 = 0 then 'manual' else 'automatic' end as origin from dc")
+
+
+def _decision_history(spark, d) -> DataFrame:
+    prior = _scored(spark, d).select("play_id", "scrobble_id", F.lit("v1").alias("version"), "decision", F.lit("active").alias("state"), F.lit(None).cast("string").alias("superseded_by"))
+    return decisions.superseded(prior, _manual(spark, d), "v2")
+
+
+register("r11_superseded", _decision_history, f"""{_EVIDENCE}, {_PAIRS}, {_SCORES} select play_id, scrobble_id, 'v1' as version, decision, case when play_id % 16 = 0 then 'superseded' else 'active' end as state, case when play_id % 16 = 0 then 'v2' end as superseded_by from dc
+union all select play_id, scrobble_id, 'v2', case when play_id % 32 = 0 then 'accept' else 'reject' end, 'active', null from dc where play_id % 16 = 0""")
+register("v24_decision_lineage", lambda spark, d: decisions.lineage_faults(_decision_history(spark, d).where("version = 'v1' or play_id % 32 = 0")), f"{_EVIDENCE}, {_PAIRS}, {_SCORES} select play_id, scrobble_id, 'active_count' as fault from dc where play_id % 32 = 16")
+
+
+def _references(spark, d) -> DataFrame:
+    return _both(spark, d).select("record_id", F.col("source").alias("kind"), F.sha2(F.concat(F.lit("file-"), F.col("record_id") % 4), 256).alias("file_sha256"), F.floor(F.col("record_id") / 4).cast("long").alias("ordinal"))
+
+
+register("r15_review_export", lambda spark, d: decisions.review_export(_scored(spark, d), _references(spark, d)).withColumn("confidence", F.round("confidence", 9)), f"""{_EVIDENCE}, {_PAIRS}, {_SCORES} select 'interval' as play_kind, sha256('file-' || play_id % 4) as play_file_sha256, play_id // 4 as play_ordinal,
+'instant' as scrobble_kind, sha256('file-' || scrobble_id % 4) as scrobble_file_sha256, scrobble_id // 4 as scrobble_ordinal, decision, round(confidence, 9) as confidence from dc""")
+register("c9_unresolved", lambda spark, d: coverage.unresolved(history.canonical_base(spark, d)), f"{_BASE} select count(*) as events, cast(coalesce(sum(case when event_status = 'unresolved' then 1 else 0 end), 0) as bigint) as unresolved, coalesce(unresolved / nullif(count(*), 0), 0) as rate from base")
+register("c10_overlap_by_year", lambda spark, d: coverage.overlap_by_year(QUERIES["r10_canonical_events"](spark, d), "started_ms", TZ), "with ev_all as (" + ORACLES["r10_canonical_events"] + f") select cast(year({_LOCAL.replace('instant_ms', 'started_ms')}) as int) as year, count(*) as n from ev_all where status = 'cross_source_reconciled' group by 1")

@@ -51,6 +51,17 @@ def backing(events: DataFrame) -> DataFrame:
     return events.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def unresolved(events: DataFrame) -> DataFrame:
+    """events, unresolved, rate (0 without events)."""
+    open_ = F.coalesce(F.sum((F.col("event_status") == "unresolved").cast("long")), F.lit(0)).alias("unresolved")
+    return events.agg(F.count("*").alias("events"), open_).withColumn("rate", F.when(F.col("events") == 0, 0.0).otherwise(F.try_divide("unresolved", "events")))
+
+
+def overlap_by_year(events: DataFrame, instant: str, tz: str = "America/Chicago") -> DataFrame:
+    """year, n of the canonical events that both sources tell of."""
+    return events.where("status = 'cross_source_reconciled'").groupBy(F.year(local_time(F.col(instant), tz)).alias("year")).agg(F.count("*").alias("n"))
+
+
 def baseline_differences(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """metric, actual, expected where they differ or one is missing."""
     return actual.alias("a").join(expected.alias("e"), "metric", "full").select("metric", "actual", "expected").where(~F.col("actual").eqNullSafe(F.col("expected")))
