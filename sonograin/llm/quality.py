@@ -27,6 +27,8 @@ RULES = {
 #: Cutoffs of every rule, from the mildest to the strictest.
 GRID = [0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.175, 0.15, 0.125, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01]
 RISK, DELTA = 0.05, 0.05
+#: Cutoffs of up to this many strata are broadcast; beyond, a stratum's rows are dealt to SALTS tasks.
+BROADCAST_STRATA, SALTS = 10_000, 64
 
 
 def _repeat_words() -> Column:
@@ -97,6 +99,15 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK
     return sure.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
+def _with_cutoffs(measured: DataFrame, cutoffs: DataFrame, limit: int = BROADCAST_STRATA) -> DataFrame:
+    """measured with its stratum's cutoffs; a stratum may hold most rows, so rows are never gathered by stratum alone."""
+    if len(cutoffs.select("stratum").take(limit + 1)) <= limit:
+        return measured.join(F.broadcast(cutoffs), "stratum", "left")
+    dealt = cutoffs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = measured.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int"))
+    return salted.join(dealt, ["stratum", "_salt"], "left").drop("_salt")
+
+
 def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """One row per row of docs: doc_id, the measures, base_failed, failed_rules, kept.
 
@@ -105,7 +116,7 @@ def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: fl
     """
     measured = cut(measures(docs, stratum))
     cutoffs = certified_cutoffs(measured, labels, risk, delta).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
-    judged = measured.join(cutoffs, "stratum", "left")
+    judged = _with_cutoffs(measured, cut(cutoffs))
     failed = F.array_compact(F.array(*(F.when(F.expr(e) > F.try_element_at("cutoffs", F.lit(r)), F.lit(r)) for r, e in RULES.items())))
     return judged.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("cutoffs")
 

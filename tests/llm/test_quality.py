@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+from sonograin.llm import quality
 from sonograin.llm.quality import GRID, RULES, certified_cutoffs, good_documents, measures, verdicts
 from pyspark.sql import functions as F
 
@@ -63,3 +64,10 @@ def test_verdicts_and_kept_rows(spark):
     assert good_documents(docs.where("doc_id = 9000"), labels.limit(0)).count() == 1  # nothing certified: base rules only
     assert verdicts(docs.limit(0), labels).count() == 0
     assert v.where(F.col("doc_id").isNull()).first().kept is False
+
+
+def test_cutoffs_reach_rows_alike_by_broadcast_and_by_salted_join(spark):
+    measured = spark.createDataFrame([(i, i * 7, "ab"[i % 2]) for i in range(200)] + [(None, 1, "c")], "doc_id long, text_hash long, stratum string")
+    cutoffs = spark.createDataFrame([("a", 1), ("b", 2)], "stratum string, cutoffs int")
+    few, many = (sorted(map(str, quality._with_cutoffs(measured, cutoffs, n).select("doc_id", "text_hash", "stratum", "cutoffs").collect())) for n in (2, 1))
+    assert few == many and len(few) == 201
