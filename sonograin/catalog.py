@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .functions.calendar import GRAINS
 from .functions.text import match_text
-from .operators import coverage, decisions, eras, evidence, identity, reconcile, returns, sync, volume
+from .operators import coverage, decisions, eras, evidence, identity, integrity, reconcile, returns, sync, volume
 from .plans import envelope
 from .sources import history
+from .streaming import plays as streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -260,7 +261,16 @@ def _append(spark, d):
     return sync.append_plan(s.drop("record_id"), stored)
 
 
-register("k4_append_plan", lambda spark, d: _append(spark, d).groupBy("outcome").agg(F.count("*").alias("n")))
+_APPEND = f"""{_EVIDENCE}, sc as (select distinct instant_ms, artist, track, recording_mbid from scrobbles),
+st as (select distinct instant_ms, artist, track, case when record_id % 5 <> 0 then recording_mbid end as m, true as there from scrobbles where record_id % 4 <> 1),
+jn as (select sc.instant_ms, sc.artist, sc.track, recording_mbid, count(case when there and m is not distinct from recording_mbid then 1 end) as exact, count(case when there and (m is null or recording_mbid is null or m = recording_mbid) then 1 end) as agree
+  from sc left join st on sc.instant_ms = st.instant_ms and sc.artist = st.artist and sc.track = st.track group by all), oc as (select case when exact > 0 then 'existing' when agree = 1 then 'matched' else 'inserted' end as outcome from jn)"""
+register("k4_append_plan", lambda spark, d: _append(spark, d).groupBy("outcome").agg(F.count("*").alias("n")), f"{_APPEND} select outcome, count(*) as n from oc group by 1")
+register(
+    "k5_append_summary", lambda spark, d: sync.append_summary(_append(spark, d), history.instant_scrobbles(spark, d).select(F.lit(1).alias("scope"))),
+    f"""{_APPEND}, n as (select count(*) as fetched from scrobbles) select 1 as scope, fetched, fetched - count(*) as ignored, count(case when outcome = 'existing' then 1 end) as existing,
+count(case when outcome = 'matched' then 1 end) as matched, count(case when outcome = 'inserted' then 1 end) as inserted from oc, n group by fetched""",
+)
 register("x1_envelope", lambda spark, d: envelope.envelope(history.canonical_base(spark, d), "volume", {"grain": "month"}, TZ).drop("parameters", "version", "timezone"), f"{_BASE} select 'volume' as analysis, count(*) as event_count, min(instant_ms) as start_ms, max(instant_ms) + 1 as end_ms, count(listened_ms) / count(*) as duration_coverage, sum(case when event_status = 'unresolved' then 1 else 0 end) / count(*) as unresolved_rate from base")
 register("x3_digest", lambda spark, d: envelope.digest(history.canonical_base(spark, d)))
 
@@ -353,3 +363,141 @@ register("r15_review_export", lambda spark, d: decisions.review_export(_scored(s
 'instant' as scrobble_kind, sha256('file-' || scrobble_id % 4) as scrobble_file_sha256, scrobble_id // 4 as scrobble_ordinal, decision, round(confidence, 9) as confidence from dc""")
 register("c9_unresolved", lambda spark, d: coverage.unresolved(history.canonical_base(spark, d)), f"{_BASE} select count(*) as events, cast(coalesce(sum(case when event_status = 'unresolved' then 1 else 0 end), 0) as bigint) as unresolved, coalesce(unresolved / nullif(count(*), 0), 0) as rate from base")
 register("c10_overlap_by_year", lambda spark, d: coverage.overlap_by_year(QUERIES["r10_canonical_events"](spark, d), "started_ms", TZ), "with ev_all as (" + ORACLES["r10_canonical_events"] + f") select cast(year({_LOCAL.replace('instant_ms', 'started_ms')}) as int) as year, count(*) as n from ev_all where status = 'cross_source_reconciled' group by 1")
+
+
+# Integrity ------------------------------------------------------------------------------------------------------------
+def _run_records(spark, d) -> DataFrame:
+    kind = F.when(F.col("o_orderstatus") == "F", "accepted").when(F.col("o_orderstatus") == "O", "excluded").otherwise("rejected")
+    return history.table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_custkey").alias("run_id"), kind.alias("kind"))
+
+
+def _runs(spark, d) -> DataFrame:
+    """A run per customer but every 29th; some state wrong numbers or a wrong status."""
+    k = F.col("run_id")
+    n = _run_records(spark, d).groupBy("run_id").agg(*(F.count_if(F.col("kind") == x).alias(x) for x in integrity.KINDS), F.count("*").alias("n")).where(k % 29 != 0)
+    status = F.when(k % 17 == 0, "failed").when(k % 19 == 0, "running").when(k % 23 == 0, "odd").otherwise("succeeded")
+    return n.select("run_id", status.alias("status"), (F.col("n") + (k % 13 == 0).cast("long")).alias("discovered"), "accepted", (F.col("excluded") + (k % 11 == 0).cast("long")).alias("excluded"), "rejected")
+
+
+register("v3_run_faults", lambda spark, d: integrity.run_faults(_runs(spark, d), _run_records(spark, d)), """with r as (select distinct o_custkey as k from orders)
+select k as run_id, unnest(list_filter([case when k % 29 = 0 then 'unknown_run' end, case when k % 29 <> 0 and k % 17 <> 0 and k % 19 <> 0 and k % 23 = 0 then 'status' end,
+case when k % 29 <> 0 and (k % 13 = 0) <> (k % 11 = 0) then 'total' end, case when k % 29 <> 0 and k % 11 = 0 then 'excluded' end, case when k % 29 <> 0 and k % 17 = 0 then 'failed_owns' end,
+case when k % 29 <> 0 and k % 17 <> 0 and k % 19 = 0 then 'unfinished' end], lambda x: x is not null)) as fault from r""")
+register(
+    "v5_ownership_faults",
+    lambda spark, d: integrity.ownership_faults(
+        history.table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.when(F.col("o_orderkey") % 31 != 0, F.col("o_custkey") % 100).alias("file_id"), F.col("o_custkey").alias("run_id")),
+        history.table(spark, d, "customer").where("c_custkey % 7 != 0").select((F.col("c_custkey") % 100).alias("file_id"), F.col("c_custkey").alias("run_id")),
+    ),
+    "select o_orderkey as record_id, case when o_orderkey % 31 = 0 then 'unowned' else 'unlinked' end as fault from orders where o_orderkey % 31 = 0 or o_custkey % 7 = 0 or o_custkey not in (select c_custkey from customer)",
+)
+
+
+def _damaged_prints(spark, d) -> DataFrame:
+    at = F.when(F.col("record_id") % 9 == 0, F.col("stopped_at_ms") + 1).otherwise(F.col("stopped_at_ms"))
+    p = history.interval_plays(spark, d).withColumn("fingerprint", F.when(F.col("record_id") % 25 != 0, evidence.fingerprint("play-v1", at=at, ms=F.col("ms_played"))))
+    return integrity.stored_fingerprint_faults(p, evidence.fingerprint("play-v1", at=F.col("stopped_at_ms"), ms=F.col("ms_played"))).select("record_id")
+
+
+register("v8_stored_fingerprints", _damaged_prints, f"{_EVIDENCE} select record_id from plays where record_id % 9 = 0 or record_id % 25 = 0")
+
+
+def _links(spark, d) -> DataFrame:
+    """event_id, record_id, source of the canonical events: each event's own record, merged scrobbles, and exact duplicates under their keeper."""
+    e = QUERIES["r10_canonical_events"](spark, d)
+    own = e.select("event_id", F.col("event_id").alias("record_id"), F.when(F.col("time_basis") == "derived_start", "interval").otherwise("instant").alias("source"))
+    merged = e.where("scrobble_id is not null").select("event_id", F.col("scrobble_id").alias("record_id"), F.lit("instant").alias("source"))
+    again = QUERIES["i11_duplicates"](spark, d).select(F.col("keeper").alias("event_id"), "record_id", F.lit("interval").alias("source"))
+    return own.unionByName(merged).unionByName(again)
+
+
+_LINKS = f"""with ev_all as ({ORACLES['r10_canonical_events']}), dup as ({ORACLES['i11_duplicates']}), lk as (select event_id, event_id as record_id, case when time_basis = 'derived_start' then 'interval' else 'instant' end as source from ev_all
+union all select event_id, scrobble_id, 'instant' from ev_all where scrobble_id is not null union all select keeper, record_id, 'interval' from dup), gone as (select * from lk where record_id % 37 <> 0)"""
+register(
+    "v15_link_faults", lambda spark, d: integrity.link_faults(_both(spark, d).where("record_id % 41 != 0"), _links(spark, d).where("record_id % 37 != 0")),
+    f"""{_LINKS}, rc as (select record_id from lk where record_id % 41 <> 0) select record_id, 'unlinked' as fault from (select distinct record_id from rc) where record_id not in (select record_id from gone)
+union all select record_id, 'shared' from gone where record_id % 41 <> 0 group by 1 having count(distinct event_id) > 1 union all select distinct record_id, 'dangling' from gone where record_id % 41 = 0""",
+)
+register(
+    "v16_event_faults", lambda spark, d: integrity.event_faults(QUERIES["r10_canonical_events"](spark, d).withColumn("ended_ms", F.when(F.col("event_id") % 43 == 0, F.col("started_ms") - 1).when(F.col("event_id") % 47 != 0, F.col("ended_ms"))), _links(spark, d).where("record_id % 37 != 0")),
+    f"""{_LINKS}, h as (select event_id, count(distinct source) as s from gone group by 1), e as (select ev_all.event_id, started_ms, case when ev_all.event_id % 43 = 0 then started_ms - 1 when ev_all.event_id % 47 <> 0 then ended_ms end as ended_ms, time_basis, status, s from ev_all left join h on h.event_id = ev_all.event_id)
+select event_id, 'no_evidence' as fault from e where s is null union all select event_id, 'status' from e where (status = 'cross_source_reconciled') <> (s > 1)
+union all select event_id, 'basis' from e where time_basis = 'derived_start' and ended_ms is null union all select event_id, 'order' from e where ended_ms < started_ms""",
+)
+register(
+    "v18_supersession_faults",
+    lambda spark, d: integrity.supersession_faults(history.table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.when(F.col("o_orderkey") % 3 == 0, "superseded").otherwise("active").alias("state"), F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderkey") * 2).when(F.col("o_orderkey") % 7 == 0, F.col("o_orderkey")).when(F.col("o_orderkey") % 3 == 0, F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") + 1)).alias("superseded_by"))),
+    """with e as (select o_orderkey as k, o_orderkey % 3 = 0 as gone, case when o_orderkey % 5 = 0 then o_orderkey * 2 when o_orderkey % 7 = 0 then o_orderkey when o_orderkey % 6 = 0 then o_orderkey + 1 end as sb from orders), j as (select e.*, t.k as tk, t.gone as tg from e left join (select distinct k, gone from e) t on e.sb = t.k)
+select k as event_id, unnest(list_filter([case when gone and sb is null then 'no_successor' end, case when not gone and sb is not null then 'active_successor' end, case when sb = k then 'self' end, case when sb is not null and tk is null then 'missing' end, case when tg and sb <> k then 'superseded_successor' end], lambda x: x is not null)) as fault from j""",
+)
+register("v20_graph_faults", lambda spark, d: integrity.graph_faults(identity.resolved(_records(spark, d))), f"""{_RESOLVED} select 'track' as entity_type, track_id as entity_id, count(distinct artist_id) as owners from res group by 2 having count(distinct artist_id) > 1
+union all select 'release', release_id, count(distinct artist_id) from res where release_id is not null group by 2 having count(distinct artist_id) > 1""")
+register(
+    "v27_blank_versions",
+    lambda spark, d: integrity.blank_versions(decisions=_decision_history(spark, d), orders=history.table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 3 == 0, " ").when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("version"))),
+    f"{_EVIDENCE}, {_PAIRS}, {_SCORES} select 'decisions' as \"table\", cast(0 as bigint) as blank, count(*) + count(case when play_id % 16 = 0 then 1 end) as rows from dc union all select 'orders', count(case when o_orderkey % 3 = 0 or o_orderkey % 5 = 0 then 1 end), count(*) from orders",
+)
+
+
+def _pages(spark, d) -> DataFrame:
+    t, c = history.table(spark, d, "conversations"), F.col("scope")
+    n = t.groupBy(F.col("conv_id").alias("scope")).agg(F.count("*").alias("total"))
+    p = t.groupBy(F.col("conv_id").alias("scope"), (F.floor(F.col("turn") / 2) + 1).alias("page")).agg(F.count("*").alias("rows"), F.count_if(F.col("role") == "user").alias("now_playing"))
+    return p.join(n, "scope").select("scope", "page", F.lit(2).cast("long").alias("per_page"), "total", (F.ceil(F.col("total") / 2) + F.when(c % 7 == 0, 1).otherwise(0)).alias("total_pages"), "rows", "now_playing")
+
+
+register("v30_page_faults", lambda spark, d: coverage.page_faults(_pages(spark, d)).select("scope", "page"), """with n as (select conv_id as s, count(*) as total from conversations group by 1), p as (select conv_id as s, turn // 2 + 1 as page, count(*) as r, count(case when role = 'user' then 1 end) as np from conversations group by 1, 2),
+q as (select p.*, total, (total + 1) // 2 + case when p.s % 7 = 0 then 1 else 0 end as tp from p join n on p.s = n.s)
+select s as scope, page from q where not (tp = (total + 1) // 2 and r = case when page < tp then 2 else total - (tp - 1) * 2 end and np <= 1)""")
+
+
+# Totals, baseline, cross-checks and streaming forms -----------------------------------------------------------------
+def _outcomes(spark, d) -> DataFrame:
+    plays = reconcile.keepers(history.interval_plays(spark, d), "stopped_at_ms", "ms_played", "artist", "track")
+    kind = F.when(F.col("record_id") % 7 == 0, "rejected").when(F.col("record_id") % 11 == 0, "excluded").otherwise("accepted").alias("kind")
+    return plays.select(F.lit("interval").alias("source"), kind, "is_keeper").unionByName(history.instant_scrobbles(spark, d).select(F.lit("instant").alias("source"), kind, F.lit(True).alias("is_keeper")))
+
+
+register("c12_totals", lambda spark, d: coverage.outcome_totals(_outcomes(spark, d)), f"""{_EVIDENCE}, a as (select 'interval' as source, record_id, row_number() over (partition by stopped_at_ms, ms_played, artist, track order by record_id) > 1 as again from plays union all select 'instant', record_id, false from scrobbles),
+k as (select source, again, case when record_id % 7 = 0 then 'rejected' when record_id % 11 = 0 then 'excluded' else 'accepted' end as kind from a)
+select source, count(case when kind = 'accepted' then 1 end) as accepted, count(case when kind = 'accepted' and again then 1 end) as duplicates, count(case when kind = 'excluded' then 1 end) as excluded, count(case when kind = 'rejected' then 1 end) as rejected, count(*) as total from k group by rollup(source)""")
+register("c8_merge_counts", lambda spark, d: coverage.merge_counts(QUERIES["r10_canonical_events"](spark, d), QUERIES["i11_duplicates"](spark, d)), f"""with ev_all as ({ORACLES['r10_canonical_events']}), dup as ({ORACLES['i11_duplicates']}), x as (select count(distinct event_id) as ce, count(scrobble_id) as cl from ev_all where status = 'cross_source_reconciled')
+select count(distinct keeper) as duplicate_events, count(*) as duplicate_links, any_value(ce) as cross_events, any_value(cl) as cross_links from x left join dup on true""")
+register(
+    "c13_baseline", lambda spark, d: coverage.baseline_differences(_both(spark, d).groupBy(F.col("source").alias("metric")).agg(F.count("*").alias("actual")), history.table(spark, d, "events").groupBy(F.when(F.col("event_id") % 3 == 0, "interval").when(F.col("event_id") % 3 == 1, "instant").otherwise("pages").alias("metric")).agg(F.count("*").alias("expected"))),
+    f"{_BOTH}, a as (select source as metric, count(*) as actual from u group by 1), e as (select case event_id % 3 when 0 then 'interval' when 1 then 'instant' else 'pages' end as metric, count(*) as expected from events group by 1) select coalesce(a.metric, e.metric) as metric, actual, expected from a full join e on a.metric = e.metric where actual is distinct from expected",
+)
+
+
+def _artist_envelopes(spark, d) -> DataFrame:
+    """An envelope per artist, some with wrong numbers."""
+    k = F.col("artist_id")
+    e = history.canonical_base(spark, d).groupBy("artist_id").agg(F.count("*").alias("event_count"), F.count("listened_ms").alias("available"), F.count_if(F.col("event_status") == "unresolved").alias("unresolved"), F.min("instant_ms").alias("start_ms"), (F.max("instant_ms") + 1).alias("end_ms"))
+    return e.select(
+        k.alias("analysis"), "event_count", (F.col("event_count") + (k % 7 == 0).cast("long")).alias("coverage_total"), (F.col("available") + F.when(k % 11 == 0, 1000).otherwise(0)).alias("available"), "unresolved",
+        F.when(k % 13 == 0, 2.0).otherwise(F.col("unresolved") / F.col("event_count")).alias("unresolved_rate"), F.when(k % 17 != 0, F.col("start_ms")).alias("start_ms"), "end_ms", (F.col("end_ms") - (k % 19 == 0).cast("long")).alias("as_of_ms"),
+    )
+
+
+register("x2_envelope_faults", lambda spark, d: envelope.envelope_faults(_artist_envelopes(spark, d)), """with k as (select distinct o_custkey as k from orders) select k as analysis, unnest(list_filter([case when k % 7 = 0 then 'coverage' end, case when k % 11 = 0 then 'available' end, case when k % 13 = 0 then 'rate' end,
+case when k % 17 = 0 then 'range' end, case when k % 19 = 0 then 'as_of' end], lambda x: x is not null)) as fault from k""")
+
+
+def _cross_counts(spark, d) -> DataFrame:
+    base = history.canonical_base(spark, d)
+    return envelope.count_differences(
+        base.agg(F.count("*").alias("event_count")), volume=QUERIES["n1_volume_month"](spark, d).agg(F.sum("value").alias("event_count")), eras=_windows(spark, d).agg(F.sum("plays").alias("event_count")),
+        resolved_volume=volume.listening_volume(base, "month", include_unresolved=False, tz=TZ).agg(F.sum("value").alias("event_count")),
+    )
+
+
+register("x6_cross_counts", _cross_counts, f"{_BASE}, c as (select count(*) as n, count(case when event_status = 'current' then 1 end) as r from base) select a as analysis, case when a = 'resolved_volume' then r else n end as event_count, n as coverage_count, a <> 'resolved_volume' or r = n as agrees from c, (select unnest(['volume', 'eras', 'resolved_volume']) as a)")
+
+
+def _timed(spark, d) -> DataFrame:
+    return history.canonical_base(spark, d).withColumn("at", F.timestamp_millis("instant_ms"))
+
+
+register("u1_daily_volume", lambda spark, d: streams.daily_volume(_timed(spark, d), "at").select(F.unix_millis("day").alias("day_ms"), "play_count"), f"{_BASE} select instant_ms // 86400000 * 86400000 as day_ms, count(*) as play_count from base group by 1")
+register("u2_active_periods", lambda spark, d: streams.active_periods(_timed(spark, d), "at", "artist_id", "90 days").select("artist_id", F.unix_millis("start").alias("start_ms"), "play_count"), f"""{_BASE}, s as (select *, case when instant_ms - lag(instant_ms) over (partition by artist_id order by instant_ms) > 7776000000 then 1 else 0 end as cut from base),
+p as (select *, sum(cut) over (partition by artist_id order by instant_ms) as p from s) select artist_id, min(instant_ms) as start_ms, count(*) as play_count from p group by artist_id, p""")

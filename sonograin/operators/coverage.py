@@ -93,9 +93,26 @@ def ordinal_gaps(records: DataFrame, file: str, ordinal: str) -> DataFrame:
 
 def page_faults(pages: DataFrame) -> DataFrame:
     """Pages (scope, page, per_page, total, total_pages, rows, now_playing) that contradict their own or the scope's metadata."""
-    w = Window.partitionBy("scope")
-    repeated = F.count("*").over(Window.partitionBy("scope", "page"))
-    p = pages.withColumn("steady", (F.min("total").over(w) == F.max("total").over(w)) & (F.min("per_page").over(w) == F.max("per_page").over(w))).withColumn("repeated", repeated > 1)
+    # aggregates joined back, not windows: a scope may hold most pages
+    same = pages.groupBy(F.col("scope").alias("_scope")).agg(((F.min("total") == F.max("total")) & (F.min("per_page") == F.max("per_page"))).alias("steady"))
+    again = pages.groupBy(F.col("scope").alias("_s"), F.col("page").alias("_p")).agg((F.count("*") > 1).alias("repeated"))
+    p = pages.join(same, F.col("scope").eqNullSafe(F.col("_scope"))).join(again, F.col("scope").eqNullSafe(F.col("_s")) & F.col("page").eqNullSafe(F.col("_p"))).drop("_scope", "_s", "_p")
     due = F.when(F.col("page") < F.col("total_pages"), F.col("per_page")).otherwise(F.col("total") - (F.col("total_pages") - 1) * F.col("per_page"))
     ok = (F.col("total_pages") == F.ceil(F.col("total") / F.col("per_page"))) & F.col("steady") & ~F.col("repeated") & (F.col("rows") == due) & (F.col("now_playing") <= 1)
     return outside(p, ok).drop("steady", "repeated")
+
+
+def outcome_totals(records: DataFrame) -> DataFrame:
+    """source, accepted, duplicates (of accepted), excluded, rejected, total of records (source, kind, is_keeper), and a row for all with source null."""
+    is_ = lambda k: F.col("kind") == k
+    return records.rollup("source").agg(
+        F.count_if(is_("accepted")).alias("accepted"), F.count_if(is_("accepted") & ~F.col("is_keeper")).alias("duplicates"),
+        F.count_if(is_("excluded")).alias("excluded"), F.count_if(is_("rejected")).alias("rejected"), F.count("*").alias("total"),
+    )
+
+
+def merge_counts(events: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """One row: duplicate_events and duplicate_links of exact duplicates (record_id, keeper), cross_events and cross_links of merged events."""
+    d = duplicates.agg(F.countDistinct("keeper").alias("duplicate_events"), F.count("*").alias("duplicate_links"))
+    x = events.where("status = 'cross_source_reconciled'").agg(F.countDistinct("event_id").alias("cross_events"), F.count("scrobble_id").alias("cross_links"))
+    return d.crossJoin(x)  # one row each

@@ -40,3 +40,10 @@ def append_plan(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     g = g.alias("g").join(there.alias("t"), F.expr(" and ".join(f"g.{k} <=> t.{k}" for k in [*keys, "recording_mbid"]))).select("g.*", "_there")
     outcome = F.when(F.col("_there") & F.col("exact"), "existing").when(F.col("_there") & (F.col("agree") == 1), "matched").otherwise("inserted")
     return g.select(*keys, "recording_mbid", outcome.alias("outcome"))
+
+
+def append_summary(outcomes: DataFrame, fetched: DataFrame) -> DataFrame:
+    """scope, fetched, ignored (repeated within the fetch), existing, matched, inserted; one row per scope that fetched anything."""
+    n = fetched.groupBy("scope").agg(F.count("*").alias("fetched"))
+    o = outcomes.groupBy("scope").agg(F.count("*").alias("_own"), *(F.count_if(F.col("outcome") == k).alias(k) for k in ("existing", "matched", "inserted")))
+    return n.join(o, "scope", "left").fillna(0).select("scope", "fetched", (F.col("fetched") - F.col("_own")).alias("ignored"), "existing", "matched", "inserted")

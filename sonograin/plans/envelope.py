@@ -30,6 +30,29 @@ def envelope(events: DataFrame, analysis: str, parameters: dict[str, str], tz: s
     )
 
 
+def envelope_faults(envelopes: DataFrame) -> DataFrame:
+    """analysis, fault for envelopes (analysis, event_count, coverage_total, available, unresolved, unresolved_rate, start_ms, end_ms, as_of_ms).
+
+    coverage: its total is not the event count; available: more than there are; rate: not unresolved / event_count (0 without
+    events); range: a null range with events, or one without; order: the end before the start; as_of: before the end.
+    """
+    n = F.col("event_count")
+    rate = F.when(n == 0, 0.0).otherwise(F.try_divide("unresolved", n))
+    ranged = F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()
+    faults = {
+        "coverage": ~F.col("coverage_total").eqNullSafe(n), "available": F.col("available") > n, "rate": ~rate.eqNullSafe(F.col("unresolved_rate")),
+        "range": ranged != (n > 0), "order": F.col("end_ms") < F.col("start_ms"), "as_of": F.col("as_of_ms") < F.col("end_ms"),
+    }
+    return envelopes.select("analysis", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(f)) for f, c in faults.items())))).alias("fault"))
+
+
+def count_differences(coverage_count: DataFrame, **counts: DataFrame) -> DataFrame:
+    """analysis, event_count, coverage_count, agrees: each analysis' own one-row event_count against the canonical one."""
+    rows = reduce(DataFrame.unionByName, (c.select(F.lit(a).alias("analysis"), "event_count") for a, c in counts.items()))
+    one = coverage_count.select(F.col("event_count").alias("coverage_count"))
+    return rows.crossJoin(F.broadcast(one)).withColumn("agrees", F.col("event_count").eqNullSafe(F.col("coverage_count")))  # one row
+
+
 def publish(datasets: dict[str, DataFrame], state: DataFrame, path: str) -> DataFrame:
     """Write each dataset to path/name and return the manifest: dataset, n, digest, state_digest; the manifest is written last."""
     spark = state.sparkSession
