@@ -4,11 +4,13 @@ Lines with a word get a position within their document and an ID by text.  Prefi
 first 1, 2, 4, ... lines: the rank at 2h is that at h plus the number of suffixes of the same rank whose rank h lines later
 is smaller.  Suffixes with a rank of their own are settled and leave; most do at once, and the rest shrinks every round.
 
-A run of lines counts when it has ``min_words`` words.  For a suffix that takes l lines, its run; two suffixes have a
+A run of lines counts when it has ``min_words`` words.  Looked at are the shortest such run that starts at each line and the
+shortest that ends at each line, two a line at most; two suffixes have a
 longest common prefix of at least l lines exactly if they agree in the ranks of 2^t lines at their start and at l - 2^t,
 with 2^t the greatest power up to l.  These classes are the suffix array's intervals of common prefixes of l lines; in each the earliest
 suffix in document order keeps its run, all later runs are deleted.  Neighbouring and overlapping runs merge into the
-maximal ones that are reported.  A longer run than l lines is the union of such runs, so nothing longer is missed.
+maximal ones that are reported.  Any longer run is the union of the shortest run from its first line and the shortest runs to
+those of its lines that reach ``min_words`` words inside it, so no maximal repeat loses a line.
 """
 
 from __future__ import annotations
@@ -22,13 +24,17 @@ MIN_WORDS = 20
 
 
 def _numbered(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, dk, pos, line, h1, h2, l: the lines with a word; l: lines of the shortest run from here with min_words words, null at the end."""
+    """doc_id, dk, pos, line, h1, h2, l, m: the lines with a word; l: lines of the shortest run from here with min_words words, null at the end.
+
+    Runs of l + 1 to m lines from here are the shortest ones with min_words words to their last lines.
+    """
     gap = BLANK_GAP.replace("\\", "\\\\")
     full = f"filter(transform(split(coalesce(text, ''), '\\n'), (x, i) -> named_struct('p', i, 'c', size(array_remove(split(x, '{gap}'), '')), 'x', x)), s -> s.c > 0)"
-    reach = f"aggregate(slice(f, i + 1, {min_words}), named_struct('s', 0, 'l', 0), (a, y) -> if(a.s >= {min_words}, a, named_struct('s', a.s + y.c, 'l', a.l + 1)), a -> if(a.s >= {min_words}, a.l, null))"
-    each = f"transform(f, (s, i) -> named_struct('pos', i, 'line', s.p, 'h1', xxhash64(s.x), 'h2', xxhash64(1, s.x), 'l', {reach}))"
+    # n: lines that without the first of them have too few words
+    reach = f"aggregate(slice(f, i + 1, {min_words}), named_struct('s', 0, 'l', 0, 'n', 0), (a, y) -> named_struct('s', a.s + y.c, 'l', a.l + if(a.s >= {min_words}, 0, 1), 'n', a.n + if(a.s + y.c - s.c < {min_words}, 1, 0)), a -> if(a.s >= {min_words}, named_struct('l', a.l, 'm', greatest(a.l, a.n)), null))"
+    each = f"transform(f, (s, i) -> named_struct('pos', i, 'line', s.p, 'h1', xxhash64(s.x), 'h2', xxhash64(1, s.x), 'lm', {reach}))"
     # f is bound by a lambda over a one-element array, so that the lines are split once and not for every use
-    return docs.select("doc_id", F.xxhash64("text").alias("dk"), F.expr(f"inline(flatten(transform(array({full}), f -> {each})))"))
+    return docs.select("doc_id", F.xxhash64("text").alias("dk"), F.expr(f"inline(flatten(transform(array({full}), f -> {each})))")).select("doc_id", "dk", "pos", "line", "h1", "h2", "lm.l", "lm.m")
 
 
 def _first_ranks(lines: DataFrame) -> DataFrame:
@@ -38,12 +44,12 @@ def _first_ranks(lines: DataFrame) -> DataFrame:
     parts = cells.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = cells.withColumn("inside", inside).where("n > 1").join(F.broadcast(parts), "part").select("h1", "h2", (F.col("before") + F.col("inside")).alias("r"))  # parts: 4096 rows
-    return lines.join(ranks, ["h1", "h2"]).select("doc_id", "dk", "pos", "l", "r")
+    return lines.join(ranks, ["h1", "h2"]).select("doc_id", "dk", "pos", "l", "m", "r")
 
 
-def _shifted(rows: DataFrame, by, name: str) -> DataFrame:
-    """rows joined with the rank of the suffix ``by`` lines later in the same document."""
-    later = rows.select(F.col("doc_id").alias("_d"), F.col("dk").alias("_k"), F.col("pos").alias("_p"), F.col("r").alias(name))
+def _shifted(rows: DataFrame, by, name: str, ranked: DataFrame) -> DataFrame:
+    """rows joined with the rank, in ranked, of the suffix ``by`` lines later in the same document."""
+    later = ranked.select(F.col("doc_id").alias("_d"), F.col("dk").alias("_k"), F.col("pos").alias("_p"), F.col("r").alias(name))
     return rows.join(later, rows["doc_id"].eqNullSafe(later["_d"]) & (rows["dk"] == later["_k"]) & (rows["pos"] + by == later["_p"])).drop("_d", "_k", "_p")
 
 
@@ -59,19 +65,20 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # a row that repeats doc_id and text is the same document again
     ranked, h, found = cut(_first_ranks(cut(_numbered(docs, min_words))).dropDuplicates(["doc_id", "dk", "pos"])), 1, None
     while True:
-        mine = ranked.where(F.col("l").between(h, 2 * h - 1))
+        low, high = F.greatest(F.col("l"), F.lit(h)), F.least(F.col("m"), F.lit(2 * h - 1))
+        mine = ranked.where(F.col("l").isNotNull() & (low <= high)).select("doc_id", "dk", "pos", F.explode(F.sequence(low, high)).alias("l"), "r")
         whole = mine.where(F.col("l") == h).withColumn("r2", F.col("r"))
-        runs = whole if h == 1 else whole.unionByName(_shifted(ranked, F.col("l") - h, "r2").where(F.col("l").between(h + 1, 2 * h - 1)))
+        runs = whole if h == 1 else whole.unionByName(_shifted(mine.where(F.col("l") > h), F.col("l") - h, "r2", ranked))
         copies = _later_copies(runs)
         found = copies if found is None else found.unionByName(copies)
         if 2 * h > min_words or not ranked.take(1):
             return found
-        pairs = _shifted(ranked, F.lit(h), "r2")
+        pairs = _shifted(ranked, F.lit(h), "r2", ranked)
         pairs = cut(pairs)
         cells = pairs.groupBy("r", "r2").agg(F.count("*").alias("n"))
         smaller = F.coalesce(F.sum("n").over(Window.partitionBy("r").orderBy("r2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         cells = cells.withColumn("smaller", smaller).where("n > 1").select("r", "r2", (F.col("r") + F.col("smaller")).alias("next"))
-        ranked = cut(pairs.join(cells, ["r", "r2"]).select("doc_id", "dk", "pos", "l", F.col("next").alias("r")))
+        ranked = cut(pairs.join(cells, ["r", "r2"]).select("doc_id", "dk", "pos", "l", "m", F.col("next").alias("r")))
         h *= 2
 
 
