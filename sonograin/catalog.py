@@ -9,6 +9,7 @@ from .functions.calendar import GRAINS
 from .functions.text import match_text
 from .operators import coverage, decisions, eras, evidence, identity, integrity, reconcile, returns, sync, volume
 from .plans import envelope
+from .plans.storage import stored
 from .sources import history
 from .streaming import plays as streams
 
@@ -189,7 +190,8 @@ def _pairs(spark, d):
 
 
 def _scored(spark, d):
-    return reconcile.scored(_pairs(spark, d))
+    pairs = stored(_pairs(spark, d))
+    return reconcile.scored(pairs, reconcile.nearest_independent(pairs))
 
 
 register("r1_candidate_pairs", lambda spark, d: _pairs(spark, d).select("play_id", "scrobble_id", "start_ms", "instant_ms"), f"{_EVIDENCE}, {_PAIRS} select play_id, scrobble_id, start_ms, instant_ms from pr")
