@@ -186,7 +186,9 @@ dc as (select *, case when competing_score <> 1 then 'review' when confidence >=
 
 
 def _pairs(spark, d):
-    return reconcile.candidate_pairs(history.interval_plays(spark, d), history.instant_scrobbles(spark, d))
+    plays = reconcile.keepers(history.interval_plays(spark, d), "stopped_at_ms", "ms_played", "artist", "track").where("is_keeper")
+    scrobbles = reconcile.keepers(history.instant_scrobbles(spark, d), "instant_ms", "artist", "track", "recording_mbid").where("is_keeper")
+    return reconcile.candidate_pairs(plays, scrobbles)
 
 
 def _scored(spark, d):

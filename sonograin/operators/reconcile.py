@@ -82,12 +82,13 @@ def scored(pairs: DataFrame, near: DataFrame | None = None) -> DataFrame:
 
 
 def canonical_events(plays: DataFrame, scrobbles: DataFrame, decided: DataFrame) -> DataFrame:
-    """One event per listen: plays without duplicates, scrobbles that no accepted pair merged, and merged ones with both records."""
+    """One event per listen: plays without duplicates, scrobbles without duplicates that no accepted pair merged, and merged ones with both records."""
     merged = decided.where("decision = 'accept'").select("play_id", "scrobble_id", "confidence")
     p = keepers(plays, "stopped_at_ms", "ms_played", "artist", "track").where("is_keeper")
     p = p.join(merged, p["record_id"] == merged["play_id"], "left")
     a = p.select(F.col("record_id").alias("event_id"), (F.col("stopped_at_ms") - F.col("ms_played")).alias("started_ms"), F.col("stopped_at_ms").alias("ended_ms"), F.lit("derived_start").alias("time_basis"), F.when(F.col("scrobble_id").isNotNull(), "cross_source_reconciled").otherwise("single_source").alias("status"), "scrobble_id")
-    s = scrobbles.join(merged, scrobbles["record_id"] == merged["scrobble_id"], "left_anti")
+    s = keepers(scrobbles, "instant_ms", "artist", "track", "recording_mbid").where("is_keeper")
+    s = s.join(merged, s["record_id"] == merged["scrobble_id"], "left_anti")
     b = s.select(F.col("record_id").alias("event_id"), F.col("instant_ms").alias("started_ms"), F.lit(None).cast("long").alias("ended_ms"), F.lit("observed_start").alias("time_basis"), F.lit("single_source").alias("status"), F.lit(None).cast("long").alias("scrobble_id"))
     return a.unionByName(b)
 

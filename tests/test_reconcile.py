@@ -1,4 +1,5 @@
 from sonograin import catalog
+from sonograin.sources import history
 
 SF = "/root/testdata/sf0.001"
 
@@ -9,3 +10,19 @@ def test_decisions_use_the_ordering_score(spark):
     assert len(got) == len(ordering) > 0 and any(r.ordering_score is not None for r in ordering.values())
     for r in got:
         assert (r.confidence, r.decision) == (ordering[r.play_id, r.scrobble_id].confidence, ordering[r.play_id, r.scrobble_id].decision)
+
+
+def test_exact_duplicates_make_no_pairs_and_plays_with_copies_merge(spark, monkeypatch):
+    minute = 60_000
+    kind = "record_id long, stopped_at_ms long, ms_played long, artist string, track string, skipped boolean"
+    plays = [(2 * i, i * 10 * minute + minute, minute, "A", "t", False) for i in range(1, 6)]
+    plays += [(1_000_000 + i, *plays[0][1:]) for i in range(3)]
+    scrobbles = [(2 * i + 1, i * 10 * minute, "A", "t", None) for i in range(1, 6)]
+    scrobbles.append((2001, *scrobbles[1][1:]))
+    monkeypatch.setattr(history, "interval_plays", lambda spark, d: spark.createDataFrame(plays, kind))
+    monkeypatch.setattr(history, "instant_scrobbles", lambda spark, d: spark.createDataFrame(scrobbles, "record_id long, instant_ms long, artist string, track string, recording_mbid string"))
+    pairs = {(r.play_id, r.scrobble_id) for r in catalog.QUERIES["r1_candidate_pairs"](spark, SF).collect()}
+    assert pairs == {(2 * i, 2 * i + 1) for i in range(1, 6)}
+    merged = {r.event_id: r.scrobble_id for r in catalog.QUERIES["r10_canonical_events"](spark, SF).collect() if r.status == "cross_source_reconciled"}
+    assert merged == {2 * i: 2 * i + 1 for i in range(1, 6)}
+    assert catalog.QUERIES["r10_canonical_events"](spark, SF).count() == 5
