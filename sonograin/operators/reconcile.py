@@ -33,20 +33,69 @@ def candidate_pairs(plays: DataFrame, scrobbles: DataFrame, window_ms: int = WIN
     return p.join(s, ["artist_key", "track_key", "block"]).where(F.abs(F.col("instant_ms") - F.col("start_ms")) <= window_ms).drop("block")
 
 
-def nearest_independent(pairs: DataFrame) -> DataFrame:
+def _sides(rows: DataFrame, *by: str) -> DataFrame:
+    """rows (start_ms, only) with l1, l2, r1, r2 within ``by``: structs of the next row on each side, and of the next one beyond it whose ``only`` differs from its own.
+
+    A null ``only`` differs from all, so nothing beyond it is ever needed.
+    """
+    out = rows
+    for name, order in (("l", F.col("start_ms")), ("r", F.col("start_ms").desc())):
+        w = Window.partitionBy(*by).orderBy(order)
+        out = out.withColumn("_row", F.struct("start_ms", "only")).withColumn(f"{name}1", F.lag("_row").over(w))
+        turn = F.col(f"{name}1").isNotNull() & (F.col("only").isNull() | F.col(f"{name}1.only").isNull() | (F.col("only") != F.col(f"{name}1.only")))
+        out = out.withColumn("_before", F.last(F.when(turn, F.col(f"{name}1")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        out = out.withColumn(f"{name}2", F.lag("_before").over(w)).drop("_row", "_before")
+    return out
+
+
+def nearest_independent(pairs: DataFrame, blocks: int = 1024) -> DataFrame:
     """play_id, scrobble_id, near_start, near_instant of the nearest pair by start that shares neither side; the smaller ids win ties.
 
-    At most deg_a + deg_b - 2 pairs share a side, so among the pairs of the same names, in start order, the nearest one
-    on either side is within that many places; they are looked at in blocks of time with a neighbour on each side.
+    A play with one scrobble is of no use to the other pairs of that scrobble; any other play is of use to all pairs but its
+    own.  So each play has a key, its only scrobble or else itself, and a pair (a, b) looks for the nearest play with a key
+    other than b and that of a.  Of the plays of one start three with different keys are enough.  On either side of a start
+    the next one is enough, or, where that has the key b alone, the next one with another key.  Starts are looked at in
+    blocks of time; each block gets the two such starts of the nearest blocks before and after it that have any, however
+    far off.  Ties are fetched by an equi-join on the start.
     """
-    block = 60 * 60 * 1000
-    p = pairs.select("play_id", "scrobble_id", "start_ms", "instant_ms")
-    own = p.withColumn("block", F.floor(F.col("start_ms") / block))
-    dealt = own.select("*", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("at"))
-    o = dealt.select("at", *(F.col(c).alias(f"o_{c}") for c in p.columns))
-    met = own.join(o, own["block"] == o["at"]).where("play_id != o_play_id and scrobble_id != o_scrobble_id")
-    best = F.min(F.struct(F.abs(F.col("o_start_ms") - F.col("start_ms")).alias("d"), "o_play_id", "o_scrobble_id", F.col("o_start_ms").alias("near_start"), F.col("o_instant_ms").alias("near_instant")))
-    return met.groupBy("play_id", "scrobble_id").agg(best.alias("b")).select("play_id", "scrobble_id", "b.near_start", "b.near_instant")
+    p = stored(pairs.select("play_id", "scrobble_id", "start_ms", "instant_ms").withColumn("n", F.count("*").over(Window.partitionBy("play_id"))))
+    key = F.struct((F.col("n") > 1).alias("many"), F.when(F.col("n") > 1, F.col("play_id")).otherwise(F.col("scrobble_id")).alias("id"))
+    p = p.withColumn("key", key)
+    plays = p.groupBy("start_ms", "key", "play_id").agg(F.min(F.struct("scrobble_id", "instant_ms")).alias("s1"))
+    # the second scrobble of a play, for pairs that have its first
+    other = p.join(plays.select("play_id", F.col("s1.scrobble_id").alias("_s")), "play_id").where("scrobble_id != _s").groupBy("play_id").agg(F.min(F.struct("scrobble_id", "instant_ms")).alias("s2"))
+    firsts = plays.groupBy("start_ms", "key").agg(F.min("play_id").alias("play_id"), F.min_by("s1", "play_id").alias("s1")).join(other, "play_id", "left")
+    best = F.row_number().over(Window.partitionBy("start_ms").orderBy("play_id"))
+    firsts = firsts.withColumn("nth", best).where("nth <= 3").groupBy("start_ms").agg(F.array_sort(F.collect_list(F.struct("play_id", "key", "s1", "s2"))).alias("best"))
+    firsts = stored(firsts)
+
+    ends = firsts.agg(F.min("start_ms").alias("lo"), F.max("start_ms").alias("hi"))
+    at = F.floor((F.col("start_ms") - F.col("lo")).cast("double") * blocks / (F.col("hi") - F.col("lo") + 1))
+    starts = firsts.crossJoin(F.broadcast(ends)).select("start_ms", F.when((F.size("best") == 1) & ~F.col("best")[0]["key"]["many"], F.col("best")[0]["key"]["id"]).alias("only"), at.alias("block"))
+    row = F.struct("start_ms", "only")
+    edges = starts.groupBy("block").agg(F.min(row).alias("f"), F.max(row).alias("l"))
+    unlike = lambda e: F.col(f"{e}.only").isNull() | F.col("only").isNull() | (F.col("only") != F.col(f"{e}.only"))
+    inner = starts.join(edges, "block").groupBy("block", "f", "l").agg(F.min(F.when(unlike("f"), row)).alias("f2"), F.max(F.when(unlike("l"), row)).alias("l2"))
+    few = inner.select("block", F.explode(F.array_distinct(F.array("f", "f2", "l", "l2"))).alias("e")).where("e is not null").select("block", "e.*")
+    few = _sides(few)  # four rows a block at most
+    halo = few.groupBy("block").agg(F.min_by(F.array("l1", "l2"), "start_ms").alias("before"), F.max_by(F.array("r1", "r2"), "start_ms").alias("after"))
+    halo = halo.select("block", F.explode(F.concat("before", "after")).alias("e")).where("e is not null").distinct().select("e.*", "block", F.lit(False).alias("own"))
+    sides = _sides(starts.withColumn("own", F.lit(True)).unionByName(halo), "block").where("own").drop("own", "block", "only")
+
+    q = p.select("play_id", "scrobble_id", "start_ms", "key").join(firsts, "start_ms").join(sides, "start_ms")
+    b = F.struct(F.lit(False).alias("many"), F.col("scrobble_id").alias("id"))
+    here = F.exists("best", lambda x: (x["key"] != b) & (x["key"] != F.col("key")))
+    side = lambda e: F.when(F.col(f"{e}1").isNull() | F.col(f"{e}1.only").isNull() | (F.col(f"{e}1.only") != F.col("scrobble_id")), F.col(f"{e}1.start_ms")).otherwise(F.col(f"{e}2.start_ms"))
+    q = q.select("play_id", "scrobble_id", "key", "start_ms", here.alias("here"), side("l").alias("left"), side("r").alias("right"))
+    d = F.least(F.col("start_ms") - F.col("left"), F.col("right") - F.col("start_ms"))  # least passes over nulls
+    targets = F.when(F.col("here"), F.array("start_ms")).otherwise(F.array_compact(F.array(F.when(F.col("start_ms") - F.col("left") == d, F.col("left")), F.when(F.col("right") - F.col("start_ms") == d, F.col("right")))))
+    q = q.select("play_id", "scrobble_id", "key", F.explode(targets).alias("near_start"))
+    met = q.join(firsts.withColumnRenamed("start_ms", "near_start"), "near_start")
+    free = F.filter("best", lambda x: (x["key"] != b) & (x["key"] != F.col("key")))[0]
+    met = met.withColumn("x", free).where("x is not null")
+    mate = F.when(F.col("x.s1.scrobble_id") == F.col("scrobble_id"), F.col("x.s2")).otherwise(F.col("x.s1"))
+    near = F.min(F.struct(F.col("x.play_id").alias("o_play_id"), mate.alias("mate"), "near_start")).alias("b")
+    return met.groupBy("play_id", "scrobble_id").agg(near).select("play_id", "scrobble_id", "b.near_start", F.col("b.mate.instant_ms").alias("near_instant"))
 
 
 def scored(pairs: DataFrame, near: DataFrame | None = None) -> DataFrame:

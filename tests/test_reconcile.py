@@ -1,4 +1,7 @@
+import random
+
 from sonograin import catalog
+from sonograin.operators import reconcile
 from sonograin.sources import history
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +29,24 @@ def test_exact_duplicates_make_no_pairs_and_plays_with_copies_merge(spark, monke
     merged = {r.event_id: r.scrobble_id for r in catalog.QUERIES["r10_canonical_events"](spark, SF).collect() if r.status == "cross_source_reconciled"}
     assert merged == {2 * i: 2 * i + 1 for i in range(1, 6)}
     assert catalog.QUERIES["r10_canonical_events"](spark, SF).count() == 5
+
+
+def test_the_nearest_independent_pair_has_no_limit(spark):
+    r, kind = random.Random(8), "play_id long, scrobble_id long, start_ms long, instant_ms long"
+    rows, hour = {}, 3_600_000
+    starts = [r.choice([r.randrange(6) * 1000, r.randrange(40) * hour, r.randrange(4) * 5000 * hour + r.randrange(3) * 1000]) for _ in range(70)]
+    for a, start in enumerate(starts):
+        for b in {r.randrange(60) // r.choice([1, 8]) for _ in range(r.choice([1, 1, 2, 3]))}:
+            rows[a, 1000 + b] = (start, 7 * b)
+    # one scrobble for plays next to each other, and one pair far from all
+    rows |= {(200 + i, 2000): (90_000 * hour + i, 5) for i in range(6)} | {(300, 3000): (200_000 * hour, 9)}
+    pairs = [(a, b, *t) for (a, b), t in rows.items()]
+    want = {}
+    for a, b, s, _ in pairs:
+        free = [(abs(t - s), p, q, t, i) for p, q, t, i in pairs if p != a and q != b]
+        want[a, b] = min(free)[3:]
+    df = spark.createDataFrame(pairs, kind)
+    for blocks in (1024, 7):
+        got = {(x.play_id, x.scrobble_id): (x.near_start, x.near_instant) for x in reconcile.nearest_independent(df, blocks).collect()}
+        assert got == want
+    assert reconcile.nearest_independent(spark.createDataFrame(pairs[:1], kind)).count() == 0 == reconcile.nearest_independent(df.limit(0)).count()
