@@ -136,7 +136,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
-    """One row per row of docs: doc_id, text_hash, fp, fingerprint (16 hex digits), component_id.
+    """One row per row of docs: doc_id, text_hash, fp, fingerprint (16 hex digits), component_id, root (the component's least fp).
 
     Fingerprints at most ``bits`` bits apart are linked; component_id is the smallest doc_id reachable.  Null, empty and
     blank texts have fingerprint 0 and are linked like any other.  Repeated rows each get their row; null doc_ids never
@@ -147,14 +147,15 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFr
     roots = components(links(prints, bits, hot))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id")
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = rooted.join(named, "root").select("fp", "component_id", "root")
+    return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that stay, with their columns: of each component the one with the smallest doc_id, then text hash."""
     found = cut(near_duplicates(docs, **how))
-    first = found.groupBy("component_id", F.col("component_id").isNull().alias("_n"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp")).agg(
+    # by root: two components can have the same smallest doc_id, and those of null doc_ids have none
+    first = found.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("s")
     ).select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_h")).distinct()
     rows = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg(F.count("*").alias("_rows"))
