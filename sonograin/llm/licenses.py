@@ -65,6 +65,22 @@ def _places(haystack, needle):
         at = haystack.find(needle, at + 1)
 
 
+def _matches(pattern, text: str, lo: int, hi: int) -> list:
+    """Matches in text[lo:hi] that share no character, by place.
+
+    The best one is taken first, then those before and after it: finditer goes on after the best match and passes over all
+    worse ones before it.  A blank at the edge of a part may be the neighbour's, as the pattern only looks at it.
+    """
+    found, parts = [], [(lo, hi)]
+    while parts:
+        lo, hi = parts.pop()
+        m = pattern.search(text, lo, hi)
+        if m:
+            found.append(m)
+            parts += [(lo, min(hi, m.start())), (m.end(), hi)]
+    return sorted(found, key=lambda m: m.start())
+
+
 def fuzzy_places(joined: bytes, compiled: list[tuple]) -> list[tuple[str, int, int, int, int]]:
     """(label, start, end, edits, notice length) in characters of the joined words, which begin and end with a blank."""
     found, text = [], None
@@ -80,8 +96,7 @@ def fuzzy_places(joined: bytes, compiled: list[tuple]) -> list[tuple[str, int, i
             else:
                 windows.append([lo, hi])
         for lo, hi in windows:
-            for m in pattern.finditer(text, lo, hi):
-                found.append((label, m.start(), m.end(), sum(m.fuzzy_counts), len(notice)))
+            found += [(label, m.start(), m.end(), sum(m.fuzzy_counts), len(notice)) for m in _matches(pattern, text, lo, hi)]
     return found
 
 
