@@ -1,15 +1,17 @@
 """SimHash near-duplicates by an inverted index of positional bytes.
 
-Fingerprints that differ in at most 4 of 64 bits differ in at most 4 of their 8 bytes, so they share at least 4 positional
-bytes.  A posting list of one positional byte holds a 256th of the corpus, too much to pair; the index therefore lists
-triples of positional bytes, from a set of triples chosen such that any 4 of the 8 positions contain one of them.  Pairs
-meet in a posting list, their shared positional bytes are tallied, those with fewer than the guaranteed 4 go, and the
-rest are verified by counting differing bits.  A pair is reported by the first triple that it shares only.
-
-Equal fingerprints are one entry of the index.  A list with more than ``hot`` entries is not paired: two fingerprints
-differ in at most 4 bits exactly if some value differs in at most 2 bits from both, so each entry is listed under the
-values in its 2-bit neighbourhood (inside the free bits of the triple) and linked to the least entry there.  That costs
-a fixed number of rows per entry and keeps all components whole.
+Fingerprints that differ in at most ``bits`` <= 4 of 64 bits differ in at most so many of their 8 bytes, so they share at
+least 8 - bits positional bytes.  A posting list of one positional byte holds a 256th of the corpus, too much to pair; the
+index therefore lists triples of positional bytes, chosen such that any 4 of the 8 positions contain two of them.  Each
+meeting of a pair in a list tells of the positions that it shares; the tally of a pair is the number of different ones over
+all its meetings.  Pairs below the guaranteed tally go (nearly all chance meetings share 3 bytes only), the rest are
+verified by counting differing bits.
+
+Equal fingerprints are one entry of the index.  A list with more than ``hot`` entries is split by each further position, so
+that lists of four bytes keep short at 256 times the corpus.  What is still crowded is a dense cluster and is not paired:
+two fingerprints differ in at most 4 bits exactly if some value differs in at most 2 bits from both, so each entry of such
+a list is listed under the values around it and linked to the least entry there.  That costs a fixed number of rows per
+entry; links are true and components whole, whatever ``hot`` is.
 """
 
 from __future__ import annotations
@@ -22,23 +24,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import cut
+from .text import cut, spread_join
 
 SHINGLE, SEED, BITS = 4, 42, 4
 HOT = 512
 
 
 def _covering_triples() -> list[tuple[int, ...]]:
-    """Triples of byte positions such that each set of 4 positions contains one; greedy, always the same."""
-    need, found = set(combinations(range(8), 4)), []
-    while need:
-        best = max(combinations(range(8), 3), key=lambda t: (sum(set(t) <= set(q) for q in need), [-x for x in t]))
+    """Triples of byte positions such that each set of 4 positions contains two of them; greedy, always the same."""
+    need, found = {q: 2 for q in combinations(range(8), 4)}, []
+    while any(need.values()):
+        rest = [t for t in combinations(range(8), 3) if t not in found]
+        best = max(rest, key=lambda t: (sum(n > 0 for q, n in need.items() if set(t) <= set(q)), [-x for x in t]))
         found.append(best)
-        need = {q for q in need if not set(best) <= set(q)}
+        need = {q: max(0, n - (set(best) <= set(q))) for q, n in need.items()}
     return found
 
 
 TRIPLES = _covering_triples()
+QUADS = list(combinations(range(8), 4))
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -72,45 +76,60 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(_fingerprint_batches, f"doc_id {kind}, text_hash long, fp long")
 
 
-def _bytes_key(i: int, triple) -> str:
-    parts = " | ".join(f"(({f'shiftright(fp, {8 * b})' if b else 'fp'} & 255) << {8 * j})" for j, b in enumerate(triple))
-    return f"{i << 24}L | {parts}"
+def _positions(places) -> int:
+    return sum(1 << x for x in places)
+
+
+def _list_key(places) -> str:
+    """SQL: the bytes of fp at these positions, below the set of positions."""
+    parts = " | ".join(f"(({f'shiftright(fp, {8 * b})' if b else 'fp'} & 255L) << {8 * j})" for j, b in enumerate(places))
+    return f"{_positions(places) << 32}L | {parts}"
+
+
+def _calm_and_crowded(index: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """The entries (fp, key) of lists with up to ``hot`` entries, and the others, None if there are none."""
+    crowded = cut(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot))
+    if not crowded.take(1):
+        return index, None
+    marked = spread_join(index, crowded.select("key", F.lit(True).alias("crowded")), ["key"], crowded, ["fp"], "left")
+    return marked.where("crowded is null").select("fp", "key"), cut(marked.where("crowded").select("fp", "key"))
+
+
+def _meetings(index: DataFrame) -> DataFrame:
+    """a < b, shared: the positions of every list in which the two meet."""
+    a, b = index.select("key", F.col("fp").alias("a")), index.select("key", F.col("fp").alias("b"))
+    return a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b"))).select("a", "b", F.shiftright(a["key"], 32).alias("shared"))
 
 
 def links(prints: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
-    """Distinct (a, b), a < b, among the distinct fp of prints: all pairs at most ``bits`` <= 4 bits apart, but in hot lists only enough to keep components."""
-    if bits > 4:
+    """Distinct (a, b), a < b, among the distinct fp of prints: pairs at most ``bits`` apart; all of them but in crowded lists, where there are enough to keep components."""
+    if not 0 <= bits <= 4:
         raise ValueError("the index guarantees up to 4 bits")
-    keys = F.array(*(F.expr(_bytes_key(i, t)) for i, t in enumerate(TRIPLES)))
-    index = prints.select("fp").distinct().select("fp", F.explode(keys).alias("key"))
-    crowded = cut(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"))
-    busy = crowded.take(1)
-    calm = index.join(crowded, "key", "left_anti") if busy else index
-    a, b = calm.select("key", F.col("fp").alias("a")), calm.select("key", F.col("fp").alias("b"))
-    same = [f"if((shiftright(a ^ b, {8 * i}) & 255) = 0, 1, 0)" for i in range(8)]
-    first = "coalesce(" + ", ".join(f"if(((a ^ b) & {sum(255 << 8 * x for x in t) if 7 not in t else sum(255 << 8 * x for x in t) - (1 << 64)}L) = 0, {i}, null)" for i, t in enumerate(TRIPLES)) + ")"
-    tally = F.expr(f"({' + '.join(same)}) >= 4")
-    found = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & tally & (F.expr("bit_count(a ^ b)") <= bits) & (F.expr(first) == F.shiftright(a["key"], 24))).select("a", "b")
-    if not busy:
-        return found
-    # a pair may be counted in a calm list of a later triple, or meet in a crowded list alone
-    again = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & tally & (F.expr("bit_count(a ^ b)") <= bits)).select("a", "b")
-    return again.unionByName(_crowded_links(index.join(crowded, "key", "left_semi"), bits)).distinct()
-
-
-def _crowded_links(index: DataFrame, bits: int) -> DataFrame:
-    spark = index.sparkSession
-    masks = []
-    for i, t in enumerate(TRIPLES):
-        free = [x for x in range(64) if x // 8 not in t]
-        for size in range(bits // 2 + 1):
-            masks += [(i, v - (1 << 64) if v >> 63 else v) for v in (sum(1 << x for x in c) for c in combinations(free, size))]
-    masks = F.broadcast(spark.createDataFrame(masks, "triple int, mask long"))  # a fixed table of some 20,000 rows
-    if bits % 2:  # an odd distance has no midpoint: meet at bits // 2 from one side and one more from the other, then verify
-        raise ValueError("crowded lists are linked for even bits")
-    near = index.withColumn("triple", F.shiftright("key", 24).cast("int")).join(masks, "triple").select("key", "fp", F.expr("fp ^ mask").alias("point"))
-    least = near.groupBy("key", "point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return near.join(least, ["key", "point"]).where("a < fp").select("a", F.col("fp").alias("b")).distinct()
+    index = prints.select("fp").distinct().select("fp", F.explode(F.array(*(F.expr(_list_key(t)) for t in TRIPLES))).alias("key"))
+    calm, crowded = _calm_and_crowded(index, hot)
+    met, dense = _meetings(calm), None
+    if crowded is not None:
+        finer = F.array_compact(F.array(*(F.expr(f"if((shiftright(key, 32) & ~{_positions(q)}L) = 0, {_list_key(q)}, null)") for q in QUADS)))
+        calm, dense = _calm_and_crowded(crowded.select("fp", F.explode(finer).alias("key")).distinct(), hot)
+        met = met.unionByName(_meetings(calm))
+    tallied = met.groupBy("a", "b").agg(F.expr("bit_count(bit_or(shared))").alias("tally")).where(F.col("tally") >= 8 - bits)
+    found = tallied.where(F.expr("bit_count(a ^ b)") <= bits).select("a", "b")
+    return found if dense is None else found.unionByName(_dense_links(dense.select("fp").distinct(), bits)).distinct()
+
+
+def _dense_links(entries: DataFrame, bits: int) -> DataFrame:
+    """Links that keep the components of entries (fp).
+
+    Entries a and b are linked exactly if a value is at most bits // 2 bits from one and at most bits - bits // 2 from the
+    other.  All entries around a value are linked to the least of those at most bits // 2 from it, each link being a true one.
+    """
+    small, large = bits // 2, bits - bits // 2
+    masks = [(sum(1 << x for x in c), size <= small) for size in range(large + 1) for c in combinations(range(64), size)]
+    masks = entries.sparkSession.createDataFrame([(v - (1 << 64) if v >> 63 else v, near) for v, near in masks], "mask long, near boolean")
+    around = entries.crossJoin(F.broadcast(masks)).select("fp", "near", F.expr("fp ^ mask").alias("point"))  # a fixed table of 2081 rows at most
+    centre = around.groupBy("point").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("c"), F.count("*").alias("n")).where("n > 1 and c is not null")
+    met = spread_join(around.select("fp", "point"), centre.select("point", "c"), ["point"], centre.select("point", "n"), ["fp"])
+    return met.where("c != fp").select(F.least("c", "fp").alias("a"), F.greatest("c", "fp").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -127,10 +146,10 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
         seen = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        met = large.join(down, "b")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+        large = spread_join(both.where("b > a"), least.select("a", "m"), ["a"], least.select("a", "n"), ["b"]).select(F.col("m").alias("a"), "b").distinct()
+        down = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        met = spread_join(large, down.select("b", "m"), ["b"], down.select("b", "n"), ["a"])
         small = met.select(F.col("m").alias("a"), "b").unionByName(met.where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b")))
         e = cut(small.where("a < b").distinct())
 
@@ -140,15 +159,17 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFr
 
     Fingerprints at most ``bits`` bits apart are linked; component_id is the smallest doc_id reachable.  Null, empty and
     blank texts have fingerprint 0 and are linked like any other.  Repeated rows each get their row; null doc_ids never
-    name a component, and one of null doc_ids only has the id null.
+    name a component, and one of null doc_ids only has the id null.  An empty table gives no rows; texts of any length are
+    fingerprinted whole; other columns of docs are ignored.
     """
     prints = cut(fingerprints(docs))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    roots = components(links(prints, bits, hot))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id")
-    named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id", "root")
-    return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
+    roots = components(links(classes, bits, hot))
+    rooted = cut(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id"))
+    named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    placed = spread_join(rooted.select("fp", "root"), named.select("root", "component_id"), ["root"], named.select("root", "n"), ["fp"])
+    out = spread_join(prints, placed, ["fp"], classes.select("fp", "n"), ["doc_id", "text_hash"])
+    return out.select("doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

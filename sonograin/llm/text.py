@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,11 +32,17 @@ def blank_tokens(c: Column) -> Column:
     return pieces(c, BLANK_GAP)
 
 
+#: A key with more than a SHARE-th of all rows is heavy, so fewer than SHARE keys are; their rows are dealt to SALTS tasks.
+SHARE, SALTS = 1000, 64
+
+
 def shared_dir(spark) -> str:
-    """The folder that driver and executors share: the cluster's setting, or a local one where none is set (tests)."""
+    """The folder that driver and executors share: the cluster's setting; a local one only where all tasks run in this process."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if known is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(known)
@@ -47,3 +53,38 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute once, store in the shared folder and forget the lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def discard(spark, path: str) -> None:
+    """Remove a folder of the shared file system that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], counted: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with side on ``keys``, without a task that holds a heavy key.
+
+    counted has keys and n, how many of rows have each key; keys that it lacks count as light.  Heavy ones, fewer than SHARE,
+    are broadcast; their rows get a salt from a hash of ``by``, and their rows of side are repeated for each salt.
+    """
+    total = counted.agg(F.sum("n").alias("_total"))  # one row
+    heavy = counted.crossJoin(F.broadcast(total)).where(F.col("n") * SHARE > F.col("_total")).select(*keys, F.lit(SALTS).alias("_of"))
+    of = F.coalesce("_of", F.lit(1))
+    dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), of).cast("int")).drop("_of")
+    repeated = side.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), of - 1))).drop("_of")
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def running(rows: DataFrame, order: list, **sums: str) -> DataFrame:
+    """rows with, for each name in ``sums``, the sum of that SQL expression over all rows that come before in ``order``.
+
+    ``order`` must be total.  Rows are sorted over many tasks; only one total a task is added up in one place.
+    """
+    cast = [F.expr(e).alias(f"_{n}") for n, e in sums.items()]
+    placed = cut(rows.select("*", *cast).orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    upto = lambda *by: Window.partitionBy(*by)
+    totals = placed.groupBy("_part").agg(*(F.sum(f"_{n}").alias(f"_{n}") for n in sums))
+    before = totals.select("_part", *(F.coalesce(F.sum(f"_{n}").over(upto().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_b{n}") for n in sums))
+    inside = upto("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.select("*", *(F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0)).alias(f"_i{n}") for n in sums)).join(F.broadcast(before), "_part")  # a row a task
+    return out.select(*rows.columns, *((F.col(f"_i{n}") + F.col(f"_b{n}")).alias(n) for n in sums))
