@@ -2,8 +2,10 @@
 
 Every window of ``span`` consecutive item words holds ``span - k + 1`` k-grams; the one with the smallest hash is its
 fingerprint.  The rule depends on the words of the window alone, so any window that a document shares with an item
-carries the same fingerprint on both sides, and a join of fingerprints misses no shared window.  A joined pair is then
-extended word by word over all windows that hold the k-gram, and only equal windows count.
+carries the same fingerprint on both sides, and a join of fingerprints misses no shared window; of equal hashes the
+rightmost is taken.  A joined pair is then extended word by word over all windows that hold the k-gram, and only equal
+windows count.  Fingerprints whose surrounding words are equal are joined once: those of a document with the runs of places
+where they stand, those of items with the set of items, so that texts that repeat a word or a phrase don't multiply.
 
 Documents are winnowed lazily: a sieve of bounded size over the items' fingerprints first drops the k-grams that no item
 can have, and only the rest are held against the minimum of their windows.  The sieve loses nothing; it only spares work.
@@ -11,17 +13,17 @@ can have, and only the rest are held against the minimum of their windows.  The
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import alnum_words, cut
+from .text import alnum_words, cut, spread_join
 
 SPAN = 13
 GRAM = 5
 #: The sieve lists at most so many cells, whatever the benchmark's size.
 CELLS = 1 << 16
-#: Fingerprint rows hold at most 2 * SPAN words; beyond so many rows (some tens of MB) they are joined by a shuffle.
-BROADCAST_ROWS = 50_000
+#: The items' fingerprints with their words are broadcast up to so many bytes, and joined by a shuffle beyond.
+BROADCAST_BYTES = 64 << 20
 
 
 def _gram_hashes(words: str, k: int) -> Column:
@@ -31,13 +33,13 @@ def _gram_hashes(words: str, k: int) -> Column:
 
 
 def _is_minimum(i: str, span: int, k: int) -> str:
-    """SQL: position i has the least hash of one of the windows that hold it."""
+    """SQL: position i has the least hash, the rightmost of equal ones, of one of the windows that hold it."""
     w = span - k + 1
     if w == 1:
         return f"{i} <= size(words) - {k}"
     return (
         f"{i} <= size(words) - {k} and exists(sequence(greatest(0, {i} - {w - 1}), least({i}, size(words) - {span})), "
-        f"j -> array_min(slice(hashes, j + 1, {w})) >= hashes[{i}])"
+        f"j -> array_min(slice(hashes, j + 1, {w})) >= hashes[{i}] and coalesce(array_min(slice(hashes, {i} + 2, j + {w - 1} - {i})) > hashes[{i}], true))"
     )
 
 
@@ -68,20 +70,28 @@ def _sieve(prints: DataFrame, n: int) -> str:
     return f"(h & {(1 << bits) - 1}L) in ({', '.join(f'{r.c}L' for r in cells)})"
 
 
-def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = GRAM, per_mille: int = 50) -> DataFrame:
+def _runs(c: str) -> str:
+    """SQL: the runs of consecutive numbers in the sorted array c."""
+    first, last = f"filter({c}, (p, i) -> i = 0 or {c}[i - 1] < p - 1)", f"filter({c}, (p, i) -> i = size({c}) - 1 or {c}[i + 1] > p + 1)"
+    return f"zip_with({first}, {last}, (a, z) -> named_struct('a', a, 'z', z))"
+
+
+def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = GRAM, per_mille: int = 50, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, item_ids, items_sha256, contaminated, spans.
 
-    docs: doc_id, text; items: item_id, text; other columns are ignored.  A document is contaminated if at least
-    ``per_mille`` thousandths of its words are hit.  Null and empty texts have no words and are clean.  Rows that repeat
-    both doc_id and text are one document; two texts under one doc_id are two.  Repeated items count once by item_id; a
-    null item_id hits words but is not counted or listed.  Empty tables give no rows, or rows without hits.
+    docs: doc_id, text; items: item_id, text; other columns, of whatever names, are ignored.  A document is contaminated if
+    at least ``per_mille`` thousandths of its words are hit.  Null and empty texts have no words and are clean.  Rows that
+    repeat both doc_id and text are one document; two texts under one doc_id are two.  Repeated items count once by
+    item_id; a null item_id hits words but is not counted or listed.  Empty documents give no rows, empty items rows without
+    hits.  Texts of any length are taken whole; work and memory of one are in proportion to its words.
     """
-    prints = cut(item_fingerprints(items, span, k))
-    n = prints.count()
+    prints = item_fingerprints(items, span, k).groupBy("span", "h", "off", "ctx").agg(F.collect_set("item_id").alias("items"))
+    prints = cut(prints)
+    weight = F.octet_length(F.array_join("ctx", "")) + 24 * F.size("ctx") + F.octet_length(F.array_join(F.col("items").cast("array<string>"), "")) + 24 * F.size("items")
+    n, weight = prints.agg(F.count("*"), F.coalesce(F.sum(weight.cast("long")), F.lit(0))).first()
     shorter = sorted(r.span for r in prints.where(F.col("span") < span).select("span").distinct().collect())  # at most span - 1 numbers
-    base = docs.select("doc_id", F.xxhash64("text").alias("_t"), alnum_words(F.col("text")).alias("words"))
+    stage = docs.select("doc_id", F.xxhash64("text").alias("_t"), alnum_words(F.col("text")).alias("words"))
     found = []
-    stage = base
     if n:
         sieve = _sieve(prints, n)
         for s, g in [(span, k), *((x, x) for x in shorter)]:
@@ -91,26 +101,41 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
             sure = f"filter(maybe{s}, i -> size(words) >= {s} and {_is_minimum('i', s, g)})"
             found.append(f"transform({sure}, i -> {_fingerprint('i', s, g)})".replace("hashes[", f"{hashes}[").replace("slice(hashes,", f"slice({hashes},"))
     here = F.expr("concat(" + ", ".join(found) + ")") if found else F.expr("cast(array() as array<struct<span:int,h:bigint,at:int,off:int,ctx:array<string>>>)")
-    candidates = stage.select("doc_id", "_t", F.size("words").cast("long").alias("n_words"), here.alias("here"))
-    candidates = candidates.select("doc_id", "_t", "n_words", F.explode_outer("here").alias("c")).select("doc_id", "_t", "n_words", "c.*")
-    side = prints.select("item_id", "span", "h", F.col("off").alias("_off"), F.col("ctx").alias("_ctx"))
-    joined = candidates.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, ["span", "h"], "left")
-    starts = F.expr(
+    each = stage.select("doc_id", "_t", F.size("words").cast("long").alias("n_words"), here.alias("here"))
+    each = each.select("doc_id", "_t", "n_words", F.explode_outer("here").alias("c")).select("doc_id", "_t", "n_words", "c.*")
+    small = weight <= broadcast_bytes
+    if small:  # what passed the sieve by chance goes at once; a row without fingerprint stays for the document
+        heads = prints.select("span", "h").distinct().withColumn("_there", F.lit(True))
+        each = each.join(F.broadcast(heads), ["span", "h"], "left")
+        each = each.select("doc_id", "_t", "n_words", *(F.when(F.col("_there"), F.col(c)).alias(c) for c in ("span", "h", "at", "off", "ctx")))
+    each = each.groupBy("doc_id", "_t", "span", "h", "off", "ctx").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("at")).alias("ats"))
+    side = prints.select("span", "h", F.col("off").alias("_off"), F.col("ctx").alias("_ctx"), "items")
+    if small:
+        joined = each.join(F.broadcast(side), ["span", "h"], "left")
+    else:
+        each = cut(each)
+        printed, bare = each.where("h is not null"), each.where("h is null")
+        counted = printed.groupBy("span", "h").agg(F.count("*").alias("n"))
+        joined = spread_join(printed, side, ["span", "h"], counted, ["doc_id", "_t"], "left").unionByName(bare, allowMissingColumns=True)
+    starts = (
         "filter(sequence(0, greatest(0, size(_ctx) - span)), a -> a + off - _off >= 0 and a + off - _off + span <= size(ctx) "
         "and slice(ctx, a + off - _off + 1, span) = slice(_ctx, a + 1, span))"
     )
-    hits = joined.select("doc_id", "_t", "n_words", "item_id", "span", "at", (F.col("off") - F.col("_off")).alias("shift"), F.explode_outer(F.when(F.col("_ctx").isNotNull(), starts)).alias("a"))
-    hits = hits.select("doc_id", "_t", "n_words", F.when(F.col("a").isNotNull(), F.col("item_id")).alias("item_id"), (F.col("at") + F.col("a") + F.col("shift")).alias("from"), "span")
-    window = F.when(F.col("from").isNotNull(), F.struct("from", (F.col("from") + F.col("span")).alias("to")))
-    per_doc = hits.groupBy("doc_id", "_t").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"), F.array_sort(F.collect_set(window)).alias("w"))
-    merged = F.expr(
-        "aggregate(w, cast(array() as array<struct<from:int,to:int>>), (m, x) -> if(size(m) > 0 and element_at(m, -1).to >= x.from, "
-        "concat(slice(m, 1, size(m) - 1), array(named_struct('from', element_at(m, -1).from, 'to', greatest(element_at(m, -1).to, x.to)))), concat(m, array(x))))"
+    met = joined.select("doc_id", "_t", "n_words", "span", "items", (F.col("off") - F.col("_off")).alias("shift"), F.expr(_runs("ats")).alias("runs"), F.when(F.col("_ctx").isNotNull(), F.expr(starts)).alias("starts"))
+    windows = "flatten(transform(starts, x -> transform(runs, r -> named_struct('item', cast(null as string), 'from', r.a + x + shift, 'to', r.z + x + shift + span))))"
+    named = "transform(items, x -> named_struct('item', cast(x as string), 'from', cast(null as int), 'to', cast(null as int)))"
+    rows = met.select("doc_id", "_t", "n_words", F.explode_outer(F.expr(f"if(size(starts) > 0, concat({windows}, {named}), null)")).alias("w")).select("doc_id", "_t", "n_words", "w.*")
+    before = F.max("to").over(Window.partitionBy("doc_id", "_t").orderBy(F.col("from").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", before).withColumn("opens", F.col("from") > F.coalesce("before", F.lit(-1)))
+    out = rows.groupBy("doc_id", "_t").agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("item")).alias("item_ids"),
+        F.coalesce(F.sum(F.greatest(F.lit(0), F.col("to") - F.greatest("from", F.coalesce("before", F.lit(0))))), F.lit(0)).alias("n_hit"),
+        F.array_sort(F.collect_set(F.when(F.col("opens"), F.col("from")))).alias("opened"), F.array_sort(F.collect_set(F.when(F.col("opens"), F.col("before")))).alias("closed"), F.max("to").alias("last"),
     )
-    out = per_doc.withColumn("n_hit", F.expr("aggregate(w, named_struct('n', 0L, 'end', 0), (s, x) -> named_struct('n', s.n + greatest(0, x.to - greatest(s.end, x.from)), 'end', greatest(s.end, x.to))).n"))
+    spans = F.expr("if(last is null, array(), zip_with(opened, concat(closed, array(last)), (a, z) -> named_struct('from', a, 'to', z)))")
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * 1000 >= F.col("n_words") * per_mille)).alias("contaminated"), merged.alias("spans"), "_t",
+        ((F.col("n_hit") > 0) & (F.col("n_hit") * 1000 >= F.col("n_words") * per_mille)).alias("contaminated"), spans.alias("spans"), "_t",
     )
 
 

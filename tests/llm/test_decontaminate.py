@@ -63,3 +63,34 @@ def test_empty_tables_and_clashing_columns(spark):
     one = spark.createDataFrame([(None, "solo")], "item_id long, text string")
     kept = clean_documents(docs, one)
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "a b", "x", 3)]
+
+
+@pytest.mark.parametrize("period", [1, 2, 5])
+def test_repeated_words_and_the_shuffled_join(spark, period):
+    phrase = " ".join(f"w{i}" for i in range(period))
+    items = [(i, f"{phrase} " * (300 // period)) for i in range(3)] + [(7, "head " + f"{phrase} " * 20 + "tail")]
+    docs = [(1, f"{phrase} " * (3000 // period)), (2, f"own words {phrase} " + f"{phrase} " * (60 // period) + "own end"), (3, "nothing here")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [sorted(tuple(r)[:6] for r in contamination(d, i, broadcast_bytes=b).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans").collect()) for b in (1 << 20, 0)]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [1, 2, 3]
+    assert got[0][0][1:4] == (3000 // period * period, 3000 // period * period, 4)
+    assert got[0][1] == (2, *brute(docs[1][1], items)) and got[0][2] == (3, *brute(docs[2][1], items))
+
+
+def test_twenty_thousand_equal_words(spark):
+    docs = spark.createDataFrame([(1, "same " * 20_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, "same " * 300) for i in range(3)], "item_id long, text string")
+    assert [(r.n_words, r.n_hit, r.n_items, [tuple(s) for s in r.spans]) for r in contamination(docs, items).collect()] == [(20_000, 20_000, 3, [(0, 20_000)])]
+
+
+def test_the_sieve_of_few_bits_loses_nothing(spark):
+    from sonograin.llm import decontaminate
+
+    items, docs = cases()
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    kept, decontaminate.CELLS = decontaminate.CELLS, 4
+    try:
+        got = sorted(tuple(r) for r in contamination(d, i).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
+    finally:
+        decontaminate.CELLS = kept
+    assert got == sorted((x, *brute(t, items)) for x, t in set(docs))
