@@ -6,7 +6,10 @@ and then from that symbol's tokens by smoothed counts, so that the model's proba
 for unknown ones) sum to 1.  Its size is fixed by parameters while the counts behind it cover the whole corpus.
 
 Training: word counts by a grouped sum; then Baum-Welch rounds in which every partition runs the scaled forward and
-backward recursions over its texts and the expected counts are summed by Spark.  Scoring: the scaled forward recursion
+backward recursions over its whole texts and the expected counts are summed by Spark.  To run many places of a long text at
+once, it is looked at in pieces: a first pass finds what each piece does to any state distribution (a matrix of states by
+states), the product of these gives the exact forward and backward vectors at every piece's ends, and a second pass runs all
+pieces from there.  The counts are those of the unbroken text.  Scoring: the scaled forward recursion
 gives the exact likelihood of each text's symbols; the counts of rarer tokens come by a shuffled join, since they grow
 with the corpus, and those of the ``common`` most frequent ones from a broadcast dictionary of that fixed size.
 """
@@ -20,13 +23,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import cut, shared_dir
+from .text import cut, running, shared_dir
 
 STATES, ROUNDS, OWN, BUCKETS, COMMON = 5, 5, 4096, 4096, 65536
-#: Training cuts longer texts into sequences of so many tokens (all are used); scoring never cuts.
+#: Places of a text that training runs one after another; the results don't depend on it.
 PIECE = 512
 #: Tokens worked on at once; a text of more is a group of its own.
 GROUP = 300_000
@@ -112,17 +115,15 @@ def _start(states: int, n: int, totals: np.ndarray) -> dict:
     return {"first": np.full(states, 1 / states), "move": move, "emit": shaken / shaken.sum(axis=0)}
 
 
-def _grouped(sequences, cut_at):
-    """Groups of (index, symbols) of bounded size, each from the longest to the shortest."""
+def _grouped(sequences, size_of=lambda x: len(x[1]), most: int = GROUP):
+    """Groups of sequences (index, symbols) of bounded size, each from the longest to the shortest; a longer one is a group of its own."""
     group, size = [], 0
-    for i, s in sequences:
-        for at in range(0, max(1, len(s)), cut_at or max(1, len(s))):
-            piece = s[at : at + cut_at] if cut_at else s
-            if group and size + len(piece) > GROUP:
-                yield sorted(group, key=lambda x: -len(x[1]))
-                group, size = [], 0
-            group.append((i, piece))
-            size += len(piece)
+    for x in sequences:
+        if group and size + size_of(x) > most:
+            yield sorted(group, key=lambda x: -len(x[1]))
+            group, size = [], 0
+        group.append(x)
+        size += size_of(x)
     if group:
         yield sorted(group, key=lambda x: -len(x[1]))
 
@@ -136,13 +137,16 @@ def _by_place(group):
     return flat, starts, active
 
 
-def _forward(model, group, keep: bool):
-    """log10 likelihood of each text; with keep the scaled state probabilities, scales and symbols of each place."""
+def _forward(model, group, keep: bool, enters=None):
+    """log10 likelihood of each text; with keep the scaled state probabilities, scales and symbols of each place.
+
+    enters: a state distribution for the first place of each text instead of the model's.
+    """
     flat, starts, active = _by_place(group)
     logs, kept, a = np.zeros(len(group)), [], None
     for t, n in enumerate(active):
         seen = flat[starts[:n] + t]
-        a = (model["first"] if a is None else a[:n] @ model["move"]) * model["emit"][seen]
+        a = ((model["first"] if enters is None else enters) if a is None else a[:n] @ model["move"]) * model["emit"][seen]
         scale = a.sum(axis=1)
         a /= scale[:, None]
         logs[:n] += np.log10(scale)
@@ -151,33 +155,96 @@ def _forward(model, group, keep: bool):
     return logs, kept
 
 
-def _expected(model_of, states: int, n: int):
+def _effects(model, pieces) -> np.ndarray:
+    """For each piece the matrix that takes a distribution over the state at its first place to one at the next piece's, up to a factor.
+
+    pieces: (index, symbols) from the longest to the shortest; the matrices are by index.
+    """
+    states = len(model["first"])
+    flat, starts, active = _by_place(pieces)
+    a, logs = np.tile(np.eye(states), (len(pieces), 1, 1)), np.zeros((len(pieces), states))
+    for t, n in enumerate(active):
+        now = (a[:n] if t == 0 else a[:n] @ model["move"]) * model["emit"][flat[starts[:n] + t]][:, None, :]
+        scale = now.sum(axis=2)
+        a[:n] = now / scale[:, :, None]
+        logs[:n] += np.log(scale)
+    out = np.empty_like(a)
+    out[[i for i, _ in pieces]] = np.exp(logs - logs.max(axis=1, keepdims=True))[:, :, None] * (a @ model["move"])
+    return out
+
+
+def _ends(effects: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The state distribution that enters each piece of one text, and for each piece the chance, up to a factor, of all that follows it by the state entered next."""
+    enters, follows = np.empty(effects.shape[:2]), np.ones(effects.shape[:2])
+    enters[0] = first
+    for p in range(1, len(effects)):
+        enters[p] = enters[p - 1] @ effects[p - 1]
+        enters[p] /= enters[p].sum()
+    for p in range(len(effects) - 2, -1, -1):
+        follows[p] = effects[p + 1] @ follows[p + 1]
+        follows[p] /= follows[p].sum()
+    return enters, follows
+
+
+def expected_counts(model, texts: list[np.ndarray], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts by state, moves (still to be multiplied by the model's) and emissions over whole texts."""
+    states, n = len(model["first"]), len(model["emit"])
+    first, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((n, states))
+    pieces = [(k, s[at : at + piece]) for k, s in enumerate(texts) for at in range(0, len(s), piece)]
+    begins = np.array([p == 0 or pieces[p][0] != pieces[p - 1][0] for p in range(len(pieces))])
+    enters, follows = np.tile(model["first"], (len(pieces), 1)), np.ones((len(pieces), states))
+    bounds = np.append(np.flatnonzero(begins), len(pieces))
+    broken = [range(a, z) for a, z in zip(bounds, bounds[1:]) if z - a > 1]
+    effects = np.empty((len(pieces), states, states))
+    for group in _grouped((p for r in broken for p in ((q, pieces[q][1]) for q in r))):
+        index = [p for p, _ in group]
+        effects[index] = _effects(model, [(k, s) for k, (_, s) in enumerate(group)])
+    for r in broken:
+        enters[r.start : r.stop], follows[r.start : r.stop] = _ends(effects[r.start : r.stop], model["first"])
+    last_a, first_b = np.zeros((len(pieces), states)), np.zeros((len(pieces), states))
+    for group in _grouped((p, s) for p, (_, s) in enumerate(pieces)):
+        index = np.array([p for p, _ in group])
+        _, kept = _forward(model, group, True, enters[index])
+        back, seen_all, weight_all = None, [], []
+        for t in range(len(kept) - 1, -1, -1):
+            a, scale, seen = kept[t]
+            b = np.empty_like(a)
+            done = 0
+            if back is not None:
+                later = back * model["emit"][kept[t + 1][2]] / kept[t + 1][1][:, None]
+                done = len(later)
+                b[:done] = later @ model["move"].T
+                move += a[:done].T @ later
+            if done < len(a):  # pieces that end here
+                tail = follows[index[done : len(a)]] @ model["move"].T
+                b[done:] = tail / (a[done:] * tail).sum(axis=1, keepdims=True)
+                last_a[index[done : len(a)]] = a[done:]
+            seen_all.append(seen)
+            weight_all.append(a * b)
+            back = b
+        first_b[index] = back * model["emit"][kept[0][2]] / kept[0][1][:, None]
+        starts = begins[index]
+        first += weight_all[-1][starts].sum(axis=0)
+        seen_all, weight_all = np.concatenate(seen_all), np.concatenate(weight_all)
+        for s in range(states):
+            emit[:, s] += np.bincount(seen_all, weights=weight_all[:, s], minlength=n)
+    over = np.flatnonzero(~begins)
+    move += last_a[over - 1].T @ first_b[over]
+    return first, move, emit
+
+
+def _expected(model_of, piece: int):
     def run(batches):
         model = model_of.value
-        first, move, emit, any_ = np.zeros(states), np.zeros((states, states)), np.zeros((n, states)), False
-        texts = (s for b in batches for s in b.column("symbols").to_pylist())
-        for group in _grouped(((0, np.frombuffer(s, np.uint16)) for s in texts), PIECE):
-            any_ = True
-            _, kept = _forward(model, group, True)
-            back, seen_all, weight_all = None, [], []
-            for t in range(len(kept) - 1, -1, -1):
-                a, scale, seen = kept[t]
-                b = np.ones_like(a)
-                if back is not None:
-                    later = back * model["emit"][kept[t + 1][2]] / kept[t + 1][1][:, None]
-                    b[: len(later)] = later @ model["move"].T
-                    move += a[: len(later)].T @ later
-                gamma = a * b
-                seen_all.append(seen)
-                weight_all.append(gamma)
-                back = b
-            first += gamma.sum(axis=0)
-            seen_all, weight_all = np.concatenate(seen_all), np.concatenate(weight_all)
-            for s in range(states):
-                emit[:, s] += np.bincount(seen_all, weights=weight_all[:, s], minlength=n)
-        if any_:
+        sums = None
+        texts = ((0, np.frombuffer(s, np.uint16)) for b in batches for s in b.column("symbols").to_pylist())
+        for group in _grouped(texts):
+            found = expected_counts(model, [s for _, s in group], piece)
+            sums = found if sums is None else [x + y for x, y in zip(sums, found)]
+        if sums is not None:
+            first, move, emit = sums
             values = np.concatenate([first, (move * model["move"]).ravel(), emit.ravel()])
-            some = np.flatnonzero(values > 1e-9)
+            some = np.flatnonzero(values)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(values[some], pa.float64())], names=["place", "v"])
 
     return run
@@ -193,7 +260,7 @@ def _scorer(model_of):
             texts = batch.column("symbols").to_pylist()
             # texts of like length run together
             whole = ((i, np.frombuffer(texts[i], np.uint16)) for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])))
-            for group in _grouped(whole, None):
+            for group in _grouped(whole):
                 logs, _ = _forward(model, group, False)
                 out[[i for i, _ in group]] += logs - np.array([share[s].sum() for _, s in group])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "symbols"), pa.array(out, pa.float64())], names=[*(c for c in batch.schema.names if c != "symbols"), "hmm_log"])
@@ -201,14 +268,14 @@ def _scorer(model_of):
     return run
 
 
-def train(encoded: DataFrame, states: int, n_symbols: int, totals: np.ndarray, rounds: int = ROUNDS) -> dict:
-    """Baum-Welch on the rows of encoded that aren't held out; what comes to the driver is the model, states * (n_symbols + states + 1) numbers."""
+def train(encoded: DataFrame, states: int, n_symbols: int, totals: np.ndarray, rounds: int = ROUNDS, piece: int = PIECE) -> dict:
+    """Baum-Welch on the whole texts of encoded that aren't held out; what comes to the driver is the model, states * (n_symbols + states + 1) numbers."""
     sc = encoded.sparkSession.sparkContext
     model = _start(states, n_symbols, totals)
     for _ in range(rounds):
         sent = sc.broadcast(model)
         sums = np.zeros(states + states * states + n_symbols * states)
-        counts = encoded.where("not held_out").select("symbols").mapInArrow(_expected(sent, states, n_symbols), "place long, v double").groupBy("place").agg(F.sum("v").alias("v"))
+        counts = encoded.where("not held_out").select("symbols").mapInArrow(_expected(sent, piece), "place long, v double").groupBy("place").agg(F.sum("v").alias("v"))
         got = counts.toPandas()
         sums[got["place"].to_numpy()] = got["v"].to_numpy()
         first, move, emit = sums[:states] + 0.1, sums[states : states + states**2].reshape(states, states) + 0.1, sums[states + states**2 :].reshape(n_symbols, states) + 0.02
@@ -217,22 +284,38 @@ def train(encoded: DataFrame, states: int, n_symbols: int, totals: np.ndarray, r
     return model
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows of counts (token, c) with the greatest c, the smaller tokens first where c is equal.
+
+    Some hundreds of classes of c, by eighths of a power of two, tell from which one on the rows can lie; only those are sorted.
+    """
+    level = F.floor(F.log2("c") * 8).cast("int")
+    sizes = sorted(((r.level, r.n) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)  # 504 rows at most
+    least, seen = 0, 0
+    for least, n in sizes:
+        seen += n
+        if seen >= most:
+            break
+    if seen <= most:
+        return counts.where(level >= least)
+    ranked = running(counts.where(level >= least), [F.desc("c"), F.col("token")], _before="1")
+    return ranked.where(F.col("_before") < most).drop("_before")
+
+
 def scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, own: int = OWN, buckets: int = BUCKETS, common: int = COMMON) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Null texts are empty ones, of one end.  Rows whose crc32(doc_id as text) leaves 1 by 5 are held out of training; a null
     doc_id counts as ''.  Repeated rows are texts of their own, in training too.  Without training rows every token has
-    the base probability 1 and the model's emissions are even.
+    the base probability 1 and the model's emissions are even.  An empty table gives no rows.  A text of any length is
+    trained on and scored as one sequence; a task holds its symbols, two bytes a token.  Other columns are ignored.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
     marked = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
     counts = cut(token_counts(marked.where("not held_out")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # tokens from the least count on that leaves at most ``common`` of them
-    tally = counts.groupBy("c").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy(F.desc("c")))).where(F.col("upto") <= common)
-    least = tally.agg(F.min("c")).first()[0]
-    top = counts.where(F.col("c") >= F.lit(least)).toPandas().sort_values(["c", "token"], ascending=[False, True])  # at most ``common`` rows
+    top = most_frequent(counts, common).toPandas().sort_values(["c", "token"], ascending=[False, True])  # at most ``common`` rows
     names = [bytes(t) for t in top["token"]]
     n_own = min(own, len(names))
     sent = spark.sparkContext.broadcast((names, np.log10(top["c"].to_numpy(dtype=float) + 0.5), n_own))
