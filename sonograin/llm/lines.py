@@ -1,8 +1,9 @@
 """Line dedup: repeated runs of lines by a suffix array over line-ID sequences.
 
 Lines with a word get a position within their document and an ID by text.  Prefix doubling ranks the suffixes by their
-first 1, 2, 4, ... lines: the rank at 2h is that at h plus the number of suffixes of the same rank whose rank h lines later
-is smaller.  Suffixes with a rank of their own are settled and leave; most do at once, and the rest shrinks every round.
+first 1, 2, 4, ... lines: the rank at 2h is the number of suffixes before it in the order of the rank at h and of the rank
+at h of the suffix h lines later.  Suffixes with a rank of their own are settled and leave; most do at once, and the rest
+shrinks every round.  The classes of equal ranks are sorted over many tasks, and frequent lines are dealt to many.
 
 A run of lines counts when it has ``min_words`` words.  Looked at are the shortest such run that starts at each line and the
 shortest that ends at each line, two a line at most; two suffixes have a
@@ -15,10 +16,10 @@ those of its lines that reach ``min_words`` words inside it, so no maximal repea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import BLANK_GAP, cut
+from .text import BLANK_GAP, cut, running, spread_join
 
 MIN_WORDS = 20
 
@@ -38,13 +39,9 @@ def _numbered(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def _first_ranks(lines: DataFrame) -> DataFrame:
-    """Suffixes whose first line occurs again, with their rank r among all by that line's ID."""
-    cells = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).withColumn("part", F.shiftright("h1", 52))
-    cells = cut(cells)
-    parts = cells.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = cells.withColumn("inside", inside).where("n > 1").join(F.broadcast(parts), "part").select("h1", "h2", (F.col("before") + F.col("inside")).alias("r"))  # parts: 4096 rows
-    return lines.join(ranks, ["h1", "h2"]).select("doc_id", "dk", "pos", "l", "m", "r")
+    """Suffixes whose first line occurs again, with their rank r among all by that line's ID: how many suffixes have a smaller one."""
+    cells = running(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")), [F.col("h1"), F.col("h2")], r="n").where("n > 1")
+    return spread_join(lines, cells.select("h1", "h2", "r"), ["h1", "h2"], cells.select("h1", "h2", "n"), ["doc_id", "pos"]).select("doc_id", "dk", "pos", "l", "m", "r")
 
 
 def _shifted(rows: DataFrame, by, name: str, ranked: DataFrame) -> DataFrame:
@@ -56,8 +53,10 @@ def _shifted(rows: DataFrame, by, name: str, ranked: DataFrame) -> DataFrame:
 def _later_copies(runs: DataFrame) -> DataFrame:
     """Of runs (doc_id, dk, pos, l, r, r2) equal in l, r and r2 all but the earliest."""
     at = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "dk", "pos")
-    first = runs.groupBy("l", "r", "r2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return runs.join(first, ["l", "r", "r2"]).where(at != F.col("first")).select("doc_id", "dk", "pos", "l")
+    runs = cut(runs)
+    first = runs.groupBy("l", "r", "r2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = spread_join(runs, first.drop("n"), ["l", "r", "r2"], first.drop("first"), ["doc_id", "dk", "pos"])
+    return met.where(at != F.col("first")).select("doc_id", "dk", "pos", "l")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -75,10 +74,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             return found
         pairs = _shifted(ranked, F.lit(h), "r2", ranked)
         pairs = cut(pairs)
-        cells = pairs.groupBy("r", "r2").agg(F.count("*").alias("n"))
-        smaller = F.coalesce(F.sum("n").over(Window.partitionBy("r").orderBy("r2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        cells = cells.withColumn("smaller", smaller).where("n > 1").select("r", "r2", (F.col("r") + F.col("smaller")).alias("next"))
-        ranked = cut(pairs.join(cells, ["r", "r2"]).select("doc_id", "dk", "pos", "l", "m", F.col("next").alias("r")))
+        cells = running(pairs.groupBy("r", "r2").agg(F.count("*").alias("n")), [F.col("r"), F.col("r2")], next="n").where("n > 1")
+        ranked = cut(spread_join(pairs, cells.select("r", "r2", "next"), ["r", "r2"], cells.select("r", "r2", "n"), ["doc_id", "dk", "pos"]).select("doc_id", "dk", "pos", "l", "m", F.col("next").alias("r")))
         h *= 2
 
 
@@ -87,7 +84,8 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Rows that repeat both doc_id and text are one document and fare alike; two texts under one doc_id are two.  Null and
     blank texts have no lines.  The earliest copy, by doc_id (null last), hash of the text and position, stays.  Lines are compared as they
-    stand, blank lines are passed over.
+    stand, blank lines are passed over.  An empty table gives no rows; a text of any length is split once, in one row.  Other
+    columns, of whatever names, are ignored.
     """
     gone = repeated_runs(docs, min_words).select("doc_id", "dk", F.explode(F.sequence("pos", F.col("pos") + F.col("l") - 1)).alias("pos")).groupBy("doc_id", "dk").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     g = gone.select(F.col("doc_id").alias("_d"), F.col("dk").alias("_k"), "gone")
