@@ -31,42 +31,45 @@ RISK, DELTA = 0.05, 0.05
 BROADCAST_STRATA, SALTS = 10_000, 64
 
 
-def _repeat_words() -> Column:
+def _repeat_words(most: int) -> Column:
     """Words inside 3-word windows that occur twice or more.
 
-    A window's hash keeps its high 40 bits and gives the low 24 to its position, so one sort of longs brings equal windows
-    together.  Neighbours with equal high bits are compared by their words; a document where that shows a collision of
-    different windows, or with over 2**24 words, goes a slower way that compares windows themselves.
+    A window's hash keeps its high bits and gives the low 24 to its position, so one sort of longs brings equal windows
+    together.  Neighbours with equal high bits are compared by their words.  In a document where different windows turn out
+    to have equal bits, or with over ``most`` words, the windows themselves are sorted with their positions.
     """
-    return F.expr("""
+    union = "named_struct('n', 0L, 'end', 0), (s, i) -> named_struct('n', s.n + i + 3 - greatest(s.end, i), 'end', i + 3)"
+    alike = "sorted[i].g = sorted[i - 1].g"
+    return F.expr(f"""
       case when size(w) < 3 then 0L
-      when size(w) >= 16777216 or exists(near, p -> p.b is not null and slice(w, cast(p.a & 16777215 as int) + 1, 3) != slice(w, cast(p.b & 16777215 as int) + 1, 3)) then
-        aggregate(array_sort(flatten(map_values(map_filter(
-          aggregate(sequence(0, size(w) - 3), cast(map() as map<string, array<int>>),
-            (m, i) -> map_concat(map_filter(m, (g, at) -> g != array_join(slice(w, i + 1, 3), ' ')), map(array_join(slice(w, i + 1, 3), ' '), concat(coalesce(try_element_at(m, array_join(slice(w, i + 1, 3), ' ')), array()), array(i))))),
-          (g, at) -> size(at) > 1)))),
-          named_struct('n', 0L, 'end', 0), (s, i) -> named_struct('n', s.n + i + 3 - greatest(s.end, i), 'end', i + 3)).n
-      else aggregate(array_sort(transform(near, p -> cast(p.a & 16777215 as int))),
-          named_struct('n', 0L, 'end', 0), (s, i) -> named_struct('n', s.n + i + 3 - greatest(s.end, i), 'end', i + 3)).n end
+      when size(w) >= {most} or exists(near, p -> p.b is not null and slice(w, cast(p.a & 16777215 as int) + 1, 3) != slice(w, cast(p.b & 16777215 as int) + 1, 3)) then
+        aggregate(array_sort(flatten(transform(
+          array(sort_array(transform(sequence(0, size(w) - 3), i -> named_struct('g', concat_ws(' ', w[i], w[i + 1], w[i + 2]), 'i', i)))),
+          sorted -> transform(filter(sequence(0, size(sorted) - 1), i -> (i > 0 and {alike}) or (i + 1 < size(sorted) and {alike.replace('[i]', '[i + 1]').replace('[i - 1]', '[i]')})), i -> sorted[i].i)))), {union}).n
+      else aggregate(array_sort(transform(near, p -> cast(p.a & 16777215 as int))), {union}).n end
     """)
 
 
-def measures(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """Per row of docs: doc_id, stratum and counts of its whole text; null texts count as empty, a null stratum as ''."""
+def measures(docs: DataFrame, stratum: str = "lang", hash_bits: int = 40, most: int = 1 << 24) -> DataFrame:
+    """Per row of docs: doc_id, stratum and counts of its whole text; null texts count as empty, a null stratum as ''.
+
+    hash_bits (up to 40) and most choose a way to compare windows, not the result.
+    """
+    mask = -(1 << (64 - hash_bits))
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), text.alias("text"), blank_tokens(F.col("text")).alias("w"), F.xxhash64("text").alias("text_hash"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     d = d.select(
         "doc_id", "stratum", "text_hash", "w", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.size(F.split("text", "[#*$%&|<>]")) - 1).cast("long").alias("n_symbols"), F.length(F.regexp_replace("text", "[^A-Z]+", "")).cast("long").alias("n_capitals"), lines.alias("lines"),
-        F.expr("if(size(w) < 3, array(), sort_array(transform(slice(w, 1, greatest(0, size(w) - 2)), (x, i) -> (xxhash64(x, get(w, i + 1), get(w, i + 2)) & -16777216L) | i)))").alias("sorted"),
+        F.expr(f"if(size(w) < 3 or size(w) >= {most}, array(), sort_array(transform(slice(w, 1, greatest(0, size(w) - 2)), (x, i) -> (xxhash64(x, get(w, i + 1), get(w, i + 2)) & {mask}L) | i)))").alias("sorted"),
     )
     d = d.select(
         "*", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr("""filter(transform(sorted, (x, i) -> if(((x ^ get(sorted, i - 1)) & -16777216L) = 0 or ((x ^ get(sorted, i + 1)) & -16777216L) = 0,
-          named_struct('a', x, 'b', if(((x ^ get(sorted, i + 1)) & -16777216L) = 0, get(sorted, i + 1), null)), null)), p -> p is not null)""").alias("near"),
+        F.expr(f"""filter(transform(sorted, (x, i) -> if(((x ^ get(sorted, i - 1)) & {mask}L) = 0 or ((x ^ get(sorted, i + 1)) & {mask}L) = 0,
+          named_struct('a', x, 'b', if(((x ^ get(sorted, i + 1)) & {mask}L) = 0, get(sorted, i + 1), null)), null)), p -> p is not null)""").alias("near"),
     ).drop("lines", "sorted")
-    d = d.select("*", _repeat_words().alias("n_repeat_words")).drop("w", "near")
+    d = d.select("*", _repeat_words(most).alias("n_repeat_words")).drop("w", "near")
     return d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -112,7 +115,8 @@ def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: fl
     """One row per row of docs: doc_id, the measures, base_failed, failed_rules, kept.
 
     Empty and null texts have no words and fail the base rules.  Repeated rows are judged alike, each on its own.
-    Without labels only the base rules reject.
+    Without labels only the base rules reject.  Empty documents give no rows.  Whole texts of any length are measured; other
+    columns, of whatever names, are ignored.
     """
     measured = cut(measures(docs, stratum))
     cutoffs = certified_cutoffs(measured, labels, risk, delta).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))

@@ -31,6 +31,57 @@ def test_measures_against_brute_force(spark):
     docs = spark.createDataFrame([(i, t, None if i % 3 else "en") for i, t in rows], "doc_id long, text string, lang string")
     got = measures(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
     assert sorted(map(tuple, got)) == [(i, *brute(t)) for i, t in rows]
+    for how in ({"hash_bits": 2}, {"hash_bits": 5}, {"most": 20}):
+        got = measures(docs, **how).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
+        assert sorted(map(tuple, got)) == [(i, *brute(t)) for i, t in rows], how
+
+
+def test_a_long_text_with_collisions_is_soon_done(spark):
+    import time
+
+    t = " ".join(f"w{i * 7919 % 60_000}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, t, "en")], "doc_id long, text string, lang string")
+    began = time.time()
+    (row,) = measures(docs, hash_bits=12).collect()
+    assert (row.n_words, row.n_repeat_words) == (brute(t)[0], brute(t)[4]) and time.time() - began < 20
+
+
+def test_kept_against_a_plain_form(spark):
+    """kept end to end: measures, exact binomial bounds in fixed sequence, Bonferroni, cutoffs applied, all rebuilt in Python."""
+    r = random.Random(12)
+    rows, labels = [], []
+    for i in range(2400):
+        bad = i % 12 == 0
+        w = [f"word{r.randrange(4000)}" for _ in range(70)]
+        for k in range(70):
+            x = r.random()
+            if x < (0.6 if bad else 0.03):
+                w[k] = r.choice(["#", "|x|", "LOUD", "a" * 60])
+        t = " ".join(w)
+        if r.random() < (0.5 if bad else 0.02):
+            t = "same line here\n" * 6 + t
+        rows.append((i, t, "en" if i % 3 else "de"))
+        labels.append((i, int(not bad)))
+    got = {x.doc_id: x for x in verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    ratios = {}
+    for i, t, s in rows:
+        n, chars, symbols, dup, rep, failed = brute(t)
+        lines = [x for x in t.split("\n") if x.strip()]
+        caps = sum("A" <= c <= "Z" for c in t)
+        ratios[i] = s, failed, {"symbols": symbols / max(1, chars), "duplicate_lines": dup / max(1, len(lines)), "repeated_words": rep / max(1, n), "capitals": caps / max(1, chars), "long_words": chars / max(1, n) / 40}
+    cutoffs = {}
+    for s in ("en", "de"):
+        good = [ratios[i][2] for i, q in labels if q and ratios[i][0] == s and not ratios[i][1]]
+        for rule in RULES:
+            for c in GRID:
+                n, k, p = len(good), sum(x[rule] > c for x in good), 0.05 / len(RULES)
+                term = lambda j: math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log(1 - p))  # noqa: B023, E731
+                if sum(map(term, range(k + 1))) > 0.05 / (2 * len(RULES)):
+                    break
+                cutoffs[s, rule] = c
+    assert {k[1] for k in cutoffs} == set(RULES)
+    want = {i: not failed and all(v <= cutoffs.get((s, rule), 9) for rule, v in x.items()) for i, (s, failed, x) in ratios.items()}
+    assert {i: x.kept for i, x in got.items()} == want and 0 < sum(want.values()) < sum(not f for _, f, _ in ratios.values())
 
 
 def test_cutoffs_are_the_strictest_certified(spark):
