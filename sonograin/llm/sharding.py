@@ -3,48 +3,76 @@
 A row descends from the root to a shard.  At each node every child draws -ln(u) / weight, with u a hash of the row's key
 and the child's name; the least draw wins, so a child gets its share by weight.  A draw depends on nothing but key, name
 and weight.  When a child's weight rises or a child is added, only rows that it wins move, and they move into it; a node
-whose children keep their weights keeps its rows in place.  Shards added later hang from the root, each with its own
-weight, so growing by one takes rows only into the new shard.
+whose children keep their weights keeps its rows in place.
+
+A node weighs what its children weigh together, or, as a ``Node``, what it says.  There are two ways to grow.  Shards added
+to the whole hang from the root, each with its own weight: they take rows from all others in proportion, and rows move into
+them only; query op6 reports this one.  A ``Leaf`` put into a rack that keeps its weight takes rows from its rack alone.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
+class Node(NamedTuple):
+    """Children under a weight that doesn't follow from theirs."""
+
+    weight: float
+    children: tuple
+
+
+class Leaf(NamedTuple):
+    """A shard with a number of its own; plain weights are shards numbered in order."""
+
+    weight: float
+    number: int
+
+
+
 #: Regions of racks of shards: 3 * 2 * 4 shards of equal weight.
 TREE = tuple(tuple(tuple(1.0 for _ in range(4)) for _ in range(2)) for _ in range(3))
-#: Rows that share a slot counter.
-BLOCK_ROWS = 50_000
+#: Blocks of a shard whose slots are counted apart; a fixed number, so that a slot doesn't depend on the number of rows.
+BLOCKS = 1024
+
+
+def _children(node) -> tuple | None:
+    return node.children if isinstance(node, Node) else None if isinstance(node, (int, float, Leaf)) else tuple(node)
 
 
 def _weight(node) -> float:
+    if isinstance(node, (Node, Leaf)):
+        return float(node.weight)
     return float(node) if isinstance(node, (int, float)) else sum(map(_weight, node))
 
 
-def _leaves(node) -> int:
-    return 1 if isinstance(node, (int, float)) else sum(map(_leaves, node))
+def _numbers(node) -> int:
+    """How many shards below the node are numbered in order."""
+    below = _children(node)
+    return sum(map(_numbers, below)) if below is not None else int(not isinstance(node, Leaf))
 
 
 def _pick(key: Column, children, path: str, first: int) -> Column:
     """The shard below this node; the draws of a node are made only for rows that reach it."""
-    draws, starts, at = [], [], first
+    draws, below, at = [], [], first
     for i, child in enumerate(children):
-        starts.append(at)
-        at += _leaves(child)
+        inner = _children(child)
         if _weight(child) > 0:
             u = (F.pmod(F.xxhash64(key, F.lit(f"{path}/{i}")), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-            draws.append((F.struct((-F.ln(u) / _weight(child)).alias("d"), F.lit(i).alias("i")), i))
+            draws.append(F.struct((-F.ln(u) / _weight(child)).alias("d"), F.lit(len(draws)).alias("i")))
+            below.append(_pick(key, inner, f"{path}/{i}", at) if inner is not None else child.number if isinstance(child, Leaf) else at)
+        at += _numbers(child)
     if len(draws) == 1:
-        won = draws[0][1]
-        return F.lit(starts[won]) if isinstance(children[won], (int, float)) else _pick(key, children[won], f"{path}/{won}", starts[won])
-    best = F.least(*(d for d, _ in draws))["i"]
-    if all(isinstance(children[i], (int, float)) for _, i in draws):
-        return F.element_at(F.array(*map(F.lit, starts)), best + 1)
-    out = None
-    for _, i in draws:
-        to = F.lit(starts[i]) if isinstance(children[i], (int, float)) else _pick(key, children[i], f"{path}/{i}", starts[i])
-        out = F.when(best == i, to) if out is None else out.when(best == i, to)
+        return below[0] if isinstance(below[0], Column) else F.lit(below[0])
+    best = F.least(*draws)["i"]
+    if not any(isinstance(x, Column) for x in below):
+        return F.element_at(F.array(*map(F.lit, below)), best + 1)
+    out = F.when(best == 0, below[0])
+    for i, x in enumerate(below[1:], 1):
+        out = out.when(best == i, x)
     return out
 
 
@@ -58,17 +86,17 @@ def shards(docs: DataFrame, tree=TREE, added=()) -> DataFrame:
 
     size is the text's UTF-8 bytes plus 8; a null text has none and the crc32 of an empty one.  The key is doc_id as text,
     a null one the text 'null'; rows with one doc_id go to one shard.  Slots run from 0 without gaps in each shard, in the
-    order of hashed block, doc_id and checksum; rows equal in these are interchangeable.
+    order of hashed block, doc_id and checksum; rows equal in these are interchangeable.  An empty table gives no rows;
+    texts of any length are taken whole; other columns are ignored.
     """
-    # blocks keep a slot counter short: a shard's rows are dealt into n hashed blocks that are numbered one after another
-    n = max(1, -(-docs.count() // (BLOCK_ROWS * (_leaves(tree) + len(added)))))
+    # blocks keep a slot counter short: a shard's rows are dealt into hashed blocks that are numbered one after another
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     dealt = docs.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
-        shard_of(key, tree, added).alias("shard"), shard_of(key, tree, (*added, 1.0)).alias("grown_shard"), F.pmod(F.xxhash64(key), F.lit(n)).alias("block"),
+        shard_of(key, tree, added).alias("shard"), shard_of(key, tree, (*added, 1.0)).alias("grown_shard"), F.pmod(F.xxhash64(key), F.lit(BLOCKS)).alias("block"),
     )
-    counts = docs.select(shard_of(key, tree, added).alias("_shard"), F.pmod(F.xxhash64(key), F.lit(n)).alias("_block")).groupBy("_shard", "_block").agg(F.count("*").alias("n"))
+    counts = docs.select(shard_of(key, tree, added).alias("_shard"), F.pmod(F.xxhash64(key), F.lit(BLOCKS)).alias("_block")).groupBy("_shard", "_block").agg(F.count("*").alias("n"))
     before = counts.select("_shard", "_block", F.coalesce(F.sum("n").over(Window.partitionBy("_shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     placed = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")))
-    out = placed.join(before, (F.col("shard") == F.col("_shard")) & (F.col("block") == F.col("_block")))
+    out = placed.join(F.broadcast(before), (F.col("shard") == F.col("_shard")) & (F.col("block") == F.col("_block")))  # BLOCKS rows a shard
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("nth") - 1).cast("long").alias("slot"), "grown_shard")
