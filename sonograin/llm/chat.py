@@ -40,20 +40,24 @@ def maximal_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 def formatted(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies, rendered: each maximal conversation once, as '<|role|>' lines, the text and an '<|end|>' line per turn.
 
-    turns: conv_id, turn, role, text.  Rows without conv_id belong to no conversation and are left out.  A conversation is
+    So that no text can forge a turn, a backslash is put before each backslash and each '|' of a role, and before each
+    backslash of a text and between '<' and '|' there; different conversations are rendered differently.
+
+    turns: conv_id, turn, role, text; other columns are ignored.  Rows without conv_id belong to no conversation and are left out.  A conversation is
     rendered to one string and so must fit a row.  An empty table gives no rows.
     """
     rolled, kept = maximal_conversations(turns)
-    said = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>\n"))
+    escaped = lambda c, mark, safe: F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")), F.lit(mark), F.lit(safe))
+    said = F.concat(F.lit("<|"), escaped("role", "|", "\\|"), F.lit("|>\n"), escaped("text", "<|", "<\\|"), F.lit("\n<|end|>\n"))
     each = rolled.select("conv_id", "at", said.alias("said")).join(kept.select("conv_id"), "conv_id", "left_semi")
     text = each.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "said"))).alias("turns"))
     return text.join(kept, "conv_id").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "n_copies", F.array_join(F.col("turns.said"), "").alias("rendered"))
 
 
-ORACLE = """
+ORACLE = r"""
 with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
 o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as nth from t),
-p as (select conv_id, nth, string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '') over (partition by conv_id order by nth) as said,
+p as (select conv_id, nth, string_agg('<|' || replace(replace(role, '\', '\\'), '|', '\|') || '|>' || chr(10) || replace(replace(text, '\', '\\'), '<|', '<\|') || chr(10) || '<|end|>' || chr(10), '') over (partition by conv_id order by nth) as said,
              sum(1) over (partition by conv_id) as n from o),
 w as (select said, nth, min(conv_id) as conv_id, count(*) as n_copies from p where nth = n group by said, nth)
 select conv_id, cast(nth as bigint) as n_turns, n_copies, said as rendered from w
