@@ -6,8 +6,9 @@ and a document is emitted once for each integer its interval crosses.  The order
 target whatever the sizes are.
 
 Since all documents of a source expect the same number of copies e, the prefix sum is e times the rank.  The rank is built
-from counts: sizes within the source, blocks of doc_ids within a size, rows within a block; no window holds more than
-one block, one size's blocks or one source's sizes, so a source with a third of all rows is spread over many tasks.
+from counts: sizes within the source, blocks of doc_ids (by their MD5) within a size, rows within a block; no window holds
+more than one block, one size's blocks or one source's sizes, so a source with a third of all rows is spread over many
+tasks.  Sources are numbered and shared out over sorted ranges, so there may be as many of them as hosts.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import BLANK_GAP, cut
+from .text import BLANK_GAP, cut, running
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
-#: doc_ids in a block of one size of one source.
-BLOCK = 1 << 16
+#: Hexadecimal digits that name a block: 4096 blocks.
+DIGITS = 3
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -33,26 +34,26 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     A source without words gets 0; so does every source if there are no words.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = per.withColumn("i", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    ranked = running(per, [F.col("source").asc_nulls_last()], i="1")
     ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("i") % len(weights) + 1).cast("int")))
     ranked = ranked.withColumn("limit", most * F.col("source_size")).withColumn("reach", F.col("limit") / F.col("weight"))
-    everything = Window.partitionBy()
-    before = Window.orderBy("reach", "i").rowsBetween(Window.unboundedPreceding, -1)
-    rest = (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    ranked = ranked.withColumn("level", rest)
+    ranked = running(ranked, [F.col("reach"), F.col("i")], limits="limit", weights="weight")
+    total = ranked.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("all_weights"))  # one row
     # the first source that keeps below its limit sets the level; for later ones it would only sink
-    level = F.max(F.when(F.col("level") <= F.col("reach"), F.col("level"))).over(everything)
-    return ranked.select("source", "source_size", F.least("limit", F.coalesce(level, F.lit(float("inf"))) * F.col("weight")).alias("target"))
+    rest = (share * F.col("words") - F.col("limits")) / (F.col("all_weights") - F.col("weights"))
+    level = ranked.crossJoin(F.broadcast(total)).select(rest.alias("level"), "reach").where("level <= reach").agg(F.max("level").alias("level"))  # one row
+    return ranked.crossJoin(F.broadcast(level)).select("source", "source_size", F.least("limit", F.coalesce("level", F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
 def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = "mix") -> DataFrame:
     """One row per row of docs: doc_id, text_hash, source, size, source_size, target, copies, taken.
 
     Null texts have size 0.  Repeated rows are documents of their own.  Rows with equal source, size, doc_id and text
-    hash are interchangeable, so reruns give the same rows.
+    hash are interchangeable, so reruns give the same rows.  doc_id may be of any type that is sorted and cast to text.  An
+    empty table gives no rows; texts of any length are counted whole; other columns, of whatever names, are ignored.
     """
     sized = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", F.coalesce(F.regexp_count("text", F.lit(BLANK_GAP.replace("[", "[^"))), F.lit(0)).cast("long").alias("size")))
-    keyed = sized.withColumn("block", F.coalesce(F.floor(F.col("doc_id") / BLOCK), F.lit(-(1 << 40))))
+    keyed = sized.withColumn("block", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, DIGITS))
     blocks = cut(keyed.groupBy("source", "size", "block").agg(F.count("*").alias("n")))
     by_size = blocks.groupBy("source", "size").agg(F.sum("n").alias("n"))
     targets = source_targets(by_size.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, most)
@@ -82,8 +83,9 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("source").alias("_s"), F.col("copies").alias("_copies"), F.col("rows").alias("_rows"))
     same = docs["doc_id"].eqNullSafe(taken["_id"]) & (F.xxhash64(docs["text"]) == taken["_h"]) & docs["source"].eqNullSafe(taken["_s"])
     joined = docs.join(taken, same)
-    # repeated rows share their copies out: the first ones get the remainder
-    nth = F.when(F.col("_rows") == 1, F.lit(0)).otherwise(F.row_number().over(Window.partitionBy("_id", "_h", "_s").orderBy(F.lit(1))) - 1)
+    # repeated rows share their copies out: the first ones, by their other columns, get the remainder
+    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text", "source")]
+    nth = F.when(F.col("_rows") == 1, F.lit(0)).otherwise(F.row_number().over(Window.partitionBy("_id", "_h", "_s").orderBy(F.to_json(F.struct(*others)) if others else F.lit(1))) - 1)
     own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(nth < F.col("_copies") % F.col("_rows"), 1).otherwise(0)
     return joined.withColumn("_own", own).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_own").cast("int"))).alias("_n")).drop("_n")
 
@@ -96,7 +98,7 @@ r as (select *, cap / weight as reach from w),
 l as (select *, (1.5 * sum(source_size) over () - coalesce(sum(cap) over (order by reach, i rows between unbounded preceding and 1 preceding), 0))
      / (sum(weight) over () - coalesce(sum(weight) over (order by reach, i rows between unbounded preceding and 1 preceding), 0)) as lev from r),
 t as (select source, source_size, cast(least(cap, coalesce((select max(lev) from l where lev <= reach), 'infinity'::double) * weight) as double) as target from l),
-p as (select d.*, source_size, target, case when source_size > 0 then target / source_size else 0 end as each, row_number() over (partition by d.source order by size, doc_id) as n,
+p as (select d.*, source_size, target, case when source_size > 0 then target / source_size else 0 end as each, row_number() over (partition by d.source order by size, substr(md5(cast(doc_id as varchar)), 1, 3), doc_id) as n,
      cast(('0x' || substr(md5('mix:' || coalesce(d.source, '')), 1, 8)) as bigint) / 4294967296.0 as u from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target, cast(size * least(2, floor(n * each + u) - floor((n - 1) * each + u)) as bigint) as taken from p
 """
