@@ -1,34 +1,40 @@
 """License scans: exact phrases, and short notices with bounded errors.
 
 A notice that stands in a text with at most k edits leaves at least one of its k + 1 pieces untouched (pigeonhole), so
-only texts and places where a piece is found can hold it.  Around each such place the regex library searches the notice
-with at most k errors, and every find is reported with its span and its number of edits.
+only texts and places where a piece is found can hold it.  One pass over a text looks for the pieces of all notices.  Around
+each such place, in a window just long enough for the notice, the regex library searches the best match with at most k
+errors and reports its span and edits.  A find gives way to another one that shares characters with it if that has fewer
+edits, or as many and more length, an earlier start or a smaller label, and its notice isn't shorter by more than a few
+characters; so of look-alike notices the nearest is named, and one inside another is named too.  The work grows with the
+text and the pieces found in it.
 
 Texts are compared as their lower-cased words with one blank between them, so punctuation and line breaks don't count.
 """
 
 from __future__ import annotations
 
+import bisect
+from collections import defaultdict
+from pathlib import Path
+
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 #: Phrases whose exact places are counted, with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Short notices searched with errors, with their labels.
-NOTICES = {
-    "under the mit license": "mit",
-    "apache license version 2": "apache-2",
-    "creative commons attribution noncommercial": "cc-by-nc",
-    "creative commons attribution sharealike": "cc-by-sa",
-    "gnu general public license": "gpl",
-    "gnu lesser general public license": "lgpl",
-    "gnu affero general public license": "agpl",
-    "mozilla public license": "mpl",
-    "redistribution and use in source and binary forms": "bsd",
-    "permission is hereby granted free of charge": "mit",
-    "all rights reserved": "all-rights-reserved",
-}
+
+
+def read_notices(path: Path) -> dict[str, str]:
+    """notice -> label, of lines 'label: notice'; lines that begin with # are remarks."""
+    pairs = (line.split(": ", 1) for line in path.read_text().splitlines() if line and not line.startswith("#"))
+    return {notice: label for label, notice in pairs}
+
+
+#: Short notices searched with errors, with their labels; any other table of this form may be given.
+NOTICES = read_notices(Path(__file__).with_name("notices.txt"))
 #: One edit is allowed for so many characters of a notice, and at most MOST.
 PER_EDIT, MOST = 10, 3
 
@@ -49,13 +55,20 @@ def _seeds(notice: str) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def _compiled(notices: dict[str, str]) -> list[tuple]:
-    found = []
-    for notice, label in notices.items():
+def _compiled(notices: dict[str, str]) -> tuple:
+    """(label, edits, length, pattern) of each notice, and an automaton over all pieces with (notice, place in it) of each."""
+    found, pieces = [], defaultdict(list)
+    for i, (notice, label) in enumerate(notices.items()):
         k = _edits(notice)
         pattern = regex.compile(f"(?b)(?<= )(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}(?= )")
-        found.append((notice, label, k, pattern, [(at, s, s.encode()) for at, s in _seeds(notice)]))
-    return found
+        found.append((label, k, len(notice), pattern))
+        for at, piece in _seeds(notice):
+            pieces[piece].append((i, at, len(piece)))
+    automaton = ahocorasick.Automaton()
+    for piece, uses in pieces.items():
+        automaton.add_word(piece, uses)
+    automaton.make_automaton()
+    return found, automaton
 
 
 def _places(haystack, needle):
@@ -65,39 +78,30 @@ def _places(haystack, needle):
         at = haystack.find(needle, at + 1)
 
 
-def _matches(pattern, text: str, lo: int, hi: int) -> list:
-    """Matches in text[lo:hi] that share no character, by place.
+def _settled(found: list[tuple]) -> list[tuple]:
+    """Of (label, start, end, edits, length) those that give way to none that stays, by place."""
+    starts, kept = [], []
+    longest = max((x[2] - x[1] for x in found), default=0)
+    for x in sorted(found, key=lambda x: (x[3], -x[4], x[1], x[0])):
+        near = kept[bisect.bisect_right(starts, x[1] - longest) : bisect.bisect_left(starts, x[2])]
+        if not any(y[2] > x[1] and y[4] >= x[4] - MOST for y in near):
+            i = bisect.bisect_left(starts, x[1])
+            starts.insert(i, x[1])
+            kept.insert(i, x)
+    return kept
 
-    The best one is taken first, then those before and after it: finditer goes on after the best match and passes over all
-    worse ones before it.  A blank at the edge of a part may be the neighbour's, as the pattern only looks at it.
-    """
-    found, parts = [], [(lo, hi)]
-    while parts:
-        lo, hi = parts.pop()
-        m = pattern.search(text, lo, hi)
-        if m:
-            found.append(m)
-            parts += [(lo, min(hi, m.start())), (m.end(), hi)]
-    return sorted(found, key=lambda m: m.start())
 
-
-def fuzzy_places(joined: bytes, compiled: list[tuple]) -> list[tuple[str, int, int, int, int]]:
+def fuzzy_places(text: str, compiled: tuple) -> list[tuple[str, int, int, int, int]]:
     """(label, start, end, edits, notice length) in characters of the joined words, which begin and end with a blank."""
-    found, text = [], None
-    for notice, label, k, pattern, seeds in compiled:
-        if not any(raw in joined for _, _, raw in seeds):
-            continue
-        text = joined.decode() if text is None else text
-        windows: list[list[int]] = []
-        for lo in sorted(p - at - k - 1 for at, seed, _ in seeds for p in _places(text, seed)):
-            lo, hi = max(0, lo), min(len(text), lo + len(notice) + 2 * k + 2)
-            if windows and lo <= windows[-1][1]:
-                windows[-1][1] = max(windows[-1][1], hi)
-            else:
-                windows.append([lo, hi])
-        for lo, hi in windows:
-            found += [(label, m.start(), m.end(), sum(m.fuzzy_counts), len(notice)) for m in _matches(pattern, text, lo, hi)]
-    return found
+    notices, automaton = compiled
+    windows = {(i, max(0, end + 1 - size - at - notices[i][1] - 1)) for end, uses in automaton.iter(text) for i, at, size in uses}
+    found = set()
+    for i, lo in windows:
+        label, k, n, pattern = notices[i]
+        m = pattern.search(text, lo, min(len(text), lo + n + 3 * k + 2))
+        if m:
+            found.add((label, m.start(), m.end(), sum(m.fuzzy_counts), n))
+    return _settled(sorted(found))
 
 
 _SPANS = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int64())]))
@@ -112,12 +116,14 @@ def _scanner(phrases: dict[str, str], notices: dict[str, str]):
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 joined = b" " + b" ".join(words) + b" "
-                places, base = [], set()
+                starts, base = [], set()
                 for phrase, label in exact:
                     for at in _places(joined, phrase):
-                        places.append(joined.count(b" ", 0, at))
+                        starts.append(at)
                         base.add(label)
-                fuzzy = fuzzy_places(joined, compiled) if words else []
+                # the number of blanks before a phrase is that of its first word
+                places = np.searchsorted(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), starts).tolist() if starts else []
+                fuzzy = fuzzy_places(joined.decode(), compiled) if words else []
                 labels = base | {x[0] for x in fuzzy}
                 score = 1.0 if base else max((1 - e / n for _, _, _, e, n in fuzzy), default=0.0)
                 spans = [dict(zip(("label", "start", "end", "edits"), x)) for x in fuzzy]
@@ -135,7 +141,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
 
     n_base counts all places of all phrases; score is 1 with an exact phrase, else the best 1 - edits / length of a
     notice, else 0.  spans are characters of the lower-cased words joined by blanks, the leading blank counted.  Null and
-    empty texts have no words; repeated rows are scanned each.
+    empty texts have no words; repeated rows are scanned each.  An empty table gives no rows.  A text of any length is
+    scanned whole, in one row.  Other columns, of whatever names, are ignored.
     """
     d = docs.select("doc_id", "text")
     schema = f"doc_id {dict(d.dtypes)['doc_id']}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,edits:long>>"
