@@ -110,7 +110,8 @@ e as (select doc_id, unnest(ls) as line, unnest(range(0, len(ls))) as nr from t)
 c as (select doc_id, line, nr, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as words from e),
 f as (select *, row_number() over (partition by doc_id order by nr) - 1 as pos from c where words > 0),
 cum as (select *, sum(words) over (partition by doc_id order by pos) as upto from f),
-l as (select a.doc_id, a.pos, min(b.pos) - a.pos + 1 as l from cum a join cum b on a.doc_id = b.doc_id and b.pos between a.pos and a.pos + 19 and b.upto - a.upto + a.words >= 20 group by a.doc_id, a.pos),
+l as (select a.doc_id, a.pos, b.pos - a.pos + 1 as l from cum a join cum b on a.doc_id = b.doc_id and b.pos between a.pos and a.pos + 19 and b.upto - a.upto + a.words >= 20
+  and (b.upto - b.words - a.upto + a.words < 20 or b.upto - a.upto < 20)),
 r as (select l.doc_id, l.pos, l.l, string_agg(f.line, chr(10) order by f.pos) as body from l join f on f.doc_id = l.doc_id and f.pos between l.pos and l.pos + l.l - 1 group by all),
 later as (select *, row_number() over (partition by l, body order by doc_id, pos) as copy from r),
 gone as (select distinct doc_id, unnest(range(pos, pos + l)) as pos from later where copy > 1),

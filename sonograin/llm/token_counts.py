@@ -85,6 +85,7 @@ def section_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, rule: str = "m
 
     A section reaches up to and includes its newline.  n_crossing counts the tokens that begin in the section and reach
     into a later one.  Null and empty texts have one empty section without tokens.  Repeated rows are counted each.
+    An empty table gives no rows; a text of any length is encoded whole, in one row; other columns are ignored.
     The vocabulary file must be readable at this path on every executor.
     """
     if rule not in RULES:
