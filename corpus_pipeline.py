@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sonograin.llm import decontaminate, mixing, neardup, quality, sharding
-from sonograin.llm.text import shared_dir
+from sonograin.llm.text import discard, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,14 +36,20 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality_rules), ("simhash_neardup", near_dedup), ("decontamination", decontamination), ("mixing", mix), ("sharding", shard)]
-#: XXH64 fingerprints and certified cutoffs have no DuckDB SQL; tests/llm holds the stages against brute force.
+#: XXH64 fingerprints and certified cutoffs have no DuckDB SQL; tests/llm/test_pipeline.py holds run against composed brute forces.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; each but the last is written to the shared folder and read again.
+
+    A stage's folder goes when the next one is written; the last one written stays, since the result reads it.
+    """
+    docs, folder, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            discard(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
