@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from .functions.calendar import GRAINS
 from .functions.text import match_text
 from .operators import coverage, decisions, eras, evidence, identity, integrity, reconcile, returns, sync, volume
-from .plans import envelope
-from .plans.storage import stored
+from .plans import envelope, reconciliation
 from .sources import history
 from .streaming import plays as streams
 
@@ -163,51 +162,150 @@ register(
 case when event_id % 5 <> 0 then epoch_us(ts) // 1000 end as instant_ms, case when event_id % 3 <> 0 then 'album' end as album from events)
 select event_id, case when reason is null then 'scrobble' else 'malformed' end as kind, reason, instant_ms, album from r""",
 )
-_SPACED = "trim(regexp_replace(regexp_replace(lower(nfc_normalize({0})), '[\\p{{P}}\\p{{S}}]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_SPACED = "trim(regexp_replace(regexp_replace(lower(nfc_normalize({0})), '[\\p{{P}}\\p{{S}}]', '', 'g'), '\\s+', ' ', 'g'))"
 register("f1_match_text_parts", lambda spark, d: history.table(spark, d, "part").select("p_partkey", match_text(F.concat(F.upper("p_name"), F.lit(" - ("), F.col("p_brand"), F.lit(")"))).alias("key")), f"select p_partkey, {_SPACED.format("upper(p_name) || ' - (' || p_brand || ')'")} as key from part")
 register("f1_match_text_documents", lambda spark, d: history.table(spark, d, "documents").select("doc_id", F.sha2(match_text("text"), 256).alias("key_hash")))
-register("f2_fingerprints", lambda spark, d: history.interval_plays(spark, d).select("record_id", evidence.fingerprint("play-v1", at=F.col("stopped_at_ms"), ms=F.col("ms_played"), artist=F.col("artist"), track=F.col("track")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("fingerprints")), f"{_EVIDENCE}, g as (select count(*) as n from plays group by stopped_at_ms, ms_played, artist, track) select n, count(*) as fingerprints from g group by n")
-register(
-    "s4_registration",
-    lambda spark, d: evidence.registration(
-        history.table(spark, d, "part").select(F.col("p_name").alias("path"), F.col("p_type").alias("source_type"), F.col("p_brand").alias("content_sha256")), history.table(spark, d, "part").where("p_partkey % 2 = 0").select(F.concat("p_name", F.lit("/"), "p_type").alias("path"), F.col("p_type").alias("source_type"), F.col("p_brand").alias("content_sha256"))
-    ).groupBy("outcome").agg(F.count("*").alias("n")),
-    """with k as (select distinct p_type as t, p_brand as h from part where p_partkey % 2 = 0) select case when t is null then 'new' else 'known_elsewhere' end as outcome, count(*) as n from part left join k on p_type = t and p_brand = h group by 1""",
-)
+register("f2_fingerprints", lambda spark, d: history.interval_plays(spark, d).select("record_id", evidence.fingerprint("play-v1", at=F.col("stopped_at_ms"), ms=F.col("ms_played"), artist=F.col("artist"), track=F.col("track"), listener=F.col("listener")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("fingerprints")), f"{_EVIDENCE}, g as (select count(*) as n from plays group by stopped_at_ms, ms_played, artist, track, listener) select n, count(*) as fingerprints from g group by n")
+register("f3_overlap_fingerprints", lambda spark, d: history.instant_scrobbles(spark, d).groupBy(evidence.overlap_fingerprint(F.col("instant_ms"), F.col("artist"), F.col("track")).alias("fp")).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("fingerprints")), f"{_EVIDENCE}, g as (select count(*) as n from scrobbles group by instant_ms, artist, track) select n, count(*) as fingerprints from g group by n")
+register("f14_scopes", lambda spark, d: history.table(spark, d, "customer").select("c_custkey", evidence.scope_hash(F.col("c_name")).alias("scope"), evidence.file_locator(F.col("c_name")).alias("locator")), """select c_custkey, sha256('lastfm-sync-scope-v1' || chr(0) || c_name) as scope, 'lastfm/path-' || sha256('lastfm-path-v1' || chr(0) || c_name) || '.json' as locator from customer""")
+
+
+def _files(spark, d, known: bool) -> DataFrame:
+    """Files named by parts: known ones of every second part, of which some have other content, type or size, and some another name."""
+    k = F.col("p_partkey")
+    p = history.table(spark, d, "part")
+    p = p.where("p_partkey % 2 = 0") if known else p
+    return p.select(
+        F.concat(F.when((k % 3 == 0) & F.lit(known), F.lit("old-")).otherwise(F.lit("file-")), k.cast("string")).alias("path"), F.when((k % 10 == 4) & F.lit(known), F.lit("other")).otherwise(F.lit("export")).alias("source_type"),
+        (k + F.when((k % 14 == 6) & F.lit(known), 1).otherwise(0)).alias("byte_size"), F.sha2(F.concat(k.cast("string"), F.when((k % 22 == 8) & F.lit(known), F.lit("x")).otherwise(F.lit(""))), 256).alias("content_sha256"),
+    )
+
+
+register("s4_registration", lambda spark, d: evidence.registration(_files(spark, d, False), _files(spark, d, True)), """with p as (select p_partkey as k from part)
+select 'file-' || k as path, 'export' as source_type, sha256(k::varchar) as content_sha256, case when k % 2 = 1 then 'new' when k % 3 <> 0 then case when k % 22 = 8 then 'changed' when k % 10 = 4 or k % 14 = 6 then 'malformed' else 'known' end
+  when k % 22 = 8 or k % 10 = 4 then 'new' when k % 14 = 6 then 'malformed' else 'known_elsewhere' end as outcome from p""")
+register("v1_missing_files", lambda spark, d: evidence.missing_files(_files(spark, d, True), _files(spark, d, False)), """with p as (select p_partkey as k from part where p_partkey % 2 = 0), f as (select case when k % 3 = 0 then 'old-' else 'file-' end || k as path, case when k % 3 = 0 then 'missing' when k % 14 = 6 then 'size' when k % 22 = 8 then 'content' end as fault from p)
+select * from f where fault is not null""")
+
+
+def _export_files(spark, d) -> DataFrame:
+    """A file of scrobbles for each user: an array, for every third user a wrapper object, for every seventh neither."""
+    e = history.table(spark, d, "events")
+    flat = F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.col("event_type").alias("artist_name"), F.when(F.col("event_id") % 5 != 0, F.lit("t")).otherwise(F.lit("\t")).alias("track_name"), F.lit(None).cast("string").alias("album_name"))
+    inner = F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("date"), F.col("event_type").alias("artist"), F.when(F.col("event_id") % 5 != 0, F.lit("t")).otherwise(F.lit("\t")).alias("track"), F.lit("album").alias("album"), F.lit("rel").alias("albumId"))
+    g = e.groupBy("user_id").agg(F.to_json(F.collect_list(flat)).alias("flat"), F.to_json(F.struct(F.lit("me").alias("user"), F.collect_list(inner).alias("scrobbles"))).alias("wrapped"))
+    return g.select(F.concat(F.lit("user-"), "user_id").alias("file"), F.when(F.col("user_id") % 7 == 0, F.lit("{}")).when(F.col("user_id") % 3 == 0, F.col("wrapped")).otherwise(F.col("flat")).alias("value"))
+
+
+register("s2_export_members", lambda spark, d: evidence.classify_export(_export_files(spark, d)).groupBy("file", "kind", "reason", "album", "release_mbid").agg(F.count("*").alias("n"), F.sum("instant_ms").alias("instants")), """select 'user-' || user_id as file, case when event_id % 5 = 0 then 'malformed' else 'scrobble' end as kind, case when event_id % 5 = 0 then 'invalid_required_text' end as reason,
+case when user_id % 3 = 0 then 'album' end as album, case when user_id % 3 = 0 then 'rel' end as release_mbid, count(*) as n, cast(sum(epoch_us(ts) // 1000) as bigint) as instants from events where user_id % 7 <> 0 group by all""")
+register("s2_file_faults", lambda spark, d: evidence.file_faults(_export_files(spark, d), "scrobbles"), "select distinct 'user-' || user_id as file from events where user_id % 7 = 0")
+register("s9_rejections", lambda spark, d: evidence.rejected(evidence.classify_export(_export_files(spark, d)), "file", "ordinal").groupBy("file", "error_code").agg(F.count("*").alias("n")), "select 'user-' || user_id as file, 'invalid_required_text' as error_code, count(*) as n from events where user_id % 7 <> 0 and event_id % 5 = 0 group by all")
+
+
+def _landed_pages(spark, d) -> DataFrame:
+    """A page of recent tracks for each order, its lines being tracks; line 1 of every fifth order plays now, some miss their time."""
+    l = history.table(spark, d, "lineitem")
+    now = (F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 5 == 0)
+    uts = F.when((F.col("l_partkey") % 17 != 0) & ~now, F.unix_seconds(F.col("l_shipdate").cast("timestamp")).cast("string"))
+    track = F.struct(
+        F.concat(F.lit("Track "), "l_partkey").alias("name"), F.lit("").alias("mbid"), F.struct(F.concat(F.lit("Artist "), "l_suppkey").alias("#text"), F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("a"), "l_suppkey")).otherwise(F.lit("")).alias("mbid")).alias("artist"),
+        F.struct(F.lit(" ").alias("#text"), F.lit("").alias("mbid")).alias("album"), F.when(F.col("l_linenumber") % 2 == 0, F.lit("1")).alias("loved"), F.when(~now, F.struct(uts.alias("uts"))).alias("date"), F.when(now, F.struct(F.lit("true").alias("nowplaying"))).alias("@attr"),
+    )
+    head = F.struct(F.lit("1").alias("page"), F.lit("200").alias("perPage"), F.count("*").cast("string").alias("total"), F.lit("1").alias("totalPages"))
+    return l.groupBy("l_orderkey").agg(F.to_json(F.struct(F.struct(head.alias("@attr"), F.collect_list(track).alias("track")).alias("recenttracks"))).alias("value")).select(F.col("l_orderkey").alias("file"), "value")
+
+
+register("s6_landed_tracks", lambda spark, d: evidence.landed_tracks(_landed_pages(spark, d)).groupBy("file", "now_playing", "fault").agg(F.count("*").alias("n"), F.max("total").alias("total"), F.sum("instant_ms").alias("instants"), F.count("artist_mbid").alias("mbids"), F.count_if("loved").alias("loved"), F.count("album").alias("albums")), """with t as (select l_orderkey as file, l_linenumber = 1 and l_orderkey % 5 = 0 as now_playing, l_partkey % 17 = 0 as bad, l_suppkey, l_linenumber, epoch_us(l_shipdate) // 1000000 * 1000 as ms, count(*) over (partition by l_orderkey) as total from lineitem)
+select file, now_playing, bad and not now_playing as fault, count(*) as n, max(total) as total, cast(sum(case when not bad and not now_playing then ms end) as bigint) as instants, count(case when l_suppkey % 2 = 0 then 1 end) as mbids, count(case when l_linenumber % 2 = 0 then 1 end) as loved, cast(0 as bigint) as albums from t group by file, now_playing, bad and not now_playing""")
 
 # Reconciliation -------------------------------------------------------------------------------------------------------
-_PAIRS = """pr as (select p.record_id as play_id, s.record_id as scrobble_id, ms_played, skipped, stopped_at_ms - ms_played as start_ms, instant_ms, recording_mbid from plays p join scrobbles s
-  on lower(p.artist) = lower(s.artist) and lower(p.track) = replace(lower(s.track), ':', '') and abs(instant_ms - (stopped_at_ms - ms_played)) <= 30000)"""
-_SCORES = """dg as (select *, instant_ms - start_ms as delta_ms, count(*) over (partition by play_id) as play_degree, count(*) over (partition by scrobble_id) as scrobble_degree from pr),
-sc as (select play_id, scrobble_id, delta_ms, play_degree, scrobble_degree, 1 - least(1.0, abs(delta_ms) / 30000) as time_score, greatest(0.0, 1 - abs(delta_ms) / greatest(ms_played, 30000)) as duration_score,
-  1.0 / greatest(play_degree, scrobble_degree)::double as competing_score, case when ms_played >= 30000 and not skipped then 1.0 else 0.0 end as short_score from dg),
-cf as (select *, (0.15 + 0.2 + time_score * 0.15 + duration_score * 0.05 + competing_score * 0.05 + short_score * 0.05) / 0.65 as confidence from sc),
-dc as (select *, case when competing_score <> 1 then 'review' when confidence >= 0.95 then 'accept' when confidence >= 0.7 then 'review' else 'ignore' end as decision from cf)"""
+_IDENTITY = """a1 as (select *, case when artist_mbid is not null then min(record_id) over (partition by artist_mbid) end as strong_artist, case when recording_id is not null then min(record_id) over (partition by recording_id) end as strong_track, first_value(album is not null or release_mbid is not null) over (partition by recording_id order by record_id) as with_release,
+  case when release_mbid is not null then min(record_id) over (partition by release_mbid) end as strong_release from rec),
+src as (select name, min(strong_artist) as alias_artist from a1 group by name having count(distinct strong_artist) = 1), fr as (select name, min(record_id) as fresh_artist from a1 where artist_mbid is null group by name),
+a2 as (select a1.*, alias_artist, coalesce(strong_artist, alias_artist, fresh_artist) as own_artist from a1 left join src using (name) left join fr using (name)),
+cp as (select own_artist, title, album, min(case when with_release = (album is not null) then strong_track end) as low, max(case when with_release = (album is not null) then strong_track end) as high, min(case when recording_id is null then record_id end) as fresh_track from a2 group by all),
+a3 as (select a2.*, low, coalesce(strong_track, case when low = high then low end, fresh_track) as track_id from a2 join cp on a2.own_artist = cp.own_artist and a2.title = cp.title and a2.album is not distinct from cp.album),
+fst as (select track_id, own_artist as artist_id, coalesce(strong_release, case when album is not null then record_id end) as release_id from a3 where track_id = record_id),
+res as (select a3.*, artist_id, release_id, case when recording_id is not null then 'trusted_identifier' when track_id <> record_id then 'conservative_composite' when artist_mbid is not null then 'trusted_identifier' when own_artist <> record_id then 'known_alias' else 'new_unresolved' end as kind from a3 join fst using (track_id))"""
+_MT = "trim(regexp_replace(regexp_replace(lower(nfc_normalize({0})), '[\\p{{P}}\\p{{S}}]', '', 'g'), '\\s+', ' ', 'g'))"
+_PAIRS = f"""rec as (select record_id, {_MT.format("artist")} as name, {_MT.format("track")} as title, {_MT.format("album")} as album, null::varchar as artist_mbid, 'uri:' || track_uri as recording_id, null::varchar as release_mbid from plays
+  union all select record_id, {_MT.format("artist")}, {_MT.format("track")}, {_MT.format("album")}, artist_mbid, 'mbid:' || recording_mbid, null from scrobbles), {_IDENTITY},
+tk as (select distinct t.track_id, n.name as kn, m.title as kt from (select distinct track_id, artist_id from res) t join (select distinct artist_id, name from res) n using (artist_id) join (select distinct track_id, title from res) m using (track_id)),
+tp as (select distinct a.track_id as x, b.track_id as y from tk a join tk b on a.kn = b.kn and a.kt = b.kt),
+pr as (select p.record_id as play_id, s.record_id as scrobble_id, p.listener, ms_played, skipped, stopped_at_ms - ms_played as start_ms, instant_ms, recording_mbid, rp.artist_id as pa, rs.artist_id as sa, rp.track_id as pt, rs.track_id as st, rp.name as pn, rs.name as sn, rp.title as ptt, rs.title as stt, rp.album as pal, rs.album as sal
+  from kp p join res rp on rp.record_id = p.record_id join ks s on s.listener = p.listener and abs(instant_ms - (stopped_at_ms - ms_played)) <= 30000 join res rs on rs.record_id = s.record_id join tp on tp.x = rp.track_id and tp.y = rs.track_id)"""
+_NEAR = """nr as (select a.play_id, a.scrobble_id, b.start_ms as near_start, b.instant_ms as near_instant from pr a join pr b on a.listener = b.listener and a.play_id <> b.play_id and a.scrobble_id <> b.scrobble_id
+  qualify row_number() over (partition by a.play_id, a.scrobble_id order by abs(b.start_ms - a.start_ms), b.play_id, b.scrobble_id) = 1)"""
+_SCORES = _NEAR + """, dg as (select pr.*, near_start, near_instant, instant_ms - start_ms as delta_ms, count(*) over (partition by pr.play_id) as play_degree, count(*) over (partition by pr.scrobble_id) as scrobble_degree from pr left join nr on pr.play_id = nr.play_id and pr.scrobble_id = nr.scrobble_id),
+sc as (select *, case when recording_mbid is not null then case when pt = st then 1.0 else 0.0 end end as identifier_score, case when pn = sn then 1.0 when pa = sa then 0.75 else 0.0 end as artist_score, case when ptt = stt then 1.0 when pt = st then 0.75 else 0.0 end as track_score,
+  case when pal is not null and sal is not null then case when pal = sal then 1.0 else 0.0 end end as album_score, 1 - least(1.0, abs(delta_ms) / 30000) as time_score, greatest(0.0, 1 - abs(delta_ms) / greatest(ms_played, 30000)) as duration_score,
+  case when near_start <> start_ms and near_instant <> instant_ms then case when (near_start > start_ms) = (near_instant > instant_ms) then 1.0 else 0.0 end end as ordering_score,
+  1.0 / greatest(play_degree, scrobble_degree)::double as competing_score, case when ms_played >= 30000 and not coalesce(skipped, false) then 1.0 else 0.0 end as short_score from dg),
+cf as (select *, (coalesce(identifier_score * 0.25, 0) + artist_score::double * 0.15 + track_score::double * 0.2 + coalesce(album_score * 0.1, 0) + time_score * 0.15 + duration_score * 0.05 + coalesce(ordering_score * 0.05, 0) + competing_score * 0.05 + short_score * 0.05)
+  / (0.65 + case when identifier_score is not null then 0.25 else 0 end + case when album_score is not null then 0.1 else 0 end + case when ordering_score is not null then 0.05 else 0 end)::double as confidence from sc),
+dc as (select *, case when identifier_score = 0 then 'review' when competing_score <> 1 then 'review' when confidence >= 0.95 then 'accept' when confidence >= 0.7 then 'review' else 'ignore' end as decision from cf)"""
+
+
+def _sources(spark, d):
+    return history.interval_plays(spark, d), history.instant_scrobbles(spark, d), history.SAME_PLAY, history.SAME_SCROBBLE
+
+
+def _chain(spark, d) -> reconciliation.Reconciled:
+    return reconciliation.reconciled(*_sources(spark, d))
 
 
 def _pairs(spark, d):
-    plays = reconcile.keepers(history.interval_plays(spark, d), "stopped_at_ms", "ms_played", "artist", "track").where("is_keeper")
-    scrobbles = reconcile.keepers(history.instant_scrobbles(spark, d), "instant_ms", "artist", "track", "recording_mbid").where("is_keeper")
-    return reconcile.candidate_pairs(plays, scrobbles)
+    return reconciliation.candidates(*_sources(spark, d))[-1]
 
 
 def _scored(spark, d):
-    pairs = stored(_pairs(spark, d))
-    return reconcile.scored(pairs, reconcile.nearest_independent(pairs))
-
-
-register("r1_candidate_pairs", lambda spark, d: _pairs(spark, d).select("play_id", "scrobble_id", "start_ms", "instant_ms"), f"{_EVIDENCE}, {_PAIRS} select play_id, scrobble_id, start_ms, instant_ms from pr")
-register("r7_scored_pairs", lambda spark, d: _scored(spark, d).select("play_id", "scrobble_id", "delta_ms", "play_degree", "scrobble_degree", F.round("confidence", 9).alias("confidence"), "decision"), f"{_EVIDENCE}, {_PAIRS}, {_SCORES} select play_id, scrobble_id, delta_ms, play_degree, scrobble_degree, round(confidence, 9) as confidence, decision from dc")
-register("r6_nearest_neighbours", lambda spark, d: reconcile.nearest_independent(_pairs(spark, d)), f"""{_EVIDENCE}, {_PAIRS}, m as (select a.play_id, a.scrobble_id, b.start_ms as near_start, b.instant_ms as near_instant, row_number() over (partition by a.play_id, a.scrobble_id order by abs(b.start_ms - a.start_ms), b.play_id, b.scrobble_id) as n
-  from pr a join pr b on a.play_id <> b.play_id and a.scrobble_id <> b.scrobble_id and abs(a.start_ms // 3600000 - b.start_ms // 3600000) <= 1) select play_id, scrobble_id, near_start, near_instant from m where n = 1""")
-register("r6_ordering_scores", lambda spark, d: reconcile.scored(_pairs(spark, d), reconcile.nearest_independent(_pairs(spark, d))).select("play_id", "scrobble_id", "ordering_score", F.round("confidence", 9).alias("confidence"), "decision"))
-register("r10_canonical_events", lambda spark, d: reconcile.canonical_events(history.interval_plays(spark, d), history.instant_scrobbles(spark, d), _scored(spark, d)), f"""{_EVIDENCE}, {_PAIRS}, {_SCORES}, mg as (select play_id, scrobble_id from dc where decision = 'accept'),
-kp as (select * from plays qualify row_number() over (partition by stopped_at_ms, ms_played, artist, track order by record_id) = 1)
-select record_id as event_id, stopped_at_ms - ms_played as started_ms, stopped_at_ms as ended_ms, 'derived_start' as time_basis, case when scrobble_id is null then 'single_source' else 'cross_source_reconciled' end as status, scrobble_id from kp left join mg on record_id = play_id
-union all select record_id, instant_ms, null, 'observed_start', 'single_source', null from scrobbles where record_id not in (select scrobble_id from mg)""")
+    return _chain(spark, d).scores
+
+
+_FEATURES = ["identifier_score", "artist_score", "track_score", "album_score", "time_score", "duration_score", "ordering_score", "competing_score", "short_score"]
+register("r1_candidate_pairs", lambda spark, d: _pairs(spark, d).select("play_id", "scrobble_id", "start_ms", "instant_ms", "reason"), f"{_EVIDENCE}, {_PAIRS} select play_id, scrobble_id, start_ms, instant_ms, case when pt = st then 'shared_track_identity' else 'matching_normalized_artist_track' end as reason from pr")
+register("r7_scored_pairs", lambda spark, d: _scored(spark, d).select("play_id", "scrobble_id", "delta_ms", "play_degree", "scrobble_degree", *(F.round(f, 9).alias(f) for f in _FEATURES), F.round("confidence", 9).alias("confidence"), "decision"), f"{_EVIDENCE}, {_PAIRS}, {_SCORES} select play_id, scrobble_id, delta_ms, play_degree, scrobble_degree, {', '.join(f'round(cast({f} as double), 9) as {f}' for f in _FEATURES)}, round(confidence, 9) as confidence, decision from dc")
+register("r6_nearest_neighbours", lambda spark, d: reconcile.nearest_independent(_pairs(spark, d)), f"{_EVIDENCE}, {_PAIRS}, {_NEAR} select * from nr")
+register("r6_ordering_scores", lambda spark, d: _scored(spark, d).select("play_id", "scrobble_id", "ordering_score", F.round("confidence", 9).alias("confidence"), "decision"), f"{_EVIDENCE}, {_PAIRS}, {_SCORES} select play_id, scrobble_id, cast(ordering_score as double) as ordering_score, round(confidence, 9) as confidence, decision from dc")
+_EVENTS = f"""{_EVIDENCE}, {_PAIRS}, {_SCORES}, mg as (select play_id, scrobble_id from dc where decision = 'accept'),
+ev_all as (select p.record_id as event_id, listener, artist_id, track_id, stopped_at_ms - ms_played as started_ms, stopped_at_ms as ended_ms, 'derived_start' as time_basis, case when kind = 'new_unresolved' then 'unresolved' else 'current' end as event_status, ms_played as listened_ms, scrobble_id
+  from kp p join res on res.record_id = p.record_id left join mg on p.record_id = play_id
+  union all select s.record_id, listener, artist_id, track_id, instant_ms, null, 'observed_start', case when kind = 'new_unresolved' then 'unresolved' else 'current' end, null, null from ks s join res on res.record_id = s.record_id where s.record_id not in (select scrobble_id from mg)),
+dup as (select 'interval' as source, record_id, keeper from pk where record_id <> keeper union all select 'instant', record_id, keeper from sk where record_id <> keeper),
+lk1 as (select event_id, event_id as record_id, case when time_basis = 'derived_start' then 'interval' else 'instant' end as source, 'primary' as role from ev_all union all select event_id, scrobble_id, 'instant', 'cross_source_match' from ev_all where scrobble_id is not null),
+lk as (select * from lk1 union all select event_id, dup.record_id, dup.source, 'exact_duplicate' from dup join lk1 on lk1.record_id = keeper and lk1.source = dup.source),
+bk as (select event_id, count(*) as source_record_count, count(case when source = 'interval' then 1 end) as interval_record_count, count(case when source = 'instant' then 1 end) as instant_record_count from lk group by 1),
+cb as (select ev_all.*, source_record_count, interval_record_count, instant_record_count, interval_record_count > 0 as has_interval, instant_record_count > 0 as has_instant, coalesce(started_ms, ended_ms) as instant_ms,
+  case when event_status = 'unresolved' then 'unresolved' when interval_record_count > 0 and instant_record_count > 0 then 'cross_source_reconciled' else 'single_source' end as status from ev_all join bk using (event_id))"""
+
+
+def _canonical(spark, d):
+    c = _chain(spark, d)
+    return reconcile.canonical_base(c.events, c.links)
+
+
+register("r10_canonical_events", lambda spark, d: _chain(spark, d).events, f"{_EVENTS} select * from ev_all")
+register("r17_links", lambda spark, d: _chain(spark, d).links, f"{_EVENTS} select * from lk")
+register("a1_source_backing", lambda spark, d: reconcile.source_backing(_chain(spark, d).links), f"{_EVENTS} select *, interval_record_count > 0 as has_interval, instant_record_count > 0 as has_instant from bk")
+register("s7_canonical_base", _canonical, f"{_EVENTS} select * from cb")
+register("p11_unprocessed", lambda spark, d: evidence.unprocessed(_both(spark, d), _chain(spark, d).links.where("role != 'exact_duplicate'")), f"{_EVENTS} select 'interval' as source, record_id, stopped_at_ms as at_ms, null as recording_mbid from pk where record_id <> keeper union all select 'instant', record_id, instant_ms, recording_mbid from sk where record_id <> keeper")
+
+
+def _feature_table(spark, d) -> DataFrame:
+    s = _scored(spark, d)
+    k = F.col("play_id")
+    state = F.when(k % 8 == 0, "pending").otherwise("accepted").alias("state")
+    old = s.where(k % 6 != 0).select("play_id", "scrobble_id", F.lit("v1").alias("version"), state, F.lit(0.5).alias("confidence"))
+    other = s.where(k % 10 == 0).select("play_id", "scrobble_id", F.lit("v0").alias("version"), state, F.lit(0.25).alias("confidence"))
+    return reconcile.refreshed_features(old.unionByName(other), s, "v1").withColumn("confidence", F.round("confidence", 9))
+
+
+register("r8_refreshed_features", _feature_table, f"""{_EVIDENCE}, {_PAIRS}, {_SCORES} select play_id, scrobble_id, 'v1' as version, case when play_id % 6 = 0 or play_id % 8 = 0 then 'pending' else 'accepted' end as state, case when play_id % 6 = 0 or play_id % 8 = 0 then round(confidence, 9) else 0.5 end as confidence from dc
+union all select play_id, scrobble_id, 'v0', case when play_id % 8 = 0 then 'pending' else 'accepted' end, 0.25 from dc where play_id % 10 = 0""")
 register("r16_calibration_sample", lambda spark, d: reconcile.stratified_sample(_scored(spark, d), "decision", 20, "calibration-v1").select("play_id", "scrobble_id", "decision", "hash"), f"""{_EVIDENCE}, {_PAIRS}, {_SCORES}, h as (select play_id, scrobble_id, decision, sha256('calibration-v1:' || play_id || ':' || scrobble_id) as hash from dc)
 select * from h qualify row_number() over (partition by decision order by hash, play_id, scrobble_id) <= 20""")
-register("i11_duplicates", lambda spark, d: reconcile.keepers(history.interval_plays(spark, d), "stopped_at_ms", "ms_played", "artist", "track").where("not is_keeper").select("record_id", "keeper"), f"{_EVIDENCE}, k as (select record_id, min(record_id) over (partition by stopped_at_ms, ms_played, artist, track) as keeper from plays) select record_id, keeper from k where record_id <> keeper")
+register("i11_duplicates", lambda spark, d: reconciliation.duplicates_of(*_sources(spark, d)), f"{_EVIDENCE} select 'interval' as source, record_id, keeper from pk where record_id <> keeper union all select 'instant', record_id, keeper from sk where record_id <> keeper")
 register("i9_merge_roots", lambda spark, d: reconcile.merge_roots(history.table(spark, d, "orders").where("o_orderkey % 3 != 0").select(F.col("o_orderkey").alias("subject"), F.floor(F.col("o_orderkey") / 2).alias("object"))), """with recursive m as (select o_orderkey as s, o_orderkey // 2 as o from orders where o_orderkey % 3 <> 0), w as (select s as node, o as root from m union all select node, m.o from w join m on w.root = m.s)
 select node, min(root) as root from w group by node""")
 
@@ -221,7 +319,7 @@ def _both(spark, d) -> DataFrame:
 _BOTH = f"{_EVIDENCE}, u as (select 'interval' as source, record_id, stopped_at_ms as at_ms, null as recording_mbid from plays union all select 'instant', record_id, instant_ms, recording_mbid from scrobbles)"
 register("c1_by_year", lambda spark, d: coverage.by_year(_both(spark, d), "at_ms", TZ), f"{_BOTH} select source, cast(year({_LOCAL.replace('instant_ms', 'at_ms')}) as int) as year, count(*) as n from u group by all")
 register("c2_observed_ranges", lambda spark, d: coverage.observed_ranges(_both(spark, d), "at_ms"), f"{_BOTH} select source, min(at_ms) as first_ms, max(at_ms) as last_ms, count(*) as n from u group by source")
-register("c4_duplicates", lambda spark, d: coverage.duplicate_totals(history.interval_plays(spark, d), "stopped_at_ms", "ms_played", "artist", "track"), f"{_EVIDENCE}, g as (select count(*) as n from plays group by stopped_at_ms, ms_played, artist, track having count(*) > 1) select count(*) as duplicate_groups, cast(coalesce(sum(n - 1), 0) as bigint) as extra_records from g")
+register("c4_duplicates", lambda spark, d: coverage.duplicate_totals(history.interval_plays(spark, d), *history.SAME_PLAY), f"{_EVIDENCE}, g as (select count(*) as n from plays group by listener, stopped_at_ms, ms_played, artist, track, album, track_uri having count(*) > 1) select count(*) as duplicate_groups, cast(coalesce(sum(n - 1), 0) as bigint) as extra_records from g")
 register("c5_missing_fields", lambda spark, d: coverage.missing_fields(_both(spark, d), "recording_mbid", "at_ms"), f"{_BOTH} select f as field, case when f = 'at_ms' then count(*) - count(at_ms) else count(*) - count(recording_mbid) end as missing, count(*) as total, missing / count(*) as rate from u, (select unnest(['recording_mbid', 'at_ms']) as f) group by f")
 
 
@@ -230,7 +328,7 @@ def _by_artist(spark, d):
 
 
 register("c6_long_gaps", lambda spark, d: coverage.long_gaps(_by_artist(spark, d), "instant_ms"), f"{_BASE}, g as (select artist_id as source, lag(instant_ms) over (partition by artist_id order by instant_ms) as from_ms, instant_ms as to_ms from base) select * from g where to_ms - from_ms >= 365 * 86400000::bigint")
-register("c7_backing", lambda spark, d: coverage.backing(QUERIES["r10_canonical_events"](spark, d)), "with ev_all as (" + ORACLES["r10_canonical_events"] + ") select status, count(*) as n from ev_all group by status")
+register("c7_backing", lambda spark, d: coverage.backing(_canonical(spark, d)), f"{_EVENTS} select case when has_interval and has_instant then 'both' when has_interval then 'interval_only' else 'instant_only' end as backing, count(*) as n from cb group by 1")
 register(
     "v_checks",
     lambda spark, d: coverage.violations(
@@ -289,17 +387,10 @@ def _records(spark, d) -> DataFrame:
     )
 
 
-_RESOLVED = """with rec as (select event_id as record_id, 'artist ' || user_id % 50 as name, 'track ' || user_id % 150 as title, case when event_id % 3 > 0 then 'album ' || event_id % 3 end as album,
+_RECORDS = """rec as (select event_id as record_id, 'artist ' || user_id % 50 as name, 'track ' || user_id % 150 as title, case when event_id % 3 > 0 then 'album ' || event_id % 3 end as album,
   case when event_id % 4 = 0 then case when user_id % 50 < 10 then 'a' || user_id % 50 when user_id % 50 < 20 then 'a' || user_id % 100 end end as artist_mbid,
-  case when event_id % 5 = 0 then 'r' || user_id % 300 end as recording_id, case when event_id % 7 = 0 then 'rel' || event_id % 3 end as release_mbid from events),
-a1 as (select *, case when artist_mbid is not null then min(record_id) over (partition by artist_mbid) end as strong_artist, case when recording_id is not null then min(record_id) over (partition by recording_id) end as strong_track, first_value(album is not null or release_mbid is not null) over (partition by recording_id order by record_id) as with_release,
-  case when release_mbid is not null then min(record_id) over (partition by release_mbid) end as strong_release from rec),
-src as (select name, min(strong_artist) as alias_artist from a1 group by name having count(distinct strong_artist) = 1), fr as (select name, min(record_id) as fresh_artist from a1 where artist_mbid is null group by name),
-a2 as (select a1.*, alias_artist, coalesce(strong_artist, alias_artist, fresh_artist) as own_artist from a1 left join src using (name) left join fr using (name)),
-cp as (select own_artist, title, album, min(case when with_release = (album is not null) then strong_track end) as low, max(case when with_release = (album is not null) then strong_track end) as high, min(case when recording_id is null then record_id end) as fresh_track from a2 group by all),
-a3 as (select a2.*, low, coalesce(strong_track, case when low = high then low end, fresh_track) as track_id from a2 join cp on a2.own_artist = cp.own_artist and a2.title = cp.title and a2.album is not distinct from cp.album),
-fst as (select track_id, own_artist as artist_id, coalesce(strong_release, case when album is not null then record_id end) as release_id from a3 where track_id = record_id),
-res as (select a3.*, artist_id, release_id, case when recording_id is not null then 'trusted_identifier' when track_id <> record_id then 'conservative_composite' when artist_mbid is not null then 'trusted_identifier' when own_artist <> record_id then 'known_alias' else 'new_unresolved' end as kind from a3 join fst using (track_id))"""
+  case when event_id % 5 = 0 then 'r' || user_id % 300 end as recording_id, case when event_id % 7 = 0 then 'rel' || event_id % 3 end as release_mbid from events)"""
+_RESOLVED = f"with {_RECORDS}, {_IDENTITY}"
 register("i3_resolved", lambda spark, d: identity.resolved(_records(spark, d)).drop("conflicts"), f"{_RESOLVED} select record_id, artist_id, track_id, release_id, kind from res")
 register("i6_conflicts", lambda spark, d: identity.conflicts(identity.resolved(_records(spark, d))), f"""{_RESOLVED} select record_id, 'artist' as entity_type, strong_artist as strong_id, alias_artist as other_id from res where strong_artist <> alias_artist
 union select record_id, 'track', strong_track, low from res where strong_track <> low union select record_id, 'artist', artist_id, own_artist from res where artist_id <> own_artist union select record_id, 'release', strong_release, release_id from res where strong_release <> release_id""")
@@ -366,7 +457,8 @@ def _references(spark, d) -> DataFrame:
 register("r15_review_export", lambda spark, d: decisions.review_export(_scored(spark, d), _references(spark, d)).withColumn("confidence", F.round("confidence", 9)), f"""{_EVIDENCE}, {_PAIRS}, {_SCORES} select 'interval' as play_kind, sha256('file-' || play_id % 4) as play_file_sha256, play_id // 4 as play_ordinal,
 'instant' as scrobble_kind, sha256('file-' || scrobble_id % 4) as scrobble_file_sha256, scrobble_id // 4 as scrobble_ordinal, decision, round(confidence, 9) as confidence from dc""")
 register("c9_unresolved", lambda spark, d: coverage.unresolved(history.canonical_base(spark, d)), f"{_BASE} select count(*) as events, cast(coalesce(sum(case when event_status = 'unresolved' then 1 else 0 end), 0) as bigint) as unresolved, coalesce(unresolved / nullif(count(*), 0), 0) as rate from base")
-register("c10_overlap_by_year", lambda spark, d: coverage.overlap_by_year(QUERIES["r10_canonical_events"](spark, d), "started_ms", TZ), "with ev_all as (" + ORACLES["r10_canonical_events"] + f") select cast(year({_LOCAL.replace('instant_ms', 'started_ms')}) as int) as year, count(*) as n from ev_all where status = 'cross_source_reconciled' group by 1")
+register("c10_overlap_by_year", lambda spark, d: coverage.overlap_by_year(_canonical(spark, d), "started_ms", TZ), f"{_EVENTS} select cast(year({_LOCAL.replace('instant_ms', 'started_ms')}) as int) as year, count(*) as n from cb where status = 'cross_source_reconciled' group by 1")
+register("c11_input_files", lambda spark, d: coverage.input_files(_references(spark, d).withColumnRenamed("kind", "source")), f"{_BOTH} select source, sha256('file-' || record_id % 4) as file_sha256, count(*) as records from u group by all order by 1, 2")
 
 
 # Integrity ------------------------------------------------------------------------------------------------------------
@@ -406,28 +498,23 @@ def _damaged_prints(spark, d) -> DataFrame:
 register("v8_stored_fingerprints", _damaged_prints, f"{_EVIDENCE} select record_id from plays where record_id % 9 = 0 or record_id % 25 = 0")
 
 
-def _links(spark, d) -> DataFrame:
-    """event_id, record_id, source of the canonical events: each event's own record, merged scrobbles, and exact duplicates under their keeper."""
-    e = QUERIES["r10_canonical_events"](spark, d)
-    own = e.select("event_id", F.col("event_id").alias("record_id"), F.when(F.col("time_basis") == "derived_start", "interval").otherwise("instant").alias("source"))
-    merged = e.where("scrobble_id is not null").select("event_id", F.col("scrobble_id").alias("record_id"), F.lit("instant").alias("source"))
-    again = QUERIES["i11_duplicates"](spark, d).select(F.col("keeper").alias("event_id"), "record_id", F.lit("interval").alias("source"))
-    return own.unionByName(merged).unionByName(again)
-
-
-_LINKS = f"""with ev_all as ({ORACLES['r10_canonical_events']}), dup as ({ORACLES['i11_duplicates']}), lk as (select event_id, event_id as record_id, case when time_basis = 'derived_start' then 'interval' else 'instant' end as source from ev_all
-union all select event_id, scrobble_id, 'instant' from ev_all where scrobble_id is not null union all select keeper, record_id, 'interval' from dup), gone as (select * from lk where record_id % 37 <> 0)"""
 register(
-    "v15_link_faults", lambda spark, d: integrity.link_faults(_both(spark, d).where("record_id % 41 != 0"), _links(spark, d).where("record_id % 37 != 0")),
-    f"""{_LINKS}, rc as (select record_id from lk where record_id % 41 <> 0) select record_id, 'unlinked' as fault from (select distinct record_id from rc) where record_id not in (select record_id from gone)
+    "v15_link_faults", lambda spark, d: integrity.link_faults(_both(spark, d).where("record_id % 41 != 0"), _chain(spark, d).links.where("record_id % 37 != 0")),
+    f"""{_EVENTS}, gone as (select * from lk where record_id % 37 <> 0), rc as (select record_id from lk where record_id % 41 <> 0) select record_id, 'unlinked' as fault from (select distinct record_id from rc) where record_id not in (select record_id from gone)
 union all select record_id, 'shared' from gone where record_id % 41 <> 0 group by 1 having count(distinct event_id) > 1 union all select distinct record_id, 'dangling' from gone where record_id % 41 = 0""",
 )
-register(
-    "v16_event_faults", lambda spark, d: integrity.event_faults(QUERIES["r10_canonical_events"](spark, d).withColumn("ended_ms", F.when(F.col("event_id") % 43 == 0, F.col("started_ms") - 1).when(F.col("event_id") % 47 != 0, F.col("ended_ms"))), _links(spark, d).where("record_id % 37 != 0")),
-    f"""{_LINKS}, h as (select event_id, count(distinct source) as s from gone group by 1), e as (select ev_all.event_id, started_ms, case when ev_all.event_id % 43 = 0 then started_ms - 1 when ev_all.event_id % 47 <> 0 then ended_ms end as ended_ms, time_basis, status, s from ev_all left join h on h.event_id = ev_all.event_id)
-select event_id, 'no_evidence' as fault from e where s is null union all select event_id, 'status' from e where (status = 'cross_source_reconciled') <> (s > 1)
-union all select event_id, 'basis' from e where time_basis = 'derived_start' and ended_ms is null union all select event_id, 'order' from e where ended_ms < started_ms""",
-)
+
+
+def _event_faults(spark, d):
+    c = _chain(spark, d)
+    e = reconcile.canonical_base(c.events, c.links).withColumn("ended_ms", F.when(F.col("event_id") % 43 == 0, F.col("started_ms") - 1).when(F.col("event_id") % 47 != 0, F.col("ended_ms")))
+    return integrity.event_faults(e, c.links.where("record_id % 37 != 0"))
+
+
+register("v16_event_faults", _event_faults, f"""{_EVENTS}, gone as (select * from lk where record_id % 37 <> 0), h as (select event_id, count(distinct source) as s from gone group by 1),
+e as (select cb.event_id, started_ms, case when cb.event_id % 43 = 0 then started_ms - 1 when cb.event_id % 47 <> 0 then ended_ms end as ended_ms, time_basis, status, s from cb left join h on h.event_id = cb.event_id)
+select event_id, 'no_evidence' as fault from e where s is null union all select event_id, 'status' from e where status <> 'unresolved' and (status = 'cross_source_reconciled') <> (s > 1)
+union all select event_id, 'basis' from e where time_basis = 'derived_start' and ended_ms is null union all select event_id, 'order' from e where ended_ms < started_ms""")
 register(
     "v18_supersession_faults",
     lambda spark, d: integrity.supersession_faults(history.table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), F.when(F.col("o_orderkey") % 3 == 0, "superseded").otherwise("active").alias("state"), F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderkey") * 2).when(F.col("o_orderkey") % 7 == 0, F.col("o_orderkey")).when(F.col("o_orderkey") % 3 == 0, F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") + 1)).alias("superseded_by"))),
@@ -457,15 +544,23 @@ select s as scope, page from q where not (tp = (total + 1) // 2 and r = case whe
 
 # Totals, baseline, cross-checks and streaming forms -----------------------------------------------------------------
 def _outcomes(spark, d) -> DataFrame:
-    plays = reconcile.keepers(history.interval_plays(spark, d), "stopped_at_ms", "ms_played", "artist", "track")
+    plays = reconcile.keepers(history.interval_plays(spark, d), *history.SAME_PLAY)
+    scrobbles = reconcile.keepers(history.instant_scrobbles(spark, d), *history.SAME_SCROBBLE)
     kind = F.when(F.col("record_id") % 7 == 0, "rejected").when(F.col("record_id") % 11 == 0, "excluded").otherwise("accepted").alias("kind")
-    return plays.select(F.lit("interval").alias("source"), kind, "is_keeper").unionByName(history.instant_scrobbles(spark, d).select(F.lit("instant").alias("source"), kind, F.lit(True).alias("is_keeper")))
+    return plays.select(F.lit("interval").alias("source"), kind, "is_keeper").unionByName(scrobbles.select(F.lit("instant").alias("source"), kind, "is_keeper"))
 
 
-register("c12_totals", lambda spark, d: coverage.outcome_totals(_outcomes(spark, d)), f"""{_EVIDENCE}, a as (select 'interval' as source, record_id, row_number() over (partition by stopped_at_ms, ms_played, artist, track order by record_id) > 1 as again from plays union all select 'instant', record_id, false from scrobbles),
+register("c12_totals", lambda spark, d: coverage.outcome_totals(_outcomes(spark, d)), f"""{_EVIDENCE}, a as (select 'interval' as source, record_id, record_id <> keeper as again from pk union all select 'instant', record_id, record_id <> keeper from sk),
 k as (select source, again, case when record_id % 7 = 0 then 'rejected' when record_id % 11 = 0 then 'excluded' else 'accepted' end as kind from a)
 select source, count(case when kind = 'accepted' then 1 end) as accepted, count(case when kind = 'accepted' and again then 1 end) as duplicates, count(case when kind = 'excluded' then 1 end) as excluded, count(case when kind = 'rejected' then 1 end) as rejected, count(*) as total from k group by rollup(source)""")
-register("c8_merge_counts", lambda spark, d: coverage.merge_counts(QUERIES["r10_canonical_events"](spark, d), QUERIES["i11_duplicates"](spark, d)), f"""with ev_all as ({ORACLES['r10_canonical_events']}), dup as ({ORACLES['i11_duplicates']}), x as (select count(distinct event_id) as ce, count(scrobble_id) as cl from ev_all where status = 'cross_source_reconciled')
+
+
+def _merge_counts(spark, d):
+    c = _chain(spark, d)
+    return coverage.merge_counts(reconcile.canonical_base(c.events, c.links), c.duplicates)
+
+
+register("c8_merge_counts", _merge_counts, f"""{_EVENTS}, x as (select count(distinct event_id) as ce, count(scrobble_id) as cl from cb where status = 'cross_source_reconciled')
 select count(distinct keeper) as duplicate_events, count(*) as duplicate_links, any_value(ce) as cross_events, any_value(cl) as cross_links from x left join dup on true""")
 register(
     "c13_baseline", lambda spark, d: coverage.baseline_differences(_both(spark, d).groupBy(F.col("source").alias("metric")).agg(F.count("*").alias("actual")), history.table(spark, d, "events").groupBy(F.when(F.col("event_id") % 3 == 0, "interval").when(F.col("event_id") % 3 == 1, "instant").otherwise("pages").alias("metric")).agg(F.count("*").alias("expected"))),

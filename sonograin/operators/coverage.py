@@ -47,8 +47,14 @@ def long_gaps(records: DataFrame, instant: str, days: int = 365) -> DataFrame:
 
 
 def backing(events: DataFrame) -> DataFrame:
-    """status, n of canonical events."""
-    return events.groupBy("status").agg(F.count("*").alias("n"))
+    """backing (interval_only, instant_only, both), n of canonical events with has_interval and has_instant."""
+    kind = F.when(F.col("has_interval") & F.col("has_instant"), "both").when(F.col("has_interval"), "interval_only").otherwise("instant_only")
+    return events.groupBy(kind.alias("backing")).agg(F.count("*").alias("n"))
+
+
+def input_files(records: DataFrame) -> DataFrame:
+    """source, file_sha256, records: the files that evidence comes from, in the order of source and hash."""
+    return records.groupBy("source", "file_sha256").agg(F.count("*").alias("records")).orderBy("source", "file_sha256")
 
 
 def unresolved(events: DataFrame) -> DataFrame:

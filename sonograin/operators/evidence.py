@@ -5,21 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import blank
+
 # The names of the accepted fields, their order of checks and the reason codes belong to the input format.
 MARKERS = ["episode_name", "episode_show_name", "spotify_episode_uri", "audiobook_title", "audiobook_uri", "audiobook_chapter_uri", "audiobook_chapter_title"]
 TEXTS = ["master_metadata_album_artist_name", "master_metadata_album_album_name", "master_metadata_track_name", "reason_start", "reason_end"]
 BOOLEANS = ["skipped", "offline"]
+INSTANT = {n: n for n in ("timestamp", "artist_name", "track_name", "album_name", "artist_musicbrainz_id", "release_musicbrainz_id", "recording_musicbrainz_id", "loved")}
+#: The same fields by their names inside a wrapper object; others don't occur there.
+WRAPPED = {"timestamp": "date", "artist_name": "artist", "track_name": "track", "album_name": "album", "release_musicbrainz_id": "albumId"}
+MOST = (1 << 53) - 1
 TRACK_URI = "^spotify:track:[A-Za-z0-9]{22}$"
 UTC = "^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}(\\.\\d{1,3})?Z$"
 
 
-def json_members(spark: SparkSession, path: str, pattern: str = "*.json", wrapper: str | None = None) -> DataFrame:
-    """file, ordinal, record (VARIANT) for each member of the JSON arrays in the files; with ``wrapper`` the array may be that field of an object."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
-    array = F.expr("try_variant_get(v, '$', 'array<variant>')")
+def json_texts(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """file, value: whole files."""
+    return spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+
+
+def json_members(texts: DataFrame, wrapper: str | None = None) -> DataFrame:
+    """file, ordinal, record (VARIANT), wrapped for each member of the JSON arrays in texts (file, value).
+
+    With ``wrapper`` the array may be that field of an object instead.  Anything else in a file gives no rows.
+    """
+    raw = texts.select("file", F.try_parse_json("value").alias("v")).select("file", "v", F.expr("try_variant_get(v, '$', 'array<variant>')").alias("root"))
     if wrapper:
-        array = F.coalesce(array, F.expr(f"try_variant_get(v, '$.{wrapper}', 'array<variant>')"))
-    return raw.select("file", F.posexplode(array).alias("ordinal", "record"))
+        inner = F.when(F.col("root").isNull(), F.expr(f"try_variant_get(v, '$.{wrapper}', 'array<variant>')"))
+    else:
+        inner = F.lit(None).cast("array<variant>")
+    return raw.select("file", F.posexplode(F.coalesce("root", inner)).alias("ordinal", "record"), F.col("root").isNull().alias("wrapped"))
+
+
+def file_faults(texts: DataFrame, wrapper: str | None = None) -> DataFrame:
+    """file: those that hold no such array."""
+    v = F.try_parse_json("value")
+    found = texts.select("file", v.alias("v"))
+    inner = F.expr(f"try_variant_get(v, '$.{wrapper}', 'array<variant>') is null") if wrapper else F.lit(True)
+    return found.where(F.expr("try_variant_get(v, '$', 'array<variant>') is null") & inner).select("file")
 
 
 def utc_millis(c: Column) -> Column:
@@ -40,27 +63,29 @@ def _of(name: str, kind: str) -> Column:
     return F.expr(f"try_variant_get(record, '$.{name}', '{kind}')")
 
 
-def _blank(c: Column) -> Column:
-    return F.coalesce(F.trim(c) == "", F.lit(True))
+def _whole(name: str) -> Column:
+    """A number without fraction, however it is written, that a double holds exactly; else null."""
+    d = _of(name, "double")
+    return F.when(_kind(name).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$") & (d == F.floor(d)) & (F.abs(d) <= MOST), d.cast("long"))
 
 
 def classify_interval(members: DataFrame) -> DataFrame:
     """Adds kind (track, excluded, malformed) and reason to members, with the allowed fields only; the first failing check names the reason."""
     wrong = lambda names, kind: F.coalesce(*(F.when(~_absent(n) & (_kind(n) != kind), F.lit(True)) for n in names), F.lit(False))
     ts = F.when(_kind("ts") == "STRING", utc_millis(_of("ts", "string")))
-    played = F.when(_kind("ms_played") == "BIGINT", _of("ms_played", "bigint"))
+    played = _whole("ms_played")
     bad_shuffle = _absent("shuffle") | (_kind("shuffle") != "BOOLEAN")
-    bad_offline = ~_absent("offline_timestamp") & ((_kind("offline_timestamp") != "BIGINT") | F.coalesce(_of("offline_timestamp", "bigint") < 0, F.lit(False)))
-    marked = F.coalesce(*(F.when(~_blank(_of(n, "string")), F.lit(True)) for n in MARKERS), F.lit(False))
+    bad_offline = ~_absent("offline_timestamp") & (F.coalesce(_whole("offline_timestamp") < 0, F.lit(True)))
+    marked = F.coalesce(*(F.when(~blank(_of(n, "string")), F.lit(True)) for n in MARKERS), F.lit(False))
     reason = (
         F.when(~F.expr("schema_of_variant(record) like 'OBJECT%'"), "invalid_record")
         .when(ts.isNull(), "invalid_timestamp")
-        .when(played.isNull() | (played < 0) | (played > (1 << 53) - 1), "invalid_duration")
+        .when(played.isNull() | (played < 0), "invalid_duration")
         .when(ts - played < 0, "invalid_time_arithmetic")
         .when(wrong(["spotify_track_uri", *MARKERS, *TEXTS], "STRING") | wrong(BOOLEANS, "BOOLEAN") | bad_offline | bad_shuffle, "invalid_field_type")
         .when(_absent("spotify_track_uri"), F.when(marked, "episode_or_audiobook").otherwise("video_or_unsupported"))
         .when(~_of("spotify_track_uri", "string").rlike(TRACK_URI), "invalid_track_uri")
-        .when(_blank(_of("master_metadata_album_artist_name", "string")) | _blank(_of("master_metadata_track_name", "string")), "invalid_track_metadata")
+        .when(blank(_of("master_metadata_album_artist_name", "string")) | blank(_of("master_metadata_track_name", "string")), "invalid_track_metadata")
     )
     kind = F.when(reason.isNull(), "track").when(reason.isin("episode_or_audiobook", "video_or_unsupported"), "excluded").otherwise("malformed")
     keep = [c for c in members.columns if c != "record"]
@@ -70,22 +95,78 @@ def classify_interval(members: DataFrame) -> DataFrame:
     )
 
 
-def classify_instant(members: DataFrame) -> DataFrame:
-    """Adds kind (scrobble, malformed) and reason; blank optional text becomes null."""
-    at = F.when(_kind("timestamp") == "BIGINT", _of("timestamp", "bigint"))
-    optional = ["album_name", "artist_musicbrainz_id", "release_musicbrainz_id", "recording_musicbrainz_id"]
+def classify_instant(members: DataFrame, names: dict[str, str] = INSTANT) -> DataFrame:
+    """Adds kind (scrobble, malformed) and reason; blank optional text becomes null.  names: the records' own names of the fields."""
+    field = lambda n: names.get(n, n)
+    there = lambda n: n in names
+    at = _whole(field("timestamp"))
+    optional = [n for n in ("album_name", "artist_musicbrainz_id", "release_musicbrainz_id", "recording_musicbrainz_id") if there(n)]
     need = ["artist_name", "track_name"]
-    bad = F.coalesce(*(F.when(~_absent(n) & (_kind(n) != "STRING"), F.lit(True)) for n in optional), F.when(~_absent("loved") & (_kind("loved") != "BOOLEAN"), F.lit(True)), F.lit(False))
+    no = F.lit(None).cast("boolean")
+    wrong = [F.when(~_absent(field(n)) & (_kind(field(n)) != "STRING"), F.lit(True)) for n in optional]
+    wrong.append(F.when(~_absent("loved") & (_kind("loved") != "BOOLEAN"), F.lit(True)) if there("loved") else no)
     reason = (
         F.when(~F.expr("schema_of_variant(record) like 'OBJECT%'"), "invalid_record")
-        .when(at.isNull() | (at < 0) | (at > (1 << 53) - 1), "invalid_timestamp")
-        .when(F.coalesce(*(F.when(_absent(n) | (_kind(n) != "STRING"), F.lit(True)) for n in need), F.lit(False)), "invalid_field_type")
-        .when(_blank(_of("artist_name", "string")) | _blank(_of("track_name", "string")), "invalid_required_text")
-        .when(bad, "invalid_field_type")
+        .when(at.isNull() | (at < 0), "invalid_timestamp")
+        .when(F.coalesce(*(F.when(_absent(field(n)) | (_kind(field(n)) != "STRING"), F.lit(True)) for n in need), F.lit(False)), "invalid_field_type")
+        .when(blank(_of(field("artist_name"), "string")) | blank(_of(field("track_name"), "string")), "invalid_required_text")
+        .when(F.coalesce(*wrong, F.lit(False)), "invalid_field_type")
     )
-    text = lambda n: F.when(~_blank(_of(n, "string")), _of(n, "string"))
+    text = lambda n: F.when(~blank(_of(field(n), "string")), _of(field(n), "string")) if there(n) else F.lit(None).cast("string")
     keep = [c for c in members.columns if c != "record"]
-    return members.select(*keep, F.when(reason.isNull(), "scrobble").otherwise("malformed").alias("kind"), reason.alias("reason"), at.alias("instant_ms"), _of("artist_name", "string").alias("artist"), _of("track_name", "string").alias("track"), text("album_name").alias("album"), text("recording_musicbrainz_id").alias("recording_mbid"))
+    return members.select(
+        *keep, F.when(reason.isNull(), "scrobble").otherwise("malformed").alias("kind"), reason.alias("reason"), at.alias("instant_ms"), _of(field("artist_name"), "string").alias("artist"), _of(field("track_name"), "string").alias("track"),
+        text("album_name").alias("album"), text("artist_musicbrainz_id").alias("artist_mbid"), text("release_musicbrainz_id").alias("release_mbid"), text("recording_musicbrainz_id").alias("recording_mbid"),
+    )
+
+
+def classify_export(texts: DataFrame) -> DataFrame:
+    """classify_instant over files of either form: an array, or an object whose ``scrobbles`` is one with names of its own."""
+    members = json_members(texts, "scrobbles")
+    return classify_instant(members.where("not wrapped")).unionByName(classify_instant(members.where("wrapped"), WRAPPED)).drop("wrapped")
+
+
+# The form of a landed page of recent tracks.
+_PAGE = "recenttracks struct<`@attr`:struct<page:string,perPage:string,total:string,totalPages:string>,track:array<struct<name:string,mbid:string,artist:struct<`#text`:string,mbid:string>,album:struct<`#text`:string,mbid:string>,loved:string,date:struct<uts:string>,`@attr`:struct<nowplaying:string>>>>"
+
+
+def landed_tracks(pages: DataFrame) -> DataFrame:
+    """file, page, per_page, total, total_pages, now_playing, at, artist, track, album, ids, loved, instant_ms, fault of landed pages (file, value).
+
+    One row per track; the one that is playing now has no instant and is marked.  fault tells of a track without an artist,
+    a name or a whole number of seconds.
+    """
+    p = pages.select("file", F.from_json("value", _PAGE).alias("j")).select("file", "j.recenttracks.*")
+    number = lambda c: F.when(c.rlike("^[0-9]{1,15}$"), c.cast("long"))
+    attr = lambda n: number(F.col("`@attr`")[n])
+    t = p.select("file", attr("page").alias("page"), attr("perPage").alias("per_page"), attr("total").alias("total"), attr("totalPages").alias("total_pages"), F.posexplode("track").alias("at", "t"))
+    text = lambda c: F.when(~blank(c), c)
+    now = F.coalesce(F.col("t")["@attr"]["nowplaying"] == "true", F.lit(False))
+    seconds = number(F.col("t.date.uts"))
+    t = t.select(
+        "file", "page", "per_page", "total", "total_pages", "at", now.alias("now_playing"), text(F.col("t.artist")["#text"]).alias("artist"), text(F.col("t.name")).alias("track"), text(F.col("t.album")["#text"]).alias("album"),
+        text(F.col("t.artist.mbid")).alias("artist_mbid"), text(F.col("t.album.mbid")).alias("release_mbid"), text(F.col("t.mbid")).alias("recording_mbid"), (F.col("t.loved") == "1").alias("loved"), F.when(~now, ms_of_seconds(seconds)).alias("instant_ms"),
+    )
+    return t.withColumn("fault", ~F.col("now_playing") & (F.col("artist").isNull() | F.col("track").isNull() | F.col("instant_ms").isNull()))
+
+
+def ms_of_seconds(c: Column) -> Column:
+    return c * 1000
+
+
+def seconds_of_ms(c: Column) -> Column:
+    """Whole seconds, rounded down, as a page's lower bound wants them."""
+    return F.floor(c / 1000).cast("long")
+
+
+def scope_hash(user: Column) -> Column:
+    """A one-way name for an account."""
+    return F.sha2(F.concat(F.lit("lastfm-sync-scope-v1\u0000"), user), 256)
+
+
+def file_locator(path: Column) -> Column:
+    """A name for a file that doesn't give its path away."""
+    return F.concat(F.lit("lastfm/path-"), F.sha2(F.concat(F.lit("lastfm-path-v1\u0000"), path), 256), F.lit(".json"))
 
 
 def outcome_counts(classified: DataFrame) -> DataFrame:
@@ -99,15 +180,61 @@ def fingerprint(version: str, **fields: Column) -> Column:
     return F.sha2(F.concat(F.lit(version + "\n"), F.to_json(named, {"ignoreNullFields": "false"})), 256)
 
 
+def overlap_fingerprint(at: Column, artist: Column, track: Column) -> Column:
+    """Of artist, track and instant alone, equal for exported and fetched evidence of one listen."""
+    return fingerprint("overlap-v1", artist=artist, at=at, track=track)
+
+
 def file_registry(spark: SparkSession, path: str) -> DataFrame:
     """path, byte_size, content_sha256 of exact bytes."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("content_sha256"))
 
 
 def registration(found: DataFrame, known: DataFrame) -> DataFrame:
-    """path, content_sha256, outcome of files (path, source_type, content_sha256) against a registry of the same columns: new, known, known_elsewhere or conflict."""
-    k = known.select(F.col("path").alias("_p"), F.col("content_sha256").alias("_h")).dropDuplicates(["_p"])
-    h = known.select(F.col("source_type").alias("_t"), F.col("content_sha256").alias("_g")).distinct()
+    """path, source_type, content_sha256, outcome of files (path, source_type, byte_size, content_sha256) against a registry of the same columns.
+
+    changed: a known path has other content; malformed: the known file has another type or size; known; known_elsewhere:
+    this type and content are there under another path; new.  Paths are registered once, and so are contents of a type.
+    """
+    found = found.distinct()
+    k = known.groupBy(F.col("path").alias("_p")).agg(F.min(F.struct("content_sha256", "source_type", "byte_size")).alias("k"))
+    h = known.groupBy(F.col("source_type").alias("_t"), F.col("content_sha256").alias("_g")).agg(F.min("byte_size").alias("_size"))
     j = found.join(k, found["path"] == k["_p"], "left").join(h, (found["source_type"] == h["_t"]) & (found["content_sha256"] == h["_g"]), "left")
-    outcome = F.when(F.col("_h") == F.col("content_sha256"), "known").when(F.col("_h").isNotNull(), "conflict").when(F.col("_g").isNotNull(), "known_elsewhere").otherwise("new")
+    outcome = (
+        F.when(F.col("k.content_sha256") != F.col("content_sha256"), "changed")
+        .when(F.col("k").isNotNull(), F.when((F.col("k.source_type") != F.col("source_type")) | (F.col("k.byte_size") != F.col("byte_size")), "malformed").otherwise("known"))
+        .when(F.col("_g").isNotNull(), F.when(F.col("_size") != F.col("byte_size"), "malformed").otherwise("known_elsewhere"))
+        .otherwise("new")
+    )
     return j.select("path", "source_type", "content_sha256", outcome.alias("outcome"))
+
+
+def missing_files(registry: DataFrame, found: DataFrame) -> DataFrame:
+    """path, fault of registered files (path, byte_size, content_sha256) that are missing or changed by now."""
+    f = found.select(F.col("path").alias("_p"), F.col("byte_size").alias("_size"), F.col("content_sha256").alias("_hash"))
+    j = registry.join(f, registry["path"] == f["_p"], "left")
+    fault = F.when(F.col("_p").isNull(), "missing").when(F.col("_size") != F.col("byte_size"), "size").when(F.col("_hash") != F.col("content_sha256"), "content")
+    return j.select("path", fault.alias("fault")).where("fault is not null")
+
+
+def accepted(classified: DataFrame, kind: str) -> DataFrame:
+    """The rows to append as evidence; exact duplicates stay rows of their own."""
+    return classified.where(F.col("kind") == kind).drop("kind", "reason")
+
+
+def rejected(classified: DataFrame, *provenance: str) -> DataFrame:
+    """Where a rejected record stood and the code of its reason, nothing of what it held."""
+    return classified.where("kind = 'malformed'").select(*provenance, F.col("reason").alias("error_code"))
+
+
+def append_evidence(classified: DataFrame, kind: str, path: str, *provenance: str) -> None:
+    """Append accepted rows to path/accepted and rejections to path/rejected."""
+    accepted(classified, kind).write.mode("append").parquet(f"{path}/accepted")
+    rejected(classified, *provenance).write.mode("append").parquet(f"{path}/rejected")
+
+
+def unprocessed(evidence: DataFrame, *done: DataFrame, key: str = "record_id") -> DataFrame:
+    """Evidence that none of ``done`` knows by key."""
+    for d in done:
+        evidence = evidence.join(d.select(key).distinct(), key, "left_anti")
+    return evidence

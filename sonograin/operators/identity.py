@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import match_text
+from ..functions.text import match_text, with_match_text
 from ..plans.storage import stored
 from .reconcile import merge_roots
 
@@ -41,8 +41,8 @@ def resolved(records: DataFrame, manual_aliases: DataFrame | None = None) -> Dat
     Names without match text are never compared: each such record stands for itself.  conflicts holds
     (entity_type, strong_id, other_id).
     """
-    keys = [match_text(F.col(c)).alias(f"{c}_key") for c in ("artist", "track", "album")]
-    r = stored(records.select("record_id", "artist_mbid", "recording_id", "release_mbid", F.col("album").isNotNull().alias("has_album"), *keys))
+    named = with_match_text(records, artist_key="artist", track_key="track", album_key="album")
+    r = stored(named.select("record_id", "artist_mbid", "recording_id", "release_mbid", F.col("album").isNotNull().alias("has_album"), "artist_key", "track_key", "album_key"))
     r = r.withColumn("name", F.when(F.col("track_key").isNotNull(), F.col("artist_key"))).withColumn("title", F.when(F.col("name").isNotNull(), F.col("track_key")))
 
     r = r.join(owners(r, "artist_mbid").withColumnRenamed("owner", "strong_artist"), "artist_mbid", "left")

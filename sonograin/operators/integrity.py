@@ -75,7 +75,7 @@ def event_faults(events: DataFrame, links: DataFrame) -> DataFrame:
     )
     return _each_fault(j, ["event_id"], {
         "no_evidence": F.col("_sources").isNull(),
-        "status": (F.col("status") == "cross_source_reconciled") != (F.col("_sources") > 1),
+        "status": (F.col("status") != "unresolved") & ((F.col("status") == "cross_source_reconciled") != (F.col("_sources") > 1)),
         "basis": ~F.coalesce(basis, F.lit(False)),
         "order": F.col("ended_ms") < F.col("started_ms"),
     })

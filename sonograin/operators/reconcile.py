@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import match_text
 from ..plans.storage import stored
 
 # Match weights, decision thresholds and the base window.
@@ -19,18 +18,40 @@ def keepers(records: DataFrame, *same: str, order: str = "record_id") -> DataFra
     return records.withColumn("keeper", F.min(order).over(w)).withColumn("is_keeper", F.col(order) == F.col("keeper"))
 
 
-def candidate_pairs(plays: DataFrame, scrobbles: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
-    """Pairs of plays and scrobbles with equal match text of artist and track whose starts are at most window_ms apart.
+def name_keys(records: DataFrame) -> DataFrame:
+    """track_id, key: what a track may be met by: every name of its artist with every title of its own, and the track itself.
 
+    records: artist_id, track_id, artist_key, track_key.  The names are those of all records of the entities, so there are a
+    few keys a track; they are made once a track, not once a play.
+    """
+    tracks = records.select("track_id", "artist_id").distinct()
+    names = records.where("artist_key is not null").select("artist_id", "artist_key").distinct()
+    titles = records.where("track_key is not null").select("track_id", "track_key").distinct()
+    met = tracks.join(names, "artist_id").join(titles, "track_id").select("track_id", F.to_json(F.struct("artist_key", "track_key")).alias("key"))
+    return met.unionByName(tracks.select("track_id", F.col("track_id").cast("string").alias("key"))).distinct()
+
+
+def candidate_pairs(plays: DataFrame, scrobbles: DataFrame, keys: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
+    """Pairs of a listener's plays and scrobbles of one track, or of tracks that share a title and a name of their artists, whose starts are at most window_ms (0 to 120,000) apart.
+
+    plays: record_id, listener, stopped_at_ms, ms_played, skipped, artist_key, track_key, album_key, artist_id, track_id;
+    scrobbles: record_id, listener, instant_ms, recording_mbid and the same keys and ids; both without exact duplicates.
     Time is cut into blocks as long as the window; a play is dealt to its own block and both neighbours, so the interval
-    condition becomes an equi-join on names and block, and the exact distance is a filter on few rows.
+    condition becomes an equi-join on listener, name and block, and the exact distance is a filter on few rows.
     """
-    block = max(1, window_ms)
+    if not 0 <= window_ms <= 120_000:
+        raise ValueError("window_ms must be from 0 to 120,000")
+    block, names = max(1, window_ms), ["artist_key", "track_key", "album_key", "has_album", "artist_id", "track_id"]
+    side = lambda r, *own: r.select("listener", F.col("track_id").alias("_track"), *own, *names)
     start = F.col("stopped_at_ms") - F.col("ms_played")
-    p = plays.select("record_id", "ms_played", "skipped", start.alias("start_ms"), match_text(F.col("artist")).alias("artist_key"), match_text(F.col("track")).alias("track_key"))
-    p = p.select(F.col("record_id").alias("play_id"), "ms_played", "skipped", "start_ms", "artist_key", "track_key", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("start_ms") / block) + d)).alias("block"))
-    s = scrobbles.select(F.col("record_id").alias("scrobble_id"), "instant_ms", "recording_mbid", match_text(F.col("artist")).alias("artist_key"), match_text(F.col("track")).alias("track_key"), F.floor(F.col("instant_ms") / block).alias("block"))
-    return p.join(s, ["artist_key", "track_key", "block"]).where(F.abs(F.col("instant_ms") - F.col("start_ms")) <= window_ms).drop("block")
+    p = side(plays, F.col("record_id").alias("play_id"), "ms_played", "skipped", start.alias("start_ms"))
+    p = p.withColumn("block", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("start_ms") / block) + d)))
+    s = side(scrobbles, F.col("record_id").alias("scrobble_id"), "instant_ms", "recording_mbid").withColumn("block", F.floor(F.col("instant_ms") / block))
+    k = keys.withColumnRenamed("track_id", "_track")
+    p, s = p.join(k, "_track").drop("_track"), s.join(k, "_track").drop("_track").withColumnsRenamed({n: f"scrobble_{n}" for n in names})
+    met = p.join(s, ["listener", "key", "block"]).where(F.abs(F.col("instant_ms") - F.col("start_ms")) <= window_ms)
+    reason = F.when(F.col("track_id") == F.col("scrobble_track_id"), "shared_track_identity").otherwise("matching_normalized_artist_track")
+    return met.dropDuplicates(["play_id", "scrobble_id"]).drop("block", "key").withColumn("reason", reason)
 
 
 def _sides(rows: DataFrame, *by: str) -> DataFrame:
@@ -49,7 +70,7 @@ def _sides(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def nearest_independent(pairs: DataFrame, blocks: int = 1024) -> DataFrame:
-    """play_id, scrobble_id, near_start, near_instant of the nearest pair by start that shares neither side; the smaller ids win ties.
+    """play_id, scrobble_id, near_start, near_instant of the listener's nearest pair by start that shares neither side; the smaller ids win ties.
 
     A play with one scrobble is of no use to the other pairs of that scrobble; any other play is of use to all pairs but its
     own.  So each play has a key, its only scrobble or else itself, and a pair (a, b) looks for the nearest play with a key
@@ -58,39 +79,39 @@ def nearest_independent(pairs: DataFrame, blocks: int = 1024) -> DataFrame:
     blocks of time; each block gets the two such starts of the nearest blocks before and after it that have any, however
     far off.  Ties are fetched by an equi-join on the start.
     """
-    p = stored(pairs.select("play_id", "scrobble_id", "start_ms", "instant_ms").withColumn("n", F.count("*").over(Window.partitionBy("play_id"))))
+    p = stored(pairs.select("listener", "play_id", "scrobble_id", "start_ms", "instant_ms").withColumn("n", F.count("*").over(Window.partitionBy("play_id"))))
     key = F.struct((F.col("n") > 1).alias("many"), F.when(F.col("n") > 1, F.col("play_id")).otherwise(F.col("scrobble_id")).alias("id"))
     p = p.withColumn("key", key)
-    plays = p.groupBy("start_ms", "key", "play_id").agg(F.min(F.struct("scrobble_id", "instant_ms")).alias("s1"))
+    plays = p.groupBy("listener", "start_ms", "key", "play_id").agg(F.min(F.struct("scrobble_id", "instant_ms")).alias("s1"))
     # the second scrobble of a play, for pairs that have its first
     other = p.join(plays.select("play_id", F.col("s1.scrobble_id").alias("_s")), "play_id").where("scrobble_id != _s").groupBy("play_id").agg(F.min(F.struct("scrobble_id", "instant_ms")).alias("s2"))
-    firsts = plays.groupBy("start_ms", "key").agg(F.min("play_id").alias("play_id"), F.min_by("s1", "play_id").alias("s1")).join(other, "play_id", "left")
-    best = F.row_number().over(Window.partitionBy("start_ms").orderBy("play_id"))
-    firsts = firsts.withColumn("nth", best).where("nth <= 3").groupBy("start_ms").agg(F.array_sort(F.collect_list(F.struct("play_id", "key", "s1", "s2"))).alias("best"))
+    firsts = plays.groupBy("listener", "start_ms", "key").agg(F.min("play_id").alias("play_id"), F.min_by("s1", "play_id").alias("s1")).join(other, "play_id", "left")
+    best = F.row_number().over(Window.partitionBy("listener", "start_ms").orderBy("play_id"))
+    firsts = firsts.withColumn("nth", best).where("nth <= 3").groupBy("listener", "start_ms").agg(F.array_sort(F.collect_list(F.struct("play_id", "key", "s1", "s2"))).alias("best"))
     firsts = stored(firsts)
 
-    ends = firsts.agg(F.min("start_ms").alias("lo"), F.max("start_ms").alias("hi"))
+    ends = firsts.groupBy("listener").agg(F.min("start_ms").alias("lo"), F.max("start_ms").alias("hi"))
     at = F.floor((F.col("start_ms") - F.col("lo")).cast("double") * blocks / (F.col("hi") - F.col("lo") + 1))
-    starts = firsts.crossJoin(F.broadcast(ends)).select("start_ms", F.when((F.size("best") == 1) & ~F.col("best")[0]["key"]["many"], F.col("best")[0]["key"]["id"]).alias("only"), at.alias("block"))
+    starts = firsts.join(ends, "listener").select("listener", "start_ms", F.when((F.size("best") == 1) & ~F.col("best")[0]["key"]["many"], F.col("best")[0]["key"]["id"]).alias("only"), at.alias("block"))
     row = F.struct("start_ms", "only")
-    edges = starts.groupBy("block").agg(F.min(row).alias("f"), F.max(row).alias("l"))
+    edges = starts.groupBy("listener", "block").agg(F.min(row).alias("f"), F.max(row).alias("l"))
     unlike = lambda e: F.col(f"{e}.only").isNull() | F.col("only").isNull() | (F.col("only") != F.col(f"{e}.only"))
-    inner = starts.join(edges, "block").groupBy("block", "f", "l").agg(F.min(F.when(unlike("f"), row)).alias("f2"), F.max(F.when(unlike("l"), row)).alias("l2"))
-    few = inner.select("block", F.explode(F.array_distinct(F.array("f", "f2", "l", "l2"))).alias("e")).where("e is not null").select("block", "e.*")
-    few = _sides(few)  # four rows a block at most
-    halo = few.groupBy("block").agg(F.min_by(F.array("l1", "l2"), "start_ms").alias("before"), F.max_by(F.array("r1", "r2"), "start_ms").alias("after"))
-    halo = halo.select("block", F.explode(F.concat("before", "after")).alias("e")).where("e is not null").distinct().select("e.*", "block", F.lit(False).alias("own"))
-    sides = _sides(starts.withColumn("own", F.lit(True)).unionByName(halo), "block").where("own").drop("own", "block", "only")
-
-    q = p.select("play_id", "scrobble_id", "start_ms", "key").join(firsts, "start_ms").join(sides, "start_ms")
+    inner = starts.join(edges, ["listener", "block"]).groupBy("listener", "block", "f", "l").agg(F.min(F.when(unlike("f"), row)).alias("f2"), F.max(F.when(unlike("l"), row)).alias("l2"))
+    few = inner.select("listener", "block", F.explode(F.array_distinct(F.array("f", "f2", "l", "l2"))).alias("e")).where("e is not null").select("listener", "block", "e.*")
+    few = _sides(few, "listener")  # four rows a block at most
+    halo = few.groupBy("listener", "block").agg(F.min_by(F.array("l1", "l2"), "start_ms").alias("before"), F.max_by(F.array("r1", "r2"), "start_ms").alias("after"))
+    halo = halo.select("listener", "block", F.explode(F.concat("before", "after")).alias("e")).where("e is not null").distinct().select("e.*", "listener", "block", F.lit(False).alias("own"))
+    sides = _sides(starts.withColumn("own", F.lit(True)).unionByName(halo), "listener", "block").where("own").drop("own", "block", "only")
+
+    q = p.select("listener", "play_id", "scrobble_id", "start_ms", "key").join(firsts, ["listener", "start_ms"]).join(sides, ["listener", "start_ms"])
     b = F.struct(F.lit(False).alias("many"), F.col("scrobble_id").alias("id"))
     here = F.exists("best", lambda x: (x["key"] != b) & (x["key"] != F.col("key")))
     side = lambda e: F.when(F.col(f"{e}1").isNull() | F.col(f"{e}1.only").isNull() | (F.col(f"{e}1.only") != F.col("scrobble_id")), F.col(f"{e}1.start_ms")).otherwise(F.col(f"{e}2.start_ms"))
-    q = q.select("play_id", "scrobble_id", "key", "start_ms", here.alias("here"), side("l").alias("left"), side("r").alias("right"))
+    q = q.select("listener", "play_id", "scrobble_id", "key", "start_ms", here.alias("here"), side("l").alias("left"), side("r").alias("right"))
     d = F.least(F.col("start_ms") - F.col("left"), F.col("right") - F.col("start_ms"))  # least passes over nulls
     targets = F.when(F.col("here"), F.array("start_ms")).otherwise(F.array_compact(F.array(F.when(F.col("start_ms") - F.col("left") == d, F.col("left")), F.when(F.col("right") - F.col("start_ms") == d, F.col("right")))))
-    q = q.select("play_id", "scrobble_id", "key", F.explode(targets).alias("near_start"))
-    met = q.join(firsts.withColumnRenamed("start_ms", "near_start"), "near_start")
+    q = q.select("listener", "play_id", "scrobble_id", "key", F.explode(targets).alias("near_start"))
+    met = q.join(firsts.withColumnRenamed("start_ms", "near_start"), ["listener", "near_start"])
     free = F.filter("best", lambda x: (x["key"] != b) & (x["key"] != F.col("key")))[0]
     met = met.withColumn("x", free).where("x is not null")
     mate = F.when(F.col("x.s1.scrobble_id") == F.col("scrobble_id"), F.col("x.s2")).otherwise(F.col("x.s1"))
@@ -99,19 +120,28 @@ def nearest_independent(pairs: DataFrame, blocks: int = 1024) -> DataFrame:
 
 
 def scored(pairs: DataFrame, near: DataFrame | None = None) -> DataFrame:
-    """The features of each pair, its confidence (a weighted mean of the known ones) and the policy's decision."""
+    """The features of each pair of ``candidate_pairs``, its confidence (a weighted mean of the known ones) and the policy's decision.
+
+    identifier: whether both are one track, where the scrobble has a recording id; artist and track: 1 for equal names, 0.75
+    for other names of one entity; album: equal or not, where both have one; ordering: whether the nearest independent pair
+    lies on the same side by both clocks.
+    """
     delta = F.col("instant_ms") - F.col("start_ms")
     w = pairs.withColumn("play_degree", F.count("*").over(Window.partitionBy("play_id"))).withColumn("scrobble_degree", F.count("*").over(Window.partitionBy("scrobble_id")))
     if near is None:
         w = w.withColumn("near_start", F.lit(None).cast("long")).withColumn("near_instant", F.lit(None).cast("long"))
     else:
         w = w.join(near, ["play_id", "scrobble_id"], "left")
-    ordering = F.when(F.col("near_start") != F.col("start_ms"), (F.signum((F.col("near_start") - F.col("start_ms")).cast("double")) == F.signum((F.col("near_instant") - F.col("instant_ms")).cast("double"))).cast("double"))
+    before, earlier = F.col("near_start") - F.col("start_ms"), F.col("near_instant") - F.col("instant_ms")
+    ordering = F.when((before != 0) & (earlier != 0), ((before > 0) == (earlier > 0)).cast("double"))
+    same = lambda n: F.col(f"{n}_key").eqNullSafe(F.col(f"scrobble_{n}_key"))
+    text = lambda n: F.when(same(n), 1.0).when(F.col(f"{n}_id") == F.col(f"scrobble_{n}_id"), 0.75).otherwise(0.0)
+    both_albums = F.col("has_album") & F.col("scrobble_has_album")
     features = {
-        "identifier": F.lit(None).cast("double"),
-        "artist": F.lit(1.0),
-        "track": F.lit(1.0),
-        "album": F.lit(None).cast("double"),
+        "identifier": F.when(F.col("recording_mbid").isNotNull(), (F.col("track_id") == F.col("scrobble_track_id")).cast("double")),
+        "artist": text("artist"),
+        "track": text("track"),
+        "album": F.when(both_albums, same("album").cast("double")),
         "time": 1 - F.least(F.lit(1.0), F.abs(delta) / 30000.0),
         "duration": F.greatest(F.lit(0.0), 1 - F.abs(delta) / F.greatest(F.col("ms_played"), F.lit(30000)).cast("double")),
         "ordering": ordering,
@@ -131,17 +161,55 @@ def scored(pairs: DataFrame, near: DataFrame | None = None) -> DataFrame:
 
 
 def canonical_events(plays: DataFrame, scrobbles: DataFrame, decided: DataFrame) -> DataFrame:
-    """One event per listen: plays without duplicates, scrobbles without duplicates that no accepted pair merged, and merged ones with both records."""
-    merged = decided.where("decision = 'accept'").select("play_id", "scrobble_id", "confidence")
-    p = keepers(plays, "stopped_at_ms", "ms_played", "artist", "track").where("is_keeper")
-    p = p.join(merged, p["record_id"] == merged["play_id"], "left")
-    a = p.select(F.col("record_id").alias("event_id"), (F.col("stopped_at_ms") - F.col("ms_played")).alias("started_ms"), F.col("stopped_at_ms").alias("ended_ms"), F.lit("derived_start").alias("time_basis"), F.when(F.col("scrobble_id").isNotNull(), "cross_source_reconciled").otherwise("single_source").alias("status"), "scrobble_id")
-    s = keepers(scrobbles, "instant_ms", "artist", "track", "recording_mbid").where("is_keeper")
-    s = s.join(merged, s["record_id"] == merged["scrobble_id"], "left_anti")
-    b = s.select(F.col("record_id").alias("event_id"), F.col("instant_ms").alias("started_ms"), F.lit(None).cast("long").alias("ended_ms"), F.lit("observed_start").alias("time_basis"), F.lit("single_source").alias("status"), F.lit(None).cast("long").alias("scrobble_id"))
+    """One event per listen, out of records without exact duplicates: plays, scrobbles that no accepted pair merged, and merged ones with both records.
+
+    event_status is 'unresolved' where the own record's entities were new to all rules (column kind), else 'current'.
+    """
+    merged = decided.where("decision = 'accept'").select("play_id", "scrobble_id")
+    state = F.when(F.col("kind") == "new_unresolved", "unresolved").otherwise("current").alias("event_status")
+    own = ["listener", "artist_id", "track_id"]
+    p = plays.join(merged, plays["record_id"] == merged["play_id"], "left")
+    a = p.select(F.col("record_id").alias("event_id"), *own, (F.col("stopped_at_ms") - F.col("ms_played")).alias("started_ms"), F.col("stopped_at_ms").alias("ended_ms"), F.lit("derived_start").alias("time_basis"), state, F.col("ms_played").alias("listened_ms"), "scrobble_id")
+    s = scrobbles.join(merged, scrobbles["record_id"] == merged["scrobble_id"], "left_anti")
+    none = F.lit(None).cast("long")
+    b = s.select(F.col("record_id").alias("event_id"), *own, F.col("instant_ms").alias("started_ms"), none.alias("ended_ms"), F.lit("observed_start").alias("time_basis"), state, none.alias("listened_ms"), none.alias("scrobble_id"))
     return a.unionByName(b)
 
 
+def event_links(events: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """event_id, record_id, source, role: each event's own record, the scrobble merged into it, and exact duplicates (source, record_id, keeper) of either."""
+    source = F.when(F.col("time_basis") == "derived_start", "interval").otherwise("instant")
+    own = events.select("event_id", F.col("event_id").alias("record_id"), source.alias("source"), F.lit("primary").alias("role"))
+    merged = events.where("scrobble_id is not null").select("event_id", F.col("scrobble_id").alias("record_id"), F.lit("instant").alias("source"), F.lit("cross_source_match").alias("role"))
+    first = own.unionByName(merged)
+    again = duplicates.join(first.select("event_id", F.col("record_id").alias("keeper"), "source"), ["keeper", "source"])
+    return first.unionByName(again.select("event_id", "record_id", "source", F.lit("exact_duplicate").alias("role")))
+
+
+def source_backing(links: DataFrame) -> DataFrame:
+    """event_id, source_record_count, interval_record_count, instant_record_count, has_interval, has_instant; one row an event, so that joins don't multiply it."""
+    of = lambda kind: (F.col("source") == kind).cast("long")
+    g = links.groupBy("event_id").agg(F.count("*").alias("source_record_count"), F.sum(of("interval")).alias("interval_record_count"), F.sum(of("instant")).alias("instant_record_count"))
+    return g.withColumn("has_interval", F.col("interval_record_count") > 0).withColumn("has_instant", F.col("instant_record_count") > 0)
+
+
+def canonical_base(events: DataFrame, links: DataFrame) -> DataFrame:
+    """The input of every analysis: events with calendar instant, backing and status."""
+    b = events.join(source_backing(links), "event_id").withColumn("instant_ms", F.coalesce("started_ms", "ended_ms"))
+    status = F.when(F.col("event_status") == "unresolved", "unresolved").when(F.col("has_interval") & F.col("has_instant"), "cross_source_reconciled").otherwise("single_source")
+    return b.withColumn("status", status)
+
+
+def refreshed_features(old: DataFrame, new: DataFrame, version: str) -> DataFrame:
+    """The feature table (play_id, scrobble_id, version, state, confidence) after scoring again: new pairs come in as pending, pending rows take new values, decided rows stay."""
+    mine = old.where(F.col("version") == version)
+    n = new.select("play_id", "scrobble_id", F.col("confidence").alias("_c"))
+    j = mine.join(n, ["play_id", "scrobble_id"], "full")
+    pending = F.coalesce("state", F.lit("pending")) == "pending"
+    now = j.select("play_id", "scrobble_id", F.lit(version).alias("version"), F.coalesce("state", F.lit("pending")).alias("state"), F.when(pending, F.coalesce("_c", "confidence")).otherwise(F.col("confidence")).alias("confidence"))
+    return old.where(F.col("version") != version).select(now.columns).unionByName(now)
+
+
 def stratified_sample(candidates: DataFrame, stratum: str, k: int, version: str) -> DataFrame:
     """k rows per stratum in the order of sha256(version:id), the same in every run."""
     h = F.sha2(F.concat_ws(":", F.lit(version), F.col("play_id").cast("string"), F.col("scrobble_id").cast("string")), 256)

@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Compute once into the cluster's checkpoint folder; a local one where none is set (tests)."""
+    """Compute once into the cluster's checkpoint folder; a local one only where all tasks run in this process."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if known is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            known = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(known)
     return df.checkpoint()
