@@ -6,9 +6,9 @@ and a document is emitted once for each integer its interval crosses.  The order
 target whatever the sizes are.
 
 Since all documents of a source expect the same number of copies e, the prefix sum is e times the rank.  The rank is built
-from counts: sizes within the source, blocks of doc_ids (by their MD5) within a size, rows within a block; no window holds
-more than one block, one size's blocks or one source's sizes, so a source with a third of all rows is spread over many
-tasks.  Sources are numbered and shared out over sorted ranges, so there may be as many of them as hosts.
+from counts of blocks: the rows of one source and size whose doc_ids' MD5 begin alike.  The counts are summed along the
+sorted blocks over many tasks; a window holds one block only, so a source with a third of all rows is spread over many
+tasks.  Sources are numbered and shared out over sorted ranges too, so there may be as many of them as hosts.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import BLANK_GAP, cut, running
+from .text import BLANK_GAP, cut, running, spread_join
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -52,23 +52,18 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     hash are interchangeable, so reruns give the same rows.  doc_id may be of any type that is sorted and cast to text.  An
     empty table gives no rows; texts of any length are counted whole; other columns, of whatever names, are ignored.
     """
-    sized = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", F.coalesce(F.regexp_count("text", F.lit(BLANK_GAP.replace("[", "[^"))), F.lit(0)).cast("long").alias("size")))
-    keyed = sized.withColumn("block", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, DIGITS))
-    blocks = cut(keyed.groupBy("source", "size", "block").agg(F.count("*").alias("n")))
-    by_size = blocks.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    targets = source_targets(by_size.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, most)
-    upto = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    by_size = by_size.select("source", "size", F.coalesce(F.sum("n").over(upto("source").orderBy("size")), F.lit(0)).alias("before_size"))
-    t, s = targets.alias("t"), by_size.alias("s")
-    by_size = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.source", "s.size", "before_size", "source_size", "target")
-    blocks = blocks.select("source", "size", "block", F.coalesce(F.sum("n").over(upto("source", "size").orderBy("block")), F.lit(0)).alias("before_block"))
-    b, s = blocks.alias("b"), by_size.alias("s")
-    blocks = b.join(s, F.col("b.source").eqNullSafe(F.col("s.source")) & (F.col("b.size") == F.col("s.size"))).select(
-        F.col("b.source").alias("_source"), F.col("b.size").alias("_size"), F.col("block").alias("_block"), (F.col("before_size") + F.col("before_block")).alias("before"), "source_size", "target"
-    )
-    rank = F.row_number().over(Window.partitionBy("source", "size", "block").orderBy("doc_id", "text_hash"))
-    ranked = keyed.withColumn("rank", rank)
-    placed = ranked.join(blocks, ranked["source"].eqNullSafe(blocks["_source"]) & (ranked["size"] == blocks["_size"]) & (ranked["block"] == blocks["_block"]))
+    size = F.coalesce(F.regexp_count("text", F.lit(BLANK_GAP.replace("[", "[^"))), F.lit(0)).cast("long")
+    block = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, DIGITS)
+    named = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))  # a null source is a source too
+    rows = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", named.alias("key"), size.alias("size"), block.alias("block")))
+    cells = cut(running(rows.groupBy("key", "source", "size", "block").agg(F.count("*").alias("n")), [F.col("key"), F.col("size"), F.col("block")], upto="n"))
+    targets = source_targets(cells.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, most)
+    starts = cells.groupBy("key", "source").agg(F.min("upto").alias("start"), F.count("*").alias("n")).alias("s")
+    sources = cut(starts.join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("key", "start", "n", "source_size", "target"))
+    blocks = spread_join(cells.select("key", "size", "block", "upto"), sources.drop("n"), ["key"], sources.select("key", "n"), ["size", "block"])
+    blocks = blocks.select("key", "size", "block", (F.col("upto") - F.col("start")).alias("before"), "source_size", "target")
+    rank = F.row_number().over(Window.partitionBy("key", "size", "block").orderBy("doc_id", "text_hash"))
+    placed = rows.withColumn("rank", rank).join(blocks, ["key", "size", "block"])
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
     at = F.col("before") + F.col("rank")
@@ -80,13 +75,14 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with their columns."""
     taken = mixture(docs, **how).groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("source").alias("_s"), F.col("copies").alias("_copies"), F.col("rows").alias("_rows"))
+    taken = cut(taken.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("source").alias("_s"), F.col("copies").alias("_copies"), F.col("rows").alias("_rows")))
     same = docs["doc_id"].eqNullSafe(taken["_id"]) & (F.xxhash64(docs["text"]) == taken["_h"]) & docs["source"].eqNullSafe(taken["_s"])
     joined = docs.join(taken, same)
-    # repeated rows share their copies out: the first ones, by their other columns, get the remainder
-    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text", "source")]
-    nth = F.when(F.col("_rows") == 1, F.lit(0)).otherwise(F.row_number().over(Window.partitionBy("_id", "_h", "_s").orderBy(F.to_json(F.struct(*others)) if others else F.lit(1))) - 1)
-    own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(nth < F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    own = F.col("_copies")
+    if taken.where("_rows > 1").take(1):  # repeated rows share their copies out: the first ones, by their other columns, get the remainder
+        others = [docs[c] for c in docs.columns if c not in ("doc_id", "text", "source")]
+        nth = F.row_number().over(Window.partitionBy("_id", "_h", "_s").orderBy(F.to_json(F.struct(*others)) if others else F.lit(1))) - 1
+        own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(nth < F.col("_copies") % F.col("_rows"), 1).otherwise(0)
     return joined.withColumn("_own", own).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_own").cast("int"))).alias("_n")).drop("_n")
 
 
