@@ -15,8 +15,7 @@ from .streaming import plays as streams
 QUERIES: dict = {}
 ORACLES: dict = {}
 TZ = "America/Chicago"
-_BASE = "with " + history.BASE_SQL.format(artist="o_custkey")
-_COARSE = "with " + history.BASE_SQL.format(artist="o_custkey % 25")
+_BASE = "with " + history.BASE_SQL
 _EVIDENCE = "with " + history.EVIDENCE_SQL
 _LOCAL = f"timezone('{TZ}', timezone('UTC', make_timestamp(instant_ms * 1000)))"
 
@@ -73,17 +72,17 @@ _MONTH = "lpad(cast({0} // 12 as varchar), 4, '0') || '-' || lpad(cast({0} % 12
 
 
 def _windows(spark, d):
-    return eras.era_windows(history.canonical_base(spark, d, coarse=True), tz=TZ)
+    return eras.era_windows(history.canonical_base(spark, d), tz=TZ)
 
 
-register("n2_era_windows", lambda spark, d: _windows(spark, d).drop("window_start"), f"{_COARSE}, {_ERAS} select * from q")
+register("n2_era_windows", lambda spark, d: _windows(spark, d).drop("window_start"), f"{_BASE}, {_ERAS} select * from q")
 register(
     "n3_era_intervals", lambda spark, d: eras.era_intervals(_windows(spark, d)).drop("evidence"),
-    f"{_COARSE}, {_ERAS}, {_INTERVALS} select artist_id, start_month, end_month, {_MONTH.format('start_month')} as window_start, {_MONTH.format('end_month')} as window_end_exclusive, play_count, share, strength, {_MONTH.format('peak')} as peak_start from era",
+    f"{_BASE}, {_ERAS}, {_INTERVALS} select artist_id, start_month, end_month, {_MONTH.format('start_month')} as window_start, {_MONTH.format('end_month')} as window_end_exclusive, play_count, share, strength, {_MONTH.format('peak')} as peak_start from era",
 )
 register(
     "n3_era_evidence", lambda spark, d: eras.era_intervals(_windows(spark, d)).select("artist_id", "window_start", F.explode("evidence").alias("e")).select("artist_id", "window_start", "e.window_index", "e.plays", "e.rolling"),
-    f"{_COARSE}, {_ERAS}, isl as (select *, window_index - row_number() over (partition by artist_id order by window_index) as island from q where is_qualified), b as (select *, min(start_month) over (partition by artist_id, island) as b from isl) select artist_id, {_MONTH.format('b')} as window_start, window_index, plays, rolling from b",
+    f"{_BASE}, {_ERAS}, isl as (select *, window_index - row_number() over (partition by artist_id order by window_index) as island from q where is_qualified), b as (select *, min(start_month) over (partition by artist_id, island) as b from isl) select artist_id, {_MONTH.format('b')} as window_start, window_index, plays, rolling from b",
 )
 
 
@@ -345,36 +344,50 @@ union all select 'ordinals', count(*) from (select 1 from conversations group by
 # Synchronization and envelope -----------------------------------------------------------------------------------------
 def _sync(spark, d):
     c = history.table(spark, d, "customer")
-    scopes = c.select(F.col("c_custkey").alias("scope"), F.when(F.col("c_custkey") % 5 == 0, F.lit(1000)).cast("long").alias("explicit_from_ms"), F.when(F.col("c_custkey") % 3 == 0, F.lit(2000)).cast("long").alias("initial_ms"))
+    scopes = c.select(F.col("c_custkey").alias("scope"), F.when(F.col("c_custkey") % 5 == 0, F.lit(1000)).cast("long").alias("explicit_from_ms"), F.when(F.col("c_custkey") % 7 == 0, F.col("c_custkey") * 90_000).alias("explicit_to_ms"), F.when(F.col("c_custkey") % 3 == 0, F.lit(2000)).cast("long").alias("initial_ms"))
     cursors = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("scope"), (F.col("c_custkey") * 100_000).alias("boundary_ms"))
     return scopes, cursors, history.canonical_base(spark, d).select(F.col("artist_id").alias("scope"), "instant_ms")
 
 
 _SYNC = f"""{_BASE}, l as (select artist_id as scope, max(instant_ms) as top from base group by 1),
-pl as (select c_custkey as scope, case when c_custkey % 5 = 0 then 1000 end as ex, case when c_custkey % 2 = 0 then c_custkey * 100000 end as cur, case when c_custkey % 3 = 0 then 2000 end as ini, top from customer left join l on scope = c_custkey),
-plan as (select scope, case when coalesce(ex, cur, ini, top) is not null then greatest(0, coalesce(ex, cur - 300000, ini, top - 300000)) end as from_ms, case when ex is not null then 'explicit' when cur is not null then 'cursor' when ini is not null then 'initial' when top is not null then 'evidence' else 'none' end as basis, ex is null as advances, cur, top from pl)"""
-register("k1_sync_plan", lambda spark, d: sync.sync_plan(*_sync(spark, d)), f"{_SYNC} select scope, cast(from_ms as bigint) as from_ms, basis, advances from plan")
-register("k3_cursors", lambda spark, d: sync.advanced_cursors(_sync(spark, d)[1], sync.sync_plan(*_sync(spark, d)), _sync(spark, d)[2]), f"{_SYNC} select scope, cast(greatest(cur, case when advances then greatest(top, from_ms) end) as bigint) as boundary_ms from plan where advances or cur is not null")
+pl as (select c_custkey as scope, case when c_custkey % 5 = 0 then 1000 end as ex, case when c_custkey % 7 = 0 then c_custkey * 90000 end as ends, case when c_custkey % 2 = 0 then c_custkey * 100000 end as cur, case when c_custkey % 3 = 0 then 2000 end as ini, top from customer left join l on scope = c_custkey),
+pm as (select *, case when coalesce(ex, cur, ini, top) is not null then greatest(0, coalesce(ex, cur - 300000, ini, top - 300000)) end as from_ms from pl),
+plan as (select scope, from_ms, ends as to_ms, case when ends < from_ms then 'invalid_bounds' when ex is not null then 'explicit' when cur is not null then 'cursor' when ini is not null then 'initial' when top is not null then 'evidence' else 'none' end as basis, ex is null and ends is null as advances, cur, top from pm)"""
+register("k1_sync_plan", lambda spark, d: sync.sync_plan(*_sync(spark, d)), f"{_SYNC} select scope, cast(from_ms as bigint) as from_ms, to_ms, basis, advances from plan")
+register("k3_cursors", lambda spark, d: sync.advanced_cursors(_sync(spark, d)[1], sync.sync_plan(*_sync(spark, d)), _sync(spark, d)[2]), f"{_SYNC}, moved as (select scope, cur, case when advances then greatest(top, from_ms) end as m, advances or cur is not null as kept from plan), others as (select artist_id from base) select scope, cast(greatest(cur, m) as bigint) as boundary_ms from moved where kept")
 
 
 def _append(spark, d):
-    s = history.instant_scrobbles(spark, d).select(F.lit(1).alias("scope"), "record_id", "instant_ms", "artist", "track", "recording_mbid")
-    stored = s.where("record_id % 4 != 1").withColumn("recording_mbid", F.when(F.col("record_id") % 5 != 0, F.col("recording_mbid"))).drop("record_id")
-    return sync.append_plan(s.drop("record_id"), stored)
+    s = history.instant_scrobbles(spark, d).select(F.col("listener").alias("scope"), "record_id", "instant_ms", "artist", "track", "album", "artist_mbid", F.lit(None).cast("string").alias("release_mbid"), "recording_mbid")
+    k = F.col("record_id")
+    stored = s.where(k % 4 != 1).withColumn("recording_mbid", F.when(k % 5 != 0, F.col("recording_mbid"))).withColumn("artist_mbid", F.when(k % 11 == 0, F.lit("other")).otherwise(F.col("artist_mbid"))).withColumn("release_mbid", F.when(k % 9 == 0, F.lit("rel")))
+    return sync.append_plan(s.drop("record_id"), stored.drop("record_id"))
 
 
-_APPEND = f"""{_EVIDENCE}, sc as (select distinct instant_ms, artist, track, recording_mbid from scrobbles),
-st as (select distinct instant_ms, artist, track, case when record_id % 5 <> 0 then recording_mbid end as m, true as there from scrobbles where record_id % 4 <> 1),
-jn as (select sc.instant_ms, sc.artist, sc.track, recording_mbid, count(case when there and m is not distinct from recording_mbid then 1 end) as exact, count(case when there and (m is null or recording_mbid is null or m = recording_mbid) then 1 end) as agree
-  from sc left join st on sc.instant_ms = st.instant_ms and sc.artist = st.artist and sc.track = st.track group by all), oc as (select case when exact > 0 then 'existing' when agree = 1 then 'matched' else 'inserted' end as outcome from jn)"""
+_APPEND = f"""{_EVIDENCE}, sc as (select distinct listener, instant_ms, artist, track, album, artist_mbid, recording_mbid from scrobbles),
+st as (select distinct listener, instant_ms, artist, track, album, case when record_id % 11 = 0 then 'other' else artist_mbid end as am, case when record_id % 9 = 0 then 'rel' end as rm, case when record_id % 5 <> 0 then recording_mbid end as m, true as there from scrobbles where record_id % 4 <> 1),
+jn as (select sc.*, count(case when there and m is not distinct from recording_mbid and am is not distinct from artist_mbid and rm is null and st.album is not distinct from sc.album then 1 end) as exact,
+  count(case when there and (m is null or recording_mbid is null or m = recording_mbid) and (am is null or artist_mbid is null or am = artist_mbid) then 1 end) as agree
+  from sc left join st on sc.listener = st.listener and sc.instant_ms = st.instant_ms and sc.artist = st.artist and sc.track = st.track group by all), oc as (select listener, case when exact > 0 then 'existing' when agree = 1 then 'matched' else 'inserted' end as outcome from jn)"""
 register("k4_append_plan", lambda spark, d: _append(spark, d).groupBy("outcome").agg(F.count("*").alias("n")), f"{_APPEND} select outcome, count(*) as n from oc group by 1")
 register(
-    "k5_append_summary", lambda spark, d: sync.append_summary(_append(spark, d), history.instant_scrobbles(spark, d).select(F.lit(1).alias("scope"))),
-    f"""{_APPEND}, n as (select count(*) as fetched from scrobbles) select 1 as scope, fetched, fetched - count(*) as ignored, count(case when outcome = 'existing' then 1 end) as existing,
-count(case when outcome = 'matched' then 1 end) as matched, count(case when outcome = 'inserted' then 1 end) as inserted from oc, n group by fetched""",
+    "k5_append_summary", lambda spark, d: sync.append_summary(_append(spark, d), history.instant_scrobbles(spark, d).select(F.col("listener").alias("scope"))),
+    f"""{_APPEND}, n as (select listener, count(*) as fetched from scrobbles group by 1) select n.listener as scope, fetched, fetched - count(*) as ignored, count(case when outcome = 'existing' then 1 end) as existing,
+count(case when outcome = 'matched' then 1 end) as matched, count(case when outcome = 'inserted' then 1 end) as inserted from oc join n using (listener) group by n.listener, fetched""",
 )
 register("x1_envelope", lambda spark, d: envelope.envelope(history.canonical_base(spark, d), "volume", {"grain": "month"}, TZ).drop("parameters", "version", "timezone"), f"{_BASE} select 'volume' as analysis, count(*) as event_count, min(instant_ms) as start_ms, max(instant_ms) + 1 as end_ms, count(listened_ms) / count(*) as duration_coverage, sum(case when event_status = 'unresolved' then 1 else 0 end) / count(*) as unresolved_rate from base")
-register("x3_digest", lambda spark, d: envelope.digest(history.canonical_base(spark, d)))
+register("x3_digest", lambda spark, d: envelope.digest(history.canonical_base(spark, d)), _BASE + """, h as (select sha256('{"artist_id":' || artist_id || ',"event_id":' || event_id || ',"event_status":"' || event_status || '","instant_ms":' || instant_ms || ',"listened_ms":' || coalesce(listened_ms::varchar, 'null') || ',"track_id":' || track_id || '}') as h from base),
+t as (select count(*) as n, sum(('0x' || substr(h, 1, 16))::ubigint::hugeint) as a, sum(('0x' || substr(h, 17, 16))::ubigint::hugeint) as b, sum(('0x' || substr(h, 33, 16))::ubigint::hugeint) as c, sum(('0x' || substr(h, 49, 16))::ubigint::hugeint) as d from h)
+select n, sha256(n || ':' || a || ':' || b || ':' || c || ':' || d) as digest from t""")
+
+
+def _population(spark, d) -> DataFrame:
+    b = _canonical(spark, d).withColumn("rule_version", F.when(F.col("event_id") % 5 == 0, F.lit(" ")).when(F.col("event_id") % 2 == 0, F.lit("v2")).otherwise(F.lit("v1")))
+    k = envelope.population(b)
+    return k.select(F.array_join("versions", ",").alias("versions"), F.array_join("sources", ",").alias("sources"), *(F.col("coverage")[c].alias(c) for c in ("artist_id", "track_id", "listened_ms", "started_ms", "ended_ms")))
+
+
+register("a10_population", _population, f"{_EVENTS} select 'v1,v2' as versions, 'instant,interval' as sources, count(artist_id) as artist_id, count(track_id) as track_id, count(listened_ms) as listened_ms, count(started_ms) as started_ms, count(ended_ms) as ended_ms from cb")
 
 
 # Identity -------------------------------------------------------------------------------------------------------------
@@ -405,8 +418,8 @@ def _merged(spark, d) -> DataFrame:
     return identity.merged(base, "artist_id", customers.select(F.floor(F.col("c_custkey") / 4).cast("long").alias("subject"), F.col("c_custkey").alias("object")))
 
 
-register("i12_merged", _merged, """with recursive m as (select c_custkey as o, c_custkey // 4 as s from customer where c_custkey % 4 <> 1), w as (select o as node, s as root from m union select node, m.s from w join m on w.root = m.o),
-r as (select node, min(root) as root from w group by node) select o_orderkey as event_id, coalesce(root, o_custkey) as artist_id, case when root <> o_custkey then o_custkey end as before_merge from orders left join r on node = o_custkey""")
+register("i12_merged", _merged, f"""with recursive {history.BASE_SQL}, m as (select c_custkey as o, c_custkey // 4 as s from customer where c_custkey % 4 <> 1), w as (select o as node, s as root from m union select node, m.s from w join m on w.root = m.o),
+r as (select node, min(root) as root from w group by node) select event_id, coalesce(root, artist_id) as artist_id, case when root <> artist_id then artist_id end as before_merge from base left join r on node = artist_id""")
 
 
 # Manual decisions -----------------------------------------------------------------------------------------------------
@@ -578,7 +591,7 @@ def _artist_envelopes(spark, d) -> DataFrame:
     )
 
 
-register("x2_envelope_faults", lambda spark, d: envelope.envelope_faults(_artist_envelopes(spark, d)), """with k as (select distinct o_custkey as k from orders) select k as analysis, unnest(list_filter([case when k % 7 = 0 then 'coverage' end, case when k % 11 = 0 then 'available' end, case when k % 13 = 0 then 'rate' end,
+register("x2_envelope_faults", lambda spark, d: envelope.envelope_faults(_artist_envelopes(spark, d)), f"""{_BASE}, k as (select distinct artist_id as k from base) select k as analysis, unnest(list_filter([case when k % 7 = 0 then 'coverage' end, case when k % 11 = 0 then 'available' end, case when k % 13 = 0 then 'rate' end,
 case when k % 17 = 0 then 'range' end, case when k % 19 = 0 then 'as_of' end], lambda x: x is not null)) as fault from k""")
 
 
@@ -600,3 +613,127 @@ def _timed(spark, d) -> DataFrame:
 register("u1_daily_volume", lambda spark, d: streams.daily_volume(_timed(spark, d), "at").select(F.unix_millis("day").alias("day_ms"), "play_count"), f"{_BASE} select instant_ms // 86400000 * 86400000 as day_ms, count(*) as play_count from base group by 1")
 register("u2_active_periods", lambda spark, d: streams.active_periods(_timed(spark, d), "at", "artist_id", "90 days").select("artist_id", F.unix_millis("start").alias("start_ms"), "play_count"), f"""{_BASE}, s as (select *, case when instant_ms - lag(instant_ms) over (partition by artist_id order by instant_ms) > 7776000000 then 1 else 0 end as cut from base),
 p as (select *, sum(cut) over (partition by artist_id order by instant_ms) as p from s) select artist_id, min(instant_ms) as start_ms, count(*) as play_count from p group by artist_id, p""")
+
+
+# Runs, files, rejections, synchronization, entities and manual decisions -----------------------------------------------
+def _orders(spark, d, *columns) -> DataFrame:
+    return history.table(spark, d, "orders").select(*columns)
+
+
+def _customers(spark, d, *columns) -> DataFrame:
+    return history.table(spark, d, "customer").select(*columns)
+
+
+_K, _C = F.col("o_orderkey"), F.col("c_custkey")
+
+
+def _command_runs(spark, d) -> DataFrame:
+    """A run for each customer: imports of two kinds and synchronizations."""
+    command = F.when(_C % 3 == 0, "interval_import").when(_C % 3 == 1, "import").otherwise("sync")
+    return _customers(spark, d, _C.alias("run_id"), F.when(_C % 11 == 0, "failed").otherwise("succeeded").alias("status"), command.alias("command"), (_C % 13).alias("registered_files"), (_C % 7).alias("noop_files"), (_C * 1000).alias("completed_ms"), (_C % 5).alias("discovered"), (_C % 4).alias("accepted"))
+
+
+def _run_files(spark, d) -> DataFrame:
+    return _orders(spark, d, _K.alias("file_id"), F.when(_K % 2 == 0, "interval_export").otherwise("export").alias("source_type"), F.col("o_custkey").alias("first_run_id"), (F.col("o_custkey") + F.when(_K % 4 == 0, 3).when(_K % 9 == 0, -3).otherwise(0)).alias("last_run_id"))
+
+
+_COMMANDS = "case when c % 3 = 0 then 'interval_import' when c % 3 = 1 then 'import' else 'sync' end"
+_RUN_FILES = f"""with r as (select c_custkey as c, {_COMMANDS} as command, case when c_custkey % 11 = 0 then 'failed' else 'succeeded' end as status, c_custkey % 13 as reg, c_custkey % 7 as noop from (select c_custkey, c_custkey as c from customer)),
+f as (select o_orderkey as k, case when o_orderkey % 2 = 0 then 'interval_export' else 'export' end as t, o_custkey as a, o_custkey + case when o_orderkey % 4 = 0 then 3 when o_orderkey % 9 = 0 then -3 else 0 end as z from orders)"""
+register("v4_file_runs", lambda spark, d: integrity.file_run_faults(_run_files(spark, d), _command_runs(spark, d), {"interval_export": "interval_import", "export": "import"}), f"""{_RUN_FILES},
+j as (select f.*, ra.c as ac, rz.c as zc, ra.command as acmd, rz.command as zcmd, ra.status as ast, rz.status as zst, ra.reg, rz.noop, case when t = 'export' then 'import' else 'interval_import' end as want from f left join r ra on ra.c = a left join r rz on rz.c = z)
+select k as file_id, unnest(list_filter([case when ac is null or zc is null then 'unknown_run' end, case when ast <> 'succeeded' or zst <> 'succeeded' then 'not_succeeded' end, case when a > z then 'order' end, case when acmd <> want or zcmd <> want then 'command' end,
+case when a = z and reg = 0 then 'unregistered' end, case when a <> z and noop = 0 then 'no_noop' end], lambda x: x is not null)) as fault from j""")
+register("v6_rejection_ownership", lambda spark, d: integrity.rejection_ownership_faults(
+    _orders(spark, d, (_K * 10).alias("rejection_id"), (F.col("o_custkey") + F.when(_K % 6 == 0, 1).otherwise(0)).alias("run_id"), F.when(_K % 14 == 0, _K + 10_000_000).otherwise(_K).alias("file_id"), F.when(_K % 5 == 0, "instant").when(_K % 2 == 0, "interval").otherwise("instant").alias("source")),
+    _run_files(spark, d), _command_runs(spark, d), {"interval": ("interval_import", "interval_export"), "instant": ("import", "export")},
+), f"""{_RUN_FILES}, q as (select o_orderkey * 10 as id, o_custkey + case when o_orderkey % 6 = 0 then 1 else 0 end as run, case when o_orderkey % 14 = 0 then o_orderkey + 10000000 else o_orderkey end as file, case when o_orderkey % 5 <> 0 and o_orderkey % 2 = 0 then 'interval' else 'instant' end as s from orders),
+j as (select q.*, r.c, r.command, f.k, f.t, f.a, case when s = 'interval' then 'interval_import' else 'import' end as wc, case when s = 'interval' then 'interval_export' else 'export' end as wt from q left join r on r.c = run left join f on f.k = file)
+select id as rejection_id, unnest(list_filter([case when c is null then 'unknown_run' end, case when k is null then 'unknown_file' end, case when run <> a then 'run' end, case when command <> wc then 'command' end, case when t <> wt then 'type' end], lambda x: x is not null)) as fault from j""")
+
+
+def _sync_metadata(spark, d) -> DataFrame:
+    return _customers(spark, d, _C.alias("run_id"), (_C % 6).alias("completed"), (_C % 9).alias("pages")).where("run_id % 3 = 2 and run_id % 10 != 5")
+
+
+register("v11_sync_runs", lambda spark, d: integrity.sync_run_faults(_command_runs(spark, d).where("command = 'sync'"), _sync_metadata(spark, d)), """with r as (select c_custkey as c, c_custkey % 11 <> 0 as done, c_custkey % 10 <> 5 as there from customer where c_custkey % 3 = 2)
+select c as run_id, unnest(list_filter([case when done and not there then 'missing' end, case when not done and there then 'unexpected' end, case when there and c % 6 < greatest(c % 5, c % 4) then 'fewer' end, case when there and c % 9 = 0 then 'no_pages' end], lambda x: x is not null)) as fault from r""")
+register("v12_cursors", lambda spark, d: integrity.cursor_faults(
+    _customers(spark, d, F.concat(F.lit("scope-"), _C).alias("scope"), F.when(_C % 17 == 0, -_C).otherwise(_C).alias("run_id"), (_C * 100 + (_C % 19 == 0).cast("int")).alias("boundary_ms"), (_C * 1000 - (_C % 23 == 0).cast("int")).alias("updated_ms")).where("run_id % 3 != 0"),
+    _command_runs(spark, d), _sync_metadata(spark, d), _orders(spark, d, F.col("o_custkey").alias("run_id"), (F.col("o_custkey") * 100 - F.when(_K % 2 == 0, 0).otherwise(5)).alias("instant_ms")),
+), """with c as (select c_custkey as c, case when c_custkey % 17 = 0 then -c_custkey else c_custkey end as run from customer where c_custkey % 3 <> 0), t as (select o_custkey as r, max(o_custkey * 100 - case when o_orderkey % 2 = 0 then 0 else 5 end) as top from orders group by 1),
+j as (select c.*, run > 0 as known, top from c left join t on t.r = run)
+select 'scope-' || c as scope, unnest(list_filter([case when not known then 'unknown_run' end, case when known and c % 3 <> 2 then 'command' end, case when known and c % 11 = 0 then 'status' end, case when not known or c % 3 <> 2 or c % 10 = 5 then 'metadata' end, case when known and c % 23 = 0 then 'older' end,
+case when c * 100 + case when c % 19 = 0 then 1 else 0 end <> top then 'boundary' end], lambda x: x is not null)) as fault from j""")
+register("v13_origins", lambda spark, d: integrity.origin_faults(
+    _orders(spark, d, _K.alias("record_id"), F.col("o_custkey").alias("run_id"), F.when(_K % 2 == 0, "export").otherwise("api").alias("origin"), F.when(_K % 3 == 0, _K).otherwise(_K + 1).alias("payload_id")), _command_runs(spark, d), _orders(spark, d, _K.alias("payload_id"), F.when(_K % 5 < 2, "export").otherwise("api").alias("origin")),
+), """with o as (select o_orderkey as k, o_custkey % 3 as m, case when o_orderkey % 2 = 0 then 'export' else 'api' end as origin, case when o_orderkey % 3 = 0 then o_orderkey else o_orderkey + 1 end as p from orders join customer on c_custkey = o_custkey), j as (select o.*, p % 5 >= 2 as api from o where p in (select o_orderkey from orders))
+select k as record_id, unnest(list_filter([case when (m = 1 and origin <> 'export') or (m = 2 and origin <> 'api') then 'run' end, case when (origin = 'export' and api) or (origin = 'api' and api and k <> p) then 'payload' end], lambda x: x is not null)) as fault from j""")
+register("v14_rejections", lambda spark, d: integrity.rejection_faults(
+    _orders(spark, d, _K.alias("rejection_id"), F.when(_K % 7 == 0, "other").when(_K % 2 == 0, "interval").otherwise("instant").alias("source"), F.when(_K % 3 == 0, "invalid_duration").otherwise("invalid_timestamp").alias("error_code"), F.when(_K % 11 == 0, F.lit(None)).when(_K % 13 == 0, "raw text").otherwise("rejected").alias("summary"), F.when(_K % 17 != 0, _K).alias("file_id"), F.when(_K % 19 != 0, 1).alias("ordinal")),
+    {"interval": ["invalid_duration", "invalid_timestamp"], "instant": ["invalid_timestamp"]}, "rejected",
+), """select o_orderkey as rejection_id, unnest(list_filter([case when o_orderkey % 11 = 0 or o_orderkey % 13 = 0 then 'summary' end, case when o_orderkey % 7 = 0 or (o_orderkey % 2 = 1 and o_orderkey % 3 = 0) then 'code' end, case when o_orderkey % 17 = 0 or o_orderkey % 19 = 0 then 'provenance' end], lambda x: x is not null)) as fault from orders""")
+
+
+def _state_faults(spark, d) -> DataFrame:
+    c = _chain(spark, d)
+    k = F.col("event_id")
+    events = c.events.select("event_id", F.when(k % 29 == 0, "unresolved").when(k % 31 == 0, "superseded").when(k % 33 == 0, "current").otherwise(F.col("event_status")).alias("event_status"))
+    return integrity.state_faults(c.resolutions, c.links.where("role = 'primary'"), events)
+
+
+register("v17_states", _state_faults, f"""{_EVENTS}, e as (select event_id, case when event_id % 29 = 0 then 'unresolved' when event_id % 31 = 0 then 'superseded' when event_id % 33 = 0 then 'current' else event_status end as s from ev_all)
+select lk.record_id, lk.event_id from lk join e using (event_id) join res on res.record_id = lk.record_id where role = 'primary' and ((kind = 'new_unresolved' and s not in ('unresolved', 'superseded')) or (kind <> 'new_unresolved' and s = 'unresolved'))""")
+
+
+def _entities(spark, d) -> DataFrame:
+    return _customers(spark, d, _C.alias("entity_id"), F.when(_C % 3 == 0, "artist").when(_C % 3 == 1, "release").otherwise("track").alias("entity_type"))
+
+
+_TYPES = "e as (select c_custkey as id, case when c_custkey % 3 = 0 then 'artist' when c_custkey % 3 = 1 then 'release' else 'track' end as t from customer)"
+register("v19_subtypes", lambda spark, d: integrity.subtype_faults(_entities(spark, d), **{n: _customers(spark, d, _C.alias("entity_id")).where(f"(entity_id % 3 = {m} and entity_id % 41 != 0) or entity_id % {p} = 0") for n, m, p in (("artist", 0, 43), ("release", 1, 47), ("track", 2, 53))}), f"""with {_TYPES},
+h as (select id, t, (id % 3 = 0 and id % 41 <> 0) or id % 43 = 0 as a, (id % 3 = 1 and id % 41 <> 0) or id % 47 = 0 as r, (id % 3 = 2 and id % 41 <> 0) or id % 53 = 0 as k from e)
+select id as entity_id, unnest(list_filter([case when (t = 'artist' and not a) or (t = 'release' and not r) or (t = 'track' and not k) then 'missing' end, case when (t = 'artist' and (r or k)) or (t = 'release' and (a or k)) or (t = 'track' and (a or r)) then 'other' end], lambda x: x is not null)) as fault from h""")
+register("v21_identifiers", lambda spark, d: integrity.identifier_faults(
+    _orders(spark, d, F.when(_K % 4 == 0, "artist_mbid").when(_K % 4 == 1, "release_mbid").when(_K % 4 == 2, "track_uri").otherwise("note").alias("namespace"), _K.cast("string").alias("value"), F.col("o_custkey").alias("entity_id")), _entities(spark, d), {"artist_mbid": "artist", "release_mbid": "release", "track_uri": "track"},
+), f"""with {_TYPES}, i as (select o_orderkey as k, o_custkey as c, case o_orderkey % 4 when 0 then 'artist_mbid' when 1 then 'release_mbid' when 2 then 'track_uri' else 'note' end as n, case o_orderkey % 4 when 0 then 'artist' when 1 then 'release' when 2 then 'track' end as want from orders) select n as namespace, k::varchar as value from i join e on id = c where t <> want""")
+register("v22_conflicts", lambda spark, d: integrity.conflict_faults(_orders(spark, d, _K.alias("record_id"), F.when(_K % 2 == 0, "artist").otherwise("track").alias("entity_type"), F.col("o_custkey").alias("strong_id"), (F.col("o_custkey") + 3).alias("other_id")), _entities(spark, d)), f"""with {_TYPES}
+select o_orderkey as record_id, case when o_orderkey % 2 = 0 then 'artist' else 'track' end as entity_type from orders join e a on a.id = o_custkey join e b on b.id = o_custkey + 3 where a.t <> case when o_orderkey % 2 = 0 then 'artist' else 'track' end or b.t <> case when o_orderkey % 2 = 0 then 'artist' else 'track' end""")
+
+
+def _strong(spark, d) -> DataFrame:
+    """Identifiers of orders owned by the customer of their first order; half of the entities are merged in pairs, some conflicts are named."""
+    value = (_K % 5000).cast("string")
+    carried = _orders(spark, d, _K.alias("record_id"), F.lit("track").alias("entity_type"), F.col("o_custkey").alias("entity_id"), F.lit("uri").alias("namespace"), value.alias("value"))
+    owners = carried.where("cast(value as int) % 7 != 0").groupBy("namespace", "value").agg(F.min_by("entity_id", "record_id").alias("owner"))
+    roots = identity.merge_roots(_customers(spark, d, _C.alias("subject"), (_C - 1).alias("object")).where("subject % 4 = 1"))
+    named = carried.join(owners, ["namespace", "value"]).where("record_id % 3 = 0 and entity_id != owner").select("record_id", "entity_type", F.when(F.col("record_id") % 2 == 0, F.col("owner")).otherwise(F.col("entity_id")).alias("strong_id"), F.when(F.col("record_id") % 2 == 0, F.col("entity_id")).otherwise(F.col("owner")).alias("other_id"))
+    return integrity.strong_identifier_faults(carried, owners, roots, named)
+
+
+register("v23_strong_identifiers", _strong, """with c as (select o_orderkey as k, o_custkey as e, o_orderkey % 5000 as v from orders), o as (select v, arg_min(e, k) as owner from c where v % 7 <> 0 group by 1), j as (select c.*, owner, case when e % 4 = 1 then e - 1 else e end as er, case when owner % 4 = 1 then owner - 1 else owner end as orr from c left join o using (v))
+select k as record_id, 'uri' as namespace, case when owner is null then 'unknown' else 'elsewhere' end as fault from j where owner is null or (er <> orr and k % 3 <> 0)""")
+
+
+def _manual_rows(spark, d) -> DataFrame:
+    """Manual decisions on pairs of customers and orders, some repeated later, with events that they merged."""
+    yes = _K % 3 != 0
+    return _orders(spark, d, _K.alias("decision_id"), F.col("o_custkey").alias("play_id"), (F.col("o_custkey") * 2 + 1).alias("scrobble_id"), F.when(yes, "accept").otherwise("reject").alias("decision"), F.when(yes | (_K % 7 == 0), F.col("o_custkey") * 2 + 1).alias("source_event"), F.when(yes, F.col("o_custkey")).alias("target_event"), (_K % 100).alias("imported_ms"), _K.alias("number"))
+
+
+register("v25_manual_decisions", lambda spark, d: integrity.manual_faults(
+    _manual_rows(spark, d), _orders(spark, d, _K.alias("decision_id"), F.when(_K % 11 == 0, "alias").when(_K % 3 != 0, "accept").otherwise("reject").alias("decision_type")), _customers(spark, d, _C.alias("play_id"), (_C * 2 + 1).alias("scrobble_id"), F.when(_C % 2 == 0, "manually_accepted").otherwise("manually_rejected").alias("state")),
+    _customers(spark, d, (_C * 2 + 1).alias("event_id"), F.when(_C % 5 != 0, "superseded").otherwise("current").alias("event_status"), F.when(_C % 13 != 0, _C).alias("superseded_by")),
+    _customers(spark, d, _C.alias("event_id"), _C.alias("record_id"), F.lit("primary").alias("role")).unionByName(_customers(spark, d, _C.alias("event_id"), (_C * 2 + 1).alias("record_id"), F.when(_C % 17 == 0, "primary").otherwise("cross_source_match").alias("role"))),
+), """with m as (select o_orderkey as k, o_custkey as c, o_orderkey % 3 <> 0 as yes, row_number() over (partition by o_custkey order by o_orderkey % 100 desc, o_orderkey desc) = 1 as newest, o_custkey in (select c_custkey from customer) as there from orders)
+select k as decision_id, unnest(list_filter([case when k % 11 = 0 then 'type' end, case when newest and not yes and k % 7 = 0 then 'merged' end, case when newest and (not there or (yes <> (c % 2 = 0))) then 'state' end, case when newest and yes and not (there and c % 5 <> 0 and c % 13 <> 0) then 'lineage' end,
+case when newest and yes and (not there or c % 17 = 0) then 'links' end], lambda x: x is not null)) as fault from m""")
+register("w15_newest_manual", lambda spark, d: integrity.newest_manual(_manual_rows(spark, d)).select("play_id", "decision_id", "decision"), "select o_custkey as play_id, o_orderkey as decision_id, case when o_orderkey % 3 <> 0 then 'accept' else 'reject' end as decision from orders qualify row_number() over (partition by o_custkey order by o_orderkey % 100 desc, o_orderkey desc) = 1")
+register("t3_first_links", lambda spark, d: integrity.first_link(_orders(spark, d, F.col("o_custkey").alias("play_id"), (_K % 3).alias("scrobble_id"), _K.alias("record_id"), (_K * 2).alias("event_id"))), "select o_custkey as play_id, o_orderkey % 3 as scrobble_id, min(o_orderkey) as record_id, min(o_orderkey) * 2 as event_id from orders group by 1, 2")
+register("v26_identity_decisions", lambda spark, d: integrity.identity_decision_faults(
+    _customers(spark, d, _C.alias("decision_id"), F.when(_C % 4 == 0, "split").when(_C % 4 == 1, "alias").otherwise("merge").alias("type"), (_C - _C % 2).alias("subject"), F.when(_C % 19 != 0, _C + F.when(_C % 6 == 0, 3).otherwise(1)).alias("object"), F.when(_C % 4 == 0, _C - F.when(_C % 8 == 0, 1).otherwise(2)).when(_C % 23 == 0, _C - 4).alias("supersedes")),
+    _entities(spark, d), _customers(spark, d, _C.alias("decision_id"), F.when(_C % 29 == 0, "accept").when(_C % 4 == 0, "split").when(_C % 4 == 1, "alias").otherwise("merge").alias("decision_type")).where("decision_id % 2 = 0"),
+), f"""with {_TYPES}, m as (select c_custkey as id, case when c_custkey % 4 = 0 then 'split' when c_custkey % 4 = 1 then 'alias' else 'merge' end as ty, c_custkey - c_custkey % 2 as s, case when c_custkey % 19 <> 0 then c_custkey + case when c_custkey % 6 = 0 then 3 else 1 end end as o,
+  case when c_custkey % 4 = 0 then c_custkey - case when c_custkey % 8 = 0 then 1 else 2 end when c_custkey % 23 = 0 then c_custkey - 4 end as sup from customer),
+j as (select m.*, a.t as st, b.t as ot, p.ty as pt, p.s as ps, p.o as po from m left join e a on a.id = s left join e b on b.id = o left join m p on p.id = m.sup)
+select id as decision_id, unnest(list_filter([case when ty in ('merge', 'split') and (ot is null or st <> ot) then 'types' end, case when sup is not null and not coalesce(ty = 'split' and pt = 'merge' and s = ps and o = po, false) then 'supersedes' end, case when id % 2 = 0 and id % 29 = 0 then 'artifact' end], lambda x: x is not null)) as fault from j""")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.calendar import capped_ratio, local_time, month_index, month_label, window_start
 
 
+SALTS = 16
+
+
 @dataclass(frozen=True)
 class EraRules:
     # fixed defaults
@@ -37,9 +40,13 @@ def era_windows(events: DataFrame, rules: EraRules = EraRules(), tz: str = "Amer
     placed = counted.crossJoin(F.broadcast(ends)).select("artist_id", ((F.col("m") - F.col("m0")) / r.window_months).cast("int").alias("i"), ((F.col("m1") - F.col("m0")) / r.window_months).cast("int").alias("last"), "m0", "n")
     reached = placed.select("artist_id", "m0", "last", "n", F.posexplode(F.sequence("i", F.col("i") + r.rolling_windows - 1)).alias("k", "i")).where("i <= last")
     w = reached.groupBy("artist_id", "i", "m0").agg(F.sum("n").alias("rolling"), F.sum(F.when(F.col("k") == 0, F.col("n")).otherwise(0)).alias("plays"))
-    at = Window.partitionBy("i")
     own = Window.partitionBy("artist_id").orderBy("i")
-    w = w.withColumn("share", F.col("rolling") / F.sum("rolling").over(at)).withColumn("rank", F.dense_rank().over(at.orderBy(F.desc("rolling"))))
+    whole = w.groupBy("i").agg(F.sum("rolling").alias("all_rolling"))  # a row a calendar window
+    # ranks go by the distinct numbers of plays, which are few; artists take theirs by a join dealt to SALTS tasks a number
+    levels = w.groupBy("i", "rolling").agg(F.count("*").alias("artists")).withColumn("rank", F.dense_rank().over(Window.partitionBy("i").orderBy(F.desc("rolling")))).drop("artists")
+    levels = levels.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    w = w.join(F.broadcast(whole), "i").withColumn("share", F.col("rolling") / F.col("all_rolling"))
+    w = w.withColumn("salt", F.pmod(F.xxhash64("artist_id"), F.lit(SALTS)).cast("int")).join(levels, ["i", "rolling", "salt"])
     earlier = F.sum("rolling").over(own.rangeBetween(-r.rolling_windows, -r.rolling_windows))
     w = w.withColumn("baseline", F.when(F.col("i") >= 2 * r.rolling_windows - 1, F.coalesce(earlier, F.lit(0))))
     active = (F.col("plays") >= r.minimum_window) & (F.col("rolling") >= r.minimum_rolling)

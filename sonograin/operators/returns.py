@@ -8,19 +8,40 @@ from pyspark.sql import functions as F
 from ..functions.calendar import DAY_MS, capped_ratio, local_time, month_index
 
 
+def by_day(events: DataFrame, *entity: str) -> DataFrame:
+    """entity, day, first (instant_ms, event_id), last_ms, n: the plays of a day; a window over an entity's days holds a row a day, however many plays there are."""
+    return events.groupBy(*entity, F.floor(F.col("instant_ms") / DAY_MS).alias("day")).agg(F.min(F.struct("instant_ms", "event_id")).alias("first"), F.max("instant_ms").alias("last_ms"), F.count("*").alias("n"))
+
+
 def rediscoveries(events: DataFrame, eras: DataFrame, scope: str = "artist", absence_days: int = 180, prior_plays: int = 5, return_plays: int = 1, return_days: int = 30, persistence_plays: int = 2, persistence_days: int = 90, tz: str = "America/Chicago") -> DataFrame:
-    """Returns of an artist or track after ``absence_days``: gap_days, counts, persistence, the related era and the class."""
+    """Returns of an artist or track after ``absence_days``: gap_days, counts, persistence, the related era and the class.
+
+    A return is the first play of its day, so gaps and counts come from whole days, but for the two days in which the spans
+    after the return end; of these the plays themselves are counted, for the few returns there are.
+    """
     entity = F.col("artist_id" if scope == "artist" else "track_id")
     e = events.where(F.col("event_status").isin("current", "unresolved")).select(entity.alias("entity_id"), "artist_id", "event_id", "instant_ms")
     observed = e.agg(F.max("instant_ms").alias("observed"))  # one row
-    order = Window.partitionBy("entity_id").orderBy("instant_ms", "event_id")
-    by_time = Window.partitionBy("entity_id").orderBy("instant_ms")
-    back, stay = return_days * DAY_MS, persistence_days * DAY_MS
-    e = e.select(
-        "*", F.lag("instant_ms").over(order).alias("prior_ms"), (F.row_number().over(order) - 1).alias("prior_play_count"),
-        F.count("*").over(by_time.rangeBetween(0, back - 1)).alias("return_intensity"), F.count("*").over(by_time.rangeBetween(back, back + stay - 1)).alias("persistence_play_count"),
+    along = Window.partitionBy("entity_id", "artist_id").orderBy("day")
+    back, stay, far = return_days * DAY_MS, persistence_days * DAY_MS, return_days + persistence_days
+    d = by_day(e, "entity_id", "artist_id")
+    over = lambda a, z: F.coalesce(F.sum("n").over(along.rangeBetween(a, z)), F.lit(0))
+    d = d.select(
+        "*", F.lag("last_ms").over(along).alias("prior_ms"), F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("prior_play_count"),
+        over(0, return_days - 1).alias("near"), over(return_days + 1, far - 1).alias("later"),
     )
-    e = e.where((F.col("instant_ms") - F.col("prior_ms") >= absence_days * DAY_MS) & (F.col("prior_play_count") >= prior_plays) & (F.col("return_intensity") >= return_plays)).crossJoin(F.broadcast(observed))
+    d = d.where((F.col("first.instant_ms") - F.col("prior_ms") >= absence_days * DAY_MS) & (F.col("prior_play_count") >= prior_plays)).select("entity_id", "artist_id", "day", "first.*", "prior_ms", "prior_play_count", "near", "later")
+    ends = d.select("entity_id", "artist_id", F.col("instant_ms").alias("at"), F.explode(F.array(F.col("day") + return_days, F.col("day") + far)).alias("day"))
+    plays = e.select("entity_id", "artist_id", F.col("instant_ms").alias("played"), F.floor(F.col("instant_ms") / DAY_MS).alias("day"))
+    since = F.col("played") - F.col("at")
+    edges = ends.join(plays, ["entity_id", "artist_id", "day"]).groupBy("entity_id", "artist_id", F.col("at").alias("instant_ms")).agg(
+        F.count_if(since < back).alias("near_edge"), F.count_if((since >= back) & (since < back + stay)).alias("later_edge")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    e = d.join(edges, ["entity_id", "artist_id", "instant_ms"], "left").select(
+        "entity_id", "artist_id", "event_id", "instant_ms", "prior_ms", "prior_play_count", (F.col("near") + zero("near_edge")).alias("return_intensity"), (F.col("later") + zero("later_edge")).alias("persistence_play_count")
+    )
+    e = e.where(F.col("return_intensity") >= return_plays).crossJoin(F.broadcast(observed))
     end = F.col("instant_ms") + back + stay
     e = e.withColumn("persistence", F.when(F.col("observed") < end, "open").when(F.col("persistence_play_count") >= persistence_plays, "persistent").otherwise("not_persistent"))
     e = e.withColumn("month", month_index(local_time(F.col("instant_ms"), tz))).withColumn("horizon", month_index(local_time(end, tz)))
@@ -40,14 +61,19 @@ def abandonments(events: DataFrame, as_of_ms: int | None = None, gap_days: int =
     e = events.where(F.col("event_status").isin("current", "unresolved")).select("artist_id", "event_id", "instant_ms")
     e = e if as_of_ms is None else e.where(F.col("instant_ms") <= as_of_ms)
     end = e.agg(F.max("instant_ms").alias("observed")) if as_of_ms is None else None
-    order = Window.partitionBy("artist_id").orderBy("instant_ms", "event_id")
-    split = F.when(F.col("instant_ms") - F.lag("instant_ms").over(order) > gap_days * DAY_MS, 1).otherwise(0)
-    e = e.withColumn("split", split).withColumn("last_ms", F.max("instant_ms").over(Window.partitionBy("artist_id")))
-    e = e.withColumn("period", F.sum("split").over(order))
-    periods = e.groupBy("artist_id", "period").agg(
-        F.min("instant_ms").alias("start_ms"), F.max("instant_ms").alias("end_ms"), F.count("*").alias("n"), F.sum((F.col("instant_ms") >= F.col("last_ms") - cadence_days * DAY_MS).cast("int")).alias("cadence")
-    )
-    a = periods.groupBy("artist_id").agg(F.sum("n").alias("historical_play_count"), F.sum("cadence").alias("cadence_play_count"), F.count("*").alias("active_period_count"), F.max_by(F.struct("start_ms", "end_ms", "n"), "period").alias("p"))
+    days = by_day(e, "artist_id")
+    along = Window.partitionBy("artist_id").orderBy("day")
+    whole = Window.partitionBy("artist_id")
+    split = F.when(F.col("first.instant_ms") - F.lag("last_ms").over(along) > gap_days * DAY_MS, 1).otherwise(0)
+    days = days.withColumn("split", split).withColumn("since", F.max("last_ms").over(whole) - cadence_days * DAY_MS)
+    days = days.withColumn("period", F.sum("split").over(along)).withColumn("whole", F.col("day") > F.floor(F.col("since") / DAY_MS))
+    periods = days.groupBy("artist_id", "period").agg(F.min("first.instant_ms").alias("start_ms"), F.max("last_ms").alias("end_ms"), F.sum("n").alias("n"), F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).alias("cadence"))
+    a = periods.groupBy("artist_id").agg(F.sum("n").alias("historical_play_count"), F.sum("cadence").alias("cadence"), F.count("*").alias("active_period_count"), F.max_by(F.struct("start_ms", "end_ms", "n"), "period").alias("p"))
+    # of the day in which the cadence span begins the plays themselves are counted
+    begins = days.where("day = floor(since / 86400000)").select("artist_id", "day", "since")
+    plays = e.select("artist_id", "instant_ms", F.floor(F.col("instant_ms") / DAY_MS).alias("day"))
+    edge = begins.join(plays, ["artist_id", "day"]).groupBy("artist_id").agg(F.count_if(F.col("instant_ms") >= F.col("since")).alias("edge"))
+    a = a.join(edge, "artist_id", "left").withColumn("cadence_play_count", F.col("cadence") + F.coalesce("edge", F.lit(0)))
     a = a.crossJoin(F.broadcast(end)) if as_of_ms is None else a.withColumn("observed", F.lit(as_of_ms))
     silent = (F.col("observed") - F.col("p.end_ms")) / float(DAY_MS)
     a = a.withColumn("absence_days", silent).where((F.col("historical_play_count") >= historical_plays) & (F.col("absence_days") >= dormancy_days) & (F.col("cadence_play_count") >= cadence_plays))

@@ -7,16 +7,28 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import blank
 
-def digest(rows: DataFrame, buckets: int = 256) -> DataFrame:
+
+def digest(rows: DataFrame) -> DataFrame:
     """One row: n and a SHA-256 of the rows as a multiset.
 
-    Rows are hashed, dealt into buckets by their hash, and each bucket's sorted hashes and then the buckets are hashed;
-    with more rows use more buckets, so that a bucket stays small.
+    Each row's SHA-256 is cut into four numbers of 64 bits that are summed up; the digest is over the number of rows and the
+    sums.  Sums don't depend on order or partitions and are added up where the rows are, so nothing is collected.
     """
     h = rows.select(F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256).alias("h"))
-    per = h.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("d"), F.count("*").alias("n"))
-    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+    lanes = [F.conv(F.substring("h", 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    total = h.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(x), F.lit(0)).cast("decimal(38,0)").cast("string").alias(f"s{i}") for i, x in enumerate(lanes)))
+    return total.select("n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), *(f"s{i}" for i in range(4))), 256).alias("digest"))
+
+
+def population(events: DataFrame, fallback: str = "none") -> DataFrame:
+    """One row: the distinct rule versions of the events in order, blank ones left out, or ``fallback``; the sources that back them; events with each known field."""
+    known = [c for c in ("artist_id", "track_id", "listened_ms", "started_ms", "ended_ms") if c in events.columns]
+    versions = F.array_sort(F.collect_set(F.when(~blank(F.col("rule_version")), F.col("rule_version"))))
+    sources = F.array_compact(F.array(F.when(F.max("has_instant"), F.lit("instant")), F.when(F.max("has_interval"), F.lit("interval"))))
+    one = events.agg(versions.alias("versions"), sources.alias("sources"), *(F.count(c).alias(c) for c in known))
+    return one.select(F.when(F.size("versions") == 0, F.array(F.lit(fallback))).otherwise(F.col("versions")).alias("versions"), "sources", F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*map(F.col, known))).alias("coverage"))
 
 
 def envelope(events: DataFrame, analysis: str, parameters: dict[str, str], tz: str) -> DataFrame:
@@ -64,11 +76,13 @@ def publish(datasets: dict[str, DataFrame], state: DataFrame, path: str) -> Data
     return spark.read.parquet(f"{path}/manifest")
 
 
-def verify(path: str, state: DataFrame) -> DataFrame:
-    """dataset, status of published datasets: invalid (content changed), stale (the state moved on) or valid."""
+def verify(path: str, state: DataFrame, recomputed: dict[str, DataFrame] | None = None) -> DataFrame:
+    """dataset, status of published datasets: invalid (content changed, or not what is computed now from the same state), stale (the state moved on) or valid."""
     spark = state.sparkSession
     manifest = spark.read.parquet(f"{path}/manifest")
     names = [r.dataset for r in manifest.select("dataset").collect()]  # one per analysis
-    now = reduce(DataFrame.unionByName, (digest(spark.read.parquet(f"{path}/{x}")).select(F.lit(x).alias("dataset"), F.col("digest").alias("now")) for x in names))
-    j = manifest.join(now, "dataset").crossJoin(digest(state).select(F.col("digest").alias("state_now")))
-    return j.select("dataset", F.when(F.col("now") != F.col("digest"), "invalid").when(F.col("state_now") != F.col("state_digest"), "stale").otherwise("valid").alias("status"))
+    each = lambda rows, name: reduce(DataFrame.unionByName, (digest(d).select(F.lit(x).alias("dataset"), F.col("digest").alias(name)) for x, d in rows.items()))
+    j = manifest.join(each({x: spark.read.parquet(f"{path}/{x}") for x in names}, "now"), "dataset").crossJoin(digest(state).select(F.col("digest").alias("state_now")))  # one row
+    j = j.join(each(recomputed, "fresh"), "dataset", "left") if recomputed else j.withColumn("fresh", F.lit(None).cast("string"))
+    stale = F.col("state_now") != F.col("state_digest")
+    return j.select("dataset", F.when(F.col("now") != F.col("digest"), "invalid").when(stale, "stale").when(F.col("fresh") != F.col("digest"), "invalid").otherwise("valid").alias("status"))

@@ -10,18 +10,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def canonical_base(spark: SparkSession, sf_dir: str, coarse: bool = False) -> DataFrame:
-    """event_id, artist_id, track_id, instant_ms, listened_ms, event_status."""
+def canonical_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, artist_id, track_id, instant_ms, listened_ms, event_status: an event for each order.
+
+    Every fourth belongs to one of five artists in fashion, each for eight months and again years later; the others go by
+    customer.
+    """
     o = table(spark, sf_dir, "orders")
-    artist = F.pmod("o_custkey", F.lit(25)) if coarse else F.col("o_custkey")
+    month = F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1
+    artist = F.when(F.pmod("o_orderkey", F.lit(4)) == 0, 1_000_000 + F.pmod(F.floor(month / 8), F.lit(5))).otherwise(F.col("o_custkey"))
     return o.select(
-        F.col("o_orderkey").alias("event_id"), artist.alias("artist_id"), (F.col("o_custkey") * 10 + F.pmod("o_orderkey", F.lit(10))).alias("track_id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("instant_ms"),
+        F.col("o_orderkey").alias("event_id"), artist.alias("artist_id"), (artist * 10 + F.pmod("o_orderkey", F.lit(10))).alias("track_id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("instant_ms"),
         F.when(F.col("o_orderstatus") != "P", F.floor("o_totalprice").cast("long")).alias("listened_ms"), F.when(F.pmod("o_orderkey", F.lit(25)) == 0, "unresolved").otherwise("current").alias("event_status"),
     )
 
 
-BASE_SQL = """base as (select o_orderkey as event_id, {artist} as artist_id, o_custkey * 10 + o_orderkey % 10 as track_id, epoch_us(o_orderdate) // 1000 as instant_ms,
-  case when o_orderstatus <> 'P' then cast(floor(o_totalprice) as bigint) end as listened_ms, case when o_orderkey % 25 = 0 then 'unresolved' else 'current' end as event_status from orders)"""
+BASE_SQL = """oa as (select *, case when o_orderkey % 4 = 0 then 1000000 + (year(o_orderdate) * 12 + month(o_orderdate) - 1) // 8 % 5 else o_custkey end as artist from orders),
+base as (select o_orderkey as event_id, artist as artist_id, artist * 10 + o_orderkey % 10 as track_id, epoch_us(o_orderdate) // 1000 as instant_ms,
+  case when o_orderstatus <> 'P' then cast(floor(o_totalprice) as bigint) end as listened_ms, case when o_orderkey % 25 = 0 then 'unresolved' else 'current' end as event_status from oa)"""
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
