@@ -16,7 +16,7 @@ those of its lines that reach ``min_words`` words inside it, so no maximal repea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import BLANK_GAP, cut, running, spread_join
@@ -51,16 +51,16 @@ def _shifted(rows: DataFrame, by, name: str, ranked: DataFrame) -> DataFrame:
 
 
 def _later_copies(runs: DataFrame) -> DataFrame:
-    """Of runs (doc_id, dk, pos, l, r, r2) equal in l, r and r2 all but the earliest."""
+    """Of runs (doc_id, dk, pos, l, r, r2) equal in l, r and r2 all but the earliest, with that one (first) and the size n of the interval."""
     at = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "dk", "pos")
     runs = cut(runs)
     first = runs.groupBy("l", "r", "r2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1")
-    met = spread_join(runs, first.drop("n"), ["l", "r", "r2"], first.drop("first"), ["doc_id", "dk", "pos"])
-    return met.where(at != F.col("first")).select("doc_id", "dk", "pos", "l")
+    met = spread_join(runs, first, ["l", "r", "r2"], first.drop("first"), ["doc_id", "dk", "pos"])
+    return met.where(at != F.col("first")).select("doc_id", "dk", "pos", "l", "first", "n")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The runs to delete: doc_id, dk, pos, l (lines), by position among the lines with a word."""
+    """The runs to delete: doc_id, dk, pos, l (lines), first (the kept copy's n, doc_id, dk, pos) and n (copies in all), by position among the lines with a word."""
     # a row that repeats doc_id and text is the same document again
     ranked, h, found = cut(_first_ranks(cut(_numbered(docs, min_words))).dropDuplicates(["doc_id", "dk", "pos"])), 1, None
     while True:
@@ -79,6 +79,21 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         h *= 2
 
 
+def matched_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, dk, pos, n_lines, first_doc_id, first_dk, first_pos, n_copies: the repeated runs to delete, each with the kept lines that it equals.
+
+    Overlapping and neighbouring runs that repeat the same lines of one earlier place are one.  pos counts the lines with a
+    word; n_copies is the size of the greatest interval of equal runs in it.  A document's runs are what one window holds.
+    """
+    found = repeated_runs(docs, min_words).select("doc_id", "dk", "pos", "l", F.col("first.doc_id").alias("first_doc_id"), F.col("first.dk").alias("first_dk"), (F.col("first.pos") - F.col("pos")).alias("shift"), "n").distinct()
+    along = ["doc_id", "dk", "first_doc_id", "first_dk", "shift"]
+    before = F.max(F.col("pos") + F.col("l")).over(Window.partitionBy(*along).orderBy("pos", "l").rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("pos") > before, F.lit(True)).cast("int")
+    runs = found.withColumn("opens", opens).withColumn("run", F.sum("opens").over(Window.partitionBy(*along).orderBy("pos", "l").rowsBetween(Window.unboundedPreceding, 0)))
+    out = runs.groupBy(*along, "run").agg(F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("l")).alias("end"), F.max("n").alias("n_copies"))
+    return out.select("doc_id", "dk", "pos", (F.col("end") - F.col("pos")).alias("n_lines"), "first_doc_id", "first_dk", (F.col("pos") + F.col("shift")).alias("first_pos"), "n_copies")
+
+
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, dk, n_lines (with a word), n_deleted, n_runs, deleted (numbers of the deleted lines, from 0, all lines counted).
 

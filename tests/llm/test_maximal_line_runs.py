@@ -37,3 +37,22 @@ def test_maximal_repeats_against_brute_force(spark, least):
     docs += [(100 + i, f"{a}\nx{i}\n{a}") for i in range(3)]
     got = {x.doc_id: x.deleted for x in lines.deletions(spark.createDataFrame(docs, "doc_id long, text string"), least).collect()}
     assert got == maximal_deletions(docs, least)
+
+
+def test_matched_runs_equal_kept_lines_and_make_up_the_deletions(spark):
+    r = random.Random(31)
+    pool = [" ".join("abcdefg"[r.randrange(7)] for _ in range(r.randint(1, 8))) for _ in range(9)] + [""]
+    passage = [f"passage line {i} of some words" for i in range(12)]
+    docs = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(0, 14)))) for i in range(30)]
+    docs += [(100 + i, "\n".join([f"head {i}", *passage, f"tail {i}"])) for i in range(4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    full = {i: [x for x in t.split("\n") if x.split()] for i, t in docs}
+    numbers = {i: [p for p, x in enumerate(t.split("\n")) if x.split()] for i, t in docs}
+    gone = {i: set() for i, _ in docs}
+    rows = lines.matched_runs(df, 10).collect()
+    for x in rows:
+        assert full[x.doc_id][x.pos : x.pos + x.n_lines] == full[x.first_doc_id][x.first_pos : x.first_pos + x.n_lines]
+        assert (x.first_doc_id, x.first_pos) < (x.doc_id, x.pos) and x.n_copies > 1
+        gone[x.doc_id] |= set(numbers[x.doc_id][x.pos : x.pos + x.n_lines])
+    assert {i: sorted(g) for i, g in gone.items()} == maximal_deletions(docs, 10)
+    assert {(x.doc_id, x.pos, x.n_lines, x.first_doc_id, x.first_pos, x.n_copies) for x in rows if x.doc_id >= 100} == {(100 + i, 1, 12, 100, 1, 4) for i in (1, 2, 3)}
