@@ -143,11 +143,11 @@ def _forward(model, group, keep: bool, enters=None):
     enters: a state distribution for the first place of each text instead of the model's.
     """
     flat, starts, active = _by_place(group)
-    logs, kept, a = np.zeros(len(group)), [], None
+    logs, kept, a, ones = np.zeros(len(group)), [], None, np.ones(len(model["first"]))
     for t, n in enumerate(active):
         seen = flat[starts[:n] + t]
         a = ((model["first"] if enters is None else enters) if a is None else a[:n] @ model["move"]) * model["emit"][seen]
-        scale = a.sum(axis=1)
+        scale = a @ ones
         a /= scale[:, None]
         logs[:n] += np.log10(scale)
         if keep:
@@ -162,15 +162,16 @@ def _effects(model, pieces) -> np.ndarray:
     """
     states = len(model["first"])
     flat, starts, active = _by_place(pieces)
-    a, logs = np.tile(np.eye(states), (len(pieces), 1, 1)), np.zeros((len(pieces), states))
+    a = np.tile(np.eye(states), (len(pieces), 1, 1))
     for t, n in enumerate(active):
-        now = (a[:n] if t == 0 else a[:n] @ model["move"]) * model["emit"][flat[starts[:n] + t]][:, None, :]
-        scale = now.sum(axis=2)
-        a[:n] = now / scale[:, :, None]
-        logs[:n] += np.log(scale)
+        if t:
+            a[:n] = (a[:n].reshape(-1, states) @ model["move"]).reshape(n, states, states)
+        a[:n] *= model["emit"][flat[starts[:n] + t]][:, None, :]
+        if t % 8 == 7:  # far from the least number that a double holds
+            a[:n] /= a[:n].max(axis=(1, 2), keepdims=True)
     out = np.empty_like(a)
-    out[[i for i, _ in pieces]] = np.exp(logs - logs.max(axis=1, keepdims=True))[:, :, None] * (a @ model["move"])
-    return out
+    out[[i for i, _ in pieces]] = a @ model["move"]
+    return out / out.max(axis=(1, 2), keepdims=True)
 
 
 def _ends(effects: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
