@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import cut, spread_join
+from .text import LEAST, cut, spread_join
 
 SHINGLE, SEED, BITS = 4, 42, 4
 HOT = 512
@@ -141,15 +141,18 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.select("a", "b").distinct())
     seen = None
     while True:
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == seen or not now[0]:
-            return e.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
-        seen = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
-        large = spread_join(both.where("b > a"), least.select("a", "m"), ["a"], least.select("a", "n"), ["b"]).select(F.col("m").alias("a"), "b").distinct()
+        per = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        edges, digest, most = per.agg(F.count("*"), F.sum("h"), F.max("n")).first()
+        if (edges, digest) == seen or not edges:
+            return e.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
+        seen = edges, digest
+        # hubs are dealt to many tasks where there are any
+        join = spread_join if most >= LEAST else lambda rows, side, keys, *_: rows.join(side, keys)
+        least = per.select("a", F.least("a", "m").alias("m"), "n")
+        large = join(both.where("b > a"), least.select("a", "m"), ["a"], least.select("a", "n"), ["b"]).select(F.col("m").alias("a"), "b").distinct()
         down = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
-        met = spread_join(large, down.select("b", "m"), ["b"], down.select("b", "n"), ["a"])
+        met = join(large, down.select("b", "m"), ["b"], down.select("b", "n"), ["a"])
         small = met.select(F.col("m").alias("a"), "b").unionByName(met.where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b")))
         e = cut(small.where("a < b").distinct())
 

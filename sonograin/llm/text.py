@@ -32,8 +32,8 @@ def blank_tokens(c: Column) -> Column:
     return pieces(c, BLANK_GAP)
 
 
-#: A key with more than a SHARE-th of all rows is heavy, so fewer than SHARE keys are; their rows are dealt to SALTS tasks.
-SHARE, SALTS = 1000, 64
+#: A key with LEAST rows that are more than a SHARE-th of all is heavy, so fewer than SHARE keys are; their rows are dealt to SALTS tasks.
+LEAST, SHARE, SALTS = 1000, 1000, 64
 
 
 def shared_dir(spark) -> str:
@@ -64,14 +64,18 @@ def discard(spark, path: str) -> None:
 def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], counted: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """rows joined with side on ``keys``, without a task that holds a heavy key.
 
-    counted has keys and n, how many of rows have each key; keys that it lacks count as light.  Heavy ones, fewer than SHARE,
-    are broadcast; their rows get a salt from a hash of ``by``, and their rows of side are repeated for each salt.
+    counted has keys and n, how many of rows have each key; keys that it lacks count as light.  Heavy ones, of LEAST rows and
+    over a SHARE-th of all, are fewer than SHARE; they are fetched and broadcast, their rows get a salt from a hash of
+    ``by``, and their rows of side are repeated for each salt.
     """
     total = counted.agg(F.sum("n").alias("_total"))  # one row
-    heavy = counted.crossJoin(F.broadcast(total)).where(F.col("n") * SHARE > F.col("_total")).select(*keys, F.lit(SALTS).alias("_of"))
+    heavy = counted.where(F.col("n") >= LEAST).crossJoin(F.broadcast(total)).where(F.col("n") * SHARE > F.col("_total")).select(*keys).collect()
+    if not heavy:
+        return rows.join(side, keys, how)
+    marked = F.broadcast(rows.sparkSession.createDataFrame(heavy, counted.select(*keys).schema).withColumn("_of", F.lit(SALTS)))
     of = F.coalesce("_of", F.lit(1))
-    dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), of).cast("int")).drop("_of")
-    repeated = side.join(F.broadcast(heavy), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), of - 1))).drop("_of")
+    dealt = rows.join(marked, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), of).cast("int")).drop("_of")
+    repeated = side.join(marked, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), of - 1))).drop("_of")
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
