@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.calendar import GRAINS
+from .functions.calendar import GRAINS, iso_millis
 from .functions.text import match_text
 from .operators import coverage, decisions, eras, evidence, identity, integrity, reconcile, returns, sync, volume
-from .plans import envelope, reconciliation
+from .plans import envelope, ordering, reconciliation
 from .sources import history
 from .streaming import plays as streams
 
@@ -163,7 +163,8 @@ select event_id, case when reason is null then 'scrobble' else 'malformed' end a
 )
 _SPACED = "trim(regexp_replace(regexp_replace(lower(nfc_normalize({0})), '[\\p{{P}}\\p{{S}}]', '', 'g'), '\\s+', ' ', 'g'))"
 register("f1_match_text_parts", lambda spark, d: history.table(spark, d, "part").select("p_partkey", match_text(F.concat(F.upper("p_name"), F.lit(" - ("), F.col("p_brand"), F.lit(")"))).alias("key")), f"select p_partkey, {_SPACED.format("upper(p_name) || ' - (' || p_brand || ')'")} as key from part")
-register("f1_match_text_documents", lambda spark, d: history.table(spark, d, "documents").select("doc_id", F.sha2(match_text("text"), 256).alias("key_hash")))
+register("f1_match_text_documents", lambda spark, d: history.table(spark, d, "documents").select("doc_id", F.sha2(match_text(F.col("text")), 256).alias("key_hash")), r"""with k as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '\b(?:feat(?:\.|uring)?|ft\.?)\b', ' feat ', 'g'), '[\p{P}\p{S}]', '', 'g'), '[\s\x{0b}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+', ' ', 'g')) as k from documents)
+select doc_id, sha256(nullif(k, '')) as key_hash from k""")
 register("f2_fingerprints", lambda spark, d: history.interval_plays(spark, d).select("record_id", evidence.fingerprint("play-v1", at=F.col("stopped_at_ms"), ms=F.col("ms_played"), artist=F.col("artist"), track=F.col("track"), listener=F.col("listener")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("fingerprints")), f"{_EVIDENCE}, g as (select count(*) as n from plays group by stopped_at_ms, ms_played, artist, track, listener) select n, count(*) as fingerprints from g group by n")
 register("f3_overlap_fingerprints", lambda spark, d: history.instant_scrobbles(spark, d).groupBy(evidence.overlap_fingerprint(F.col("instant_ms"), F.col("artist"), F.col("track")).alias("fp")).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("fingerprints")), f"{_EVIDENCE}, g as (select count(*) as n from scrobbles group by instant_ms, artist, track) select n, count(*) as fingerprints from g group by n")
 register("f14_scopes", lambda spark, d: history.table(spark, d, "customer").select("c_custkey", evidence.scope_hash(F.col("c_name")).alias("scope"), evidence.file_locator(F.col("c_name")).alias("locator")), """select c_custkey, sha256('lastfm-sync-scope-v1' || chr(0) || c_name) as scope, 'lastfm/path-' || sha256('lastfm-path-v1' || chr(0) || c_name) || '.json' as locator from customer""")
@@ -414,11 +415,11 @@ register("i2_unique_aliases", lambda spark, d: identity.unique_aliases(identity.
 
 def _merged(spark, d) -> DataFrame:
     base = history.canonical_base(spark, d).select("event_id", "artist_id")
-    customers = history.table(spark, d, "customer").where("c_custkey % 4 != 1")
-    return identity.merged(base, "artist_id", customers.select(F.floor(F.col("c_custkey") / 4).cast("long").alias("subject"), F.col("c_custkey").alias("object")))
+    k = F.col("c_custkey")
+    return identity.merged(base, "artist_id", history.table(spark, d, "customer").select(F.when(k % 4 == 1, k).otherwise(F.floor(k / 4)).cast("long").alias("subject"), k.alias("object")))
 
 
-register("i12_merged", _merged, f"""with recursive {history.BASE_SQL}, m as (select c_custkey as o, c_custkey // 4 as s from customer where c_custkey % 4 <> 1), w as (select o as node, s as root from m union select node, m.s from w join m on w.root = m.o),
+register("i12_merged", _merged, f"""with recursive {history.BASE_SQL}, m as (select c_custkey as o, case when c_custkey % 4 = 1 then c_custkey else c_custkey // 4 end as s from customer), w as (select o as node, s as root from m union select node, m.s from w join m on w.root = m.o),
 r as (select node, min(root) as root from w group by node) select event_id, coalesce(root, artist_id) as artist_id, case when root <> artist_id then artist_id end as before_merge from base left join r on node = artist_id""")
 
 
@@ -624,17 +625,22 @@ def _customers(spark, d, *columns) -> DataFrame:
     return history.table(spark, d, "customer").select(*columns)
 
 
-_K, _C = F.col("o_orderkey"), F.col("c_custkey")
+def _k():
+    return F.col("o_orderkey")
+
+
+def _c():
+    return F.col("c_custkey")
 
 
 def _command_runs(spark, d) -> DataFrame:
     """A run for each customer: imports of two kinds and synchronizations."""
-    command = F.when(_C % 3 == 0, "interval_import").when(_C % 3 == 1, "import").otherwise("sync")
-    return _customers(spark, d, _C.alias("run_id"), F.when(_C % 11 == 0, "failed").otherwise("succeeded").alias("status"), command.alias("command"), (_C % 13).alias("registered_files"), (_C % 7).alias("noop_files"), (_C * 1000).alias("completed_ms"), (_C % 5).alias("discovered"), (_C % 4).alias("accepted"))
+    command = F.when(_c() % 3 == 0, "interval_import").when(_c() % 3 == 1, "import").otherwise("sync")
+    return _customers(spark, d, _c().alias("run_id"), F.when(_c() % 11 == 0, "failed").otherwise("succeeded").alias("status"), command.alias("command"), (_c() % 13).alias("registered_files"), (_c() % 7).alias("noop_files"), (_c() * 1000).alias("completed_ms"), (_c() % 5).alias("discovered"), (_c() % 4).alias("accepted"))
 
 
 def _run_files(spark, d) -> DataFrame:
-    return _orders(spark, d, _K.alias("file_id"), F.when(_K % 2 == 0, "interval_export").otherwise("export").alias("source_type"), F.col("o_custkey").alias("first_run_id"), (F.col("o_custkey") + F.when(_K % 4 == 0, 3).when(_K % 9 == 0, -3).otherwise(0)).alias("last_run_id"))
+    return _orders(spark, d, _k().alias("file_id"), F.when(_k() % 2 == 0, "interval_export").otherwise("export").alias("source_type"), F.col("o_custkey").alias("first_run_id"), (F.col("o_custkey") + F.when(_k() % 4 == 0, 3).when(_k() % 9 == 0, -3).otherwise(0)).alias("last_run_id"))
 
 
 _COMMANDS = "case when c % 3 = 0 then 'interval_import' when c % 3 = 1 then 'import' else 'sync' end"
@@ -645,7 +651,7 @@ j as (select f.*, ra.c as ac, rz.c as zc, ra.command as acmd, rz.command as zcmd
 select k as file_id, unnest(list_filter([case when ac is null or zc is null then 'unknown_run' end, case when ast <> 'succeeded' or zst <> 'succeeded' then 'not_succeeded' end, case when a > z then 'order' end, case when acmd <> want or zcmd <> want then 'command' end,
 case when a = z and reg = 0 then 'unregistered' end, case when a <> z and noop = 0 then 'no_noop' end], lambda x: x is not null)) as fault from j""")
 register("v6_rejection_ownership", lambda spark, d: integrity.rejection_ownership_faults(
-    _orders(spark, d, (_K * 10).alias("rejection_id"), (F.col("o_custkey") + F.when(_K % 6 == 0, 1).otherwise(0)).alias("run_id"), F.when(_K % 14 == 0, _K + 10_000_000).otherwise(_K).alias("file_id"), F.when(_K % 5 == 0, "instant").when(_K % 2 == 0, "interval").otherwise("instant").alias("source")),
+    _orders(spark, d, (_k() * 10).alias("rejection_id"), (F.col("o_custkey") + F.when(_k() % 6 == 0, 1).otherwise(0)).alias("run_id"), F.when(_k() % 14 == 0, _k() + 10_000_000).otherwise(_k()).alias("file_id"), F.when(_k() % 5 == 0, "instant").when(_k() % 2 == 0, "interval").otherwise("instant").alias("source")),
     _run_files(spark, d), _command_runs(spark, d), {"interval": ("interval_import", "interval_export"), "instant": ("import", "export")},
 ), f"""{_RUN_FILES}, q as (select o_orderkey * 10 as id, o_custkey + case when o_orderkey % 6 = 0 then 1 else 0 end as run, case when o_orderkey % 14 = 0 then o_orderkey + 10000000 else o_orderkey end as file, case when o_orderkey % 5 <> 0 and o_orderkey % 2 = 0 then 'interval' else 'instant' end as s from orders),
 j as (select q.*, r.c, r.command, f.k, f.t, f.a, case when s = 'interval' then 'interval_import' else 'import' end as wc, case when s = 'interval' then 'interval_export' else 'export' end as wt from q left join r on r.c = run left join f on f.k = file)
@@ -653,24 +659,24 @@ select id as rejection_id, unnest(list_filter([case when c is null then 'unknown
 
 
 def _sync_metadata(spark, d) -> DataFrame:
-    return _customers(spark, d, _C.alias("run_id"), (_C % 6).alias("completed"), (_C % 9).alias("pages")).where("run_id % 3 = 2 and run_id % 10 != 5")
+    return _customers(spark, d, _c().alias("run_id"), (_c() % 6).alias("completed"), (_c() % 9).alias("pages")).where("run_id % 3 = 2 and run_id % 10 != 5")
 
 
 register("v11_sync_runs", lambda spark, d: integrity.sync_run_faults(_command_runs(spark, d).where("command = 'sync'"), _sync_metadata(spark, d)), """with r as (select c_custkey as c, c_custkey % 11 <> 0 as done, c_custkey % 10 <> 5 as there from customer where c_custkey % 3 = 2)
 select c as run_id, unnest(list_filter([case when done and not there then 'missing' end, case when not done and there then 'unexpected' end, case when there and c % 6 < greatest(c % 5, c % 4) then 'fewer' end, case when there and c % 9 = 0 then 'no_pages' end], lambda x: x is not null)) as fault from r""")
 register("v12_cursors", lambda spark, d: integrity.cursor_faults(
-    _customers(spark, d, F.concat(F.lit("scope-"), _C).alias("scope"), F.when(_C % 17 == 0, -_C).otherwise(_C).alias("run_id"), (_C * 100 + (_C % 19 == 0).cast("int")).alias("boundary_ms"), (_C * 1000 - (_C % 23 == 0).cast("int")).alias("updated_ms")).where("run_id % 3 != 0"),
-    _command_runs(spark, d), _sync_metadata(spark, d), _orders(spark, d, F.col("o_custkey").alias("run_id"), (F.col("o_custkey") * 100 - F.when(_K % 2 == 0, 0).otherwise(5)).alias("instant_ms")),
+    _customers(spark, d, F.concat(F.lit("scope-"), _c()).alias("scope"), F.when(_c() % 17 == 0, -_c()).otherwise(_c()).alias("run_id"), (_c() * 100 + (_c() % 19 == 0).cast("int")).alias("boundary_ms"), (_c() * 1000 - (_c() % 23 == 0).cast("int")).alias("updated_ms")).where("run_id % 3 != 0"),
+    _command_runs(spark, d), _sync_metadata(spark, d), _orders(spark, d, F.col("o_custkey").alias("run_id"), (F.col("o_custkey") * 100 - F.when(_k() % 2 == 0, 0).otherwise(5)).alias("instant_ms")),
 ), """with c as (select c_custkey as c, case when c_custkey % 17 = 0 then -c_custkey else c_custkey end as run from customer where c_custkey % 3 <> 0), t as (select o_custkey as r, max(o_custkey * 100 - case when o_orderkey % 2 = 0 then 0 else 5 end) as top from orders group by 1),
 j as (select c.*, run > 0 as known, top from c left join t on t.r = run)
 select 'scope-' || c as scope, unnest(list_filter([case when not known then 'unknown_run' end, case when known and c % 3 <> 2 then 'command' end, case when known and c % 11 = 0 then 'status' end, case when not known or c % 3 <> 2 or c % 10 = 5 then 'metadata' end, case when known and c % 23 = 0 then 'older' end,
 case when c * 100 + case when c % 19 = 0 then 1 else 0 end <> top then 'boundary' end], lambda x: x is not null)) as fault from j""")
 register("v13_origins", lambda spark, d: integrity.origin_faults(
-    _orders(spark, d, _K.alias("record_id"), F.col("o_custkey").alias("run_id"), F.when(_K % 2 == 0, "export").otherwise("api").alias("origin"), F.when(_K % 3 == 0, _K).otherwise(_K + 1).alias("payload_id")), _command_runs(spark, d), _orders(spark, d, _K.alias("payload_id"), F.when(_K % 5 < 2, "export").otherwise("api").alias("origin")),
+    _orders(spark, d, _k().alias("record_id"), F.col("o_custkey").alias("run_id"), F.when(_k() % 2 == 0, "export").otherwise("api").alias("origin"), F.when(_k() % 3 == 0, _k()).otherwise(_k() + 1).alias("payload_id")), _command_runs(spark, d), _orders(spark, d, _k().alias("payload_id"), F.when(_k() % 5 < 2, "export").otherwise("api").alias("origin")),
 ), """with o as (select o_orderkey as k, o_custkey % 3 as m, case when o_orderkey % 2 = 0 then 'export' else 'api' end as origin, case when o_orderkey % 3 = 0 then o_orderkey else o_orderkey + 1 end as p from orders join customer on c_custkey = o_custkey), j as (select o.*, p % 5 >= 2 as api from o where p in (select o_orderkey from orders))
 select k as record_id, unnest(list_filter([case when (m = 1 and origin <> 'export') or (m = 2 and origin <> 'api') then 'run' end, case when (origin = 'export' and api) or (origin = 'api' and api and k <> p) then 'payload' end], lambda x: x is not null)) as fault from j""")
 register("v14_rejections", lambda spark, d: integrity.rejection_faults(
-    _orders(spark, d, _K.alias("rejection_id"), F.when(_K % 7 == 0, "other").when(_K % 2 == 0, "interval").otherwise("instant").alias("source"), F.when(_K % 3 == 0, "invalid_duration").otherwise("invalid_timestamp").alias("error_code"), F.when(_K % 11 == 0, F.lit(None)).when(_K % 13 == 0, "raw text").otherwise("rejected").alias("summary"), F.when(_K % 17 != 0, _K).alias("file_id"), F.when(_K % 19 != 0, 1).alias("ordinal")),
+    _orders(spark, d, _k().alias("rejection_id"), F.when(_k() % 7 == 0, "other").when(_k() % 2 == 0, "interval").otherwise("instant").alias("source"), F.when(_k() % 3 == 0, "invalid_duration").otherwise("invalid_timestamp").alias("error_code"), F.when(_k() % 11 == 0, F.lit(None)).when(_k() % 13 == 0, "raw text").otherwise("rejected").alias("summary"), F.when(_k() % 17 != 0, _k()).alias("file_id"), F.when(_k() % 19 != 0, 1).alias("ordinal")),
     {"interval": ["invalid_duration", "invalid_timestamp"], "instant": ["invalid_timestamp"]}, "rejected",
 ), """select o_orderkey as rejection_id, unnest(list_filter([case when o_orderkey % 11 = 0 or o_orderkey % 13 = 0 then 'summary' end, case when o_orderkey % 7 = 0 or (o_orderkey % 2 = 1 and o_orderkey % 3 = 0) then 'code' end, case when o_orderkey % 17 = 0 or o_orderkey % 19 = 0 then 'provenance' end], lambda x: x is not null)) as fault from orders""")
 
@@ -687,26 +693,26 @@ select lk.record_id, lk.event_id from lk join e using (event_id) join res on res
 
 
 def _entities(spark, d) -> DataFrame:
-    return _customers(spark, d, _C.alias("entity_id"), F.when(_C % 3 == 0, "artist").when(_C % 3 == 1, "release").otherwise("track").alias("entity_type"))
+    return _customers(spark, d, _c().alias("entity_id"), F.when(_c() % 3 == 0, "artist").when(_c() % 3 == 1, "release").otherwise("track").alias("entity_type"))
 
 
 _TYPES = "e as (select c_custkey as id, case when c_custkey % 3 = 0 then 'artist' when c_custkey % 3 = 1 then 'release' else 'track' end as t from customer)"
-register("v19_subtypes", lambda spark, d: integrity.subtype_faults(_entities(spark, d), **{n: _customers(spark, d, _C.alias("entity_id")).where(f"(entity_id % 3 = {m} and entity_id % 41 != 0) or entity_id % {p} = 0") for n, m, p in (("artist", 0, 43), ("release", 1, 47), ("track", 2, 53))}), f"""with {_TYPES},
+register("v19_subtypes", lambda spark, d: integrity.subtype_faults(_entities(spark, d), **{n: _customers(spark, d, _c().alias("entity_id")).where(f"(entity_id % 3 = {m} and entity_id % 41 != 0) or entity_id % {p} = 0") for n, m, p in (("artist", 0, 43), ("release", 1, 47), ("track", 2, 53))}), f"""with {_TYPES},
 h as (select id, t, (id % 3 = 0 and id % 41 <> 0) or id % 43 = 0 as a, (id % 3 = 1 and id % 41 <> 0) or id % 47 = 0 as r, (id % 3 = 2 and id % 41 <> 0) or id % 53 = 0 as k from e)
 select id as entity_id, unnest(list_filter([case when (t = 'artist' and not a) or (t = 'release' and not r) or (t = 'track' and not k) then 'missing' end, case when (t = 'artist' and (r or k)) or (t = 'release' and (a or k)) or (t = 'track' and (a or r)) then 'other' end], lambda x: x is not null)) as fault from h""")
 register("v21_identifiers", lambda spark, d: integrity.identifier_faults(
-    _orders(spark, d, F.when(_K % 4 == 0, "artist_mbid").when(_K % 4 == 1, "release_mbid").when(_K % 4 == 2, "track_uri").otherwise("note").alias("namespace"), _K.cast("string").alias("value"), F.col("o_custkey").alias("entity_id")), _entities(spark, d), {"artist_mbid": "artist", "release_mbid": "release", "track_uri": "track"},
+    _orders(spark, d, F.when(_k() % 4 == 0, "artist_mbid").when(_k() % 4 == 1, "release_mbid").when(_k() % 4 == 2, "track_uri").otherwise("note").alias("namespace"), _k().cast("string").alias("value"), F.col("o_custkey").alias("entity_id")), _entities(spark, d), {"artist_mbid": "artist", "release_mbid": "release", "track_uri": "track"},
 ), f"""with {_TYPES}, i as (select o_orderkey as k, o_custkey as c, case o_orderkey % 4 when 0 then 'artist_mbid' when 1 then 'release_mbid' when 2 then 'track_uri' else 'note' end as n, case o_orderkey % 4 when 0 then 'artist' when 1 then 'release' when 2 then 'track' end as want from orders) select n as namespace, k::varchar as value from i join e on id = c where t <> want""")
-register("v22_conflicts", lambda spark, d: integrity.conflict_faults(_orders(spark, d, _K.alias("record_id"), F.when(_K % 2 == 0, "artist").otherwise("track").alias("entity_type"), F.col("o_custkey").alias("strong_id"), (F.col("o_custkey") + 3).alias("other_id")), _entities(spark, d)), f"""with {_TYPES}
+register("v22_conflicts", lambda spark, d: integrity.conflict_faults(_orders(spark, d, _k().alias("record_id"), F.when(_k() % 2 == 0, "artist").otherwise("track").alias("entity_type"), F.col("o_custkey").alias("strong_id"), (F.col("o_custkey") + 3).alias("other_id")), _entities(spark, d)), f"""with {_TYPES}
 select o_orderkey as record_id, case when o_orderkey % 2 = 0 then 'artist' else 'track' end as entity_type from orders join e a on a.id = o_custkey join e b on b.id = o_custkey + 3 where a.t <> case when o_orderkey % 2 = 0 then 'artist' else 'track' end or b.t <> case when o_orderkey % 2 = 0 then 'artist' else 'track' end""")
 
 
 def _strong(spark, d) -> DataFrame:
     """Identifiers of orders owned by the customer of their first order; half of the entities are merged in pairs, some conflicts are named."""
-    value = (_K % 5000).cast("string")
-    carried = _orders(spark, d, _K.alias("record_id"), F.lit("track").alias("entity_type"), F.col("o_custkey").alias("entity_id"), F.lit("uri").alias("namespace"), value.alias("value"))
+    value = (_k() % 5000).cast("string")
+    carried = _orders(spark, d, _k().alias("record_id"), F.lit("track").alias("entity_type"), F.col("o_custkey").alias("entity_id"), F.lit("uri").alias("namespace"), value.alias("value"))
     owners = carried.where("cast(value as int) % 7 != 0").groupBy("namespace", "value").agg(F.min_by("entity_id", "record_id").alias("owner"))
-    roots = identity.merge_roots(_customers(spark, d, _C.alias("subject"), (_C - 1).alias("object")).where("subject % 4 = 1"))
+    roots = identity.merge_roots(_customers(spark, d, _c().alias("subject"), (_c() - 1).alias("object")).where("subject % 4 = 1"))
     named = carried.join(owners, ["namespace", "value"]).where("record_id % 3 = 0 and entity_id != owner").select("record_id", "entity_type", F.when(F.col("record_id") % 2 == 0, F.col("owner")).otherwise(F.col("entity_id")).alias("strong_id"), F.when(F.col("record_id") % 2 == 0, F.col("entity_id")).otherwise(F.col("owner")).alias("other_id"))
     return integrity.strong_identifier_faults(carried, owners, roots, named)
 
@@ -717,23 +723,56 @@ select k as record_id, 'uri' as namespace, case when owner is null then 'unknown
 
 def _manual_rows(spark, d) -> DataFrame:
     """Manual decisions on pairs of customers and orders, some repeated later, with events that they merged."""
-    yes = _K % 3 != 0
-    return _orders(spark, d, _K.alias("decision_id"), F.col("o_custkey").alias("play_id"), (F.col("o_custkey") * 2 + 1).alias("scrobble_id"), F.when(yes, "accept").otherwise("reject").alias("decision"), F.when(yes | (_K % 7 == 0), F.col("o_custkey") * 2 + 1).alias("source_event"), F.when(yes, F.col("o_custkey")).alias("target_event"), (_K % 100).alias("imported_ms"), _K.alias("number"))
+    yes = _k() % 3 != 0
+    return _orders(spark, d, _k().alias("decision_id"), F.col("o_custkey").alias("play_id"), (F.col("o_custkey") * 2 + 1).alias("scrobble_id"), F.when(yes, "accept").otherwise("reject").alias("decision"), F.when(yes | (_k() % 7 == 0), F.col("o_custkey") * 2 + 1).alias("source_event"), F.when(yes, F.col("o_custkey")).alias("target_event"), (_k() % 100).alias("imported_ms"), _k().alias("number"))
 
 
 register("v25_manual_decisions", lambda spark, d: integrity.manual_faults(
-    _manual_rows(spark, d), _orders(spark, d, _K.alias("decision_id"), F.when(_K % 11 == 0, "alias").when(_K % 3 != 0, "accept").otherwise("reject").alias("decision_type")), _customers(spark, d, _C.alias("play_id"), (_C * 2 + 1).alias("scrobble_id"), F.when(_C % 2 == 0, "manually_accepted").otherwise("manually_rejected").alias("state")),
-    _customers(spark, d, (_C * 2 + 1).alias("event_id"), F.when(_C % 5 != 0, "superseded").otherwise("current").alias("event_status"), F.when(_C % 13 != 0, _C).alias("superseded_by")),
-    _customers(spark, d, _C.alias("event_id"), _C.alias("record_id"), F.lit("primary").alias("role")).unionByName(_customers(spark, d, _C.alias("event_id"), (_C * 2 + 1).alias("record_id"), F.when(_C % 17 == 0, "primary").otherwise("cross_source_match").alias("role"))),
+    _manual_rows(spark, d), _orders(spark, d, _k().alias("decision_id"), F.when(_k() % 11 == 0, "alias").when(_k() % 3 != 0, "accept").otherwise("reject").alias("decision_type")), _customers(spark, d, _c().alias("play_id"), (_c() * 2 + 1).alias("scrobble_id"), F.when(_c() % 2 == 0, "manually_accepted").otherwise("manually_rejected").alias("state")),
+    _customers(spark, d, (_c() * 2 + 1).alias("event_id"), F.when(_c() % 5 != 0, "superseded").otherwise("current").alias("event_status"), F.when(_c() % 13 != 0, _c()).alias("superseded_by")),
+    _customers(spark, d, _c().alias("event_id"), _c().alias("record_id"), F.lit("primary").alias("role")).unionByName(_customers(spark, d, _c().alias("event_id"), (_c() * 2 + 1).alias("record_id"), F.when(_c() % 17 == 0, "primary").otherwise("cross_source_match").alias("role"))),
 ), """with m as (select o_orderkey as k, o_custkey as c, o_orderkey % 3 <> 0 as yes, row_number() over (partition by o_custkey order by o_orderkey % 100 desc, o_orderkey desc) = 1 as newest, o_custkey in (select c_custkey from customer) as there from orders)
 select k as decision_id, unnest(list_filter([case when k % 11 = 0 then 'type' end, case when newest and not yes and k % 7 = 0 then 'merged' end, case when newest and (not there or (yes <> (c % 2 = 0))) then 'state' end, case when newest and yes and not (there and c % 5 <> 0 and c % 13 <> 0) then 'lineage' end,
 case when newest and yes and (not there or c % 17 = 0) then 'links' end], lambda x: x is not null)) as fault from m""")
 register("w15_newest_manual", lambda spark, d: integrity.newest_manual(_manual_rows(spark, d)).select("play_id", "decision_id", "decision"), "select o_custkey as play_id, o_orderkey as decision_id, case when o_orderkey % 3 <> 0 then 'accept' else 'reject' end as decision from orders qualify row_number() over (partition by o_custkey order by o_orderkey % 100 desc, o_orderkey desc) = 1")
-register("t3_first_links", lambda spark, d: integrity.first_link(_orders(spark, d, F.col("o_custkey").alias("play_id"), (_K % 3).alias("scrobble_id"), _K.alias("record_id"), (_K * 2).alias("event_id"))), "select o_custkey as play_id, o_orderkey % 3 as scrobble_id, min(o_orderkey) as record_id, min(o_orderkey) * 2 as event_id from orders group by 1, 2")
+register("t3_first_links", lambda spark, d: integrity.first_link(_orders(spark, d, F.col("o_custkey").alias("play_id"), (_k() % 3).alias("scrobble_id"), _k().alias("record_id"), (_k() * 2).alias("event_id"))), "select o_custkey as play_id, o_orderkey % 3 as scrobble_id, min(o_orderkey) as record_id, min(o_orderkey) * 2 as event_id from orders group by 1, 2")
 register("v26_identity_decisions", lambda spark, d: integrity.identity_decision_faults(
-    _customers(spark, d, _C.alias("decision_id"), F.when(_C % 4 == 0, "split").when(_C % 4 == 1, "alias").otherwise("merge").alias("type"), (_C - _C % 2).alias("subject"), F.when(_C % 19 != 0, _C + F.when(_C % 6 == 0, 3).otherwise(1)).alias("object"), F.when(_C % 4 == 0, _C - F.when(_C % 8 == 0, 1).otherwise(2)).when(_C % 23 == 0, _C - 4).alias("supersedes")),
-    _entities(spark, d), _customers(spark, d, _C.alias("decision_id"), F.when(_C % 29 == 0, "accept").when(_C % 4 == 0, "split").when(_C % 4 == 1, "alias").otherwise("merge").alias("decision_type")).where("decision_id % 2 = 0"),
+    _customers(spark, d, _c().alias("decision_id"), F.when(_c() % 4 == 0, "split").when(_c() % 4 == 1, "alias").otherwise("merge").alias("type"), (_c() - _c() % 2).alias("subject"), F.when(_c() % 19 != 0, _c() + F.when(_c() % 6 == 0, 3).otherwise(1)).alias("object"), F.when(_c() % 4 == 0, _c() - F.when(_c() % 8 == 0, 1).otherwise(2)).when(_c() % 23 == 0, _c() - 4).alias("supersedes")),
+    _entities(spark, d), _customers(spark, d, _c().alias("decision_id"), F.when(_c() % 29 == 0, "accept").when(_c() % 4 == 0, "split").when(_c() % 4 == 1, "alias").otherwise("merge").alias("decision_type")).where("decision_id % 2 = 0"),
 ), f"""with {_TYPES}, m as (select c_custkey as id, case when c_custkey % 4 = 0 then 'split' when c_custkey % 4 = 1 then 'alias' else 'merge' end as ty, c_custkey - c_custkey % 2 as s, case when c_custkey % 19 <> 0 then c_custkey + case when c_custkey % 6 = 0 then 3 else 1 end end as o,
   case when c_custkey % 4 = 0 then c_custkey - case when c_custkey % 8 = 0 then 1 else 2 end when c_custkey % 23 = 0 then c_custkey - 4 end as sup from customer),
 j as (select m.*, a.t as st, b.t as ot, p.ty as pt, p.s as ps, p.o as po from m left join e a on a.id = s left join e b on b.id = o left join m p on p.id = m.sup)
 select id as decision_id, unnest(list_filter([case when ty in ('merge', 'split') and (ot is null or st <> ot) then 'types' end, case when sup is not null and not coalesce(ty = 'split' and pt = 'merge' and s = ps and o = po, false) then 'supersedes' end, case when id % 2 = 0 and id % 29 = 0 then 'artifact' end], lambda x: x is not null)) as fault from j""")
+
+
+# Ordinals, payloads, shapes, orders of results --------------------------------------------------------------------------
+def _ordinals(spark, d) -> DataFrame:
+    t, c = history.table(spark, d, "conversations"), F.col("conv_id")
+    ordinal = F.when(c % 11 == 0, F.col("turn") - 1).when((c % 13 == 0) & (F.col("turn") == 1), F.lit(0)).otherwise(F.col("turn"))
+    rows = t.select(c.alias("file_id"), ordinal.alias("ordinal"), F.when((c % 17 == 0) & (F.col("turn") == 2), "instant").otherwise("interval").alias("source"), F.col("role"))
+    files = t.groupBy(c.alias("file_id")).agg((F.count("*") + F.when(F.first(c) % 5 == 0, 1).when(F.first(c) % 7 == 0, -1).otherwise(0)).alias("total"), F.lit("interval").alias("source"))
+    return integrity.ordinal_faults(rows.where("role = 'user'"), rows.where("role != 'user' or role is null"), files)
+
+
+register("v7_ordinals", _ordinals, """with r as (select conv_id as f, case when conv_id % 11 = 0 then turn - 1 when conv_id % 13 = 0 and turn = 1 then 0 else turn end as o, conv_id % 17 = 0 and turn = 2 as strange from conversations),
+t as (select conv_id as f, count(*) + case when conv_id % 5 = 0 then 1 when conv_id % 7 = 0 then -1 else 0 end as total from conversations group by 1),
+g as (select r.f, max(o is null or o < 0) as v, count(case when o >= 0 then 1 end) <> count(distinct case when o >= 0 then o end) as c, max(strange) as k, max(o >= total) as r, count(distinct case when o >= 0 and o < total then o end) < any_value(total) as gap from r join t on r.f = t.f group by r.f)
+select f as file_id, unnest(list_filter([case when v then 'value' end, case when c then 'conflict' end, case when k then 'kind' end, case when r then 'range' end, case when gap then 'gap' end], lambda x: x is not null)) as fault from g""")
+register("v9_payloads", lambda spark, d: integrity.payload_faults(_orders(spark, d, F.col("o_custkey").alias("payload_id")), _customers(spark, d, _c().alias("payload_id")).where("payload_id % 9 != 0")), """select distinct o_custkey as payload_id, 'missing' as fault from orders where o_custkey % 9 = 0 or o_custkey not in (select c_custkey from customer)
+union all select c_custkey, 'unused' from customer where c_custkey % 9 <> 0 and c_custkey not in (select o_custkey from orders)""")
+register("v10_shapes", lambda spark, d: integrity.shape_faults(history.interval_plays(spark, d).withColumn("ms_played", F.when(F.col("record_id") % 19 == 0, F.col("ms_played") - 10_000_000_000_000).when(F.col("record_id") % 23 == 0, F.col("stopped_at_ms") + 1).otherwise(F.col("ms_played"))).withColumn("track", F.when(F.col("record_id") % 29 == 0, F.lit("\u00a0\t")).otherwise(F.col("track"))).withColumn("track_uri", F.when(F.col("record_id") % 31 != 0, F.col("track_uri")))), f"""{_EVIDENCE}
+select record_id, unnest(list_filter([case when record_id % 19 = 0 then 'duration' end, case when record_id % 19 <> 0 and record_id % 23 = 0 then 'start' end, case when record_id % 29 = 0 then 'text' end, case when record_id % 31 = 0 then 'uri' end], lambda x: x is not null)) as fault from plays""")
+
+
+def _unmerged(spark, d) -> DataFrame:
+    c = _chain(spark, d)
+    return integrity.unmerged_accepts(c.scores, c.links.where("record_id % 4 != 3"))
+
+
+register("v24_unmerged_accepts", _unmerged, f"{_EVENTS} select play_id, scrobble_id from mg where scrobble_id % 4 = 3")
+register("j11_referenced", lambda spark, d: decisions.referenced(_orders(spark, d, _k().alias("decision_id"), F.when(_k() % 3 == 0, "instant").otherwise("interval").alias("kind"), F.sha2(F.concat(F.lit("file-"), _k() % 4), 256).alias("file_sha256"), F.floor(_k() / 4).cast("long").alias("ordinal")), _references(spark, d)).select("decision_id", "record_id"), f"{_BOTH} select o_orderkey as decision_id, record_id from orders left join u on record_id = o_orderkey and source = case when o_orderkey % 3 = 0 then 'instant' else 'interval' end")
+register("f9_iso_text", lambda spark, d: _both(spark, d).select("record_id", iso_millis(F.col("at_ms")).alias("iso"), evidence.seconds_of_ms(F.col("at_ms")).alias("seconds")), f"{_BOTH} select record_id, strftime(make_timestamp(at_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as iso, at_ms // 1000 as seconds from u")
+register("t1_ordered_base", lambda spark, d: ordering.ordered(history.canonical_base(spark, d).select("event_id", "artist_id", "instant_ms"), "base"), f"{_BASE} select event_id, artist_id, instant_ms from base order by instant_ms, event_id")
+register("t1_ordered_eras", lambda spark, d: ordering.ordered(QUERIES["n3_era_intervals"](spark, d), "eras"), ORACLES["n3_era_intervals"] + " order by start_month, artist_id")
+register("t1_ordered_rediscoveries", lambda spark, d: ordering.ordered(QUERIES["n4_rediscovery_artist"](spark, d), "rediscoveries"), ORACLES["n4_rediscovery_artist"] + " order by instant_ms, entity_id")
+register("t1_ordered_abandonments", lambda spark, d: ordering.ordered(QUERIES["n5_abandonment"](spark, d), "abandonments"), ORACLES["n5_abandonment"] + " order by absence_days desc, artist_id")

@@ -63,3 +63,9 @@ def review_export(scored: DataFrame, references: DataFrame) -> DataFrame:
     r = lambda side: references.select(F.col("record_id").alias(f"{side}_id"), *(F.col(c).alias(f"{side}_{c}") for c in ("kind", "file_sha256", "ordinal")))
     found = scored.join(r("play"), "play_id").join(r("scrobble"), "scrobble_id")
     return found.select("play_kind", "play_file_sha256", "play_ordinal", "scrobble_kind", "scrobble_file_sha256", "scrobble_ordinal", "decision", "confidence")
+
+
+def referenced(decisions: DataFrame, references: DataFrame) -> DataFrame:
+    """decisions with record_id, the record that (kind, file_sha256, ordinal) refers to; null where there is none."""
+    known = references.select("kind", "file_sha256", "ordinal", "record_id").dropDuplicates(["kind", "file_sha256", "ordinal"])
+    return decisions.join(known, ["kind", "file_sha256", "ordinal"], "left")

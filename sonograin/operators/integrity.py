@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import blank
+
 KINDS = ("accepted", "excluded", "rejected")
 STATUSES = ("running", "succeeded", "failed")
 
@@ -285,3 +287,45 @@ def identity_decision_faults(decisions: DataFrame, entities: DataFrame, artifact
     return _each_fault(j, ["decision_id"], {
         "types": F.col("type").isin("merge", "split") & (F.col("_object").isNull() | (F.col("_subject") != F.col("_object"))), "supersedes": F.col("supersedes").isNotNull() & ~F.coalesce(undone, F.lit(False)), "artifact": F.col("_said") != F.col("type"),
     })
+
+
+def ordinal_faults(accepted: DataFrame, rejected: DataFrame, files: DataFrame) -> DataFrame:
+    """file_id, fault of the ordinals of accepted and rejected records together (file_id, ordinal, source), for files (file_id, source, total).
+
+    value: null or negative; conflict: one ordinal twice; kind: a record of another source than the file; range: not below
+    total; gap: fewer different ordinals than total.
+    """
+    both = accepted.select("file_id", "ordinal", "source").unionByName(rejected.select("file_id", "ordinal", "source"))
+    own = _first(files, "file_id", _source="source", _total="total")
+    good = F.when(F.col("ordinal") >= 0, F.col("ordinal"))
+    j = both.join(own, F.col("file_id") == F.col("_file_id"))
+    # counted per ordinal first: a file may hold most records
+    each = j.groupBy("file_id", "_total", good.alias("o")).agg(F.count("*").alias("n"), F.count_if(F.col("source") != F.col("_source")).alias("strange"))
+    g = each.groupBy("file_id").agg(
+        F.max(F.col("o").isNull()).alias("value"), F.max(F.col("o").isNotNull() & (F.col("n") > 1)).alias("conflict"), F.max(F.col("strange") > 0).alias("kind"), F.max(F.col("o") >= F.col("_total")).alias("range"),
+        F.count_if(F.col("o") < F.col("_total")).alias("there"), F.max("_total").alias("_total"),
+    )
+    return _each_fault(g, ["file_id"], {"value": F.col("value"), "conflict": F.col("conflict"), "kind": F.col("kind"), "range": F.col("range"), "gap": F.col("there") < F.col("_total")})
+
+
+def payload_faults(occurrences: DataFrame, payloads: DataFrame) -> DataFrame:
+    """payload_id, fault: missing (occurrences of no payload), unused (a payload that nothing occurs of)."""
+    o = occurrences.select("payload_id").distinct().withColumn("_used", F.lit(True))
+    p = payloads.select("payload_id").distinct().withColumn("_there", F.lit(True))
+    return _each_fault(o.join(p, "payload_id", "full"), ["payload_id"], {"missing": F.col("_there").isNull(), "unused": F.col("_used").isNull()})
+
+
+def shape_faults(plays: DataFrame) -> DataFrame:
+    """record_id, fault of accepted plays: duration (null or negative), start (before 1970), text (blank artist or track), uri (none)."""
+    ok = lambda c: F.coalesce(c, F.lit(False))
+    return _each_fault(plays, ["record_id"], {
+        "duration": ~ok(F.col("ms_played") >= 0), "start": ~ok(F.col("stopped_at_ms") - F.col("ms_played") >= 0), "text": blank(F.col("artist")) | blank(F.col("track")), "uri": blank(F.col("track_uri")),
+    })
+
+
+def unmerged_accepts(decided: DataFrame, links: DataFrame) -> DataFrame:
+    """play_id, scrobble_id of accepted pairs that are not both linked to one event, the scrobble as a cross_source_match."""
+    p = links.select(F.col("record_id").alias("play_id"), F.col("event_id").alias("_a"))
+    s = links.where("role = 'cross_source_match'").select(F.col("record_id").alias("scrobble_id"), F.col("event_id").alias("_b"))
+    j = decided.where("decision = 'accept'").join(p, "play_id", "left").join(s, "scrobble_id", "left")
+    return j.where(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).select("play_id", "scrobble_id").distinct()

@@ -58,7 +58,11 @@ def test_abandonment_splits_periods_strictly_after_the_gap(spark):
 
 
 def test_match_text(spark):
-    rows = [("  Beyoncé FT. Jay-Z ", "beyoncé feat jay z"), ("Beyoncé", "beyoncé"), ("...", None), (None, None), ("éfeat", "é feat"), ("a b", "a b")]
+    rows = [
+        ("  Beyonce\u0301 feat. Jay-Z (Live)  ", "beyonc\u00e9 feat jayz live"), ("Beyonce\u0301", "beyonc\u00e9"), ("...", None), (None, None), ("\u00e9feat", "\u00e9 feat"), ("a b", "a b"), (" \t\n", None), ("a\u00a0b\ufeff", "a b"),
+        ("Artist Featuring Guest ft. Another Feat. Third", "artist feat guest feat another feat third"), ("Defeating the Leftfield", "defeating the leftfield"), ("feat.x", "feat x"),
+        ("Suite No. 1: Movement I (Live Remix) [Radio Edit Version]", "suite no 1 movement i live remix radio edit version"),
+    ]
     got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").select("i", match_text(F.col("t")).alias("k")).orderBy("i").collect()
     assert [r.k for r in got] == [k for _, k in rows]
 
@@ -73,6 +77,10 @@ def test_match_text(spark):
         ('{"ts":"1970-01-01T00:00:00Z","ms_played":1}', ("malformed", "invalid_time_arithmetic")),
         ('{"ts":"2026-01-02T03:04:05Z","ms_played":1,"shuffle":"no"}', ("malformed", "invalid_field_type")),
         ('{"ts":"2026-01-02T03:04:05Z","ms_played":1,"shuffle":true,"episode_name":"e"}', ("excluded", "episode_or_audiobook")),
+        ('{"ts":"2026-01-02T03:04:05Z","ms_played":1.0,"shuffle":true,"episode_name":"\\t\u00a0"}', ("excluded", "video_or_unsupported")),
+        ('{"ts":"2026-01-02T03:04:05Z","ms_played":1e2,"shuffle":true,"offline_timestamp":-1}', ("malformed", "invalid_field_type")),
+        ('{"ts":"2026-01-02T03:04:05Z","ms_played":9007199254740992,"shuffle":true}', ("malformed", "invalid_duration")),
+        ('{"ts":"2026-01-02T03:04:05Z","ms_played":1,"spotify_track_uri":"spotify:track:0000000000000000000001","master_metadata_album_artist_name":"\\n","master_metadata_track_name":"t","shuffle":false}', ("malformed", "invalid_track_metadata")),
     ],
 )
 def test_interval_records(spark, record, want):
@@ -81,19 +89,58 @@ def test_interval_records(spark, record, want):
     assert (r.kind, r.reason) == want
 
 
-def test_json_members(spark, tmp_path):
-    (tmp_path / "a.json").write_text('[{"x":1},{"x":2}]')
-    (tmp_path / "b.json").write_text('{"scrobbles":[{"x":3}],"account":"hidden"}')
-    assert evidence.json_members(spark, str(tmp_path), wrapper="scrobbles").count() == 3
-    assert evidence.file_registry(spark, str(tmp_path)).count() == 2
+def test_files_of_both_forms(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"timestamp":1.0,"artist_name":"a","track_name":"t","album_name":"  "},{"timestamp":2,"artist_name":"\\t","track_name":"t"},7]')
+    (tmp_path / "b.json").write_text('{"scrobbles":[{"date":3,"artist":"b","track":"u","album":"x","albumId":"rel"}],"account":"hidden"}')
+    (tmp_path / "c.json").write_text("{}")
+    texts = evidence.json_texts(spark, str(tmp_path))
+    assert evidence.json_members(texts, "scrobbles").count() == 4 and evidence.json_members(texts).count() == 3
+    got = sorted((r.ordinal, r.kind, r.reason, r.instant_ms, r.artist, r.track, r.album, r.release_mbid) for r in evidence.classify_export(texts).where("kind = 'scrobble'").collect())
+    assert got == [(0, "scrobble", None, 1, "a", "t", None, None), (0, "scrobble", None, 3, "b", "u", "x", "rel")]
+    assert sorted(r.reason for r in evidence.classify_export(texts).where("kind != 'scrobble'").collect()) == ["invalid_record", "invalid_required_text"]
+    assert [r.file.rsplit("/")[-1] for r in evidence.file_faults(texts, "scrobbles").collect()] == ["c.json"]
+    assert evidence.file_registry(spark, str(tmp_path)).count() == 3
+    classified = evidence.classify_export(texts)
+    for _ in range(2):
+        evidence.append_evidence(classified, "scrobble", str(tmp_path / "out"), "file", "ordinal")
+    assert spark.read.parquet(str(tmp_path / "out/accepted")).count() == 4 == spark.read.parquet(str(tmp_path / "out/rejected")).count()
+    assert spark.read.parquet(str(tmp_path / "out/rejected")).columns == ["file", "ordinal", "error_code"]
 
 
 def test_sync_append_outcomes(spark):
-    kind = "scope int, instant_ms long, artist string, track string, recording_mbid string"
-    stored = spark.createDataFrame([(1, 10, "a", "t", "m"), (1, 20, "a", "t", None)], kind)
-    new = spark.createDataFrame([(1, 10, "a", "t", "m"), (1, 20, "a", "t", "m"), (1, 10, "a", "t", "other"), (1, 30, "a", "t", None)], kind)
-    got = {(r.instant_ms, r.recording_mbid): r.outcome for r in sync.append_plan(new, stored).collect()}
-    assert got == {(10, "m"): "existing", (20, "m"): "matched", (10, "other"): "inserted", (30, None): "inserted"}
+    kind = "scope int, instant_ms long, artist string, track string, album string, artist_mbid string, release_mbid string, recording_mbid string"
+    row = lambda at, m=None, a=None, album=None: (1, at, "a", "t", album, a, None, m)
+    stored = spark.createDataFrame([row(10, "m"), row(20), row(40, None, "x"), row(50), row(50, "m")], kind)
+    new = spark.createDataFrame([row(10, "m"), row(20, "m"), row(10, "other"), row(30), row(40, None, "y"), row(40, None, "x", "new album"), row(50, "m", None, "z")], kind)
+    got = {(r.instant_ms, r.recording_mbid, r.artist_mbid): r.outcome for r in sync.append_plan(new, stored).collect()}
+    assert got == {(10, "m", None): "existing", (20, "m", None): "matched", (10, "other", None): "inserted", (30, None, None): "inserted", (40, None, "y"): "inserted", (40, None, "x"): "matched", (50, "m", None): "inserted"}
+
+
+def test_rediscovery_counts_across_day_edges(spark):
+    """Counts after a return go by whole days and the plays of the last ones; against a plain count."""
+    import random
+
+    r, day = random.Random(5), 86_400_000
+    rows = [(a, ms("2019-01-01T00:00") + r.randrange(40) * day * r.choice([1, 1, 25]) + r.choice([0, day - 1, r.randrange(day)])) for a in range(12) for _ in range(60)]
+    rows = [(a, t + (400 * day if r.random() < 0.3 else 0)) for a, t in rows]
+    e = plays(spark, rows)
+    none = spark.createDataFrame([], "artist_id long, start_month int, end_month int")
+    got = {(x.entity_id, x.event_id): (x.instant_ms, x.prior_ms, x.prior_play_count, x.return_intensity, x.persistence_play_count) for x in returns.rediscoveries(e, none).collect()}
+    want = {}
+    for a in range(12):
+        own = sorted((t, i) for i, (b, t) in enumerate(rows) if b == a)
+        for k in range(5, len(own)):
+            t, p = own[k][0], own[k - 1][0]
+            if t - p >= 180 * day:
+                want[a, own[k][1]] = (t, p, k, sum(t <= x < t + 30 * day for x, _ in own), sum(t + 30 * day <= x < t + 120 * day for x, _ in own))
+    assert got == want and want
+
+
+def test_a_return_may_begin_a_new_era(spark):
+    from sonograin import catalog
+
+    kinds = {r.classification for r in catalog.QUERIES["n4_rediscovery_artist"](spark, "/root/testdata/sf0.01").collect()}
+    assert "return_beginning_new_era" in kinds
 
 
 def test_merge_roots_with_a_cycle(spark):
@@ -106,6 +153,8 @@ def test_published_datasets_show_change(spark, tmp_path):
     envelope.publish({"a": a, "b": a.limit(1)}, a, str(tmp_path / "out"))
     assert {r.status for r in envelope.verify(str(tmp_path / "out"), a).collect()} == {"valid"}
     assert {r.status for r in envelope.verify(str(tmp_path / "out"), a.limit(1)).collect()} == {"stale"}
+    other = a.withColumn("k", F.col("k") + 1)
+    assert {r.dataset: r.status for r in envelope.verify(str(tmp_path / "out"), a, {"a": other, "b": a.limit(1)}).collect()} == {"a": "invalid", "b": "valid"}
     a.limit(1).write.mode("append").parquet(str(tmp_path / "out/a"))
     assert {r.dataset: r.status for r in envelope.verify(str(tmp_path / "out"), a).collect()} == {"a": "invalid", "b": "valid"}
 
