@@ -159,14 +159,18 @@ def seconds_of_ms(c: Column) -> Column:
     return F.floor(c / 1000).cast("long")
 
 
+# The prefixes of hashed names belong to the format.
+SCOPE, LOCATOR, FOLDER = "lastfm-sync-scope-v1", "lastfm-path-v1", "lastfm/path-"
+
+
 def scope_hash(user: Column) -> Column:
     """A one-way name for an account."""
-    return F.sha2(F.concat(F.lit("lastfm-sync-scope-v1\u0000"), user), 256)
+    return F.sha2(F.concat(F.lit(f"{SCOPE}\0"), user), 256)
 
 
 def file_locator(path: Column) -> Column:
     """A name for a file that doesn't give its path away."""
-    return F.concat(F.lit("lastfm/path-"), F.sha2(F.concat(F.lit("lastfm-path-v1\u0000"), path), 256), F.lit(".json"))
+    return F.concat(F.lit(FOLDER), F.sha2(F.concat(F.lit(f"{LOCATOR}\0"), path), 256), F.lit(".json"))
 
 
 def outcome_counts(classified: DataFrame) -> DataFrame:
