@@ -5,8 +5,9 @@ only texts and places where a piece is found can hold it.  One pass over a text
 each such place, in a window just long enough for the notice, the regex library searches the best match with at most k
 errors and reports its span and edits.  A find gives way to another one that shares characters with it if that has fewer
 edits, or as many and more length, an earlier start or a smaller label, and its notice isn't shorter by more than a few
-characters; so of look-alike notices the nearest is named, and one inside another is named too.  The work grows with the
-text and the pieces found in it.
+characters; so of look-alike notices the nearest is named, of an exact one and an exact one inside it the longer, and a
+worse find of a long notice stays beside a better one of a short notice inside it.  The work grows with the text and the
+pieces found in it.
 
 Texts are compared as their lower-cased words with one blank between them, so punctuation and line breaks don't count.
 """
