@@ -59,8 +59,10 @@ def rediscoveries(events: DataFrame, eras: DataFrame, scope: str = "artist", abs
 def abandonments(events: DataFrame, as_of_ms: int | None = None, gap_days: int = 90, dormancy_days: int = 180, cadence_days: int = 180, likely_days: int = 365, cadence_plays: int = 3, historical_plays: int = 5, observation_days: int = 365) -> DataFrame:
     """Artists that mattered and have been silent: their last active period, confidence and status as of an instant (by default the last event; a later one is an error)."""
     e = events.where(F.col("event_status").isin("current", "unresolved")).select("artist_id", "event_id", "instant_ms")
-    latest = e.agg(F.max("instant_ms").alias("last"))
-    e = e if as_of_ms is None else e.where(F.col("instant_ms") <= as_of_ms)
+    if as_of_ms is not None:
+        late = F.raise_error(F.lit("as of an instant after the last event")).cast("boolean")
+        latest = e.agg(F.max("instant_ms").alias("last"))  # one row
+        e = e.crossJoin(F.broadcast(latest)).where(F.when(F.col("last") < as_of_ms, late).otherwise(F.col("instant_ms") <= as_of_ms)).drop("last")
     end = e.agg(F.max("instant_ms").alias("observed")) if as_of_ms is None else None
     days = by_day(e, "artist_id")
     along = Window.partitionBy("artist_id").orderBy("day")
@@ -75,11 +77,7 @@ def abandonments(events: DataFrame, as_of_ms: int | None = None, gap_days: int =
     plays = e.select("artist_id", "instant_ms", F.floor(F.col("instant_ms") / DAY_MS).alias("day"))
     edge = begins.join(plays, ["artist_id", "day"]).groupBy("artist_id").agg(F.count_if(F.col("instant_ms") >= F.col("since")).alias("edge"))
     a = a.join(edge, "artist_id", "left").withColumn("cadence_play_count", F.col("cadence") + F.coalesce("edge", F.lit(0)))
-    if as_of_ms is None:
-        a = a.crossJoin(F.broadcast(end))
-    else:
-        late = F.when(F.col("last") < as_of_ms, F.raise_error(F.lit("as of an instant after the last event"))).otherwise(F.lit(as_of_ms).cast("long"))
-        a = a.crossJoin(F.broadcast(latest)).withColumn("observed", late)  # one row
+    a = a.crossJoin(F.broadcast(end)) if as_of_ms is None else a.withColumn("observed", F.lit(as_of_ms))
     silent = (F.col("observed") - F.col("p.end_ms")) / float(DAY_MS)
     a = a.withColumn("absence_days", silent).where((F.col("historical_play_count") >= historical_plays) & (F.col("absence_days") >= dormancy_days) & (F.col("cadence_play_count") >= cadence_plays))
     score = (capped_ratio(F.col("historical_play_count"), 2 * historical_plays) + capped_ratio(F.col("cadence_play_count"), 2 * cadence_plays) + capped_ratio(F.col("absence_days"), observation_days)) / 3

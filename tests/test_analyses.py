@@ -174,3 +174,18 @@ def test_stream_repeats_are_dropped(spark, tmp_path):
     q = without_repeats(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "ts", ["k"]).writeStream.format("memory").queryName("seen").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("seen").count() == 2
+
+
+def test_as_of_after_the_last_event_is_an_error(spark):
+    e = plays(spark, [(1, ms("2020-01-01T12:00"))])
+    assert returns.abandonments(e, as_of_ms=ms("2020-01-01T12:00")).count() == 0
+    with pytest.raises(Exception, match="after the last event"):
+        returns.abandonments(e, as_of_ms=ms("2020-01-01T12:01")).collect()
+
+
+def test_landed_pages(spark):
+    page = '{"recenttracks":{"@attr":{"page":"1","perPage":"200","total":"2","totalPages":"1"},"track":[{"name":"n","artist":{"#text":"a","mbid":""},"album":{"#text":"","mbid":""},"@attr":{"nowplaying":"true"}},{"name":"t","mbid":"m","loved":"1","artist":{"#text":"a","mbid":"am"},"album":{"#text":"x","mbid":""},"date":{"uts":"12"}},{"name":" ","artist":{"#text":"a"},"date":{"uts":"x"}}]}}'
+    got = evidence.landed_tracks(spark.createDataFrame([("p", page), ("q", "{}")], "file string, value string")).orderBy("at").collect()
+    assert [(r.now_playing, r.artist, r.track, r.album, r.instant_ms, r.recording_mbid, r.artist_mbid, r.loved, r.fault, r.total) for r in got] == [
+        (True, "a", "n", None, None, None, None, None, False, 2), (False, "a", "t", "x", 12_000, "m", "am", True, False, 2), (False, "a", None, None, None, None, None, None, True, 2),
+    ]
