@@ -124,9 +124,10 @@ def _dense_links(entries: DataFrame, bits: int) -> DataFrame:
     other.  All entries around a value are linked to the least of those at most bits // 2 from it, each link being a true one.
     """
     small, large = bits // 2, bits - bits // 2
-    masks = [(sum(1 << x for x in c), size <= small) for size in range(large + 1) for c in combinations(range(64), size)]
-    masks = entries.sparkSession.createDataFrame([(v - (1 << 64) if v >> 63 else v, near) for v, near in masks], "mask long, near boolean")
-    around = entries.crossJoin(F.broadcast(masks)).select("fp", "near", F.expr("fp ^ mask").alias("point"))  # a fixed table of 2081 rows at most
+    # the values with up to two bits set, made in the row: 2081 at most
+    masks = ["array(0L)", "transform(sequence(0, 63), i -> shiftleft(1L, i))", "flatten(transform(sequence(0, 62), i -> transform(sequence(i + 1, 63), j -> shiftleft(1L, i) | shiftleft(1L, j))))"]
+    each = ", ".join(f"transform({m}, x -> named_struct('mask', x, 'near', {'true' if size <= small else 'false'}))" for size, m in enumerate(masks[: large + 1]))
+    around = entries.select("fp", F.expr(f"inline(concat({each}))")).select("fp", "near", F.expr("fp ^ mask").alias("point"))
     centre = around.groupBy("point").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("c"), F.count("*").alias("n")).where("n > 1 and c is not null")
     met = spread_join(around.select("fp", "point"), centre.select("point", "c"), ["point"], centre.select("point", "n"), ["fp"])
     return met.where("c != fp").select(F.least("c", "fp").alias("a"), F.greatest("c", "fp").alias("b")).distinct()
