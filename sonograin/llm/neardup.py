@@ -105,7 +105,9 @@ def links(prints: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     """Distinct (a, b), a < b, among the distinct fp of prints: pairs at most ``bits`` apart; all of them but in crowded lists, where there are enough to keep components."""
     if not 0 <= bits <= 4:
         raise ValueError("the index guarantees up to 4 bits")
-    index = prints.select("fp").distinct().select("fp", F.explode(F.array(*(F.expr(_list_key(t)) for t in TRIPLES))).alias("key"))
+    # fingerprints are small, but each makes many entries: they are kept in as many partitions as a shuffle has
+    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = prints.select("fp").repartition(spread, "fp").distinct().select("fp", F.explode(F.array(*(F.expr(_list_key(t)) for t in TRIPLES))).alias("key"))
     calm, crowded = _calm_and_crowded(index, hot)
     met, dense = _meetings(calm), None
     if crowded is not None:
