@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_model, licenses, lines, mixing, neardup, quality, sharding, token_counts
+from . import bpe, chat, decontaminate, language_model, licenses, lines, mixing, neardup, phrases, quality, runs, sharding, token_counts
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,32 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_phrases(spark, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_bpe(spark, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    vocabulary = path("byte_bpe_50k.json")
+    both = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), sha("ids").alias("ids_sha256"), sha("text").alias("decoded_sha256"))
+
+
+def op13_periodic_runs(spark, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(runs.with_loops(table(spark, sf_dir, "documents"))).withColumn("g", runs.greatest_run(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "g.start", "g.length", "g.period", F.expr("1000 * g.length div g.period").alias("exponent_milli"),
+        sha(lines).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_line_dedup, op3_token_counts, op4_simhash_neardup, op5_lm_scoring, op6_sharding, op7_license_scan, op8_quality_rules, op9_chat_formatting, op10_mixing)
+    for f in (op1_decontaminate, op2_line_dedup, op3_token_counts, op4_simhash_neardup, op5_lm_scoring, op6_sharding, op7_license_scan, op8_quality_rules, op9_chat_formatting, op10_mixing, op11_phrases, op12_bpe, op13_periodic_runs)
 }
 #: Where DuckDB can express the whole result.  The others are held against brute force in tests/llm.
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op2_line_dedup": lines.ORACLE, "op9_chat_formatting": chat.ORACLE, "op10_mixing": mixing.ORACLE}
+ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op2_line_dedup": lines.ORACLE, "op9_chat_formatting": chat.ORACLE, "op10_mixing": mixing.ORACLE, "op11_phrases": phrases.ORACLE}
