@@ -165,7 +165,7 @@ _SPACED = "trim(regexp_replace(regexp_replace(lower(nfc_normalize({0})), '[\\p{{
 register("f1_match_text_parts", lambda spark, d: history.table(spark, d, "part").select("p_partkey", match_text(F.concat(F.upper("p_name"), F.lit(" - ("), F.col("p_brand"), F.lit(")"))).alias("key")), f"select p_partkey, {_SPACED.format("upper(p_name) || ' - (' || p_brand || ')'")} as key from part")
 register("f1_match_text_documents", lambda spark, d: history.table(spark, d, "documents").select("doc_id", F.sha2(match_text(F.col("text")), 256).alias("key_hash")), r"""with k as (select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '\b(?:feat(?:\.|uring)?|ft\.?)\b', ' feat ', 'g'), '[\p{P}\p{S}]', '', 'g'), '[\s\x{0b}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+', ' ', 'g')) as k from documents)
 select doc_id, sha256(nullif(k, '')) as key_hash from k""")
-register("f2_fingerprints", lambda spark, d: history.interval_plays(spark, d).select("record_id", evidence.fingerprint("play-v1", at=F.col("stopped_at_ms"), ms=F.col("ms_played"), artist=F.col("artist"), track=F.col("track"), listener=F.col("listener")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("fingerprints")), f"{_EVIDENCE}, g as (select count(*) as n from plays group by stopped_at_ms, ms_played, artist, track, listener) select n, count(*) as fingerprints from g group by n")
+register("f2_fingerprints", lambda spark, d: history.interval_plays(spark, d).select("record_id", evidence.fingerprint("play-v1", "interval", at=F.col("stopped_at_ms"), ms=F.col("ms_played"), artist=F.col("artist"), track=F.col("track"), listener=F.col("listener")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("fingerprints")), f"{_EVIDENCE}, g as (select count(*) as n from plays group by stopped_at_ms, ms_played, artist, track, listener) select n, count(*) as fingerprints from g group by n")
 register("f3_overlap_fingerprints", lambda spark, d: history.instant_scrobbles(spark, d).groupBy(evidence.overlap_fingerprint(F.col("instant_ms"), F.col("artist"), F.col("track")).alias("fp")).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("fingerprints")), f"{_EVIDENCE}, g as (select count(*) as n from scrobbles group by instant_ms, artist, track) select n, count(*) as fingerprints from g group by n")
 register("f14_scopes", lambda spark, d: history.table(spark, d, "customer").select("c_custkey", evidence.scope_hash(F.col("c_name")).alias("scope"), evidence.file_locator(F.col("c_name")).alias("locator")), """select c_custkey, sha256('lastfm-sync-scope-v1' || chr(0) || c_name) as scope, 'lastfm/path-' || sha256('lastfm-path-v1' || chr(0) || c_name) || '.json' as locator from customer""")
 
@@ -505,8 +505,8 @@ register(
 
 def _damaged_prints(spark, d) -> DataFrame:
     at = F.when(F.col("record_id") % 9 == 0, F.col("stopped_at_ms") + 1).otherwise(F.col("stopped_at_ms"))
-    p = history.interval_plays(spark, d).withColumn("fingerprint", F.when(F.col("record_id") % 25 != 0, evidence.fingerprint("play-v1", at=at, ms=F.col("ms_played"))))
-    return integrity.stored_fingerprint_faults(p, evidence.fingerprint("play-v1", at=F.col("stopped_at_ms"), ms=F.col("ms_played"))).select("record_id")
+    p = history.interval_plays(spark, d).withColumn("fingerprint", F.when(F.col("record_id") % 25 != 0, evidence.fingerprint("play-v1", "interval", at=at, ms=F.col("ms_played"))))
+    return integrity.stored_fingerprint_faults(p, evidence.fingerprint("play-v1", "interval", at=F.col("stopped_at_ms"), ms=F.col("ms_played"))).select("record_id")
 
 
 register("v8_stored_fingerprints", _damaged_prints, f"{_EVIDENCE} select record_id from plays where record_id % 9 = 0 or record_id % 25 = 0")

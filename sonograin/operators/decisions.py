@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import Rounds, stored
+
 # The forms of decision ids, reason codes and content hashes, and the decision types.
 ID_FORM, REASON_FORM, HASH_FORM = "^[a-z0-9][a-z0-9._-]{0,127}$", "^[a-z][a-z0-9_-]{0,63}$", "^[0-9a-f]{64}$"
 TYPES = ("accept", "reject", "merge", "split", "alias")
@@ -36,6 +38,57 @@ def with_manual(automatic: DataFrame, manual: DataFrame) -> DataFrame:
     return left.unionByName(manual.select(*pair, "decision").withColumn("origin", F.lit("manual")))
 
 
+def first_claims(claims: DataFrame, order: list[str], sides: list[str]) -> DataFrame:
+    """The claims that hold when they are made one after another by ``order`` (a total order) and each needs its sides free.
+
+    Claims that come first on all their sides hold; what shares a side with them falls; the rest is looked at again.  With
+    one side this takes one round, with two as many as the longest chain of claims that wait for each other.
+    """
+    place, rounds = F.struct(*order), Rounds(claims.sparkSession)
+    left, held = rounds.keep(claims), None
+    while True:
+        first = left
+        for side in sides:
+            least = left.groupBy(side).agg(F.min(place).alias("_first"))
+            first = first.join(least, side).where(place == F.col("_first")).drop("_first")
+        first = stored(first.select(*claims.columns)) if len(sides) > 1 else first.select(*claims.columns)
+        held = first if held is None else held.unionByName(first)
+        if len(sides) == 1:
+            return held
+        for side in sides:
+            left = left.join(first.select(side), side, "left_anti")
+        left = rounds.keep(left)
+        if not left.take(1):
+            return held
+
+
+def arbitrated(automatic: DataFrame, manual: DataFrame | None = None, one_to_one: bool = False) -> DataFrame:
+    """play_id, scrobble_id, decision, origin, stale per candidate pair: what holds of policy decisions and manual ones (play_id, scrobble_id, decision, ordinal).
+
+    A manual decision stands in the place of the policy's on its pair.  Accepts are claims on a scrobble, manual ones first
+    by ordinal, then those of the policy by pair; a scrobble goes to its first claim.  Later claims are stale: their evidence has
+    moved, so they go to review and move nothing.  A play may take several scrobbles unless ``one_to_one``.  Manual decisions on
+    pairs that are no candidates are not used; ``stale_references`` has them.
+    """
+    pair = ["play_id", "scrobble_id"]
+    if manual is None:
+        manual = automatic.select(*pair, "decision", F.lit(0).alias("ordinal")).limit(0)
+    known = manual.join(automatic.select(*pair), pair, "left_semi")
+    both = with_manual(automatic, known).join(known.groupBy(*pair).agg(F.min("ordinal").alias("ordinal")), pair, "left")
+    both = stored(both.withColumn("ordinal", F.when(F.col("origin") == "manual", F.col("ordinal"))))
+    # manual claims have an ordinal, which sorts after none
+    claims = both.where("decision = 'accept'").select(*pair, F.col("ordinal").isNull().alias("later"), "ordinal")
+    held = first_claims(claims, ["later", "ordinal", *pair], ["scrobble_id", "play_id"] if one_to_one else ["scrobble_id"]).select(*pair, F.lit(True).alias("_held"))
+    stale = (F.col("decision") == "accept") & F.col("_held").isNull()
+    j = both.join(held, pair, "left").withColumn("stale", stale)
+    return j.select(*pair, F.when(F.col("stale"), "review").otherwise(F.col("decision")).alias("decision"), "origin", "stale")
+
+
+def stale_references(manual: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Manual decisions on pairs that are no candidates."""
+    return manual.join(candidates.select("play_id", "scrobble_id"), ["play_id", "scrobble_id"], "left_anti")
+
+
 def superseded(prior: DataFrame, replacing: DataFrame, version: str) -> DataFrame:
     """The history of decisions after a new policy version: play_id, scrobble_id, version, decision, state, superseded_by.
 

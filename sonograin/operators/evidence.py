@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,15 +180,52 @@ def outcome_counts(classified: DataFrame) -> DataFrame:
     return classified.groupBy("kind", "reason").agg(F.count("*").alias("n"))
 
 
-def fingerprint(version: str, **fields: Column) -> Column:
-    """SHA-256 over an injective encoding of named fields; null differs from empty text, and names are in order."""
-    named = F.struct(*(c.alias(n) for n, c in sorted(fields.items())))
-    return F.sha2(F.concat(F.lit(version + "\n"), F.to_json(named, {"ignoreNullFields": "false"})), 256)
+# The two-character escapes of canonical JSON; other control characters are \\u and four hex digits.
+_ESCAPES = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+# Versions and kinds of fingerprints, and the fields of each.
+INTERVAL_PRINT = ("spotify-source-v1", "spotify", ("albumName", "artistName", "msPlayed", "offline", "offlineTimestamp", "reasonEnd", "reasonStart", "shuffle", "skipped", "spotifyTrackUri", "startedAtEpochMs", "stoppedAtEpochMs", "trackName"))
+INSTANT_PRINT = ("lastfm-source-v1", "lastfm", ("albumName", "artistMusicbrainzId", "artistName", "loved", "recordingMusicbrainzId", "releaseMusicbrainzId", "scrobbledAtEpochMs", "trackName"))
+OVERLAP_PRINT = ("lastfm-overlap-v1", "lastfm", ("artistName", "scrobbledAtEpochMs", "trackName"))
+
+
+def json_text(c: Column) -> Column:
+    """A JSON string with no escapes but the necessary ones."""
+    out = c
+    for raw, escaped in [*_ESCAPES.items(), *((chr(i), f"\\u{i:04x}") for i in range(32) if chr(i) not in _ESCAPES)]:
+        out = F.replace(out, F.lit(raw), F.lit(escaped))
+    return F.concat(F.lit('"'), F.when(c.rlike('[\\x00-\\x1f"\\\\]'), out).otherwise(c), F.lit('"'))
+
+
+def canonical_record(version: str, source_kind: str, **fields: Column) -> Column:
+    """The bytes that a fingerprint is made of: fields in code-unit order of their names, each with its type and value; text, booleans and whole numbers."""
+    if not version or not all(fields):
+        raise ValueError("version and field names must not be empty")
+    parts = []
+    for name, c in sorted(fields.items(), key=lambda f: f[0].encode("utf-16-be")):
+        kind, text = F.typeof(c), c.cast("string")
+        number = F.when(F.abs(c.try_cast("decimal(20,0)")) <= MOST, text).otherwise(F.raise_error(F.lit(f"fingerprint field {name} must be a safe integer")))
+        value = F.when(kind == "string", F.concat(F.lit('"string",'), json_text(text))).when(kind == "boolean", F.concat(F.lit('"boolean",'), text)).otherwise(F.concat(F.lit('"number",'), number))
+        parts.append(F.concat(F.lit(f"[{json.dumps(name, ensure_ascii=False)},"), F.when(c.isNull(), F.lit('"null",null')).otherwise(value), F.lit("]")))
+    tail = f'],"sourceKind":{json.dumps(source_kind, ensure_ascii=False)},"version":{json.dumps(version, ensure_ascii=False)}}}'
+    return F.concat(F.lit('{"fields":['), F.concat_ws(",", *parts), F.lit(tail))
+
+
+def fingerprint(version: str, source_kind: str, **fields: Column) -> Column:
+    """SHA-256 of the canonical record; null differs from empty text, and text from numbers."""
+    return F.sha2(canonical_record(version, source_kind, **fields), 256)
+
+
+def record_fingerprint(form: tuple, **fields: Column) -> Column:
+    """The fingerprint of one of the forms above; fields that are not given are null."""
+    version, source_kind, names = form
+    if set(fields) - set(names):
+        raise ValueError(f"unknown fields {sorted(set(fields) - set(names))}")
+    return fingerprint(version, source_kind, **{n: fields.get(n, F.lit(None).cast("string")) for n in names})
 
 
 def overlap_fingerprint(at: Column, artist: Column, track: Column) -> Column:
     """Of artist, track and instant alone, equal for exported and fetched evidence of one listen."""
-    return fingerprint("overlap-v1", artist=artist, at=at, track=track)
+    return record_fingerprint(OVERLAP_PRINT, artistName=artist, scrobbledAtEpochMs=at, trackName=track)
 
 
 def file_registry(spark: SparkSession, path: str) -> DataFrame:

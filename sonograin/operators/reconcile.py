@@ -13,9 +13,11 @@ ACCEPT, REVIEW, WINDOW_MS = 0.95, 0.70, 30_000
 
 
 def keepers(records: DataFrame, *same: str, order: str = "record_id") -> DataFrame:
-    """records with keeper (the first record of its exact duplicates) and is_keeper."""
-    w = Window.partitionBy(*same)
-    return records.withColumn("keeper", F.min(order).over(w)).withColumn("is_keeper", F.col(order) == F.col("keeper"))
+    """records with keeper (the first record of its exact duplicates; nulls are equal) and is_keeper."""
+    # a minimum is added up before the shuffle and joined back, so that a large group of duplicates is never sorted in one task
+    firsts = records.groupBy(*same).agg(F.min(order).alias("keeper")).select(*(F.col(c).alias(f"_same{i}") for i, c in enumerate(same)), "keeper")
+    equal = [records[c].eqNullSafe(firsts[f"_same{i}"]) for i, c in enumerate(same)]
+    return records.join(firsts, equal).drop(*(f"_same{i}" for i in range(len(same)))).withColumn("is_keeper", F.col(order) == F.col("keeper"))
 
 
 def name_keys(records: DataFrame) -> DataFrame:
@@ -163,24 +165,26 @@ def scored(pairs: DataFrame, near: DataFrame | None = None) -> DataFrame:
 def canonical_events(plays: DataFrame, scrobbles: DataFrame, decided: DataFrame) -> DataFrame:
     """One event per listen, out of records without exact duplicates: plays, scrobbles that no accepted pair merged, and merged ones with both records.
 
-    event_status is 'unresolved' where the own record's entities were new to all rules (column kind), else 'current'.
+    decided: play_id, scrobble_id, decision; a scrobble is accepted once at most, a play takes all that are accepted for it,
+    and scrobble_id is the least of them.  event_status is 'unresolved' where the own record's entities were new to all rules (column kind), else 'current'.
     """
-    merged = decided.where("decision = 'accept'").select("play_id", "scrobble_id")
+    accepted = decided.where("decision = 'accept'").select("play_id", "scrobble_id")
+    merged = accepted.groupBy("play_id").agg(F.min("scrobble_id").alias("scrobble_id"))
     state = F.when(F.col("kind") == "new_unresolved", "unresolved").otherwise("current").alias("event_status")
     own = ["listener", "artist_id", "track_id"]
     p = plays.join(merged, plays["record_id"] == merged["play_id"], "left")
     a = p.select(F.col("record_id").alias("event_id"), *own, (F.col("stopped_at_ms") - F.col("ms_played")).alias("started_ms"), F.col("stopped_at_ms").alias("ended_ms"), F.lit("derived_start").alias("time_basis"), state, F.col("ms_played").alias("listened_ms"), "scrobble_id")
-    s = scrobbles.join(merged, scrobbles["record_id"] == merged["scrobble_id"], "left_anti")
+    s = scrobbles.join(accepted, scrobbles["record_id"] == accepted["scrobble_id"], "left_anti")
     none = F.lit(None).cast("long")
     b = s.select(F.col("record_id").alias("event_id"), *own, F.col("instant_ms").alias("started_ms"), none.alias("ended_ms"), F.lit("observed_start").alias("time_basis"), state, none.alias("listened_ms"), none.alias("scrobble_id"))
     return a.unionByName(b)
 
 
-def event_links(events: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """event_id, record_id, source, role: each event's own record, the scrobble merged into it, and exact duplicates (source, record_id, keeper) of either."""
+def event_links(events: DataFrame, duplicates: DataFrame, decided: DataFrame) -> DataFrame:
+    """event_id, record_id, source, role: each event's own record, the scrobbles merged into it, and exact duplicates (source, record_id, keeper) of any."""
     source = F.when(F.col("time_basis") == "derived_start", "interval").otherwise("instant")
     own = events.select("event_id", F.col("event_id").alias("record_id"), source.alias("source"), F.lit("primary").alias("role"))
-    merged = events.where("scrobble_id is not null").select("event_id", F.col("scrobble_id").alias("record_id"), F.lit("instant").alias("source"), F.lit("cross_source_match").alias("role"))
+    merged = decided.where("decision = 'accept'").select(F.col("play_id").alias("event_id"), F.col("scrobble_id").alias("record_id"), F.lit("instant").alias("source"), F.lit("cross_source_match").alias("role"))
     first = own.unionByName(merged)
     again = duplicates.join(first.select("event_id", F.col("record_id").alias("keeper"), "source"), ["keeper", "source"])
     return first.unionByName(again.select("event_id", "record_id", "source", F.lit("exact_duplicate").alias("role")))

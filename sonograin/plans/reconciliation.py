@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import with_match_text
-from ..operators import identity, reconcile
+from ..operators import decisions, identity, reconcile
 from .storage import stored
 
 
@@ -17,6 +17,7 @@ class Reconciled(NamedTuple):
     duplicates: DataFrame
     pairs: DataFrame
     scores: DataFrame
+    decided: DataFrame
     events: DataFrame
     links: DataFrame
 
@@ -48,11 +49,18 @@ def candidates(plays: DataFrame, scrobbles: DataFrame, same_play: list[str], sam
     return resolutions, p, s, pairs
 
 
-def reconciled(plays: DataFrame, scrobbles: DataFrame, same_play: list[str], same_scrobble: list[str], window_ms: int = reconcile.WINDOW_MS) -> Reconciled:
-    """Identities, exact duplicates, pairs, features and decisions, events and their links to evidence."""
+def decided_events(p: DataFrame, s: DataFrame, pairs: DataFrame, duplicates: DataFrame, manual: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(scores, decisions, events, links) of records with names and entities, their pairs and their exact duplicates."""
+    scores = stored(reconcile.scored(pairs, reconcile.nearest_independent(pairs)))
+    # the policy never accepts one of several pairs of a record, so without manual decisions no claim meets another
+    decided = scores.select("play_id", "scrobble_id", "decision", F.lit("automatic").alias("origin"), F.lit(False).alias("stale")) if manual is None else stored(decisions.arbitrated(scores, manual))
+    events = reconcile.canonical_events(p, s, decided)
+    return scores, decided, events, reconcile.event_links(events, duplicates, decided)
+
+
+def reconciled(plays: DataFrame, scrobbles: DataFrame, same_play: list[str], same_scrobble: list[str], window_ms: int = reconcile.WINDOW_MS, manual: DataFrame | None = None) -> Reconciled:
+    """Identities, exact duplicates, pairs, features, decisions (manual ones of play_id, scrobble_id, decision, ordinal first), events and their links to evidence."""
     resolutions, p, s, pairs = candidates(plays, scrobbles, same_play, same_scrobble, window_ms)
     pairs = stored(pairs)
-    scores = stored(reconcile.scored(pairs, reconcile.nearest_independent(pairs)))
-    events = reconcile.canonical_events(p, s, scores)
     again = duplicates_of(plays, scrobbles, same_play, same_scrobble)
-    return Reconciled(resolutions, again, pairs, scores, events, reconcile.event_links(events, again))
+    return Reconciled(resolutions, again, pairs, *decided_events(p, s, pairs, again, manual))

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.evidence import unprocessed
-from ..plans.reconciliation import reconciled
-
 
 def without_repeats(stream: DataFrame, time: str, keys: list[str], delay: str = "5 minutes") -> DataFrame:
     """Each key once; repeats within ``delay`` of the watermark are dropped and their state is forgotten."""
@@ -22,28 +18,3 @@ def daily_volume(stream: DataFrame, time: str, delay: str = "1 day") -> DataFram
 def active_periods(stream: DataFrame, time: str, entity: str, gap: str, delay: str = "1 day") -> DataFrame:
     """Sessions per entity; an event exactly ``gap`` after the one before stays in its session."""
     return stream.withWatermark(time, delay).groupBy(entity, F.session_window(time, gap)).agg(F.count("*").alias("play_count")).select(entity, F.col("session_window.start").alias("start"), "play_count")
-
-
-def reconcile_new(path: str, same_play: list[str], same_scrobble: list[str]):
-    """A function for foreachBatch: stores a batch (source, then the columns of plays and scrobbles) under path/evidence and, if it brought evidence that no event has, computes events and links anew.
-
-    A batch that comes again after a failure replaces itself.  Results go to path/events-<batch> and path/links-<batch>; the
-    newest ones count.  Identities depend on all evidence, so all of it is looked at; what is skipped is the run without news.
-    """
-
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/evidence/batch={number}")
-        e = spark.read.parquet(f"{path}/evidence").drop("batch")
-        try:
-            known = spark.read.parquet(f"{path}/links-*")
-            if not unprocessed(e, known).take(1):
-                return
-        except AnalysisException:  # the first batch finds no links yet
-            pass
-        plays, scrobbles = e.where("source = 'interval'"), e.where("source = 'instant'")
-        done = reconciled(plays, scrobbles, same_play, same_scrobble)
-        done.events.write.mode("overwrite").parquet(f"{path}/events-{number}")
-        done.links.write.mode("overwrite").parquet(f"{path}/links-{number}")
-
-    return run

@@ -83,23 +83,6 @@ def test_the_nearest_independent_pair_has_no_limit(spark):
     assert reconcile.nearest_independent(spark.createDataFrame(pairs[:1], kind)).count() == 0 == reconcile.nearest_independent(df.limit(0)).count()
 
 
-def test_batches_are_reconciled_once_they_bring_news(spark, tmp_path):
-    from sonograin.streaming.plays import reconcile_new
-
-    kind = "source string, record_id long, listener long, stopped_at_ms long, ms_played long, instant_ms long, artist string, track string, album string, track_uri string, skipped boolean, artist_mbid string, recording_mbid string"
-    t, minute = 1_700_000_000_000, 60_000
-    play = ("interval", 0, 1, t + minute, minute, None, "Band", "Song", "LP", "u1", False, None, None)
-    scrobble = ("instant", 1, 1, None, None, t, "Band", "Song", "LP", None, None, None, None)
-    run = reconcile_new(str(tmp_path), history.SAME_PLAY, history.SAME_SCROBBLE)
-    run(spark.createDataFrame([play], kind), 0)
-    assert [(r.event_id, r.scrobble_id) for r in spark.read.parquet(f"{tmp_path}/events-0").collect()] == [(0, None)]
-    for _ in range(2):  # a batch that comes again changes nothing
-        run(spark.createDataFrame([scrobble], kind), 1)
-        assert [(r.event_id, r.scrobble_id) for r in spark.read.parquet(f"{tmp_path}/events-1").collect()] == [(0, 1)]
-    run(spark.createDataFrame([], kind), 2)
-    assert not (tmp_path / "events-2").exists()
-
-
 def test_refreshed_features_leave_decided_rows(spark):
     old = spark.createDataFrame([(1, 2, "v1", "pending", 0.1), (3, 4, "v1", "accepted", 0.2), (1, 2, "v0", "pending", 0.3), (7, 8, "v1", "pending", 0.4)], "play_id long, scrobble_id long, version string, state string, confidence double")
     new = spark.createDataFrame([(1, 2, 0.9), (3, 4, 0.8), (5, 6, 0.7)], "play_id long, scrobble_id long, confidence double")
