@@ -47,20 +47,23 @@ rec0 as (select record_id as r, {_MT.format("artist")} as an, {_MT.format("track
   union all select record_id, {_MT.format("artist")}, {_MT.format("track")}, {_MT.format("album")}, album is not null, artist_mbid, 'mbid:' || recording_mbid from scrobbles),
 rec as materialized (select *, case when mbid is not null then min(r) over (partition by mbid) end as fm, case when rid is not null then min(r) over (partition by rid) end as fr from rec0),
 ar(r, own, round) using key (r) as (select r, r as own, 0 as round from rec union
-  (with cur as materialized (select rec.*, a.own from rec join recurring.ar a using (r)),
-   b as (select an, own, min(r) as at from cur group by all), b2 as (select an, own as who, at, row_number() over (partition by an order by at) as nth from b),
-   b3 as (select an, max(case when nth = 1 then who end) as who, min(at) as since, min(case when nth = 2 then at end) as until from b2 where nth <= 2 group by an),
-   nw as (select cur.r, cur.own, case when fm < cur.r then f.own else coalesce(case when since < cur.r and (until is null or until >= cur.r) then who end, cur.r) end as new from cur join b3 using (an) left join cur f on f.r = cur.fm)
-   select r, new, (select max(round) + 1 from ar) from nw where new <> own)),
+  (with cur as materialized (select rec.*, x.own from rec join recurring.ar x using (r)),
+   b as (select an, own, min(r) as seen, min(case when fm < r or tn is null then r end) as opens from cur where an is not null group by all), b1 as (select an, arg_min(own, seen) as who, min(seen) as since from b group by an),
+   b2 as (select an, who, since, min(case when own <> who then opens end) as until from b join b1 using (an) group by all),
+   nw as (select cur.r, cur.own, case when cur.fm < cur.r then f.own when cur.tn is null then cur.r else coalesce(case when since < cur.r and (until is null or until >= cur.r) then who end, cur.r) end as new
+     from cur left join b2 on b2.an = cur.an left join cur f on f.r = cur.fm)
+   select r, new, 1 from nw where new <> own)),
 ra as materialized (select rec.*, own from rec join ar using (r)),
 tr(r, t, rel, round) using key (r) as (select r, r as t, case when has_album then r end as rel, 0 as round from ra union
   (with cur as materialized (select ra.*, x.t, x.rel from ra join recurring.tr x using (r)),
-   ti as (select t, tn, min(r) as at from cur group by all), al as (select rel, bn, min(r) as at from cur where rel is not null and bn is not null group by all), mk as (select r as t, own, rel from cur where r = t),
-   b as (select own, tn, bn, ti.t, greatest(ti.at, coalesce(al.at, ti.at)) as at from ti join mk on mk.t = ti.t left join al on al.rel = mk.rel where mk.rel is null or bn is not null),
-   b2 as (select *, row_number() over (partition by own, tn, bn order by at, t) as nth from b), b3 as (select own, tn, bn, max(case when nth = 1 then t end) as who, min(at) as since, min(case when nth = 2 then at end) as until from b2 where nth <= 2 group by all),
-   nt as (select cur.r, cur.t, cur.rel, case when fr < cur.r then f.t else coalesce(case when since < cur.r and (until is null or until >= cur.r) then who end, cur.r) end as new, cur.has_album from cur left join b3 on b3.own = cur.own and b3.tn = cur.tn and b3.bn is not distinct from cur.bn left join cur f on f.r = cur.fr),
-   nr as (select nt.r, nt.t, nt.rel, nt.new, case when mk.has_album then mk.r end as newrel from nt left join (select r, has_album from nt where r = t) mk on mk.r = nt.t)
-   select r, new, newrel, (select max(round) + 1 from tr) from nr where new <> t or newrel is distinct from rel)),
+   ti as (select t, tn, min(r) as seen from cur where tn is not null group by all), al as (select rel, bn, min(r) as seen from cur where rel is not null and bn is not null group by all), mk as (select r as t, own, rel, tn as otn, bn as obn, has_album from cur where r = t),
+   b as (select own, tn, bn, ti.t, greatest(ti.seen, coalesce(al.seen, ti.seen)) as seen, otn, obn from ti join mk on mk.t = ti.t left join al on al.rel = mk.rel where mk.rel is null or bn is not null),
+   b1 as (select own, tn, bn, arg_min(t, seen) as who, min(seen) as since from b group by all),
+   b2 as (select b.own, b.tn, b.bn, who, since, min(case when t <> who and not (seen = t and b.tn = otn and b.bn is not distinct from obn) then seen end) as until from b join b1 on b.own = b1.own and b.tn = b1.tn and b.bn is not distinct from b1.bn group by all),
+   nt as (select cur.r, cur.t, cur.rel, case when cur.fr < cur.r then f.t else coalesce(case when since < cur.r and (until is null or until >= cur.r) then who end, cur.r) end as new
+     from cur left join b2 on b2.own = cur.own and b2.tn = cur.tn and b2.bn is not distinct from cur.bn left join cur f on f.r = cur.fr),
+   nr as (select nt.r, nt.t, nt.rel, nt.new, case when mk.has_album then mk.t end as newrel from nt left join mk on mk.t = nt.t)
+   select r, new, newrel, 1 from nr where new <> t or newrel is distinct from rel)),
 fin as (select ra.*, t, rel, mk.own as artist_id from ra join tr using (r) join (select r as t, own from ra) mk using (t))
 select r as record_id, artist_id, t as track_id, rel as release_id from fin"""
 

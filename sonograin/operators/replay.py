@@ -16,11 +16,15 @@ from ..functions.text import match_text, with_match_text
 from ..plans.storage import Rounds, stored
 
 
-def first_two(rows: DataFrame, keys: list[str], bearer: str, time: str) -> DataFrame:
-    """keys, first (the earliest bearer), since (its time) and until (the time of the next other one, null if none); rows: one per bearer and key."""
-    w = Window.partitionBy(*keys).orderBy(time, bearer)
-    few = rows.withColumn("_nth", F.row_number().over(w)).where("_nth <= 2")
-    return few.groupBy(*keys).agg(F.min(F.when(F.col("_nth") == 1, F.col(bearer))).alias("first"), F.min(time).alias("since"), F.min(F.when(F.col("_nth") == 2, F.col(time))).alias("until"))
+def first_two(rows: DataFrame, keys: list[str], bearer: str, time: str, opens: str) -> DataFrame:
+    """keys (nulls are equal), first (the earliest bearer), since (its time) and until (the time of the next other one, null if none); rows: one per bearer and key.
+
+    ``opens`` is the time from which a bearer can be the second one: null for those that only came about because there were
+    two already.  Without this a mistaken second bearer would keep itself alive through all records after it.
+    """
+    first = rows.groupBy(*keys).agg(F.min(F.struct(time, bearer)).alias("_f")).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(f"_f.{bearer}").alias("first"), F.col(f"_f.{time}").alias("since"))
+    j = rows.join(first, [rows[k].eqNullSafe(first[f"_{k}"]) for k in keys])
+    return j.groupBy(*keys, "first", "since").agg(F.min(F.when(F.col(bearer) != F.col("first"), F.col(opens))).alias("until"))
 
 
 def met(rows: DataFrame, bearers: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -59,14 +63,16 @@ def _artists(r: DataFrame, manual_aliases: DataFrame | None) -> DataFrame:
         r = r.withColumn("manual_artist", F.lit(None).cast("long"))
     else:
         m = manual_aliases.select(match_text(F.col("alias")).alias("name"), "entity", "since").where("name is not null")
-        r = met(r, first_two(m.groupBy("name", "entity").agg(F.min("since").alias("since_")), ["name"], "entity", "since_"), ["name"], "manual_artist")
+        r = met(r, first_two(m.groupBy("name", "entity").agg(F.min("since").alias("at")), ["name"], "entity", "at", "at"), ["name"], "manual_artist")
     start = F.first("record_id", ignorenulls=True).over(Window.partitionBy("artist_key").orderBy("record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     guess = F.coalesce("first_of", F.when(F.col("name").isNotNull(), F.coalesce("manual_artist", start)), "record_id")
     r = stored(r.withColumn("own_artist", guess).withColumn("alias_artist", F.lit(None).cast("long")))
 
     def step(rows):
-        bearers = rows.where("artist_key is not null").groupBy("artist_key", "own_artist").agg(F.min("record_id").alias("at")).withColumnRenamed("artist_key", "name")
-        found = met(rows.drop("alias_artist"), first_two(bearers, ["name"], "own_artist", "at"), ["name"], "source_artist")
+        # a record that had to find its artist by this name is another bearer only of a name with two
+        sure = F.col("first_of").isNotNull() | F.col("name").isNull() | F.col("manual_artist").isNotNull()
+        bearers = rows.where("artist_key is not null").groupBy("artist_key", "own_artist").agg(F.min("record_id").alias("at"), F.min(F.when(sure, F.col("record_id"))).alias("opens")).withColumnRenamed("artist_key", "name")
+        found = met(rows.drop("alias_artist"), first_two(bearers, ["name"], "own_artist", "at", "opens"), ["name"], "source_artist")
         found = _following(found, "own_artist", "first_of", "strong_artist").withColumn("alias_artist", F.coalesce("manual_artist", "source_artist"))
         return found.withColumn("new_own_artist", F.coalesce("strong_artist", "alias_artist", "record_id")).drop("source_artist", "strong_artist")
 
@@ -85,12 +91,15 @@ def _tracks(r: DataFrame) -> DataFrame:
 
     def step(rows):
         rows = rows.drop("composite")
-        tracks = rows.where("track_id = record_id").select(F.col("record_id").alias("track"), F.col("own_artist").alias("by"), F.col("release_id").alias("on"))
+        tracks = rows.where("track_id = record_id").select(F.col("record_id").alias("track"), F.col("own_artist").alias("by"), F.col("release_id").alias("on"), F.col("title").alias("own_title"), F.col("album_key").alias("own_album"))
         titles = rows.where("track_key is not null").groupBy(F.col("track_id").alias("track"), "track_key").agg(F.min("record_id").alias("titled"))
         albums = rows.where("release_id is not null and album_key is not null").groupBy(F.col("release_id").alias("on"), "album_key").agg(F.min("record_id").alias("named"))
         b = titles.join(tracks, "track").join(albums, "on", "left").where("on is null or album_key is not null")
-        b = b.select(F.col("by").alias("own_artist"), F.col("track_key").alias("title"), F.col("album_key").alias("on_album"), "track", F.greatest("titled", F.coalesce("named", "titled")).alias("at"))
-        found = met(rows.withColumn("on_album", F.col("album_key")), first_two(b, key, "track", "at"), key, "composite").drop("on_album")
+        b = b.withColumn("at", F.greatest("titled", F.coalesce("named", "titled")))
+        # a track that its first record made under this very key is another bearer only of a key with two
+        itself = (F.col("at") == F.col("track")) & F.col("track_key").eqNullSafe(F.col("own_title")) & F.col("album_key").eqNullSafe(F.col("own_album"))
+        b = b.select(F.col("by").alias("own_artist"), F.col("track_key").alias("title"), F.col("album_key").alias("on_album"), "track", "at", F.when(~itself, F.col("at")).alias("opens"))
+        found = met(rows.withColumn("on_album", F.col("album_key")), first_two(b, key, "track", "at", "opens"), key, "composite").drop("on_album")
         found = found.withColumn("composite", F.when(F.col("title").isNotNull(), F.col("composite")))
         found = _following(found, "track_id", "first_track", "strong_track")
         found = found.withColumn("new_track_id", F.coalesce("strong_track", "composite", "record_id")).drop("strong_track")
