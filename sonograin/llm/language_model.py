@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import cut, running, shared_dir
+from .text import cut, running, shared_dir, valid_text
 
 STATES, ROUNDS, OWN, BUCKETS, COMMON = 5, 5, 4096, 4096, 65536
 #: Places of a text that training runs one after another; the results don't depend on it.
@@ -64,7 +64,7 @@ def held_out(doc_id, folds: int = FOLDS, fold: int = HELD_OUT):
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """token, c over all whole texts of docs."""
-    return docs.select("text").mapInArrow(_count_batches, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return docs.select(valid_text()).mapInArrow(_count_batches, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 class _Ids(dict):
@@ -313,7 +313,7 @@ def scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, own: int
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    marked = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
+    marked = docs.select("doc_id", held_out("doc_id").alias("held_out"), valid_text())
     counts = cut(token_counts(marked.where("not held_out")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = most_frequent(counts, common).toPandas().sort_values(["c", "token"], ascending=[False, True])  # at most ``common`` rows

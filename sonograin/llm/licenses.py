@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .text import valid_text
+
 #: Phrases whose exact places are counted, with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -142,9 +144,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
 
     n_base counts all places of all phrases; score is 1 with an exact phrase, else the best 1 - edits / length of a
     notice, else 0.  spans are characters of the lower-cased words joined by blanks, the leading blank counted.  Null and
-    empty texts have no words; repeated rows are scanned each.  An empty table gives no rows.  A text of any length is
+    empty texts have no words, bytes that are not UTF-8 count as U+FFFD; repeated rows are scanned each.  An empty table gives no rows.  A text of any length is
     scanned whole, in one row.  Other columns, of whatever names, are ignored.
     """
-    d = docs.select("doc_id", "text")
+    d = docs.select("doc_id", valid_text())
     schema = f"doc_id {dict(d.dtypes)['doc_id']}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,edits:long>>"
     return d.mapInArrow(_scanner(phrases, notices), schema)

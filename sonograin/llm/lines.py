@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import BLANK_GAP, cut, running, spread_join
+from .text import BLANK_GAP, cut, own_prefix, running, spread_join
 
 MIN_WORDS = 20
 
@@ -113,10 +113,11 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs with their columns, their texts without the later copies of repeated runs; repeated rows stay."""
-    gone = deletions(docs, min_words).where("n_deleted > 0").select(F.col("doc_id").alias("_d"), F.col("dk").alias("_k"), F.col("deleted").alias("_gone")).distinct()
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_d"]) & (F.xxhash64(docs["text"]) == gone["_k"]), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return joined.select(*(F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else docs[c] for c in docs.columns))
+    p = own_prefix(docs)
+    gone = deletions(docs, min_words).where("n_deleted > 0").select(F.col("doc_id").alias(f"{p}d"), F.col("dk").alias(f"{p}k"), F.col("deleted").alias(f"{p}gone")).distinct()
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone[f"{p}d"]) & (F.xxhash64(docs["text"]) == gone[f"{p}k"]), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(f"{p}gone", i)), "\n")
+    return joined.select(*(F.when(F.col(f"{p}gone").isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else docs[f"`{c}`"] for c in docs.columns))
 
 
 ORACLE = """

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import BLANK_GAP, cut, running, spread_join
+from .text import BLANK_GAP, cut, own_prefix, running, spread_join
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -74,16 +74,19 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with their columns."""
+    p = own_prefix(docs)
+    of = {k: f"{p}{k}" for k in ("id", "hash", "source", "copies", "rows", "own", "n")}
     taken = mixture(docs, **how).groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
-    taken = cut(taken.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("source").alias("_s"), F.col("copies").alias("_copies"), F.col("rows").alias("_rows")))
-    same = docs["doc_id"].eqNullSafe(taken["_id"]) & (F.xxhash64(docs["text"]) == taken["_h"]) & docs["source"].eqNullSafe(taken["_s"])
-    joined = docs.join(taken, same)
-    own = F.col("_copies")
-    if taken.where("_rows > 1").take(1):  # repeated rows share their copies out: the first ones, by their other columns, get the remainder
-        others = [docs[c] for c in docs.columns if c not in ("doc_id", "text", "source")]
-        nth = F.row_number().over(Window.partitionBy("_id", "_h", "_s").orderBy(F.to_json(F.struct(*others)) if others else F.lit(1))) - 1
-        own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(nth < F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    return joined.withColumn("_own", own).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_own").cast("int"))).alias("_n")).drop("_n")
+    taken = cut(taken.toDF(*(of[k] for k in ("id", "hash", "source", "copies", "rows"))))
+    same = docs["doc_id"].eqNullSafe(taken[of["id"]]) & (F.xxhash64(docs["text"]) == taken[of["hash"]]) & docs["source"].eqNullSafe(taken[of["source"]])
+    joined, copies, rows = docs.join(taken, same), F.col(of["copies"]), F.col(of["rows"])
+    own = copies
+    if taken.where(rows > 1).take(1):  # repeated rows share their copies out: the first ones, by their other columns, get the remainder
+        others = [docs[f"`{c}`"] for c in docs.columns if c not in ("doc_id", "text", "source")]
+        nth = F.row_number().over(Window.partitionBy(of["id"], of["hash"], of["source"]).orderBy(F.to_json(F.struct(*others)) if others else F.lit(1))) - 1
+        own = F.floor(copies / rows) + F.when(nth < copies % rows, 1).otherwise(0)
+    counted = joined.withColumn(of["own"], own)
+    return counted.select(*(f"`{c}`" for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col(of["own"]).cast("int"))).alias(of["n"])).drop(of["n"])
 
 
 ORACLE = r"""

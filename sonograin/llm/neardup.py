@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import LEAST, cut, spread_join
+from .text import LEAST, cut, own_prefix, spread_join, valid_text
 
 SHINGLE, SEED, BITS = 4, 42, 4
 HOT = 512
@@ -70,8 +70,8 @@ def _fingerprint_batches(batches):
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp per row of docs; null and empty texts have fingerprint 0."""
-    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    """doc_id, text_hash, fp per row of docs; null and empty texts have fingerprint 0, bytes that are not UTF-8 count as U+FFFD."""
+    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), valid_text())
     kind = dict(d.dtypes)["doc_id"]
     return d.mapInArrow(_fingerprint_batches, f"doc_id {kind}, text_hash long, fp long")
 
@@ -180,20 +180,24 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFr
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that stay, with their columns: of each component the one with the smallest doc_id, then text hash."""
-    found = cut(near_duplicates(docs, **how))
+    found, p = cut(near_duplicates(docs, **how)), own_prefix(docs)
+    of = {k: f"{p}{k}" for k in ("id", "hash", "rows", "stays", "others")}
     # by root: two components can have the same smallest doc_id, and those of null doc_ids have none
     first = found.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("s")
-    ).select(F.col("s.doc_id").alias("_id"), F.col("s.text_hash").alias("_h")).distinct()
-    rows = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg(F.count("*").alias("_rows"))
-    same = lambda k: docs["doc_id"].eqNullSafe(k["_id"]) & (F.xxhash64(docs["text"]) == k["_h"])
-    stay = cut(rows.alias("r").join(first.alias("f"), F.col("r._id").eqNullSafe(F.col("f._id")) & (F.col("r._h") == F.col("f._h")), "left").select("r._id", "r._h", "_rows", F.col("f._h").isNotNull().alias("_stays")))
-    gone = stay.where("not _stays or _rows > 1")
+    ).select(F.col("s.doc_id").alias("doc_id"), F.col("s.text_hash").alias("text_hash")).distinct()
+    rows = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias(of["rows"]))
+    chosen = F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.text_hash") == F.col("f.text_hash"))
+    stay = cut(rows.alias("r").join(first.alias("f"), chosen, "left").select(F.col("r.doc_id").alias(of["id"]), F.col("r.text_hash").alias(of["hash"]), of["rows"], F.col("f.text_hash").isNotNull().alias(of["stays"])))
+    same = lambda k: docs["doc_id"].eqNullSafe(k[of["id"]]) & (F.xxhash64(docs["text"]) == k[of["hash"]])
+    stays, many = F.col(of["stays"]), F.col(of["rows"]) > 1
+    gone = stay.where(~stays | many)
     kept = docs.join(gone, same(gone), "left_anti")
-    repeated = stay.where("_stays and _rows > 1")
-    if repeated.take(1):  # of rows alike in doc_id and text the one with the least other values
+    repeated = stay.where(stays & many)
+    if repeated.take(1):  # of rows alike in doc_id and text the one with the least other values, as JSON, since maps have no order
         rest = docs.join(repeated, same(repeated), "left_semi")
         others = [c for c in docs.columns if c not in ("doc_id", "text")]
-        rest = rest.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_o")).select("doc_id", "text", "_o.*") if others else rest.distinct()
-        kept = kept.unionByName(rest.select(docs.columns))
+        values = F.struct(*(F.col(f"`{c}`") for c in others)) if others else None
+        rest = rest.groupBy("doc_id", "text").agg(F.min_by(values, F.to_json(values)).alias(of["others"])).select("doc_id", "text", f"{of['others']}.*") if others else rest.distinct()
+        kept = kept.unionByName(rest.select(*(f"`{c}`" for c in docs.columns)))
     return kept

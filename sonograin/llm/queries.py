@@ -39,7 +39,7 @@ def op6_sharding(spark, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumn("spans", F.to_json("spans"))
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -14,6 +14,19 @@ ALNUM_GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 BLANK_GAP = "[\\x20\\x09-\\x0D]+"
 
 
+def valid_text(name: str = "text") -> Column:
+    """A text column as UTF-8: each sequence of bytes that is none counts as U+FFFD."""
+    return F.make_valid_utf8(name).alias(name)
+
+
+def own_prefix(docs: DataFrame) -> str:
+    """The beginning of names for helper columns: no column of docs begins like this, in any case."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and leave every other character alone (``lower`` would change É)."""
     return F.translate(c, _UPPER, _UPPER.lower())

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .text import valid_text
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The public pre-split of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -85,10 +87,10 @@ def section_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, rule: str = "m
 
     A section reaches up to and includes its newline.  n_crossing counts the tokens that begin in the section and reach
     into a later one.  Null and empty texts have one empty section without tokens.  Repeated rows are counted each.
-    An empty table gives no rows; a text of any length is encoded whole, in one row; other columns are ignored.
+    Bytes that are not UTF-8 count as U+FFFD, of three bytes.  An empty table gives no rows; a text of any length is encoded whole, in one row; other columns are ignored.
     The vocabulary file must be readable at this path on every executor.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    d = docs.select("doc_id", "text")
+    d = docs.select("doc_id", valid_text())
     return d.mapInArrow(_counter(vocabulary, rule), f"doc_id {dict(d.dtypes)['doc_id']}, section long, start_byte long, end_byte long, n_tokens long, doc_tokens long, n_crossing long")
