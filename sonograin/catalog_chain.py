@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import _EVENTS, _EVIDENCE, _MT, _PAIRS, _SCORES, _sources, register
+from .catalog import _BASE, _EVENTS, _EVIDENCE, _MT, _PAIRS, _SCORES, ORACLES, TZ, _both, _sources, register
 from .operators import evidence, replay
-from .plans import reconciliation
-from .plans.storage import stored
+from .plans import envelope, publishing, reconciliation
+from .plans.storage import shared_dir, stored
 from .sources import history
 
 # Fingerprints ---------------------------------------------------------------------------------------------------------
@@ -102,3 +104,57 @@ _CLAIMED = _EVENTS.replace("mg as (select play_id, scrobble_id from dc where dec
 register("r12_arbitrated", _decided(1), f"{_EVIDENCE}, {_PAIRS}, {_SCORES}, {_CLAIMS} select * from arb")
 register("r10_claimed_events", _decided(2), f"{_CLAIMED} select * from ev_all")
 register("r17_claimed_links", _decided(3), f"{_CLAIMED} select * from lk")
+
+
+# Published datasets ---------------------------------------------------------------------------------------------------
+def _published_events(spark, d) -> DataFrame:
+    k = F.col("event_id")
+    rule = F.when(k % 3 == 0, "canonical-event-v1").when(k % 7 == 0, " ").otherwise("cross-source-decision-policy-v1")
+    return history.canonical_base(spark, d).withColumn("has_interval", k % 2 == 0).withColumn("has_instant", k % 2 == 1).withColumn("rule_version", rule)
+
+
+def _publish(spark, d) -> tuple[str, publishing.Analyses, DataFrame, DataFrame]:
+    """The folder, the datasets, the state and the manifest of a bundle."""
+    events, path = _published_events(spark, d), f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"
+    found = publishing.analyses(events, _both(spark, d), TZ, ["identity-resolution-v1"])
+    return path, found, events, publishing.publish(found, events, path, 1)
+
+
+def _manifest(spark, d) -> DataFrame:
+    """Each dataset with its number of rows, whether its digest is that of what can be read, and its envelope."""
+    path, _, _, manifest = _publish(spark, d)
+    bundle = publishing.newest(spark, path)
+    again = [envelope.digest(spark.read.parquet(f"{bundle}/{n}")).select(F.lit(n).alias("dataset"), F.col("digest").alias("again")) for n in publishing.ANALYSES]
+    read = again[0]
+    for x in again[1:]:
+        read = read.unionByName(x)
+    e = spark.read.parquet(f"{bundle}/envelopes")
+    known = F.array_join(F.transform(F.array(*map(F.lit, publishing.FIELDS)), lambda f: F.concat(f, F.lit("="), F.col("coverage")[f]["available"].cast("string"), F.lit("/"), F.col("coverage")[f]["total"].cast("string"))), ",")
+    return manifest.join(read, "dataset").join(e, "dataset").select(
+        "dataset", "n", (F.col("digest") == F.col("again")).alias("whole"), "analysis", "schema_version", "timezone", "event_count", "start_ms", "end_ms", "as_of_ms", F.array_join("sources", ",").alias("sources"), known.alias("coverage"), F.round("unresolved_rate", 9).alias("unresolved_rate"),
+        F.col("versions.query").alias("query"), F.array_join("versions.identity_rules", ",").alias("identity_rules"), F.array_join("versions.reconciliation_rules", ",").alias("reconciliation_rules"),
+    )
+
+
+_SIZES = " union all ".join(f"select '{n}' as dataset, '{publishing.ANALYSES[n][0]}' as analysis, '{publishing.ANALYSES[n][3]}' as query, (select count(*) from ({ORACLES[q]})) as n" for n, q in (("volume", "n1_volume_month"), ("artist-eras", "n3_era_intervals"), ("rediscovery", "n4_rediscovery_artist"), ("abandonment", "n5_abandonment"), ("coverage", "c1_by_year")))
+register("x4_published", _manifest, f"""{_BASE}, z as ({_SIZES}),
+one as (select count(*) as event_count, min(instant_ms) as start_ms, max(instant_ms) + 1 as end_ms, max(instant_ms) + 1 as as_of_ms, 'artist_id=' || count(artist_id) || '/' || count(*) || ',track_id=' || count(track_id) || '/' || count(*) || ',listened_ms=' || count(listened_ms) || '/' || count(*) as coverage,
+  round(count(case when event_status = 'unresolved' then 1 end) / count(*), 9) as unresolved_rate from base)
+select dataset, n, true as whole, analysis, 'analytical-result-v2' as schema_version, '{TZ}' as timezone, event_count, start_ms, end_ms, as_of_ms, 'instant,interval' as sources, coverage, unresolved_rate, query, 'identity-resolution-v1' as identity_rules,
+  'canonical-event-v1,cross-source-decision-policy-v1' as reconciliation_rules from z, one""")
+
+
+def _verified(spark, d) -> DataFrame:
+    """The bundle as it stands, then after one dataset's content has changed, then after the state has."""
+    path, found, events, _ = _publish(spark, d)
+    first = stored(publishing.verify(path, events, found))
+    damaged = stored(spark.read.parquet(f"{publishing.newest(spark, path)}/abandonment").withColumn("absence_days", F.col("absence_days") + 1))
+    damaged.write.mode("overwrite").parquet(f"{publishing.newest(spark, path)}/abandonment")
+    second = stored(publishing.verify(path, events, found))
+    moved = events.withColumn("event_status", F.when(F.col("event_id") % 1000 == 1, "superseded").otherwise(F.col("event_status")))
+    third = publishing.verify(path, moved)
+    return first.withColumn("when", F.lit("published")).unionByName(second.withColumn("when", F.lit("damaged"))).unionByName(third.withColumn("when", F.lit("moved")))
+
+
+register("x5_verified", _verified, f"""{_BASE}, m as (select count(case when event_id % 1000 = 1 then 1 end) > 0 as moved from base), n as (select unnest(['volume', 'artist-eras', 'rediscovery', 'abandonment', 'coverage', 'envelopes']) as dataset), a as (select count(*) > 0 as filled from ({ORACLES['n5_abandonment']}))
+select dataset, w as "when", case when w <> 'published' and dataset = 'abandonment' and filled then 'invalid' when w = 'moved' and moved then 'stale' else 'valid' end as status from n, m, a, (select unnest(['published', 'damaged', 'moved']) as w)""")

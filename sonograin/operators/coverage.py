@@ -40,7 +40,8 @@ def long_gaps(records: DataFrame, instant: str, days: int = 365) -> DataFrame:
     """
     month = F.date_trunc("month", F.timestamp_millis(instant))
     r = records.select("source", month.alias("month"), F.col(instant).alias("at"))
-    inside = r.select("source", F.lag("at").over(Window.partitionBy("source", "month").orderBy("at")).alias("from_ms"), F.col("at").alias("to_ms"))
+    # a gap of more than a month's days has its ends in two months
+    inside = r.limit(0).select("source", F.col("at").alias("from_ms"), F.col("at").alias("to_ms")) if days > 31 else r.select("source", F.lag("at").over(Window.partitionBy("source", "month").orderBy("at")).alias("from_ms"), F.col("at").alias("to_ms"))
     months = r.groupBy("source", "month").agg(F.min("at").alias("a"), F.max("at").alias("b"))
     between = months.select("source", F.lag("b").over(Window.partitionBy("source").orderBy("month")).alias("from_ms"), F.col("a").alias("to_ms"))
     return inside.unionByName(between).where(F.col("to_ms") - F.col("from_ms") >= days * DAY_MS)
