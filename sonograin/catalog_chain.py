@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import _BASE, _EVENTS, _EVIDENCE, _MT, _PAIRS, _SCORES, ORACLES, TZ, _both, _sources, register
-from .operators import evidence, replay
+from .operators import constraints, coverage, evidence, replay
 from .plans import envelope, publishing, reconciliation
 from .plans.storage import shared_dir, stored
 from .sources import history
@@ -158,3 +158,50 @@ def _verified(spark, d) -> DataFrame:
 
 register("x5_verified", _verified, f"""{_BASE}, m as (select count(case when event_id % 1000 = 1 then 1 end) > 0 as moved from base), n as (select unnest(['volume', 'artist-eras', 'rediscovery', 'abandonment', 'coverage', 'envelopes']) as dataset), a as (select count(*) > 0 as filled from ({ORACLES['n5_abandonment']}))
 select dataset, w as "when", case when w <> 'published' and dataset = 'abandonment' and filled then 'invalid' when w = 'moved' and moved then 'stale' else 'valid' end as status from n, m, a, (select unnest(['published', 'damaged', 'moved']) as w)""")
+
+
+# Constraints ----------------------------------------------------------------------------------------------------------
+def _model(spark, d) -> dict[str, DataFrame]:
+    """Runs of customers, files of parts, records and events of orders, links of lines; each rule is broken by some."""
+    k, c, p = F.col("o_orderkey"), F.col("c_custkey"), F.col("p_partkey")
+    run = history.table(spark, d, "customer").select(
+        F.when(c % 50 != 0, c).alias("id"), F.lit("export").alias("source_type"), F.when(c % 7 == 0, "stopped").when(c % 3 == 0, "running").otherwise("succeeded").alias("status"), F.lit(5).alias("started_ms"), F.when(c % 4 != 0, F.lit(9)).alias("completed_ms"),
+        (c % 10).alias("discovered_count"), (c % 9).alias("accepted_count"), F.lit(0).alias("rejected_count"), (F.floor(c / 11) % 2 - F.floor(c / 13) % 2).alias("unsupported_count"),
+    )
+    file = history.table(spark, d, "part").select(
+        p.alias("id"), F.concat(F.when(p % 17 == 0, "/").otherwise(""), (p % 1500).cast("string")).alias("relative_path"), F.when(p % 19 == 0, "other").otherwise("lastfm_export").alias("source_type"), (p - 5).alias("byte_size"), F.when(p % 23 == 0, F.upper(F.sha2(p.cast("string"), 256))).otherwise(F.sha2((p % 1900).cast("string"), 256)).alias("content_sha256"),
+        F.when(p % 2 == 0, p).alias("observed_start_ms"), (p - p % 3 + 1).alias("observed_end_ms"), (p % 160).alias("first_run_id"), F.when(p % 29 != 0, p % 100 + 1).alias("last_run_id"),
+    )
+    event = history.table(spark, d, "orders").select(
+        k.alias("id"), F.when(k % 101 != 0, k % 9).alias("track_id"), F.when(k % 5 != 0, k).alias("started_ms"), F.when(k % 7 != 0, F.when(k % 11 == 0, k - 1).otherwise(k + 1)).alias("ended_ms"), (k - 50).alias("listened_ms"), F.when(k % 13 == 0, "guessed").otherwise("observed_start").alias("time_basis"),
+        F.when(k % 6 == 0, "superseded").otherwise("current").alias("event_status"), F.lit("v1").alias("rule_version"), F.when(k % 12 == 0, k).when(k % 18 == 0, -k).when(k % 31 == 0, F.lit(1)).alias("superseded_by"),
+    )
+    l = history.table(spark, d, "lineitem")
+    link = l.select(F.when(F.col("l_linenumber") == 7, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("event_id"), (F.col("l_orderkey") * 4 + F.col("l_linenumber") % 4).alias("record_id"), F.when(F.col("l_linenumber") == 2, "cross_source_match").when(F.col("l_linenumber") == 5, "copy").otherwise("primary").alias("role"), F.col("l_discount").cast("double").alias("discount"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_partkey")).alias("candidate_id"))
+    return {"ingest_run": run, "source_file": file, "listening_event": event, "event_source": link.withColumn("match_score", F.col("discount") * 12).drop("discount")}
+
+
+_MODEL = """run as (select case when c_custkey % 50 <> 0 then c_custkey end as id, case when c_custkey % 7 = 0 then 'stopped' when c_custkey % 3 = 0 then 'running' else 'succeeded' end as status, case when c_custkey % 4 <> 0 then 9 end as completed, c_custkey % 10 as disc, c_custkey % 9 as acc, c_custkey // 11 % 2 - c_custkey // 13 % 2 as uns from customer),
+file as (select p_partkey as id, case when p_partkey % 17 = 0 then '/' else '' end || p_partkey % 1500 as path, p_partkey % 19 = 0 as other, p_partkey - 5 as size, case when p_partkey % 23 = 0 then upper(sha256(p_partkey::varchar)) else sha256((p_partkey % 1900)::varchar) end as sha, case when p_partkey % 2 = 0 then p_partkey end as os, p_partkey - p_partkey % 3 + 1 as oe, p_partkey % 160 as r1, case when p_partkey % 29 <> 0 then p_partkey % 100 + 1 end as r2 from part),
+ev as (select o_orderkey as id, case when o_orderkey % 101 <> 0 then 1 end as track, case when o_orderkey % 5 <> 0 then o_orderkey end as s, case when o_orderkey % 7 <> 0 then case when o_orderkey % 11 = 0 then o_orderkey - 1 else o_orderkey + 1 end end as e, o_orderkey - 50 as lm, o_orderkey % 13 = 0 as guessed, o_orderkey % 6 = 0 as gone, case when o_orderkey % 12 = 0 then o_orderkey when o_orderkey % 18 = 0 then -o_orderkey when o_orderkey % 31 = 0 then 1 end as sb from orders),
+ln as (select case when l_linenumber = 7 then -l_orderkey else l_orderkey end as event, l_orderkey * 4 + l_linenumber % 4 as record, l_linenumber = 5 as odd, l_linenumber = 2 and l_partkey % 2 = 1 as bare, cast(l_discount as double) * 12 as score from lineitem),
+v(t, r, n) as (select 'ingest_run', 'id_required', count(*) from run where id is null union all select 'ingest_run', 'status', count(*) from run where status = 'stopped' union all select 'ingest_run', 'completion', count(*) from run where (status = 'running') <> (completed is null)
+union all select 'ingest_run', 'unsupported_count_not_negative', count(*) from run where uns < 0 union all select 'ingest_run', 'run_counts', count(*) from run where status = 'succeeded' and disc <> acc + uns
+union all select 'source_file', 'relative', count(*) from file where path like '/%' union all select 'source_file', 'source_type', count(*) from file where other union all select 'source_file', 'content_sha256', count(*) from file where sha <> lower(sha) union all select 'source_file', 'byte_size_not_negative', count(*) from file where size < 0
+union all select 'source_file', 'observed_order', count(*) from file where oe < os union all select 'source_file', 'last_run_id_required', count(*) from file where r2 is null union all select 'source_file', 'relative_path_unique', count(*) - count(distinct path) from file union all select 'source_file', 'content_sha256_unique', count(*) - count(distinct sha) from file
+union all select 'source_file', 'first_run_id_known', count(*) from file where r1 not in (select id from run where id is not null) union all select 'source_file', 'last_run_id_known', count(*) from file where r2 not in (select id from run where id is not null)
+union all select 'listening_event', 'track_id_required', count(*) from ev where track is null union all select 'listening_event', 'time_basis', count(*) from ev where guessed union all select 'listening_event', 'listened_ms_not_negative', count(*) from ev where lm < 0 union all select 'listening_event', 'has_time', count(*) from ev where s is null and e is null
+union all select 'listening_event', 'time_order', count(*) from ev where e < s union all select 'listening_event', 'successor', count(*) from ev where gone <> (sb is not null) union all select 'listening_event', 'not_its_own', count(*) from ev where sb = id union all select 'listening_event', 'superseded_by_known', count(*) from ev where sb not in (select id from ev)
+union all select 'event_source', 'role', count(*) from ln where odd union all select 'event_source', 'match_score', count(*) from ln where score > 1 union all select 'event_source', 'match_has_candidate', count(*) from ln where bare union all select 'event_source', 'event_id_known', count(*) from ln where event not in (select id from ev)
+union all select 'event_source', 'event_id_record_id_unique', count(*) - count(distinct (event, record)) from ln union all select 'event_source', 'record_id_unique', count(*) - count(distinct record) from ln)"""
+
+
+def _findings(spark, d) -> DataFrame:
+    expected = history.table(spark, d, "nation").groupBy(F.concat(F.lit("region-"), F.col("n_regionkey").cast("string")).alias("metric")).agg(F.count("*").alias("expected"))
+    actual = history.table(spark, d, "customer").groupBy(F.concat(F.lit("region-"), (F.col("c_nationkey") % 5).cast("string")).alias("metric")).agg(F.count("*").alias("actual"))
+    return constraints.findings(constraints.violations(_model(spark, d)), coverage.baseline_differences(actual, expected))
+
+
+register("v29_constraints", lambda spark, d: constraints.violations(_model(spark, d)).where("violations > 0"), f'with {_MODEL} select t as "table", r as rule, cast(n as bigint) as violations from v where n > 0')
+register("v28_findings", _findings, f"""with {_MODEL}, x as (select 'region-' || n_regionkey as m, count(*) as expected from nation group by 1), a as (select 'region-' || c_nationkey % 5 as m, count(*) as actual from customer group by 1)
+select t || '.' || r as code, 'error' as severity, cast(n as bigint) as n from v where n > 0 union all select 'baseline.' || coalesce(x.m, a.m), 'warning', abs(coalesce(actual, 0) - coalesce(expected, 0)) from x full join a on x.m = a.m where actual is distinct from expected""")
