@@ -11,7 +11,9 @@ from .catalog import _BASE, _EVENTS, _EVIDENCE, _MT, _PAIRS, _SCORES, ORACLES, T
 from .operators import constraints, coverage, evidence, replay
 from .plans import envelope, publishing, reconciliation
 from .plans.storage import shared_dir, stored
+from .functions.text import with_match_text
 from .sources import history
+from .streaming import plays as streams
 
 # Fingerprints ---------------------------------------------------------------------------------------------------------
 _tagged = lambda name, value: f"'[\"{name}\",' || coalesce({value}, '\"null\",null') || ']'"
@@ -205,3 +207,22 @@ def _findings(spark, d) -> DataFrame:
 register("v29_constraints", lambda spark, d: constraints.violations(_model(spark, d)).where("violations > 0"), f'with {_MODEL} select t as "table", r as rule, cast(n as bigint) as violations from v where n > 0')
 register("v28_findings", _findings, f"""with {_MODEL}, x as (select 'region-' || n_regionkey as m, count(*) as expected from nation group by 1), a as (select 'region-' || c_nationkey % 5 as m, count(*) as actual from customer group by 1)
 select t || '.' || r as code, 'error' as severity, cast(n as bigint) as n from v where n > 0 union all select 'baseline.' || coalesce(x.m, a.m), 'warning', abs(coalesce(actual, 0) - coalesce(expected, 0)) from x full join a on x.m = a.m where actual is distinct from expected""")
+
+
+# Streams --------------------------------------------------------------------------------------------------------------
+def _streamed_pairs(spark, d) -> DataFrame:
+    """Plays and scrobbles written as files in the order of their starts, read as two streams and joined as they come."""
+    folder = f"{shared_dir(spark)}/streams-{uuid.uuid4().hex}"
+    kind = "record_id long, listener long, artist_key string, track_key string, start timestamp"
+    for name, rows, at in (("plays", history.interval_plays(spark, d), F.col("stopped_at_ms") - F.col("ms_played")), ("scrobbles", history.instant_scrobbles(spark, d), F.col("instant_ms"))):
+        keyed = with_match_text(rows, artist_key="artist", track_key="track").select("record_id", "listener", "artist_key", "track_key", F.timestamp_millis(at).alias("start"))
+        keyed.repartitionByRange(4, "start").write.parquet(f"{folder}/{name}")
+    read = lambda name: spark.readStream.schema(kind).parquet(f"{folder}/{name}")
+    # all files may come in one trigger and in any order, so nothing may be late
+    q = streams.paired(read("plays"), read("scrobbles"), delay="3650 days").writeStream.format("parquet").option("path", f"{folder}/pairs").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("play_id long, scrobble_id long, delta_ms long").parquet(f"{folder}/pairs")
+
+
+register("j6_streamed_pairs", _streamed_pairs, f"""{_EVIDENCE}, p as (select record_id, listener, {_MT.format("artist")} as a, {_MT.format("track")} as t, stopped_at_ms - ms_played as s from plays), q as (select record_id, listener, {_MT.format("artist")} as a, {_MT.format("track")} as t, instant_ms as s from scrobbles)
+select p.record_id as play_id, q.record_id as scrobble_id, q.s - p.s as delta_ms from p join q on p.listener = q.listener and p.a = q.a and p.t = q.t and abs(q.s - p.s) <= 30000""")
