@@ -235,8 +235,12 @@ tk as (select distinct t.track_id, n.name as kn, m.title as kt from (select dist
 tp as (select distinct a.track_id as x, b.track_id as y from tk a join tk b on a.kn = b.kn and a.kt = b.kt),
 pr as (select p.record_id as play_id, s.record_id as scrobble_id, p.listener, ms_played, skipped, stopped_at_ms - ms_played as start_ms, instant_ms, recording_mbid, rp.artist_id as pa, rs.artist_id as sa, rp.track_id as pt, rs.track_id as st, rp.name as pn, rs.name as sn, rp.title as ptt, rs.title as stt, rp.album as pal, rs.album as sal
   from kp p join res rp on rp.record_id = p.record_id join ks s on s.listener = p.listener and abs(instant_ms - (stopped_at_ms - ms_played)) <= 30000 join res rs on rs.record_id = s.record_id join tp on tp.x = rp.track_id and tp.y = rs.track_id)"""
-_NEAR = """nr as (select a.play_id, a.scrobble_id, b.start_ms as near_start, b.instant_ms as near_instant from pr a join pr b on a.listener = b.listener and a.play_id <> b.play_id and a.scrobble_id <> b.scrobble_id
-  qualify row_number() over (partition by a.play_id, a.scrobble_id order by abs(b.start_ms - a.start_ms), b.play_id, b.scrobble_id) = 1)"""
+# Pairs in the order of ids; at the least distance a walk meets, in this order: the later start's pairs below the earlier start's highest (0), the earlier start's backwards (1), the rest of the later start's (2).
+_NEAR = """px as (select *, row_number() over (order by play_id, scrobble_id) as ix from pr), mx as (select listener, start_ms, max(ix) as top from px group by all),
+nc as (select a.play_id, a.scrobble_id, a.listener, a.ix as own, a.start_ms as s0, b.ix, b.start_ms as near_start, b.instant_ms as near_instant, abs(b.start_ms - a.start_ms) as dist from px a join px b on a.listener = b.listener and a.play_id <> b.play_id and a.scrobble_id <> b.scrobble_id
+  qualify rank() over (partition by a.ix order by abs(b.start_ms - a.start_ms)) = 1),
+nv as (select nc.*, case when dist = 0 then case when ix < own then 1 else 2 end when near_start < s0 then 1 when ix < top then 0 else 2 end as phase from nc left join mx on mx.listener = nc.listener and mx.start_ms = s0 - dist),
+nr as (select play_id, scrobble_id, near_start, near_instant from nv qualify row_number() over (partition by play_id, scrobble_id order by phase desc, case when phase = 1 then ix else -ix end) = 1)"""
 _SCORES = _NEAR + """, dg as (select pr.*, near_start, near_instant, instant_ms - start_ms as delta_ms, count(*) over (partition by pr.play_id) as play_degree, count(*) over (partition by pr.scrobble_id) as scrobble_degree from pr left join nr on pr.play_id = nr.play_id and pr.scrobble_id = nr.scrobble_id),
 sc as (select *, case when recording_mbid is not null then case when pt = st then 1.0 else 0.0 end end as identifier_score, case when pn = sn then 1.0 when pa = sa then 0.75 else 0.0 end as artist_score, case when ptt = stt then 1.0 when pt = st then 0.75 else 0.0 end as track_score,
   case when pal is not null and sal is not null then case when pal = sal then 1.0 else 0.0 end end as album_score, 1 - least(1.0, abs(delta_ms) / 30000) as time_score, greatest(0.0, 1 - abs(delta_ms) / greatest(ms_played, 30000)) as duration_score,

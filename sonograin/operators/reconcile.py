@@ -72,11 +72,16 @@ def _sides(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def nearest_independent(pairs: DataFrame, blocks: int = 1024) -> DataFrame:
-    """play_id, scrobble_id, near_start, near_instant of the listener's nearest pair by start that shares neither side; the smaller ids win ties.
+    """play_id, scrobble_id, near_start, near_instant of the listener's nearest pair by start that shares neither side.
+
+    Among equally near ones the last wins that a walk from the pair outwards meets: pairs stand in the order of start, then ids;
+    at one distance the earlier start is walked backwards and the later one forwards, the lower head first.  So the later start's last
+    pair wins if it comes after all pairs of the earlier start by ids, else the earlier start's first one; at the pair's own start the
+    last one after it, else the first.
 
     A play with one scrobble is of no use to the other pairs of that scrobble; any other play is of use to all pairs but its
     own.  So each play has a key, its only scrobble or else itself, and a pair (a, b) looks for the nearest play with a key
-    other than b and that of a.  Of the plays of one start three with different keys are enough.  On either side of a start
+    other than b and that of a.  Of the plays of one start the first and the last three with different keys are enough.  On either side of a start
     the next one is enough, or, where that has the key b alone, the next one with another key.  Starts are looked at in
     blocks of time; each block gets the two such starts of the nearest blocks before and after it that have any, however
     far off.  Ties are fetched by an equi-join on the start.
@@ -84,13 +89,17 @@ def nearest_independent(pairs: DataFrame, blocks: int = 1024) -> DataFrame:
     p = stored(pairs.select("listener", "play_id", "scrobble_id", "start_ms", "instant_ms").withColumn("n", F.count("*").over(Window.partitionBy("play_id"))))
     key = F.struct((F.col("n") > 1).alias("many"), F.when(F.col("n") > 1, F.col("play_id")).otherwise(F.col("scrobble_id")).alias("id"))
     p = p.withColumn("key", key)
-    plays = p.groupBy("listener", "start_ms", "key", "play_id").agg(F.min(F.struct("scrobble_id", "instant_ms")).alias("s1"))
-    # the second scrobble of a play, for pairs that have its first
-    other = p.join(plays.select("play_id", F.col("s1.scrobble_id").alias("_s")), "play_id").where("scrobble_id != _s").groupBy("play_id").agg(F.min(F.struct("scrobble_id", "instant_ms")).alias("s2"))
-    firsts = plays.groupBy("listener", "start_ms", "key").agg(F.min("play_id").alias("play_id"), F.min_by("s1", "play_id").alias("s1")).join(other, "play_id", "left")
-    best = F.row_number().over(Window.partitionBy("listener", "start_ms").orderBy("play_id"))
-    firsts = firsts.withColumn("nth", best).where("nth <= 3").groupBy("listener", "start_ms").agg(F.array_sort(F.collect_list(F.struct("play_id", "key", "s1", "s2"))).alias("best"))
-    firsts = stored(firsts)
+    mate = F.struct("scrobble_id", "instant_ms")
+    plays = p.groupBy("listener", "start_ms", "key", "play_id").agg(F.min(mate).alias("s1"), F.max(mate).alias("t1"))
+    # the second scrobble of a play from either end, for pairs that have its first
+    ends_of = plays.select("play_id", F.col("s1.scrobble_id").alias("_s"), F.col("t1.scrobble_id").alias("_t"))
+    other = p.join(ends_of, "play_id").groupBy("play_id").agg(F.min(F.when(F.col("scrobble_id") != F.col("_s"), mate)).alias("s2"), F.max(F.when(F.col("scrobble_id") != F.col("_t"), mate)).alias("t2"))
+    each = F.struct("play_id", "key", "s1", "s2", "t1", "t2")
+    groups = plays.join(other, "play_id", "left").groupBy("listener", "start_ms", "key").agg(F.min_by(each, "play_id").alias("lo"), F.max_by(each, "play_id").alias("hi"))
+    place = lambda c: F.row_number().over(Window.partitionBy("listener", "start_ms").orderBy(c))
+    groups = groups.withColumn("up", place(F.col("lo.play_id"))).withColumn("down", place(F.desc("hi.play_id"))).where("up <= 3 or down <= 3")
+    listed = lambda c, nth: F.array_sort(F.collect_list(F.when(F.col(nth) <= 3, F.col(c))))
+    firsts = stored(groups.groupBy("listener", "start_ms").agg(listed("lo", "up").alias("best"), F.reverse(listed("hi", "down")).alias("last")))
 
     ends = firsts.groupBy("listener").agg(F.min("start_ms").alias("lo"), F.max("start_ms").alias("hi"))
     at = F.floor((F.col("start_ms") - F.col("lo")).cast("double") * blocks / (F.col("hi") - F.col("lo") + 1))
@@ -111,14 +120,22 @@ def nearest_independent(pairs: DataFrame, blocks: int = 1024) -> DataFrame:
     side = lambda e: F.when(F.col(f"{e}1").isNull() | F.col(f"{e}1.only").isNull() | (F.col(f"{e}1.only") != F.col("scrobble_id")), F.col(f"{e}1.start_ms")).otherwise(F.col(f"{e}2.start_ms"))
     q = q.select("listener", "play_id", "scrobble_id", "key", "start_ms", here.alias("here"), side("l").alias("left"), side("r").alias("right"))
     d = F.least(F.col("start_ms") - F.col("left"), F.col("right") - F.col("start_ms"))  # least passes over nulls
-    targets = F.when(F.col("here"), F.array("start_ms")).otherwise(F.array_compact(F.array(F.when(F.col("start_ms") - F.col("left") == d, F.col("left")), F.when(F.col("right") - F.col("start_ms") == d, F.col("right")))))
-    q = q.select("listener", "play_id", "scrobble_id", "key", F.explode(targets).alias("near_start"))
+    target = lambda side, at: F.struct(F.lit(side).alias("side"), at.alias("near_start"))
+    near = lambda side, at: F.when(F.abs(F.col(at) - F.col("start_ms")) == d, target(side, F.col(at)))
+    targets = F.when(F.col("here"), F.array(target("here", F.col("start_ms")))).otherwise(F.array_compact(F.array(near("left", "left"), near("right", "right"))))
+    q = q.select("listener", "play_id", "scrobble_id", "key", F.inline(targets))
     met = q.join(firsts.withColumnRenamed("start_ms", "near_start"), ["listener", "near_start"])
-    free = F.filter("best", lambda x: (x["key"] != b) & (x["key"] != F.col("key")))[0]
-    met = met.withColumn("x", free).where("x is not null")
-    mate = F.when(F.col("x.s1.scrobble_id") == F.col("scrobble_id"), F.col("x.s2")).otherwise(F.col("x.s1"))
-    near = F.min(F.struct(F.col("x.play_id").alias("o_play_id"), mate.alias("mate"), "near_start")).alias("b")
-    return met.groupBy("play_id", "scrobble_id").agg(near).select("play_id", "scrobble_id", "b.near_start", F.col("b.mate.instant_ms").alias("near_instant"))
+    free = lambda c: F.filter(c, lambda x: (x["key"] != b) & (x["key"] != F.col("key")))[0]
+    pair = lambda x, one, two: F.struct(x["play_id"].alias("play_id"), F.when(x[one]["scrobble_id"] == F.col("scrobble_id"), x[two]).otherwise(x[one]).alias("mate"), F.col("near_start"))
+    met = met.withColumn("x", free("best")).withColumn("y", free("last")).where("x is not null")
+    top = F.struct(F.col("last")[0]["play_id"].alias("play_id"), F.col("last")[0]["t1"]["scrobble_id"].alias("scrobble_id"))
+    met = met.select("play_id", "scrobble_id", "side", pair(F.col("x"), "s1", "s2").alias("first"), pair(F.col("y"), "t1", "t2").alias("final"), top.alias("top"))
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    one = met.groupBy("play_id", "scrobble_id").agg(of("here", "first").alias("h1"), of("here", "final").alias("h2"), of("left", "first").alias("l"), of("left", "top").alias("top"), of("right", "final").alias("r"))
+    ids = lambda c: F.struct(F.col(f"{c}.play_id").alias("play_id"), F.col(f"{c}.mate.scrobble_id").alias("scrobble_id"))
+    own = F.struct("play_id", "scrobble_id")
+    chosen = F.when(F.col("h1").isNotNull(), F.when(ids("h2") > own, F.col("h2")).otherwise(F.col("h1"))).when(F.col("l").isNull() | (ids("r") > F.col("top")), F.col("r")).otherwise(F.col("l"))
+    return one.withColumn("b", chosen).select("play_id", "scrobble_id", "b.near_start", F.col("b.mate.instant_ms").alias("near_instant"))
 
 
 def scored(pairs: DataFrame, near: DataFrame | None = None) -> DataFrame:

@@ -72,10 +72,24 @@ def test_the_nearest_independent_pair_has_no_limit(spark):
     # one scrobble for plays next to each other, and one pair far from all
     rows |= {(200 + i, 2000): (90_000 * hour + i, 5) for i in range(6)} | {(300, 3000): (200_000 * hour, 9)}
     pairs = [(1, a, b, *t) for (a, b), t in rows.items()] + [(2, 10_000 + a, 20_000 + b, *t) for (a, b), t in rows.items() if a % 3]
+    rows = list(dict.fromkeys((i // 6 * 1000, i % 3, 100 + r.randrange(9)) for i in range(60)))  # many pairs at equal distances
+    pairs += [(3, 50_000 + 10 * (t // 1000) + a, 60_000 + b, t, b) for t, a, b in rows]
     want = {}
-    for w, a, b, s, _ in pairs:
-        free = [(abs(t - s), p, q, t, i) for v, p, q, t, i in pairs if v == w and p != a and q != b]
-        want[a, b] = min(free)[3:]
+    for listener in (1, 2, 3):
+        mine = sorted((a, b, s, i) for v, a, b, s, i in pairs if v == listener)
+        row = sorted(range(len(mine)), key=lambda x: (mine[x][2], x))
+        for at, index in enumerate(row):
+            a, b, s, _ = mine[index]
+            left, right, found, least = at - 1, at + 1, None, float("inf")
+            while left >= 0 or right < len(row):
+                heads = [(abs(mine[row[k]][2] - s), row[k], step) for k, step in ((left, -1), (right, 1)) if 0 <= k < len(row)]
+                dist, k, step = min(heads)
+                if dist > least:
+                    break
+                left, right = (left - 1, right) if step < 0 else (left, right + 1)
+                if mine[k][0] != a and mine[k][1] != b:
+                    found, least = mine[k][2:], dist
+            want[a, b] = found
     df = spark.createDataFrame(pairs, kind)
     for blocks in (1024, 7):
         got = {(x.play_id, x.scrobble_id): (x.near_start, x.near_instant) for x in reconcile.nearest_independent(df, blocks).collect()}
