@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters read at a time, characters of a word that goes on as a run, and words in each half of the memory of words.
-READ, LONG, CACHE = 1 << 16, 1 << 12, 1 << 18
+READ, LONG, CACHE = 1 << 16, 1 << 12, 1 << 17
 _SWAP = sys.byteorder == "big"
 
 
@@ -287,8 +287,8 @@ def _encoding(path: str):
         encoder = Encoder(load(path))
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
-                text, got = text or "", []
+            for text in batch.column(1):
+                text, got = text.as_py() or "", []
                 for at in range(0, len(text), READ):
                     got += encoder.feed(text[at : at + READ])
                 out.append(b"".join(got + encoder.finish()))
@@ -302,8 +302,8 @@ def _decoding(path: str):
         decoder = Decoder(load(path))
         for batch in batches:
             out = []
-            for ids in batch.column(1).to_pylist():
-                ids = ids or b""
+            for ids in batch.column(1):
+                ids = ids.as_py() or b""
                 out.append("".join([*(decoder.feed(ids[at : at + 4 * READ]) for at in range(0, len(ids), 4 * READ)), decoder.finish()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["doc_id", "ids", "text"])
 
