@@ -65,7 +65,8 @@ def _blocks(batches):
     """Blocks of about BLOCK words: number, numbers of words (-1 ends a piece), word list with counts, and leading pairs with a large share."""
     number, ids, words, langs, of = TaskContext.get().partitionId() << 32, [], [], [], {}
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for lang, text in zip(batch.column(0), batch.column(1)):
+            lang, text = lang.as_py(), text.as_py()
             numbers = of.setdefault(lang, _Numbers(words))
             ids += map(numbers.__getitem__, _PIECE_END.sub(b" . ", text.lower()).split())
             ids.append(-1)
@@ -122,10 +123,10 @@ def _suffixes(batches):
     for batch in batches:
         for raw, numbered in zip(batch.column(0), batch.column(1)):
             at = np.frombuffer(raw.as_py(), "<i4")
-            table = np.full(int(at.max(initial=0)) + 2, -1, np.int64)  # the last entry is for -1
+            table = np.full(int(at.max(initial=0)) + 2, -1, np.int32)  # the last entry is for -1
             pairs = numbered.values
             table[pairs.field("at").to_numpy()] = pairs.field("id").to_numpy()
-            ids = np.concatenate([table[at], np.full(DEPTH, -1)])
+            ids = np.concatenate([table[at], np.full(DEPTH, -1, np.int32)])
             keys = np.stack([ids[d : len(ids) - DEPTH + d] for d in range(DEPTH)], axis=1)
             for d in range(1, DEPTH):
                 keys[keys[:, d - 1] < 0, d] = -1
@@ -134,7 +135,8 @@ def _suffixes(batches):
             order, begins = multikey_quicksort(keys, 1)
             sizes = np.diff(begins, append=len(keys))
             keys = keys[order[begins]]
-            k1, k2 = keys[:, 0] << 32 | keys[:, 1], (keys[:, 2] + 1) << 32 | (keys[:, 3] + 1)
+            w1, w2, w3, w4 = keys.T.astype(np.int64)
+            k1, k2 = w1 << 32 | w2, (w3 + 1) << 32 | (w4 + 1)
             for a in range(0, len(k1), BATCH):
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + BATCH]) for x in (k1, k2, sizes)], names=["k1", "k2", "n"])
 
