@@ -15,8 +15,9 @@ def by_year(records: DataFrame, instant: str, tz: str = "America/Chicago") -> Da
     return records.groupBy("source", F.year(local_time(F.col(instant), tz)).alias("year")).agg(F.count("*").alias("n"))
 
 
-def observed_ranges(records: DataFrame, instant: str) -> DataFrame:
-    return records.groupBy("source").agg(F.min(instant).alias("first_ms"), F.max(instant).alias("last_ms"), F.count("*").alias("n"))
+def observed_ranges(records: DataFrame, instant: str, *by: str) -> DataFrame:
+    """The first and last instant and the number of records of each source, or of what ``by`` names."""
+    return records.groupBy(*by or ("source",)).agg(F.min(instant).alias("first_ms"), F.max(instant).alias("last_ms"), F.count("*").alias("n"))
 
 
 def duplicate_totals(records: DataFrame, *same: str) -> DataFrame:

@@ -26,17 +26,17 @@ def json_texts(spark: SparkSession, path: str, pattern: str = "*.json") -> DataF
     return spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
-def json_members(texts: DataFrame, wrapper: str | None = None) -> DataFrame:
-    """file, ordinal, record (VARIANT), wrapped for each member of the JSON arrays in texts (file, value).
+def json_members(texts: DataFrame, wrapper: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """file, further columns named in ``carry``, ordinal, record (VARIANT), wrapped for each member of the JSON arrays in texts (file, value).
 
     With ``wrapper`` the array may be that field of an object instead.  Anything else in a file gives no rows.
     """
-    raw = texts.select("file", F.try_parse_json("value").alias("v")).select("file", "v", F.expr("try_variant_get(v, '$', 'array<variant>')").alias("root"))
+    raw = texts.select("file", *carry, F.try_parse_json("value").alias("v")).select("*", F.expr("try_variant_get(v, '$', 'array<variant>')").alias("root"))
     if wrapper:
         inner = F.when(F.col("root").isNull(), F.expr(f"try_variant_get(v, '$.{wrapper}', 'array<variant>')"))
     else:
         inner = F.lit(None).cast("array<variant>")
-    return raw.select("file", F.posexplode(F.coalesce("root", inner)).alias("ordinal", "record"), F.col("root").isNull().alias("wrapped"))
+    return raw.select("file", *carry, F.posexplode(F.coalesce("root", inner)).alias("ordinal", "record"), F.col("root").isNull().alias("wrapped"))
 
 
 def file_faults(texts: DataFrame, wrapper: str | None = None) -> DataFrame:
@@ -228,6 +228,23 @@ def overlap_fingerprint(at: Column, artist: Column, track: Column) -> Column:
     return record_fingerprint(OVERLAP_PRINT, artistName=artist, scrobbledAtEpochMs=at, trackName=track)
 
 
+#: Fixed value: the names of interval-source files.
+INTERVAL_NAMES = "^Streaming_History_Audio_\\d{4}(-\\d{4})?_\\d+\\.json$"
+
+
+def scanned_files(spark: SparkSession, paths: list[str], family: str = INTERVAL_NAMES) -> DataFrame:
+    """file, name, byte_size, content_sha256, value of the regular files below ``paths`` whose name matches ``family``, each opened once.
+
+    A path offered twice, or lying below another one, adds nothing.  Names are told apart before a file is opened; value is
+    the content as text, for ``json_members``.  Content that is not UTF-8 is hashed as it stands and counts as U+FFFD in value.
+    """
+    offered = {p.rstrip("/") or "/" for p in paths}
+    roots = sorted(p for p in offered if not any(p != q and p.startswith(f"{q.rstrip('/')}/") for q in offered))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
+    kept = raw.where(F.col("_metadata.file_name").rlike(family))
+    return kept.select(F.col("path").alias("file"), F.col("_metadata.file_name").alias("name"), F.col("length").alias("byte_size"), F.sha2("content", 256).alias("content_sha256"), F.make_valid_utf8(F.col("content").cast("string")).alias("value"))
+
+
 def file_registry(spark: SparkSession, path: str) -> DataFrame:
     """path, byte_size, content_sha256 of exact bytes."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("content_sha256"))

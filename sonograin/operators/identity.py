@@ -21,7 +21,7 @@ def owners(records: DataFrame, identifier: str, entity: str = "record_id") -> Da
 
 def aliases(records: DataFrame, entity: str, display: str) -> DataFrame:
     """entity, alias, display, record_id: the first display form of each name (as match text) of each entity."""
-    named = records.select(F.col(entity).alias("entity"), match_text(F.col(display)).alias("alias"), F.col(display).alias("display"), "record_id").where("alias is not null")
+    named = with_match_text(records.select(F.col(entity).alias("entity"), F.col(display).alias("display"), "record_id"), alias="display").where("alias is not null")
     return named.groupBy("entity", "alias").agg(F.min_by("display", "record_id").alias("display"), F.min("record_id").alias("record_id"))
 
 
