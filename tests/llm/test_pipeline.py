@@ -14,8 +14,6 @@ import test_mix_shard_chat
 import test_neardup
 import test_quality
 
-from sonograin.llm.quality import GRID, RULES
-
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
 
@@ -49,16 +47,7 @@ def wanted(docs, labels, bench):
         caps = sum("A" <= c <= "Z" for c in d[1] or "")
         measured.append((failed, {"symbols": symbols / max(1, chars), "duplicate_lines": dup / max(1, len(lines)), "repeated_words": rep / max(1, n), "capitals": caps / max(1, chars), "long_words": chars / max(1, n) / 40}))
     strata = {d[2] or "" for d, m in zip(docs, measured) if not m[0] and quality_of.get(d[0])}
-    cutoffs = {}
-    for s in strata:
-        good = [m[1] for d, m in zip(docs, measured) if (d[2] or "") == s and not m[0] and quality_of.get(d[0])]
-        for rule in RULES:
-            for c in GRID:
-                n, k, p = len(good), sum(x[rule] > c for x in good), 0.05 / len(RULES)
-                term = lambda j: math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log(1 - p))  # noqa: B023, E731
-                if sum(map(term, range(k + 1))) > 0.05 / (len(strata) * len(RULES)):
-                    break
-                cutoffs[s, rule] = c
+    cutoffs = test_quality.plain_cutoffs({s: [m[1] for d, m in zip(docs, measured) if (d[2] or "") == s and not m[0] and quality_of.get(d[0])] for s in strata})
     docs = [d for d, m in zip(docs, measured) if not m[0] and all(v <= cutoffs.get((d[2] or "", r), 9) for r, v in m[1].items())]
     stages = [docs]
     fps = [test_neardup.brute_fp(d[1]) for d in docs]
