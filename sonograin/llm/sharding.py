@@ -17,6 +17,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text import cut
+
 
 class Node(NamedTuple):
     """Children under a weight that doesn't follow from theirs."""
@@ -37,6 +39,8 @@ class Leaf(NamedTuple):
 TREE = tuple(tuple(tuple(1.0 for _ in range(4)) for _ in range(2)) for _ in range(3))
 #: Blocks of a shard whose slots are counted apart; a fixed number, so that a slot doesn't depend on the number of rows.
 BLOCKS = 1024
+#: Where each block begins is broadcast for trees of up to this many blocks; rows that stand for more are dealt out in stretches of STRETCH.
+BROADCAST_ROWS, STRETCH = 1_000_000, 65_536
 
 
 def _children(node) -> tuple | None:
@@ -55,6 +59,11 @@ def _numbers(node) -> int:
     return sum(map(_numbers, below)) if below is not None else int(not isinstance(node, Leaf))
 
 
+def _leaves(node) -> int:
+    below = _children(node)
+    return sum(map(_leaves, below)) if below is not None else 1
+
+
 def _pick(key: Column, children, path: str, first: int) -> Column:
     """The shard below this node; the draws of a node are made only for rows that reach it."""
     draws, below, at = [], [], first
@@ -86,17 +95,28 @@ def shards(docs: DataFrame, tree=TREE, added=()) -> DataFrame:
 
     size is the text's UTF-8 bytes plus 8; a null text has none and the crc32 of an empty one.  The key is doc_id as text,
     a null one the text 'null'; rows with one doc_id go to one shard.  Slots run from 0 without gaps in each shard, in the
-    order of hashed block, doc_id and checksum; rows equal in these are interchangeable.  An empty table gives no rows;
+    order of hashed block, doc_id, checksum and size; rows equal in these are interchangeable and are counted before they meet.  An empty table gives no rows;
     texts of any length are taken whole; other columns are ignored.
     """
-    # blocks keep a slot counter short: a shard's rows are dealt into hashed blocks that are numbered one after another
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    dealt = docs.select(
+    rows = docs.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
-        shard_of(key, tree, added).alias("shard"), shard_of(key, tree, (*added, 1.0)).alias("grown_shard"), F.pmod(F.xxhash64(key), F.lit(BLOCKS)).alias("block"),
+        shard_of(key, tree, added).alias("shard"), shard_of(key, tree, (*added, 1.0)).alias("grown_shard"), F.pmod(F.xxhash64(key, F.crc32(F.coalesce(F.col("text"), F.lit("")))), F.lit(BLOCKS)).alias("block"),
     )
-    counts = docs.select(shard_of(key, tree, added).alias("_shard"), F.pmod(F.xxhash64(key), F.lit(BLOCKS)).alias("_block")).groupBy("_shard", "_block").agg(F.count("*").alias("n"))
+    # equal rows are one with a count, so no repeated document makes a block long
+    equal = cut(rows.groupBy("shard", "block", "doc_id", "text_crc32", "size", "grown_shard").agg(F.count("*").alias("n")))
+    # blocks keep a slot counter short: a shard's rows are dealt into hashed blocks that are numbered one after another
+    before_row = F.sum("n").over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")) - F.col("n")
+    counts = equal.groupBy("shard", "block").agg(F.sum("n").alias("n")).select(F.col("shard").alias("_shard"), F.col("block").alias("_block"), "n")
     before = counts.select("_shard", "_block", F.coalesce(F.sum("n").over(Window.partitionBy("_shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")))
-    out = placed.join(F.broadcast(before), (F.col("shard") == F.col("_shard")) & (F.col("block") == F.col("_block")))  # BLOCKS rows a shard
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("nth") - 1).cast("long").alias("slot"), "grown_shard")
+    if _leaves((tree, added)) * BLOCKS <= BROADCAST_ROWS:
+        before = F.broadcast(before)  # BLOCKS rows a shard at most
+    placed = equal.withColumn("own", before_row).join(before, (F.col("shard") == F.col("_shard")) & (F.col("block") == F.col("_block")))
+    at = F.col("before") + F.col("own")
+    placed = placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "grown_shard", at.alias("slot"), (at + F.col("n")).alias("end"))
+    if equal.where(F.col("n") > STRETCH).take(1):
+        # a row that stands for very many is dealt out in stretches, so that no task writes all of them
+        stretched = placed.withColumn("slot", F.explode(F.sequence(F.col("slot"), F.col("end") - 1, F.lit(STRETCH).cast("long"))))
+        placed = stretched.withColumn("end", F.least(F.col("end"), F.col("slot") + STRETCH)).repartition("shard", "slot")
+    out = placed.withColumn("slot", F.explode(F.sequence(F.col("slot"), F.col("end") - 1)))
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

@@ -69,6 +69,25 @@ def test_shards(spark):
     assert shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_slots_of_rows_that_repeat_one_document(spark, monkeypatch):
+    """Two documents make up most rows, one id has many texts; with and without stretches and broadcasts the slots are gapless and stay."""
+    rows = [(7, "same")] * 900 + [(None, None)] * 700 + [(8, f"text {i}") for i in range(400)] + [(i, "") for i in range(100, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    seen = []
+    for stretch, most in ((65_536, 1_000_000), (64, 1_000_000), (64, 1)):
+        monkeypatch.setattr(sharding, "STRETCH", stretch)
+        monkeypatch.setattr(sharding, "BROADCAST_ROWS", most)
+        got = shards(docs).collect()
+        slots = defaultdict(list)
+        for x in got:
+            slots[x.shard].append(x.slot)
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+        assert sorted((str(x.doc_id), x.size, x.text_crc32) for x in got) == sorted((str(i), len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
+        assert len({(x.doc_id, x.shard, x.grown_shard) for x in got}) == 103  # 7, null, 8 and 100 to 199
+        seen.append(sorted(map(str, got)))
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_weights_move_rows_only_within_their_subtree(spark):
     tree = [[[1.0, 1.0], [1.0, 1.0]], [[1.0, 1.0], [1.0, 1.0]]]
     heavier = [[[1.0, 1.0], [1.0, 1.0]], [[1.0, 1.0], [1.0, 3.0]]]
