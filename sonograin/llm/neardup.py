@@ -2,11 +2,16 @@
 
 Fingerprints that differ in at most ``bits`` <= 4 of 64 bits differ in at most so many of their 8 bytes, so they share at
 least 8 - bits positional bytes.  A posting list of one positional byte holds a 256th of the corpus, too much to pair; the
-index therefore lists triples of positional bytes, chosen such that any 4 of the 8 positions contain two of them.  Each
-meeting of a pair in a list tells of the positions that it shares; the tally of a pair is the number of different ones over
+index therefore lists triples of positional bytes, chosen such that any 4 of the 8 positions contain two of them.  A list
+of one entry goes.  Each meeting of a pair in a list tells of the positions that it shares; the tally of a pair is the number of different ones over
 all its meetings.  Pairs below the guaranteed tally go (nearly all chance meetings share 3 bytes only), the rest are
 verified by counting differing bits.
 
+The links within a group of near copies grow with the square of its size, components need few of them.  So each entry is
+first compared with two entries of each of its lists, at most 80 in all; components of these links are labels, and only
+entries of different labels are paired.  A list of one label only goes: all its entries are linked already.  Two entries of
+different labels still meet in every list that they share, so the guarantee holds for them as it stands.
+
 Equal fingerprints are one entry of the index.  A list with more than ``hot`` entries is split by each further position, so
 that lists of four bytes keep short at 256 times the corpus.  What is still crowded is a dense cluster and is not paired:
 two fingerprints differ in at most 4 bits exactly if some value differs in at most 2 bits from both, so each entry of such
@@ -86,41 +91,78 @@ def _list_key(places) -> str:
     return f"{_positions(places) << 32}L | {parts}"
 
 
-def _calm_and_crowded(index: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | None]:
-    """The entries (fp, key) of lists with up to ``hot`` entries, and the others, None if there are none."""
-    crowded = cut(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot))
-    if not crowded.take(1):
-        return index, None
-    marked = spread_join(index, crowded.select("key", F.lit(True).alias("crowded")), ["key"], crowded, ["fp"], "left")
-    return marked.where("crowded is null").select("fp", "key"), cut(marked.where("crowded").select("fp", "key"))
+def _index(prints: DataFrame) -> DataFrame:
+    """fp, key: the lists of each distinct fp of prints."""
+    # fingerprints are small, but each makes many entries: they are kept in as many partitions as a shuffle has
+    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return prints.select("fp").repartition(spread, "fp").distinct().select("fp", F.explode(F.array(*(F.expr(_list_key(t)) for t in TRIPLES))).alias("key"))
+
+
+def _mixed(index: DataFrame) -> DataFrame:
+    """The entries (fp, label, key) of lists with more than one label, with the list's size n and two of its labels, first and last in an order that differs from list to list."""
+    order = F.expr("label ^ xxhash64(key)")
+    lists = index.groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).where("first != last")
+    lists = cut(lists.select("key", *(F.expr(f"{c} ^ xxhash64(key)").alias(c) for c in ("first", "last")), "n"))
+    return spread_join(index, lists, ["key"], lists.select("key", "n"), ["fp"])
 
 
 def _meetings(index: DataFrame) -> DataFrame:
-    """a < b, shared: the positions of every list in which the two meet."""
-    a, b = index.select("key", F.col("fp").alias("a")), index.select("key", F.col("fp").alias("b"))
-    return a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b"))).select("a", "b", F.shiftright(a["key"], 32).alias("shared"))
+    """a < b, their labels la != lb, shared: the positions of every list in which the two meet."""
+    a, b = (index.select("key", F.col("fp").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    return a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b", "la", "lb", F.shiftright(a["key"], 32).alias("shared"))
 
 
-def links(prints: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
-    """Distinct (a, b), a < b, among the distinct fp of prints: pairs at most ``bits`` apart; all of them but in crowded lists, where there are enough to keep components."""
+def _labelled_links(index: DataFrame, bits: int, hot: int) -> DataFrame:
+    """Distinct (a, b, la, lb), a < b, of entries (fp, label, key): pairs at most ``bits`` apart whose labels differ; all of them but in crowded lists, where there are enough to join the labels."""
+    index = cut(_mixed(index).drop("first", "last"))
+    met, dense = _meetings(index.where(F.col("n") <= hot)), None
+    crowded = index.where(F.col("n") > hot)
+    if crowded.take(1):
+        finer = F.array_compact(F.array(*(F.expr(f"if((shiftright(key, 32) & ~{_positions(q)}L) = 0, {_list_key(q)}, null)") for q in QUADS)))
+        split = cut(_mixed(crowded.select("fp", "label", F.explode(finer).alias("key")).distinct()))
+        met, dense = met.unionByName(_meetings(split.where(F.col("n") <= hot))), split.where(F.col("n") > hot)
+    tallied = met.groupBy("a", "b", "la", "lb").agg(F.expr("bit_count(bit_or(shared))").alias("tally")).where(F.col("tally") >= 8 - bits)
+    found = tallied.where(F.expr("bit_count(a ^ b)") <= bits).select("a", "b", "la", "lb")
+    if dense is None or not dense.take(1):
+        return found
+    return found.unionByName(_dense_links(dense.select("fp", "label").distinct(), bits)).distinct()
+
+
+def _checked(bits: int) -> None:
     if not 0 <= bits <= 4:
         raise ValueError("the index guarantees up to 4 bits")
-    # fingerprints are small, but each makes many entries: they are kept in as many partitions as a shuffle has
-    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index = prints.select("fp").repartition(spread, "fp").distinct().select("fp", F.explode(F.array(*(F.expr(_list_key(t)) for t in TRIPLES))).alias("key"))
-    calm, crowded = _calm_and_crowded(index, hot)
-    met, dense = _meetings(calm), None
-    if crowded is not None:
-        finer = F.array_compact(F.array(*(F.expr(f"if((shiftright(key, 32) & ~{_positions(q)}L) = 0, {_list_key(q)}, null)") for q in QUADS)))
-        calm, dense = _calm_and_crowded(crowded.select("fp", F.explode(finer).alias("key")).distinct(), hot)
-        met = met.unionByName(_meetings(calm))
-    tallied = met.groupBy("a", "b").agg(F.expr("bit_count(bit_or(shared))").alias("tally")).where(F.col("tally") >= 8 - bits)
-    found = tallied.where(F.expr("bit_count(a ^ b)") <= bits).select("a", "b")
-    return found if dense is None else found.unionByName(_dense_links(dense.select("fp").distinct(), bits)).distinct()
+
+
+def links(prints: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
+    """Distinct (a, b), a < b, among the distinct fp of prints: pairs at most ``bits`` apart; all of them but in crowded lists, where there are enough to keep components.
+
+    They grow with the square of a group of near copies; ``roots`` gives the components without them.
+    """
+    _checked(bits)
+    return _labelled_links(_index(prints).withColumn("label", F.col("fp")), bits, hot).select("a", "b")
+
+
+def roots(prints: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
+    """node, root for every fp of prints that is linked to another: root is the least fp of its component.
+
+    The components of ``links``, from the links of each entry to two of each list and those between their components.
+    """
+    _checked(bits)
+    entries = cut(_mixed(_index(prints).withColumn("label", F.col("fp"))).select("fp", "key", "first", "last"))
+    near = entries.select("fp", F.explode(F.expr(f"filter(array(first, last), x -> x != fp and bit_count(fp ^ x) <= {int(bits)})")).alias("to"))
+    stars = cut(components(near.select(F.least("fp", "to").alias("a"), F.greatest("fp", "to").alias("b"))))
+    labels = stars.select(F.col("node").alias("fp"), F.col("root").alias("label"))
+    labelled = cut(entries.select("fp", "key").join(labels, "fp", "left").select("fp", "key", F.coalesce("label", "fp").alias("label")))
+    between = _labelled_links(labelled, bits, hot).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+    joined = cut(components(between))
+    higher = joined.select(F.col("node").alias("label"), F.col("root").alias("least"))
+    members = labels.groupBy("label").agg(F.count("*").alias("n"))
+    placed = spread_join(labels, higher, ["label"], members, ["fp"], "left").select(F.col("fp").alias("node"), F.coalesce("least", "label").alias("root"))
+    return placed.unionByName(joined.join(stars, "node", "left_anti"))
 
 
 def _dense_links(entries: DataFrame, bits: int) -> DataFrame:
-    """Links that keep the components of entries (fp).
+    """Links (a, b, la, lb) that join the labels of entries (fp, label) as all links would.
 
     Entries a and b are linked exactly if a value is at most bits // 2 bits from one and at most bits - bits // 2 from the
     other.  All entries around a value are linked to the least of those at most bits // 2 from it, each link being a true one.
@@ -129,10 +171,12 @@ def _dense_links(entries: DataFrame, bits: int) -> DataFrame:
     # the values with up to two bits set, made in the row: 2081 at most
     masks = ["array(0L)", "transform(sequence(0, 63), i -> shiftleft(1L, i))", "flatten(transform(sequence(0, 62), i -> transform(sequence(i + 1, 63), j -> shiftleft(1L, i) | shiftleft(1L, j))))"]
     each = ", ".join(f"transform({m}, x -> named_struct('mask', x, 'near', {'true' if size <= small else 'false'}))" for size, m in enumerate(masks[: large + 1]))
-    around = entries.select("fp", F.expr(f"inline(concat({each}))")).select("fp", "near", F.expr("fp ^ mask").alias("point"))
-    centre = around.groupBy("point").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("c"), F.count("*").alias("n")).where("n > 1 and c is not null")
-    met = spread_join(around.select("fp", "point"), centre.select("point", "c"), ["point"], centre.select("point", "n"), ["fp"])
-    return met.where("c != fp").select(F.least("c", "fp").alias("a"), F.greatest("c", "fp").alias("b")).distinct()
+    around = entries.select("fp", "label", F.expr(f"inline(concat({each}))")).select(F.struct("fp", "label").alias("e"), "near", F.expr("fp ^ mask").alias("point"))
+    labels = F.min("e.label") != F.max("e.label")
+    centre = around.groupBy("point").agg(F.min(F.when(F.col("near"), F.col("e"))).alias("c"), F.count("*").alias("n"), labels.alias("mixed")).where("mixed and c is not null")
+    met = spread_join(around.select("e", "point"), centre.select("point", "c"), ["point"], centre.select("point", "n"), ["e"])
+    pairs = met.where("c.label != e.label").select(F.least("c", "e").alias("x"), F.greatest("c", "e").alias("y"))
+    return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -170,8 +214,8 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFr
     """
     prints = cut(fingerprints(docs))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
-    roots = components(links(classes, bits, hot))
-    rooted = cut(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id"))
+    found = roots(classes, bits, hot)
+    rooted = cut(classes.join(found, classes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id"))
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
     placed = spread_join(rooted.select("fp", "root"), named.select("root", "component_id"), ["root"], named.select("root", "n"), ["fp"])
     out = spread_join(prints, placed, ["fp"], classes.select("fp", "n"), ["doc_id", "text_hash"])
