@@ -103,7 +103,7 @@ def _mixed(index: DataFrame) -> DataFrame:
     order = F.expr("label ^ xxhash64(key)")
     lists = index.groupBy("key").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).where("first != last")
     lists = cut(lists.select("key", *(F.expr(f"{c} ^ xxhash64(key)").alias(c) for c in ("first", "last")), "n"))
-    return spread_join(index, lists, ["key"], lists.select("key", "n"), ["fp"])
+    return spread_join(index, lists, ["key"], lists.select("key", "n"), ["fp"], sized=False)
 
 
 def _meetings(index: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _dense_links(entries: DataFrame, bits: int) -> DataFrame:
     around = entries.select("fp", "label", F.expr(f"inline(concat({each}))")).select(F.struct("fp", "label").alias("e"), "near", F.expr("fp ^ mask").alias("point"))
     labels = F.min("e.label") != F.max("e.label")
     centre = around.groupBy("point").agg(F.min(F.when(F.col("near"), F.col("e"))).alias("c"), F.count("*").alias("n"), labels.alias("mixed")).where("mixed and c is not null")
-    met = spread_join(around.select("e", "point"), centre.select("point", "c"), ["point"], centre.select("point", "n"), ["e"])
+    met = spread_join(around.select("e", "point"), centre.select("point", "c"), ["point"], centre.select("point", "n"), ["e"], sized=False)
     pairs = met.where("c.label != e.label").select(F.least("c", "e").alias("x"), F.greatest("c", "e").alias("y"))
     return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
 
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFr
     rooted = cut(classes.join(found, classes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id"))
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
     placed = spread_join(rooted.select("fp", "root"), named.select("root", "component_id"), ["root"], named.select("root", "n"), ["fp"])
-    out = spread_join(prints, placed, ["fp"], classes.select("fp", "n"), ["doc_id", "text_hash"])
+    out = spread_join(prints, placed, ["fp"], classes.select("fp", "n"), ["doc_id", "text_hash"], sized=False)
     return out.select("doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 

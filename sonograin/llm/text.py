@@ -74,22 +74,24 @@ def discard(spark, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], counted: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, side: DataFrame, keys: list[str], counted: DataFrame, by: list[str], how: str = "inner", sized: bool = True) -> DataFrame:
     """rows joined with side on ``keys``, without a task that holds a heavy key.
 
     counted has keys and n, how many of rows have each key; keys that it lacks count as light.  Heavy ones, of LEAST rows and
     over a SHARE-th of all, are fewer than SHARE; they are fetched and broadcast, their rows get a salt from a hash of
-    ``by``, and their rows of side are repeated for each salt.
+    ``by``, and their rows of side are repeated for each salt.  Spark takes what an explode makes of a row for one row, and a
+    file's bytes for those of its rows; with ``sized`` False neither side is broadcast on such a guess.
     """
+    met = (lambda a, b, on: a.join(b, on, how)) if sized else (lambda a, b, on: a.hint("merge").join(b, on, how))
     total = counted.agg(F.sum("n").alias("_total"))  # one row
     heavy = counted.where(F.col("n") >= LEAST).crossJoin(F.broadcast(total)).where(F.col("n") * SHARE > F.col("_total")).select(*keys).collect()
     if not heavy:
-        return rows.join(side, keys, how)
+        return met(rows, side, keys)
     marked = F.broadcast(rows.sparkSession.createDataFrame(heavy, counted.select(*keys).schema).withColumn("_of", F.lit(SALTS)))
     of = F.coalesce("_of", F.lit(1))
     dealt = rows.join(marked, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), of).cast("int")).drop("_of")
     repeated = side.join(marked, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), of - 1))).drop("_of")
-    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return met(dealt, repeated, [*keys, "_salt"]).drop("_salt")
 
 
 def running(rows: DataFrame, order: list, **sums: str) -> DataFrame:
